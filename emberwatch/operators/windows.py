@@ -28,8 +28,9 @@ def overlapped(df: DataFrame, width: int, back: int) -> DataFrame:
     return df.withColumn("_b", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
 
 
-def own_rows(df: DataFrame, width: int) -> DataFrame:
-    return df.where(F.col("_b") == floor_div(F.col("us"), width)).drop("_b")
+def own_rows(df: DataFrame, width: int, keep_bucket: bool = False) -> DataFrame:
+    mine = df.where(F.col("_b") == floor_div(F.col("us"), width))
+    return mine if keep_bucket else mine.drop("_b")
 
 
 def _older(window_us: int, *keys: str):
@@ -46,13 +47,15 @@ def rolling_count(df: DataFrame, key: str, window_us: int, name: str = "n") -> D
     return own_rows(spread.withColumn(name, F.row_number().over(upto).cast("bigint") - gone), width)
 
 
-def rolling_sum(df: DataFrame, key: str, value: str, window_us: int, name: str = "total") -> DataFrame:
+def rolling_sum(
+    df: DataFrame, key: str, value: str, window_us: int, name: str = "total", keep_bucket: bool = False
+) -> DataFrame:
     """Sum of an integer column over [us-w, us] up to and including each row."""
     width = BUCKET_WINDOWS * window_us
     upto = W.partitionBy(key, "_b").orderBy("us", "seq").rowsBetween(W.unboundedPreceding, 0)
     gone = F.coalesce(F.sum(value).over(_older(window_us, key, "_b")), F.lit(0))
     spread = overlapped(df, width, window_us)
-    return own_rows(spread.withColumn(name, F.sum(value).over(upto) - gone), width)
+    return own_rows(spread.withColumn(name, F.sum(value).over(upto) - gone), width, keep_bucket)
 
 
 def prior_count(per_us: DataFrame, key: str, window_us: int) -> DataFrame:
@@ -161,7 +164,8 @@ def ewma(df: DataFrame, key: str, value: str, width: int) -> DataFrame:
 
     base = value on the first row, then 0.8*base + 0.2*value. The recurrence is linear, so it is
     solved per cell of 256 rows inside (key, bucket), chained over the two cells that still matter,
-    and carried over buckets through a summary.
+    and carried over buckets through a summary. A frame that still has its ``_b`` of the same width
+    (``rolling_sum(keep_bucket=True)``) is not shuffled again.
     """
     keep, new = F.lit(EWMA_KEEP), F.lit(EWMA_NEW)
     order = W.partitionBy(key, "_b").orderBy("us", "seq")
@@ -169,9 +173,9 @@ def ewma(df: DataFrame, key: str, value: str, width: int) -> DataFrame:
     cell = W.partitionBy(key, "_b", "_c").orderBy("us", "seq").rowsBetween(W.unboundedPreceding, 0)
     x = F.col(value).cast("double")
     at_end = F.col("_p") == EWMA_CELL - 1
+    cut = df if "_b" in df.columns else df.withColumn("_b", floor_div(F.col("us"), width))
     local = (
-        df.withColumn("_b", floor_div(F.col("us"), width))
-        .withColumn("_r", F.row_number().over(order) - 1)
+        cut.withColumn("_r", F.row_number().over(order) - 1)
         .withColumn("_c", F.floor(F.col("_r") / EWMA_CELL))
         .withColumn("_p", F.pmod("_r", F.lit(EWMA_CELL)))
         .withColumn("_v", F.sum(new * x * F.pow(keep, -F.col("_p"))).over(cell) * F.pow(keep, F.col("_p")))
@@ -207,5 +211,5 @@ def ewma(df: DataFrame, key: str, value: str, width: int) -> DataFrame:
     return (
         out.withColumn("base_before", before)
         .withColumn("base_after", F.col("_after") + F.pow(keep, F.col("_r") + 1) * F.col("_carry"))
-        .select(*df.columns, "base_before", "base_after")
+        .select(*[c for c in df.columns if c != "_b"], "base_before", "base_after")
     )
