@@ -378,8 +378,8 @@ _ERR = """case when name = '' then 'a source name is required'
     when type = 'ftp' then 'unknown source type "ftp"' end"""
 EXPECTED["validate_sources"] = f"with {_REQ} select seq, name, type, {_ERR} as error from req"
 EXPECTED["put_sources"] = f"""with {EV}, {_SRC}, {_REQ}, named as (select * replace (case when n % 13 = 0 then 'src' || (n % 4) else name end as name) from req),
-  chk as (select *, {_ERR} as error from named), good as (select name, arg_max(type, seq) as type, arg_max(pv, seq) as pv, min(seq) as first_ from chg_ group by 1),
-  chg_ as (select * from chk where error is null), fresh as (select *, row_number() over (order by first_) as r from good where name not in (select name from src)),
+  chk as (select *, {_ERR} as error from named), good as (select name, arg_max(type, seq) as type, arg_max(pv, seq) as pv, min(seq) as first_ from chk where error is null group by 1),
+  fresh as (select *, row_number() over (order by first_) as r from good where name not in (select name from src)),
   lim as (select *, r + (select count(*) from src) > 20 as over_ from fresh)
   select name, type, pv as value, {NOW_US} as created_at, 'kept' as what from lim where not over_
   union all select src.name, coalesce(good.type, src.type), coalesce(good.pv, '/logs/' || src.name), created_at, 'kept' from src left join good using (name)
@@ -394,13 +394,13 @@ ALERTS = f"""{REC}, al as (select *, case when seq % 5 = 0 then 'resolved' else
 
 
 def _digest(opened: str, resolved: str) -> str:
-    return f"""select module, batch, max(last_us) as at, list({opened} order by -rank, seq) filter (kind = 'opened') as o,
+    return f"""select module, batch, max(last_us) as "at", list({opened} order by -rank, seq) filter (kind = 'opened') as o,
       list({resolved} order by seq) filter (kind = 'resolved') as r from dd group by 1, 2"""
 
 
 EXPECTED["alert_filter"] = f"with {ALERTS} select kind, severity, count(*) as n from al where kind = 'resolved' or rank >= 3 group by 1, 2"
 _ITEM = "severity || ':' || title"
-EXPECTED["digest"] = f"""with {ALERTS}, d as ({_digest(_ITEM, _ITEM)}) select module, batch, at, coalesce(array_to_string(o, '|'), '') as opened, coalesce(array_to_string(r, '|'), '') as resolved from d"""
+EXPECTED["digest"] = f"""with {ALERTS}, d as ({_digest(_ITEM, _ITEM)}) select module, batch, "at", coalesce(array_to_string(o, '|'), '') as opened, coalesce(array_to_string(r, '|'), '') as resolved from d"""
 _BADGE = "case severity when 'critical' then '🟥 CRITICAL' when 'high' then '🟧 HIGH' when 'medium' then '🟨 MEDIUM' else '🟦 LOW' end"
 _OPEN_TEXT = f"chr(10) || {_BADGE} || ' ' || target || chr(10) || '  ' || title || chr(10) || '  → ' || remediation || chr(10)"
 _DONE_TEXT = "'  • ' || target || ' — ' || title || chr(10)"
@@ -409,7 +409,7 @@ EXPECTED["digest_text"] = f"""with {ALERTS}, d as ({_digest(_OPEN_TEXT, _DONE_TE
     || case when r is null then '' else case when o is null then '' else chr(10) end || '✅ ' || len(r) || ' finding(s) resolved' || chr(10) || array_to_string(r, '') end, chr(10)) as text from d"""
 EXPECTED["chat_json"] = EXPECTED["digest_text"]
 _WIRE = "target || '/' || \"check\" || '/' || title"
-EXPECTED["webhook_json"] = f"""with {ALERTS}, d as ({_digest(_WIRE, _WIRE)}) select module, batch, 1 as version, strftime(make_timestamp(at), '%Y-%m-%dT%H:%M:%SZ') as at,
+EXPECTED["webhook_json"] = f"""with {ALERTS}, d as ({_digest(_WIRE, _WIRE)}) select module, batch, 1 as version, strftime(make_timestamp("at"), '%Y-%m-%dT%H:%M:%SZ') as "at",
   array_to_string(o, '|') as opened, array_to_string(r, '|') as resolved from d"""
 _LINE = f"""{ALERTS}, ln as (select *, case when kind = 'resolved' then 133 when severity = 'critical' then 130 when severity = 'high' then 131 when severity = 'medium' then 132 else 133 end as pri,
     make_timestamp(last_us) as t, json_extract_string(evidence, '$.actor') as src from al)"""
