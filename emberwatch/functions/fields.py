@@ -9,17 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.functions.net import is_address, is_ip
+from emberwatch.functions.text import digits
 
 _SP = r"[\t\n\f\r ]"
 _LB, _RB = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
-# Fixed patterns and phrase lists (part of the contract).
-FROM_ADDRESS = rf"(?iu)(?:from|rhost=|src=|client=){_SP}*[:\[]?([0-9a-fA-F.:]+)"
+# Fixed patterns and phrase lists (part of the contract). Case folding is Unicode's for these words:
+# besides ASCII only the long s folds into it, so it is named where an s may stand. The leading
+# class lets the matcher skip most positions without trying the alternatives.
+FROM_ADDRESS = rf"(?i)(?=[frscſ])(?:from|rho[sſ]t=|[sſ]rc=|client=){_SP}*[:\[]?([0-9a-fA-F.:]+)"
 DOTTED_QUAD = rf"{_LB}([0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}){_RB}"
-USER = rf'(?iu)(?:for(?: invalid user)?|user=?|account(?: name)?:?){_SP}+"?([A-Za-z0-9._\-\\$]+)"?'
-NAME_VALUE = rf"(?iu){_LB}name=[\"']?([A-Za-z0-9._\-\\$]+)"
-DST_PORT = r"(?iu)(?:DPT=|dport[ =])([0-9]{1,5})"
-BYTES_OUT = rf"(?iu)(?:bytes[=:]?|sent[=:]?){_SP}*([0-9]{{2,}})"
+USER = rf'(?i)(?=[fua])(?:for(?: invalid u[sſ]er)?|u[sſ]er=?|account(?: name)?:?){_SP}+"?([A-Za-z0-9._\-\\$]+)"?'
+NAME_VALUE = rf"(?i){_LB}name=[\"']?([A-Za-z0-9._\-\\$]+)"
+DST_PORT = r"(?i)(?:DPT=|dport[ =])([0-9]{1,5})"
+BYTES_OUT = rf"(?i)(?=[bsſ])(?:byte[sſ][=:]?|[sſ]ent[=:]?){_SP}*([0-9]{{2,}})"
+# Words without which the pattern cannot match; looked up first, as that is far cheaper.
+FROM_WORDS, USER_WORDS, BYTES_WORDS = ("from", "rhost=", "src=", "client="), ("for", "user", "account"), ("bytes", "sent")
 WINDOWS_HINTS = ("event", "microsoft-windows", "security")
 FAILURE_PHRASES = (
     "failed password", "authentication failure", "invalid user", "failed publickey", "permission denied",
@@ -36,31 +41,43 @@ def _any(c: Column, words) -> Column:
     return found
 
 
-def src_ip(msg: Column) -> Column:
-    """Address after from / rhost= / src= / client= if valid, else the first dotted quad, else ''."""
-    named = F.regexp_extract(msg, FROM_ADDRESS, 1)
-    return F.when(is_address(named), named).otherwise(F.regexp_extract(msg, DOTTED_QUAD, 1))
+def folded(msg: Column) -> Column:
+    """Lower case with the long s folded, for looking up the words above."""
+    return F.translate(F.lower(msg), "ſ", "s")
 
 
-def user(msg: Column) -> Column:
-    named = F.regexp_extract(msg, USER, 1)
-    main = F.when(is_ip(named), F.lit("")).otherwise(named)
-    return F.when(main != "", main).otherwise(F.regexp_extract(msg, NAME_VALUE, 1))
+def _capture(msg: Column, low: Column, words, pattern: str) -> Column:
+    return F.when(_any(low, words), F.regexp_extract(msg, pattern, 1)).otherwise(F.lit(""))
 
 
-def dst_port(msg: Column) -> Column:
-    port = F.regexp_extract(msg, DST_PORT, 1).try_cast("int")
+def named_address(msg: Column, low: Column) -> Column:
+    """Text after from / rhost= / src= / client=."""
+    return _capture(msg, low, FROM_WORDS, FROM_ADDRESS)
+
+
+def src_ip(msg: Column, named: Column) -> Column:
+    """The named address if it is valid, else the first dotted quad, else ''."""
+    return F.when(is_address(named), named).when(msg.contains("."), F.regexp_extract(msg, DOTTED_QUAD, 1)).otherwise("")
+
+
+def user(msg: Column, low: Column, named: Column) -> Column:
+    """The named account unless it is an address, else the value of name=."""
+    return F.when((named != "") & ~is_ip(named), named).otherwise(_capture(msg, low, ("name=",), NAME_VALUE))
+
+
+def dst_port(msg: Column, low: Column) -> Column:
+    port = digits(_capture(msg, low, ("dpt=", "dport"), DST_PORT))
     return F.when(port.between(1, 65535), port).otherwise(F.lit(0))
 
 
-def bytes_out(msg: Column) -> Column:
-    return F.coalesce(F.regexp_extract(msg, BYTES_OUT, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+def bytes_out(msg: Column, low: Column) -> Column:
+    return F.coalesce(digits(_capture(msg, low, BYTES_WORDS, BYTES_OUT), "bigint"), F.lit(0).cast("bigint"))
 
 
 def has_event_id(msg: Column, low: Column, *ids: str) -> Column:
     """A Windows event id as a whole number, in a line that speaks of events at all."""
     lead = rf"(?:event{_SP}*id[:=]?{_SP}*|{_LB})"
-    return _any(low, WINDOWS_HINTS) & msg.rlike(rf"(?iu){lead}(?:{'|'.join(ids)}){_RB}")
+    return _any(msg, ids) & _any(low, WINDOWS_HINTS) & msg.rlike(rf"(?i){lead}(?:{'|'.join(ids)}){_RB}")
 
 
 def auth_outcome(msg: Column, low: Column) -> Column:
@@ -88,19 +105,20 @@ def action(msg: Column, low: Column, app: Column) -> Column:
 
 def extract_fields(df: DataFrame) -> DataFrame:
     """Add auth, user, src_ip, dst_port, bytes_out and action from message (or raw) and app."""
-    msg, low = F.col("_msg"), F.col("_low")
+    msg, low, fold = F.col("_msg"), F.col("_low"), F.col("_fold")
     return (
         df.withColumn("_msg", F.when(F.col("message") == "", F.col("raw")).otherwise(F.col("message")))
-        .withColumn("_low", F.lower("_msg"))
+        .withColumns({"_low": F.lower("_msg"), "_fold": folded(msg)})
+        .withColumns({"_named": named_address(msg, fold), "_account": _capture(msg, fold, USER_WORDS, USER)})
         .withColumns({
             "auth": auth_outcome(msg, low),
-            "user": user(msg),
-            "src_ip": src_ip(msg),
-            "dst_port": dst_port(msg),
-            "bytes_out": bytes_out(msg),
+            "user": user(msg, fold, F.col("_account")),
+            "src_ip": src_ip(msg, F.col("_named")),
+            "dst_port": dst_port(msg, fold),
+            "bytes_out": bytes_out(msg, fold),
             "action": action(msg, low, F.col("app")),
         })
-        .drop("_msg", "_low")
+        .drop("_msg", "_low", "_fold", "_named", "_account")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.functions.fields import extract_fields
-from emberwatch.functions.text import dash_to_empty, strip_space
+from emberwatch.functions.text import dash_to_empty, digits, strip_space
 from emberwatch.model import EVENT_SCHEMA, columns
 
 EVENT_COLUMNS = columns(EVENT_SCHEMA)
@@ -25,7 +25,7 @@ _PRI = "^<([0-9]{1,3}|[+-][0-9]{1,2})>"
 
 def _seconds(c: Column) -> Column:
     whole = F.substring(F.replace(c, F.lit(","), F.lit(".")), 1, 9)
-    return whole.cast("decimal(8,6)")
+    return digits(whole, "decimal(8,6)")
 
 
 def _make(year, month, day, hour, minute, sec: Column) -> Column:
@@ -33,36 +33,62 @@ def _make(year, month, day, hour, minute, sec: Column) -> Column:
     return F.when(sec < 60, F.try_make_timestamp(year, month, day, hour, minute, sec))
 
 
+# The spellings nearly all lines use; they are read with one cast instead of a group per field.
+_USUAL_STAMP = "^[A-Z][a-z]{2} [ 0-3][0-9] [0-2][0-9]:[0-5][0-9]:[0-5][0-9]$"
+_USUAL_ISO = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-2][0-9]:[0-5][0-9]:[0-5][0-9](\.[0-9]+)?"
+    "(Z|[+-](0[0-9]|1[0-7]):[0-5][0-9])$"
+)
+
+
+def _month(name: Column) -> Column:
+    at = F.instr(F.lit(_MONTHS), F.lower(name))
+    return F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
+
+
 def stamp_time(stamp: Column, now: Column) -> Column:
     """``Jan _2 15:04:05`` in the year of ``now``; NULL if malformed. 29 Feb rolls to 1 Mar."""
+    text = F.concat_ws(
+        "-", F.year(now), _month(F.substring(stamp, 1, 3)), F.ltrim(F.substring(stamp, 5, 11)))
+    usual = F.when(stamp.rlike(_USUAL_STAMP) & _month(F.substring(stamp, 1, 3)).isNotNull(), text.try_cast("timestamp"))
+    return F.coalesce(usual, F.when(stamp.rlike(_STAMP), _any_stamp(stamp, now)))
+
+
+def _any_stamp(stamp: Column, now: Column) -> Column:
     part = lambda i: F.regexp_extract(stamp, _STAMP, i)
-    num = lambda i: part(i).try_cast("int")
-    month = ((F.instr(F.lit(_MONTHS), F.lower(part(1))) + 2) / 3).cast("int")
+    num = lambda i: digits(part(i))
+    month = _month(part(1))
     year = F.year(now)
     clock = (num(3), num(4), _seconds(part(5)))
     leap_day = _make(year, F.lit(3), F.lit(1), *clock)
     plain = _make(year, month, num(2), *clock)
     rolled = F.when((month == 2) & (num(2) == 29), leap_day)
-    return F.when(stamp.rlike(_STAMP), F.coalesce(plain, rolled))
+    return F.coalesce(plain, rolled)
 
 
 def iso_time(c: Column) -> Column:
     """RFC 3339 time with an explicit zone; NULL if malformed (bare dates are malformed)."""
+    usual = F.when(c.rlike(_USUAL_ISO), c.try_cast("timestamp"))
+    return F.coalesce(usual, F.when(c.rlike(_ISO), _any_iso(c)))
+
+
+def _any_iso(c: Column) -> Column:
     part = lambda i: F.regexp_extract(c, _ISO, i)
-    num = lambda i: part(i).try_cast("int")
+    num = lambda i: digits(part(i))
     zone = part(8)
+    zone_hours, zone_minutes = digits(F.substring(zone, 2, 2)), digits(F.substring(zone, 5, 2))
     minutes = F.when(zone == "Z", F.lit(0)).otherwise(
-        F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+        zone_hours * 60 + zone_minutes
     ) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     local = _make(num(1), num(2), num(3), num(4), num(5), _seconds(part(6)))
-    zone_ok = (F.substring(zone, 2, 2).try_cast("int") <= 24) & (F.substring(zone, 5, 2).try_cast("int") <= 60)
+    zone_ok = (zone_hours <= 24) & (zone_minutes <= 60)
     at = F.timestamp_micros(F.unix_micros(local) - minutes.cast("bigint") * 60_000_000)
-    return F.when(c.rlike(_ISO) & ((zone == "Z") | zone_ok), at)
+    return F.when((zone == "Z") | zone_ok, at)
 
 
 def priority(line: Column) -> Column:
     """Leading ``<N>`` in 0..191, else NULL."""
-    n = F.regexp_extract(line, _PRI, 1).try_cast("int")
+    n = digits(F.regexp_extract(line, _PRI, 1))
     return F.when(n.between(0, 191), n)
 
 

@@ -52,3 +52,11 @@ def span_text(seconds: int) -> str:
     if hours:
         return f"{hours}h{minutes}m{secs}s"
     return f"{minutes}m{secs}s" if minutes else f"{secs}s"
+
+
+def digits(c: Column, kind: str = "int") -> Column:
+    """Number in an extracted text, NULL when nothing was extracted or it is out of range.
+
+    The empty text is tested first: a failing cast raises and catches an exception per row.
+    """
+    return F.when(c != "", c.try_cast(kind))

@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a session that has none (tests) gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="emberwatch-ckpt-"))
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the plans rely on.
+
+    Times are UTC. Parsing is one long projection: above 8000 bytes of code the JVM would run the
+    fused method interpreted, so Spark is told to split it instead.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; only a session without one (tests) gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="emberwatch-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage so later steps read it instead of recomputing it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later steps neither recompute it nor depend on executors that may be lost, and the planner
+    knows its size, unlike that of an RDD checkpoint.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
