@@ -20,7 +20,7 @@ def _stretches(alerts: DataFrame, pause_us: int) -> DataFrame:
     return cut.join(roots.select("_b", "_root"), "_b").drop("_b")
 
 
-def replay(alerts: DataFrame, seconds: int, limit: int) -> DataFrame:
+def replay(alerts: DataFrame, seconds: int, limit: int, fold_limit: int = 50_000) -> DataFrame:
     pause = seconds * 1_000_000
     rows = _stretches(alerts.withColumn("us", F.unix_micros("at")), pause)
 

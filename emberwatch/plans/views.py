@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberwatch.model import EVENT_SCHEMA, RECORD_SCHEMA, columns
 from emberwatch.operators.records import fix_for
-from emberwatch.plans.lineage import prepare
+from emberwatch.plans.lineage import prepare, spread
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A test table; times there carry no zone and are read as UTC."""
-    df = prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spread(prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if table == "events" else df
 
 
