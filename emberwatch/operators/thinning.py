@@ -116,42 +116,42 @@ def _chain(cands: DataFrame, key: str, cooldown_us: int) -> DataFrame:
     # Inside a session neighbours are closer than d, so the next fire is within [us+d, us+2d)
     # or the session is over; a successor in a later session is a root and found on its own.
     nxt = next_at_or_after(c, c.select(key, "us", (F.col("us") + d).alias("x")), key, d)
-    jump = c.join(nxt, [key, "us"])
     ends = c.select(key, F.col("us").alias("nxt"), F.col("_root").alias("_nroot"), F.col("b").alias("nb"))
-    jump = pin(
-        jump.join(ends, [key, "nxt"], "left")
-        .withColumn("_same", F.col("_nroot") == F.col("_root"))
-        .select(
-            key, "us", "_root", "b",
-            F.when(F.col("_same"), F.col("nxt")).alias("nxt"),
-            F.when(F.col("_same"), F.col("nb")).alias("nb"),
-        )
+    same = F.col("_nroot") == F.col("_root")
+    jump = c.join(nxt, [key, "us"]).join(ends, [key, "nxt"], "left").select(
+        key, F.col("us").alias("at"), "b", (F.col("us") == F.col("_root")).alias("head"),
+        F.when(same, F.col("nxt")).alias("nxt"), F.when(same, F.col("nb")).alias("nb"),
     )
+    found = follow(jump, key).withColumnRenamed("at", "us")
+    return cands.join(found, [key, "us"]).select(*cands.columns)
+
+
+def follow(jump: DataFrame, key: str) -> DataFrame:
+    """Nodes (``key``, ``at``) that the chains from the ``head`` nodes pass first in each bucket.
+
+    ``jump`` maps a node in bucket ``b`` to the first chain node ``nxt`` in a later bucket ``nb``;
+    neighbours are close enough that a chain enters any run of buckets in its first two. Level l
+    keeps the nodes in the first two buckets of a 2^l block and maps them past the block's end, so
+    the levels shrink geometrically; the way back down visits every block's entry.
+    """
+    jump = pin(jump)
     top = jump.agg(F.max("b")).first()[0] or 0
     levels = [jump]
-    # Level l maps a candidate in the first two buckets of a 2^l block (where any chain must enter
-    # it) to the first fire at or after the block's end.
     for level in range(1, int(top).bit_length() + 1):
         below, width = levels[-1], 1 << level
-        via = below.select(
-            key, F.col("us").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("nb").alias("nb2")
-        )
-        block_end = (floor_div(F.col("b"), width) + 1) * width
-        inside = F.col("nb") < block_end
+        via = below.select(key, F.col("at").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("nb").alias("nb2"))
+        inside = F.col("nb") < (floor_div(F.col("b"), width) + 1) * width
         levels.append(pin(
             below.where(F.pmod("b", F.lit(width)) < 2)
             .join(via, [key, "nxt"], "left")
             .select(
-                key, "us", "_root", "b",
+                key, "at", "b",
                 F.when(inside, F.col("nxt2")).otherwise(F.col("nxt")).alias("nxt"),
                 F.when(inside, F.col("nb2")).otherwise(F.col("nb")).alias("nb"),
             )
         ))
-    found = jump.where("us = _root").select(key, "us")
+    found = jump.where("head").select(key, "at")
     for level in reversed(levels):
-        reached = (
-            found.join(level, [key, "us"]).where("nxt is not null")
-            .select(key, F.col("nxt").alias("us"))
-        )
+        reached = found.join(level, [key, "at"]).where("nxt is not null").select(key, F.col("nxt").alias("at"))
         found = pin(found.unionByName(reached).distinct())
-    return cands.join(found, [key, "us"]).select(*cands.columns)
+    return found
