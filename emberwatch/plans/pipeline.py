@@ -24,17 +24,23 @@ class Immediate:
 
 
 def fired_records(events: DataFrame, cfg: DetectConfig, chain: ChainConfig,
-                  detectors: dict[str, Detector] | None = None) -> DataFrame:
-    """Detections and the incidents built on them, as records. Events are read, not kept."""
+                  detectors: dict[str, Detector] | None = None, stored: bool = False) -> DataFrame:
+    """Detections and the incidents built on them, as records.
+
+    Every detector scans the events with its own few columns and filters, so freshly parsed events
+    are written once as a table; pass ``stored=True`` for events that already are one.
+    """
+    if not stored:
+        events = pin(events)
     # The few detections feed both the records and the correlation; pinning them runs the detectors once.
     found = pin(detect_all(events, cfg, detectors))
     return rec.detection_records(found).unionByName(rec.incident_records(incidents(events, found, chain)))
 
 
 def immediate(events: DataFrame, cfg: DetectConfig, chain: ChainConfig, detections: DataFrame | None = None,
-              findings: DataFrame | None = None, module: str = MODULE) -> Immediate:
+              findings: DataFrame | None = None, module: str = MODULE, stored: bool = False) -> Immediate:
     """Events to the keyed detections table, the findings table and one opened alert per fire."""
-    records = pin(fired_records(events, cfg, chain))
+    records = pin(fired_records(events, cfg, chain, stored=stored))
     alerts = rec.findings(records, module).select(
         F.lit("opened").alias("kind"), F.lit(module).alias("module"), F.col("last_at").alias("at"), "seq", "ord",
         "fingerprint", *ALERT_FIELDS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.model import ChainConfig, DetectConfig, RECORD_SCHEMA, SOURCE_SCHEMA, STATE_SCHEMA
 from emberwatch.operators import notify, records as rec, views as read
 from emberwatch.plans import pipeline
+from emberwatch.plans.lineage import pin
 from emberwatch.sources import lines, registry
 from emberwatch.sources.snapshots import Snapshots
 from emberwatch.streaming import jobs
@@ -26,7 +27,7 @@ def events(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("logs")
     (folder / "a.log").write_text("\n".join(attack_lines()) + "\n")
     found = lines.read_lines(spark, str(folder), "net", "syslog", received=F.lit(NOW))
-    return lines.parse_source(found, "syslog")
+    return pin(lines.parse_source(found, "syslog"))
 
 
 def test_raw_lines_to_incident_and_back_to_resolved(spark, events):
