@@ -10,6 +10,7 @@ from emberwatch.functions import fields, findings as fn, net, syslog, text
 from emberwatch.model import FINDING_SCHEMA, STATE_SCHEMA, ChainConfig, DetectConfig, columns
 from emberwatch.operators import correlate, detectors, notify, reconcile, records as rec, thinning, verify, views as read, windows as win
 from emberwatch.plans import views
+from emberwatch.plans.lineage import pin
 from emberwatch.sources import lines, registry
 
 DAY = 86_400
@@ -34,6 +35,11 @@ def us(name: str) -> Column:
     return F.unix_micros(name)
 
 
+def stored_events(spark, sf_dir, view=views.events) -> DataFrame:
+    """The events as a written table, for queries that scan them many times."""
+    return pin(view(spark, sf_dir))
+
+
 def keyed(spark, sf_dir, key: str) -> DataFrame:
     return win.micros(views.events(spark, sf_dir)).withColumn("k", F.col(key))
 
@@ -150,30 +156,30 @@ def detection_row(df: DataFrame) -> DataFrame:
                      us("last_at").alias("last_us"), F.array_join("evidence", "|").alias("evidence"), "key", "source_id", "ord")
 
 
-def _detector(name: str, kind: str, source=views.events) -> None:
+def _detector(name: str, kind: str, source) -> None:
     def run(spark, sf_dir):
         return detection_row(detectors.DETECTORS[kind](source(spark, sf_dir), CFG))
     QUERIES[name] = run
 
 
-_detector("brute_force", "brute_force")
-_detector("port_scan", "scan")
-_detector("exfil", "exfil")
-_detector("new_admin", "new_admin")
-_detector("auth_spike", "auth_spike")
+_detector("brute_force", "brute_force", stored_events)
+_detector("port_scan", "scan", stored_events)
+_detector("exfil", "exfil", stored_events)
+_detector("new_admin", "new_admin", views.events)
+_detector("auth_spike", "auth_spike", stored_events)
 _detector("forwarded_finding", "sentinel_finding", views.forwarded)
 
 
 @query
 def detect_all(spark, sf_dir):
-    found = detectors.detect_all(views.events(spark, sf_dir), CFG)
+    found = detectors.detect_all(stored_events(spark, sf_dir), CFG)
     return found.groupBy("kind", "severity", "ord").agg(
         F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"), F.sum(F.size("evidence")).alias("lines"),
         F.min(us("first_at")).alias("first_us"), F.max(us("last_at")).alias("last_us"))
 
 
 def chain_stages(ev: DataFrame) -> DataFrame:
-    return detectors.brute_force(ev, CFG).unionByName(detectors.port_scan(ev, CFG))
+    return pin(detectors.brute_force(ev, CFG).unionByName(detectors.port_scan(ev, CFG)))
 
 
 def incident_row(df: DataFrame) -> DataFrame:
@@ -183,20 +189,20 @@ def incident_row(df: DataFrame) -> DataFrame:
 
 @query
 def killchain_success(spark, sf_dir):
-    ev = views.events(spark, sf_dir)
+    ev = stored_events(spark, sf_dir)
     return incident_row(correlate.incidents(ev, chain_stages(ev), CHAIN))
 
 
 @query
 def killchain_deception(spark, sf_dir):
-    ev, bait = views.events(spark, sf_dir), views.forwarded(spark, sf_dir)
+    ev, bait = stored_events(spark, sf_dir), stored_events(spark, sf_dir, views.forwarded)
     dets = chain_stages(ev).unionByName(detectors.forwarded_finding(bait, CFG))
     return incident_row(correlate.incidents(bait, dets, CHAIN))
 
 
 @query
 def incident_members(spark, sf_dir):
-    ev = views.events(spark, sf_dir)
+    ev = stored_events(spark, sf_dir)
     out = rec.incident_records(correlate.incidents(ev, chain_stages(ev), CHAIN))
     return out.select("source_id", "key", "check", "count", "fix", F.posexplode("evidence").alias("pos", "line"))
 

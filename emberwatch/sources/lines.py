@@ -15,11 +15,16 @@ def with_origin(lines: DataFrame, source_id: str, kind: str, host: str = "", app
 
     ``received`` stands in for lines without a readable time; by default it is the file's
     modification time, which unlike the wall clock is the same on every run. ``seq`` is the arrival
-    order: the line's place in its file block, made unique by the file.
+    order: the line's place in the read. A stream cannot number its lines, so there equal times are
+    ordered by a hash of file and text, which at least is the same on every replay.
     """
     at = received if received is not None else F.col("_metadata.file_modification_time")
+    if lines.isStreaming:
+        seq = F.xxhash64("_metadata.file_path", "value")
+    else:
+        seq = F.monotonically_increasing_id()
     return lines.select(
-        "value", at.cast("timestamp").alias("recv_ts"), F.monotonically_increasing_id().alias("seq"),
+        "value", at.cast("timestamp").alias("recv_ts"), seq.alias("seq"),
         F.lit(kind).alias("source"), F.lit(source_id).alias("source_id"), F.lit(host).alias("host"), F.lit(app).alias("app"),
     )
 
