@@ -20,6 +20,7 @@ from emberwatch.functions.text import human_bytes, one_decimal, or_default, span
 from emberwatch.model import DETECTION_SCHEMA, KIND_ORDER, DetectConfig, columns
 from emberwatch.operators import windows as win
 from emberwatch.operators.thinning import floor_div, thin
+from emberwatch.plans.lineage import pin
 
 DETECTION_COLUMNS = columns(DETECTION_SCHEMA)
 SECOND = 1_000_000
@@ -46,12 +47,14 @@ def nth_row(points: DataFrame, wanted: DataFrame, rank: str, limit: int) -> Data
 
 
 def close_segments(rows: DataFrame, fires: DataFrame, cooldown_us: int, evidence_max: int) -> DataFrame:
-    """What each fire (k, us, seq) ends: the rows of its key after the previous fire, up to itself.
+    """What each fire (k, us, seq, ...) ends: the rows of its key after the previous fire, up to itself.
 
+    The fires are few but took scans to find and are needed three times, so they are pinned.
     Adds first_us, evidence (first non-empty raw lines) and the fire row's own host, user and
     source. Rows learn their fire through a map with one row per (key, cooldown-wide bucket): such
     a bucket holds at most one fire, and the fire of a later bucket is found on the map alone.
     """
+    fires = pin(fires)
     at = F.struct(F.col("us").alias("us"), F.col("seq").alias("seq"))
     bucket = floor_div(F.col("us"), cooldown_us)
     rows = rows.select("k", "us", "seq", "raw", "host", "user", "source_id", bucket.alias("_b"))
@@ -83,6 +86,7 @@ def close_segments(rows: DataFrame, fires: DataFrame, cooldown_us: int, evidence
             "k", fire["us"].alias("us"), fire["seq"].alias("seq"), "first_us",
             F.transform("_ev", lambda e: e["raw"]).alias("evidence"), "_at.*",
         )
+        .join(fires, ["k", "us", "seq"])
     )
 
 
@@ -118,7 +122,7 @@ def brute_force(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     )
     fires = thin(over, "k", cooldown)
     fires = fires.join(nth_row(rows, fires, "j", need), ["k", "us"])
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max).join(fires, ["k", "us", "seq"])
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
     k, n = F.col("k"), F.col("count")
     return finish(
         out, "brute_force", severity=F.lit("high"), actor=k, key=_text("brute|", k),
@@ -146,7 +150,7 @@ def port_scan(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     fires = thin(over, "k", cooldown)
     nth = nth_row(starts, fires.where("m > 0"), "m", need).withColumnRenamed("seq", "_seqm")
     fires = fires.join(nth, ["k", "us"], "left").withColumn("seq", F.coalesce("_seq0", "_seqm")).drop("_seq0", "_seqm", "m")
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max).join(fires, ["k", "us", "seq"])
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
     k, n = F.col("k"), F.col("count")
     return finish(
         out, "scan", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("scan|", k),
@@ -174,7 +178,7 @@ def exfil(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         .agg(F.min(F.struct("seq", "total", "base_before")).alias("_x")).select("k", "us", "_x.*")
     )
     fires = thin(over, "k", cooldown)
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max).join(fires, ["k", "us", "seq"])
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
     k, size = F.col("k"), human_bytes(total)
     return finish(
         out, "exfil", severity=F.lit("high"), actor=k, user=F.lit(""), key=_text("exfil|", k),
@@ -233,7 +237,7 @@ def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         "k", "us", "seq", (prior + F.col("_rows")).alias("count"),
         (prior_d + F.coalesce("_srcs", F.lit(0))).alias("_sources"),
     )
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max).join(fires, ["k", "us", "seq"])
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
     k, n, src = F.col("k"), F.col("count"), F.col("_sources")
     return finish(
         out, "auth_spike", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("spike|", k),
