@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # Fixed vocabularies (values must stay as they are: they appear in results).
-MODULE = "loglight"
+MODULE = "emberwatch"
 SOURCE_TYPES = ("syslog", "file", "journald", "docker", "windows")
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 STATUSES = ("open", "resolved", "acknowledged", "suppressed")

@@ -11,10 +11,6 @@ from emberwatch.functions.text import strip_space
 # Fixed texts and numbers of the renderings.
 BADGES = {"critical": "🟥 CRITICAL", "high": "🟧 HIGH", "medium": "🟨 MEDIUM", "low": "🟦 LOW"}
 OTHER_BADGE = "⬜ INFO"
-PRODUCTS = {
-    "certwatch": "CertWatch", "asm": "Attack Surface Monitor", "decoy": "Decoy",
-    "patchlight": "Patchlight", "rulehawk": "RuleHawk", "loglight": "Loglight",
-}
 LINE_SEVERITY = {"critical": 2, "high": 3, "medium": 4, "low": 5}
 OTHER_SEVERITY, RESOLVED_SEVERITY, FACILITY = 6, 5, 16
 ADDRESS_KEYS = ("source_ip", "src_ip", "src", "actor", "client_ip", "ip")
@@ -67,15 +63,15 @@ def digests(alerts: DataFrame) -> DataFrame:
     )
 
 
-def digest_text(opened: Column, resolved: Column, module: Column) -> Column:
-    """The plain message chat channels share."""
+def digest_text(opened: Column, resolved: Column, module: Column, products: dict[str, str] | None = None) -> Column:
+    """The plain message chat channels share; ``products`` gives display names of modules."""
     block = lambda f: F.concat(
         F.lit("\n"), _choose(f["severity"], BADGES, OTHER_BADGE), F.lit(" "), f["target"],
         F.lit("\n  "), f["title"], F.lit("\n  → "), f["remediation"], F.lit("\n"))
     line = lambda f: F.concat(F.lit("  • "), f["target"], F.lit(" — "), f["title"], F.lit("\n"))
     count = lambda c: F.size(c).cast("string")
     new = F.when(F.size(opened) > 0, F.concat(
-        _choose(module, PRODUCTS, module), F.lit(" — "), count(opened), F.lit(" new finding(s)\n"),
+        _choose(module, products or {}, module), F.lit(" — "), count(opened), F.lit(" new finding(s)\n"),
         F.array_join(F.transform(opened, block), "")))
     done = F.when(F.size(resolved) > 0, F.concat(
         F.when(F.size(opened) > 0, "\n").otherwise(""), F.lit("✅ "), count(resolved), F.lit(" finding(s) resolved\n"),
@@ -96,8 +92,8 @@ def webhook_json(digest: DataFrame) -> DataFrame:
     return digest.select("module", "batch", payload.alias("value"))
 
 
-def chat_json(digest: DataFrame) -> DataFrame:
-    text = digest_text(F.col("opened"), F.col("resolved"), F.col("module"))
+def chat_json(digest: DataFrame, products: dict[str, str] | None = None) -> DataFrame:
+    text = digest_text(F.col("opened"), F.col("resolved"), F.col("module"), products)
     return digest.select("module", "batch", F.to_json(F.struct(text.alias("text"))).alias("value"))
 
 

@@ -18,7 +18,7 @@ def open_counts(state: DataFrame, module: str = MODULE) -> DataFrame:
     return open_findings(state, module).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def summary(state: DataFrame, sources: DataFrame, product: str = "Loglight", module: str = MODULE) -> DataFrame:
+def summary(state: DataFrame, sources: DataFrame, product: str = "Emberwatch", module: str = MODULE) -> DataFrame:
     """One row: product, open counts as a map, their total and the number of targets."""
     counts = open_counts(state, module)
     packed = counts.agg(

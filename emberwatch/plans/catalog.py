@@ -21,6 +21,7 @@ CFG = DetectConfig(
 )
 CHAIN = ChainConfig(3 * DAY, 6 * DAY)
 US = 1_000_000
+NAMES = {"trap": "Trap"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,7 +270,7 @@ def source_list(spark, sf_dir):
 @query
 def fingerprint(spark, sf_dir):
     r = views.records(spark, sf_dir)
-    return r.select("seq", fn.fingerprint(F.lit("loglight"), F.col("source_id"), F.col("check"), F.col("key")).alias("fp"),
+    return r.select("seq", fn.fingerprint(F.lit("emberwatch"), F.col("source_id"), F.col("check"), F.col("key")).alias("fp"),
                     fn.sortable_id(F.col("last_at"), F.col("key")).alias("id"))
 
 
@@ -412,7 +413,7 @@ def alerts(spark, sf_dir) -> DataFrame:
     r = rec.findings(views.records(spark, sf_dir))
     return r.select(
         F.when(F.col("seq") % 5 == 0, "resolved").otherwise("opened").alias("kind"),
-        F.when(F.col("seq") % 3 == 0, "decoy").otherwise("loglight").alias("module"),
+        F.when(F.col("seq") % 3 == 0, "trap").otherwise("emberwatch").alias("module"),
         F.floor(us("last_at") / (3600 * US)).alias("batch"), F.col("last_at").alias("at"), "seq",
         "fingerprint", *notify.ALERT_FIELDS)
 
@@ -433,7 +434,7 @@ def digest(spark, sf_dir):
 @query
 def digest_text(spark, sf_dir):
     d = notify.digests(alerts(spark, sf_dir))
-    return d.select("module", "batch", notify.digest_text(F.col("opened"), F.col("resolved"), F.col("module")).alias("text"))
+    return d.select("module", "batch", notify.digest_text(F.col("opened"), F.col("resolved"), F.col("module"), NAMES).alias("text"))
 
 
 @query
@@ -447,18 +448,18 @@ def webhook_json(spark, sf_dir):
 
 @query
 def chat_json(spark, sf_dir):
-    return notify.chat_json(notify.digests(alerts(spark, sf_dir))).select("module", "batch", F.get_json_object("value", "$.text").alias("text"))
+    return notify.chat_json(notify.digests(alerts(spark, sf_dir)), NAMES).select("module", "batch", F.get_json_object("value", "$.text").alias("text"))
 
 
 @query
 def alert_lines(spark, sf_dir):
-    return notify.alert_lines(alerts(spark, sf_dir), host="sentinel", pid=7).select("seq", "value")
+    return notify.alert_lines(alerts(spark, sf_dir), host="collector", pid=7).select("seq", "value")
 
 
 @query
 def alert_lines_reparsed(spark, sf_dir):
     """Alert lines read back as syslog: the round trip between two installations."""
-    sent = notify.alert_lines(alerts(spark, sf_dir), host="sentinel", pid=7)
+    sent = notify.alert_lines(alerts(spark, sf_dir), host="collector", pid=7)
     back = syslog.parse_syslog(sent.select("value", F.col("at").alias("recv_ts"), "seq", F.lit("net").alias("source_id")))
     m = F.col("message")
     return back.select("seq", us("ts").alias("us"), "host", "app", "severity", "src_ip", fields.token(m, "product").alias("product"),

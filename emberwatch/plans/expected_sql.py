@@ -106,7 +106,7 @@ EXPECTED["human_bytes"] = f"""with {EV}, s as (select seq, bytes * cast(pow(7, s
   select seq, case when b < 1024 then b || ' B' when b < 1048576 then printf('%.1f KB', b / 1024.0) when b < 1073741824 then printf('%.1f MB', b / 1048576.0)
     when b < 1099511627776 then printf('%.1f GB', b / 1073741824.0) when b < 1125899906842624 then printf('%.1f TB', b / 1099511627776.0)
     else printf('%.1f PB', b / 1125899906842624.0) end as size from s"""
-_BAIT = EV + """, bait as (select *, case when k % 3 = 0 then 'decoy' else 'rulehawk' end as product,
+_BAIT = EV + """, bait as (select *, case when k % 3 = 0 then 'trap' else 'rules' end as product,
     case k % 4 when 0 then 'critical' when 1 then 'high' else 'low' end as sev, case when k % 10 = 9 then 'resolved' else 'open' end as status from ev)"""
 EXPECTED["forwarded_tokens"] = f"""with {_BAIT} select product, sev as severity, 'c.' || (k % 7) as "check", status, count(*) as n from bait group by all"""
 
@@ -274,7 +274,7 @@ def _upsert(src: str) -> str:
 def _finding(src: str) -> str:
     """Findings of records, evidence JSON written out by hand."""
     stamp = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%SZ')"
-    return f"""select substr(sha256('loglight|' || source_id || '|' || chk || '|' || "key"), 1, 32) as fingerprint, source_id as target, chk as "check", title,
+    return f"""select substr(sha256('emberwatch|' || source_id || '|' || chk || '|' || "key"), 1, 32) as fingerprint, source_id as target, chk as "check", title,
       case when severity = 'odd' then 'medium' else severity end as severity, fix as remediation,
       '{{"actor":"' || actor || '","count":' || count || ',"detail":"' || detail || '"' || case when evidence = '' then '' else ',"evidence":["' || evidence || '"]' end
         || ',"first_seen":"' || {stamp.format('first_us')} || '","last_seen":"' || {stamp.format('last_us')} || '"'
@@ -295,7 +295,7 @@ TABLE = f"{REC}, tbl as ({_upsert('rec')})"
 _REC_OUT = """select source_id, "key", chk as "check", severity, actor, target, title, detail, evidence, fix, count, first_us, last_us"""
 EXPECTED["upsert_detections"] = f"with {TABLE} {_REC_OUT} from tbl"
 EXPECTED["prune_detections"] = f"with {TABLE} {_REC_OUT} from tbl where last_us >= {NOW_US - 4 * DAY}"
-EXPECTED["fingerprint"] = f"""with {REC} select seq, substr(sha256('loglight|' || source_id || '|' || chk || '|' || "key"), 1, 32) as fp, {_sortable('last_us', '"key"')} as id from rec"""
+EXPECTED["fingerprint"] = f"""with {REC} select seq, substr(sha256('emberwatch|' || source_id || '|' || chk || '|' || "key"), 1, 32) as fp, {_sortable('last_us', '"key"')} as id from rec"""
 EXPECTED["severity_rank"] = f"""with {REC} select severity, count(*) as n, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else -1 end as rank,
   case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as alert_rank, severity <> 'odd' as valid,
   case severity when 'critical' then 130 when 'high' then 131 when 'medium' then 132 when 'low' then 133 else 134 end as priority from rec group by severity"""
@@ -312,14 +312,14 @@ STATE = f"""{REC}, old as (select * from rec where last_us < {SPLIT_US}), new as
   s0 as (select fingerprint, arg_min(target, pos) as target, arg_min("check", pos) as "check", arg_max(title, pos) as title, arg_max(severity, pos) as severity,
       arg_max(remediation, pos) as remediation, arg_max(evidence, pos) as evidence, arg_min({_sortable('last_us', 'fingerprint')}, pos) as id,
       arg_min(first_us, pos) as first_seen, max(last_us) as last_seen from of_ group by 1),
-  st as (select 'loglight' as module, *, case when last_seen % 10 < 2 then 'resolved' when last_seen % 10 = 2 then 'suppressed' when last_seen % 10 = 3 then 'acknowledged' else 'open' end as status,
+  st as (select 'emberwatch' as module, *, case when last_seen % 10 < 2 then 'resolved' when last_seen % 10 = 2 then 'suppressed' when last_seen % 10 = 3 then 'acknowledged' else 'open' end as status,
       null::varchar as group_id, case when last_seen % 10 < 2 then last_seen end as resolved_at, case when last_seen % 10 = 4 then 1 else 0 end as absent_streak from s0)"""
 _ST = """module, target, "check", fingerprint, title, severity, remediation, evidence, id, status, group_id, first_seen, last_seen, resolved_at, absent_streak"""
 EXPECTED["finding_write"] = f"""with {STATE}, nf as (select * from ({_finding('new')}) where title <> ''),
   n as (select fingerprint, arg_min(target, pos) as target, arg_min("check", pos) as "check", arg_max(title, pos) as title, arg_max(severity, pos) as severity,
       arg_max(remediation, pos) as remediation, arg_max(evidence, pos) as evidence, arg_min({_sortable('last_us', 'fingerprint')}, pos) as id,
       arg_min(first_us, pos) as first_seen, max(last_us) as last_seen from nf group by 1)
-  select 'loglight' as module, coalesce(st.target, n.target) as target, coalesce(st."check", n."check") as "check", fingerprint, coalesce(n.title, st.title) as title,
+  select 'emberwatch' as module, coalesce(st.target, n.target) as target, coalesce(st."check", n."check") as "check", fingerprint, coalesce(n.title, st.title) as title,
     coalesce(n.severity, st.severity) as severity, coalesce(n.remediation, st.remediation) as remediation, coalesce(n.evidence, st.evidence) as evidence,
     coalesce(st.id, n.id) as id, case when n.title is not null then 'open' else st.status end as status, null::varchar as group_id,
     coalesce(st.first_seen, n.first_seen) as first_seen, coalesce(n.last_seen, st.last_seen) as last_seen,
@@ -331,7 +331,7 @@ _RECON = f"""with {STATE}, nt as ({_upsert('new')}), fresh as (select * from ({_
       coalesce(st.fingerprint, g.fingerprint) as fp, coalesce(st.target, g.target) as tgt from st full join good g on g.fingerprint = st.fingerprint),
   done as (select *, case when tgt = 'src2' then 'untouched' when not had or had is null then 'new' when gfp is not null and status = 'resolved' then 'reopened' when gfp is not null then 'refreshed'
       when status in ('resolved', 'suppressed') then 'untouched' when absent_streak + 1 >= 2 then 'resolved' else 'absent' end as what from pairs),
-  after_ as (select what, 'loglight' as module, tgt as target, coalesce("check", gc) as "check", fp as fingerprint, coalesce(gtitle, title) as title, coalesce(gsev, severity) as severity,
+  after_ as (select what, 'emberwatch' as module, tgt as target, coalesce("check", gc) as "check", fp as fingerprint, coalesce(gtitle, title) as title, coalesce(gsev, severity) as severity,
       coalesce(grem, remediation) as remediation, coalesce(gev, evidence) as evidence, coalesce(id, {_sortable(str(NOW_US), 'fp')}) as id,
       case when what in ('new', 'reopened') then 'open' when what = 'resolved' then 'resolved' else status end as status, null::varchar as group_id,
       coalesce(first_seen, {NOW_US}) as first_seen, case when what in ('new', 'reopened', 'refreshed') then {NOW_US} else last_seen end as last_seen,
@@ -347,7 +347,7 @@ EXPECTED["evidence_cap"] = """with d as (select doc_id, '{"t":"' || repeat(sourc
 EXPECTED["active_findings"] = f"""with {TABLE}, {_SRC}, live as (select * from tbl where last_us >= {NOW_US - 2 * DAY} and source_id in (select name from src)),
   low as (select source_id, avg((k >= 35)::int) as rate from ev where k + 20 < 80 group by 1)
   select fingerprint, target, "check", title, severity, remediation from ({_finding('live')})
-  union all select substr(sha256('loglight|' || source_id || '|ingest.parse_rate|'), 1, 32), source_id, 'ingest.parse_rate', 'Low parse rate on source ' || source_id, 'low',
+  union all select substr(sha256('emberwatch|' || source_id || '|ingest.parse_rate|'), 1, 32), source_id, 'ingest.parse_rate', 'Low parse rate on source ' || source_id, 'low',
     'Many lines from this source aren''t being parsed — check the source type and format. Unparsed lines are stored but not analysed.'
   from low where rate < 0.5 and source_id in (select name from src)"""
 _CHANGES = f"""chg as (select fingerprint, seq, case seq % 4 when 0 then 'acknowledged' when 1 then 'suppressed' when 2 then 'open' else 'resolved' end as status from ({_finding('new')}))"""
@@ -388,7 +388,7 @@ EXPECTED["put_sources"] = f"""with {EV}, {_SRC}, {_REQ}, named as (select * repl
 
 # --- alerts --------------------------------------------------------------------------------------
 
-ALERTS = f"""{REC}, al as (select *, case when seq % 5 = 0 then 'resolved' else 'opened' end as kind, case when seq % 3 = 0 then 'decoy' else 'loglight' end as module,
+ALERTS = f"""{REC}, al as (select *, case when seq % 5 = 0 then 'resolved' else 'opened' end as kind, case when seq % 3 = 0 then 'trap' else 'emberwatch' end as module,
     last_us // 3600000000 as batch, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end as rank from ({_finding('rec')})),
   dd as (select * from al qualify row_number() over (partition by batch, kind, module, fingerprint order by seq) = 1)"""
 
@@ -405,7 +405,7 @@ _BADGE = "case severity when 'critical' then '🟥 CRITICAL' when 'high' then '
 _OPEN_TEXT = f"chr(10) || {_BADGE} || ' ' || target || chr(10) || '  ' || title || chr(10) || '  → ' || remediation || chr(10)"
 _DONE_TEXT = "'  • ' || target || ' — ' || title || chr(10)"
 EXPECTED["digest_text"] = f"""with {ALERTS}, d as ({_digest(_OPEN_TEXT, _DONE_TEXT)})
-  select module, batch, rtrim(case when o is null then '' else case module when 'decoy' then 'Decoy' else 'Loglight' end || ' — ' || len(o) || ' new finding(s)' || chr(10) || array_to_string(o, '') end
+  select module, batch, rtrim(case when o is null then '' else case module when 'trap' then 'Trap' else module end || ' — ' || len(o) || ' new finding(s)' || chr(10) || array_to_string(o, '') end
     || case when r is null then '' else case when o is null then '' else chr(10) end || '✅ ' || len(r) || ' finding(s) resolved' || chr(10) || array_to_string(r, '') end, chr(10)) as text from d"""
 EXPECTED["chat_json"] = EXPECTED["digest_text"]
 _WIRE = "target || '/' || \"check\" || '/' || title"
@@ -413,11 +413,11 @@ EXPECTED["webhook_json"] = f"""with {ALERTS}, d as ({_digest(_WIRE, _WIRE)}) sel
   array_to_string(o, '|') as opened, array_to_string(r, '|') as resolved from d"""
 _LINE = f"""{ALERTS}, ln as (select *, case when kind = 'resolved' then 133 when severity = 'critical' then 130 when severity = 'high' then 131 when severity = 'medium' then 132 else 133 end as pri,
     make_timestamp(last_us) as t, json_extract_string(evidence, '$.actor') as src from al)"""
-EXPECTED["alert_lines"] = f"""with {_LINE} select seq, '<' || pri || '>' || strftime(t, '%b ') || lpad(cast(day(t) as varchar), 2, ' ') || strftime(t, ' %H:%M:%S') || ' sentinel ' || module || '[7]: '
+EXPECTED["alert_lines"] = f"""with {_LINE} select seq, '<' || pri || '>' || strftime(t, '%b ') || lpad(cast(day(t) as varchar), 2, ' ') || strftime(t, ' %H:%M:%S') || ' collector ' || module || '[7]: '
   || case when kind = 'resolved' then 'RESOLVED: ' else '' end || title || ' | product=' || module || ' severity=' || severity || ' check=' || "check" || ' target=' || target
   || ' status=' || case when kind = 'resolved' then 'resolved' else 'open' end || ' src=' || src as value from ln"""
 EXPECTED["alert_lines_reparsed"] = f"""with {_LINE}
-  select seq, epoch_us(date_trunc('second', t)) as us, 'sentinel' as host, module as app, pri % 8 as severity, src as src_ip, module as product, severity as level,
+  select seq, epoch_us(date_trunc('second', t)) as us, 'collector' as host, module as app, pri % 8 as severity, src as src_ip, module as product, severity as level,
     case when kind = 'resolved' then 'resolved' else 'open' end as status from ln"""
 EXPECTED["sanitize_documents"] = """with d as (select doc_id, translate(text, chr(10) || chr(13), '  ') as t from documents where strlen(text) = length(text)),
   s as (select doc_id, case when strlen(t) > 1600 then left(t, 1600) || '…' else t end as t from d) select doc_id, strlen(t) as bytes, md5(t) as digest from s"""
@@ -426,7 +426,7 @@ EXPECTED["sanitize_documents"] = """with d as (select doc_id, translate(text, ch
 
 EXPECTED["open_counts"] = f"with {STATE} select severity, count(*) as n from st where status = 'open' group by 1"
 EXPECTED["summary"] = f"""with {STATE}, {_SRC}, c as (select severity, count(*) as n from st where status = 'open' group by 1)
-  select 'Loglight' as product, (select string_agg(severity || '=' || n, ',' order by severity) from c) as counts, (select cast(coalesce(sum(n), 0) as bigint) from c) as open_total, (select count(*) from src) as targets"""
+  select 'Emberwatch' as product, (select string_agg(severity || '=' || n, ',' order by severity) from c) as counts, (select cast(coalesce(sum(n), 0) as bigint) from c) as open_total, (select count(*) from src) as targets"""
 EXPECTED["findings_view"] = f"""with {STATE} select fingerprint, target, "check", title, severity, status, remediation, evidence, first_seen, last_seen from st
   where status <> 'suppressed' and not (status = 'resolved' and (resolved_at is null or {SPLIT_US + 3_600_000_000} - resolved_at > {DAY}))"""
 EXPECTED["incidents_view"] = f"""with {TABLE}, {_SRC} select "key", source_id as source, chk as "check", severity, actor, target, title, detail, evidence, count,

@@ -60,7 +60,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose message is a finding another tool forwarded."""
     k = F.col("dst_port") - 20
-    product = F.when(k % 3 == 0, "decoy").otherwise("rulehawk")
+    product = F.when(k % 3 == 0, "trap").otherwise("rules")
     level = F.when(k % 4 == 0, "critical").when(k % 4 == 1, "high").otherwise("low")
     status = F.when(k % 10 == 9, "resolved").otherwise("open")
     message = F.concat(

@@ -13,8 +13,8 @@ SCHEMA = ("kind string, module string, batch bigint, at timestamp, seq bigint, f
           "severity string, title string, remediation string, evidence string")
 
 
-def alert(seq, fp="f", kind="opened", severity="high", title="Bait", evidence='{"source_ip":"203.0.113.9"}', module="decoy", secs=0, batch=0):
-    return (kind, module, batch, T0 + dt.timedelta(seconds=secs), seq, fp, "tgt", "decoy.trip", severity, title, "fix it", evidence)
+def alert(seq, fp="f", kind="opened", severity="high", title="Bait", evidence='{"source_ip":"203.0.113.9"}', module="trap", secs=0, batch=0):
+    return (kind, module, batch, T0 + dt.timedelta(seconds=secs), seq, fp, "tgt", "trap.trip", severity, title, "fix it", evidence)
 
 
 def frame(spark, *rows):
@@ -26,7 +26,7 @@ def test_lines_and_round_trip(spark):
         spark, alert(0, severity="critical"), alert(1, kind="resolved"), alert(2, evidence='{"actor":"host-a","ip":7}'),
         alert(3, title="a\nb\r\0c"), alert(4, title="x" * 3000), alert(5, evidence='{"src":" 10.0.0.1 ","source_ip":5}'), alert(6, evidence=None))
     lines = [r.value for r in notify.alert_lines(df, "sentinel", "", 9).orderBy("seq").collect()]
-    assert lines[0] == ("<130>Aug 19 13:52:01 sentinel decoy[9]: Bait | product=decoy severity=critical check=decoy.trip "
+    assert lines[0] == ("<130>Aug 19 13:52:01 sentinel trap[9]: Bait | product=trap severity=critical check=trap.trip "
                         "target=tgt status=open src=203.0.113.9")
     assert lines[1].startswith("<133>") and "RESOLVED: Bait" in lines[1] and "status=resolved" in lines[1]
     assert "src=" not in lines[2] and "src=" not in lines[6] and lines[5].endswith("src=10.0.0.1")
@@ -34,24 +34,24 @@ def test_lines_and_round_trip(spark):
     assert lines[4].endswith("…") and len(lines[4].encode()) < 1700
     back = parse_syslog(spark.createDataFrame([(v, T0, i, "n") for i, v in enumerate(lines)], "value string, recv_ts timestamp, seq bigint, source_id string"))
     first = back.where("seq = 0").first()
-    assert (first.src_ip, first.app, first.parsed, first.severity) == ("203.0.113.9", "decoy", True, 2)
+    assert (first.src_ip, first.app, first.parsed, first.severity) == ("203.0.113.9", "trap", True, 2)
 
 
 def test_digests(spark):
     rows = [alert(0, "a", severity="low"), alert(1, "b", severity="critical"), alert(2, "b", severity="critical"),
-            alert(3, "c", kind="resolved", severity="info"), alert(4, "d", module="loglight", severity="high")]
+            alert(3, "c", kind="resolved", severity="info"), alert(4, "d", module="emberwatch", severity="high")]
     kept = notify.passes(frame(spark, *rows), "medium")
-    d = notify.digests(kept).where("module = 'decoy'").first()
+    d = notify.digests(kept).where("module = 'trap'").first()
     assert ([f.severity for f in d.opened], len(d.resolved)) == (["critical"], 1)
-    d = notify.digests(frame(spark, *rows)).where("module = 'decoy'")
-    text = d.select(notify.digest_text(F.col("opened"), F.col("resolved"), F.col("module"))).first()[0]
-    assert text == ("Decoy — 2 new finding(s)\n\n🟥 CRITICAL tgt\n  Bait\n  → fix it\n\n🟦 LOW tgt\n  Bait\n  → fix it\n\n"
+    d = notify.digests(frame(spark, *rows)).where("module = 'trap'")
+    text = d.select(notify.digest_text(F.col("opened"), F.col("resolved"), F.col("module"), {"trap": "Trap"})).first()[0]
+    assert text == ("Trap — 2 new finding(s)\n\n🟥 CRITICAL tgt\n  Bait\n  → fix it\n\n🟦 LOW tgt\n  Bait\n  → fix it\n\n"
                     "✅ 1 finding(s) resolved\n  • tgt — Bait")
     doc = json.loads(notify.webhook_json(d).first().value)
     assert doc["version"] == 1 and doc["at"] == "2026-08-19T13:52:01Z" and doc["opened"][0]["evidence"] == {"source_ip": "203.0.113.9"}
     only = json.loads(notify.webhook_json(notify.digests(frame(spark, alert(0)))).first().value)
     assert "resolved" not in only
-    assert json.loads(notify.chat_json(d).first().value) == {"text": text}
+    assert json.loads(notify.chat_json(d, {"trap": "Trap"}).first().value) == {"text": text}
 
 
 def simulate(rows, seconds, limit):

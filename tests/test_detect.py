@@ -62,7 +62,7 @@ def test_chain_matches_simulation(spark, seed):
     rows = [e for e in random_events(seed, n=500, span_s=3000)]
     for i, e in enumerate(rows):
         if i % 9 == 0 and e["src_ip"]:
-            e.update(message=f"bait | product=decoy severity=high check=decoy.trip status=open src={e['src_ip']}")
+            e.update(message=f"bait | product=trap severity=high check=trap.trip status=open src={e['src_ip']}")
     cfg = DetectConfig(brute_failures=3, brute_window_s=60, scan_ports=4, scan_window_s=60, cooldown_s=90)
     ev = events_df(spark, rows)
     dets = detectors.detect_all(ev, cfg, {k: detectors.DETECTORS[k] for k in ("brute_force", "scan", "sentinel_finding")})

@@ -41,7 +41,7 @@ def test_stream_equals_batch(spark, tmp_path, kind):
     rows = random_events(21, n=300, span_s=600)
     for r in rows:
         if r["seq"] % 5 == 0:
-            r["message"] = "x | product=decoy severity=high check=a status=open"
+            r["message"] = "x | product=trap severity=high check=a status=open"
     stream = online.STREAM_DETECTORS[kind](landed(spark, tmp_path, rows), CFG, "700 seconds")
     got = replay(spark, tmp_path, stream, f"s_{kind}")
     fired = sorted((r.us, r.seq, r["count"], r.first_us, tuple(r.evidence), r.host) for r in got.collect() if r.seq < 10**6)
