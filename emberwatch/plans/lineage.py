@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,32 +20,43 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that comes in fewer splits than there are cores.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
 
-    That is the case for a few large compressed log files, which cannot be split; with many files,
-    the normal case, nothing is moved.
+    Only a local session without one (as in tests) gets its own; executors of a cluster could not see it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; only a session without one (tests) gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="emberwatch-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def pin(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)  # a path is only marked if it is there
+    system.deleteOnExit(place)
+    return path
+
+
+def pin(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later steps neither recompute it nor depend on executors that may be lost, and the planner
-    knows its size, unlike that of an RDD checkpoint.
+    knows its size, unlike that of an RDD checkpoint. ``release`` asks the driver for a garbage
+    collection, on which Spark deletes the shuffle files that the table makes superfluous.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, "pinned")
+    df.write.mode("overwrite").parquet(path)
+    schema = df.schema
+    del df
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
