@@ -10,12 +10,14 @@ the run: every row of a run but its first is a repeat.
 
 Not every position is sorted on its own. Of the K-byte grams in a window of LENGTH bytes the leftmost
 smallest one, by hash, is its anchor; equal windows have equal anchors at equal places. Neighbouring
-windows with one anchor are a stretch. Whole stretches are sorted first, by (anchor, content):
-a stretch like an earlier one repeats in full; one whose anchor occurs nowhere else has no repeat; only
-windows of stretches that share an anchor but differ are sorted one by one.
+windows with one anchor are a stretch. Whole stretches are sorted first, by what their windows have in
+common (the anchor) and then by content: a stretch like an earlier one repeats in full; one whose anchor
+occurs nowhere else has no repeat; those that share an anchor but differ are cut into pieces of ``PIECE``
+windows, at places fixed by the anchor, and sorted again by the longer common part; what is still open
+then is sorted window by window.
 
 Each batch collapses equal stretches before the shuffle, so copies of one text reach a task as a few
-rows per batch. Contents are compared by 128 bits of hash.
+rows per batch. Common part and content are compared by 64 bits of hash each, windows by 128.
 
 Defined cases: a null text is empty; texts shorter than LENGTH have no repeat; ids must be unique, rows
 with a null id are left out; equal windows inside one text repeat its own earlier ones, overlapping or
@@ -34,19 +36,22 @@ from emberwatch.llm.arrow import chunks, ints, minima, mix, signed, span_hashes,
 from emberwatch.plans.lineage import pin
 
 #: Bytes of a match, and of the grams that anchor it.
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 32
+#: Windows of a piece in the second round.
+PIECE = 10
 _OTHER = 0xC2B2AE3D27D4EB4F
 #: What a row of stretches says: to be sorted, or a repeat for certain.
 SORT, SURE = 0, 1
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(row, start, windows, anchor hash, content hashes) of all stretches, in text order.
+    """(row, start, windows, anchor, anchor hash, content hashes) of all stretches, in text order.
 
-    ``start`` is the place of the first window in the buffer, ``windows`` how many follow each other.
+    ``start`` is the place of the first window in the buffer, ``windows`` how many follow each other,
+    ``anchor`` the place of their anchor.
     """
     n, w = len(data) - gram + 1, length - gram + 1
-    empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
+    empty = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 3
     if len(data) < length:
         return empty
     at = np.arange(n)
@@ -62,37 +67,78 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     windows = np.diff(np.append(first, len(start)))
     s = start[first]
     e = s + windows - 1 + length
-    return row[first], s, windows, grams[best[first]], span_hashes(data, s, e), span_hashes(data, s, e, _OTHER)
+    return row[first], s, windows, best[first], grams[best[first]], span_hashes(data, s, e), span_hashes(data, s, e, _OTHER)
 
 
-def _pack(at: np.ndarray, windows: np.ndarray, kind) -> np.ndarray:
-    return (at.astype(np.int64) << 9) | (windows.astype(np.int64) << 1) | kind
+def _pack(at: np.ndarray, anchor: np.ndarray, windows: np.ndarray, kind) -> np.ndarray:
+    """Start of the first window, its distance to the anchor, number of windows, kind."""
+    return (at.astype(np.int64) << 17) | (anchor.astype(np.int64) << 9) | (windows.astype(np.int64) << 1) | kind
+
+
+def _start(place):
+    return place >> 17
+
+
+def _count(place):
+    return (place >> 1) & 255
+
+
+def _rows(common: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A batch to be sorted; of equal contents all but the first are certain repeats."""
+    order = np.lexsort((place, doc, content, common))
+    common, content, doc, place = common[order], content[order], doc[order], place[order]
+    again = np.concatenate([[False], (common[1:] == common[:-1]) & (content[1:] == content[:-1])])
+    # a certain repeat travels under a key of its own
+    common = np.where(again, mix(doc.view(np.uint64) ^ place.view(np.uint64) << np.uint64(20)), common)
+    return pa.RecordBatch.from_arrays([signed(common), signed(content), pa.array(doc), pa.array(place | again)], ["anchor", "content", "doc_id", "place"])
+
+
+SORTED = "anchor bigint, content bigint, doc_id bigint, place bigint"
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, content, doc_id, place) of every stretch; only the first of equal ones in a batch is to be sorted."""
+    """(anchor, content, doc_id, place) of every stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
             data, offsets = utf8(batch.column("text"))
-            row, start, windows, anchor, one, two = stretches(data, offsets, length, gram)
-            if not len(row):
-                continue
-            doc, at = ints(batch, "doc_id")[row], start - offsets[row]
-            content = mix(one ^ mix(two))
-            order = np.lexsort((at, doc, content, anchor))
-            a, c = anchor[order], content[order]
-            again = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
-            # a certain repeat travels under a key of its own
-            a = np.where(again, mix(doc[order].view(np.uint64) ^ at[order].view(np.uint64) << np.uint64(40)), a)
-            yield pa.RecordBatch.from_arrays(
-                [signed(a), signed(c), pa.array(doc[order]), pa.array(_pack(at[order], windows[order], again))], ["anchor", "content", "doc_id", "place"])
+            row, start, windows, at, anchor, one, two = stretches(data, offsets, length, gram)
+            if len(row):
+                place = _pack(start - offsets[row], at - start, windows, SORT)
+                yield _rows(anchor, mix(one ^ mix(two)), ints(batch, "doc_id")[row], place)
+
+    return docs.mapInArrow(run, SORTED)
+
+
+def _pieces(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """The stretches in ``places`` of a text, cut where the distance to the anchor is a multiple of ``width``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            data, offsets = utf8(batch.column("text"))
+            lists = batch.column("places")
+            bounds, place = lists.offsets.to_numpy(), lists.values.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            place = place[bounds[0] : bounds[-1]]
+            far = (place >> 9) & 255  # of the first window; the following ones are nearer to the anchor
+            near = far - _count(place) + 1
+            n = far // width - near // width + 1
+            each = np.repeat(np.arange(len(place)), n)
+            k = (far // width)[each] - (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
+            top, low = np.minimum(far[each], k * width + width - 1), np.maximum(near[each], k * width)
+            anchor = (_start(place) + far + offsets[row])[each]
+            row = row[each]
+            first, last = anchor - top, anchor - low
+            common = span_hashes(data, anchor - k * width, anchor - k * width - width + 1 + length)
+            content = span_hashes(data, first, last + length, _OTHER)
+            doc = ints(batch, "doc_id")[row]
+            yield _rows(common, content, doc, _pack(first - offsets[row], top, top - low + 1, SORT))
 
-    return docs.mapInArrow(run, "anchor bigint, content bigint, doc_id bigint, place bigint")
+    return texts.mapInArrow(run, SORTED)
 
 
 def _sorted_stretches(rows: DataFrame) -> DataFrame:
-    """(doc_id, place): kind SURE for stretches that repeat in full, SORT for those whose windows must be sorted.
+    """(doc_id, place): kind SURE for stretches that repeat in full, SORT for those that must be cut further.
 
     Only the last row, and one undecided first stretch of an anchor, are carried from batch to batch.
     """
@@ -142,65 +188,35 @@ def _sorted_stretches(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "place").mapInArrow(run, "doc_id bigint, place bigint")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(h, g, doc_id, at) of every window of the stretches in ``places`` of a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 19):
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("places")
-            bounds, place = lists.offsets.to_numpy(), lists.values.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            place = place[bounds[0] : bounds[-1]]
-            n, first = (place >> 1) & 255, (place >> 9) + offsets[row]
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = np.repeat(row, n)
-            h, g = span_hashes(data, at, at + length), span_hashes(data, at, at + length, _OTHER)
-            doc = ints(batch, "doc_id")[row]
-            for i in range(0, len(at), 100_000):
-                p = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([signed(h[p]), signed(g[p]), pa.array(doc[p]), pa.array((at - offsets[row])[p])], ["h", "g", "doc_id", "at"])
-
-    return texts.mapInArrow(run, "h bigint, g bigint, doc_id bigint, at bigint")
-
-
-def _later(windows: DataFrame) -> DataFrame:
-    """(doc_id, place) of the windows with LPF >= LENGTH: in suffix order the row before has the same prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            h, g = ints(batch, "h"), ints(batch, "g")
-            if not len(h):
-                continue
-            same = np.concatenate([[last == (h[0], g[0])], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
-            last = (h[-1], g[-1])
-            if same.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ints(batch, "doc_id")[same]), pa.array(_pack(ints(batch, "at")[same], np.ones(same.sum(), np.int64), SURE))], ["doc_id", "place"])
-
-    return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "at").mapInArrow(run, "doc_id bigint, place bigint")
-
-
 def _spans(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (start, end) of the bytes that the windows in ``place`` cover."""
-    start = place >> 9
+    start = _start(place)
     order = np.argsort(start)
-    start, end = start[order], (start + ((place >> 1) & 255) - 1 + length)[order]
+    start, end = start[order], (start + _count(place) - 1 + length)[order]
     end = np.maximum.accumulate(end)
     new = np.concatenate([[True], start[1:] > end[:-1]]) if len(start) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     return start[first], end[np.append(first[1:], len(start)) - 1] if len(first) else end
 
 
+def _open(found: DataFrame) -> DataFrame:
+    """(_id, places) of the documents with undecided stretches; at most one place per byte of a text."""
+    return found.where("place & 1 = 0").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, places): per document with a repeat its windows, packed as (start, count)."""
+    """(doc_id, places): per document with a repeat its windows, packed."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    found = pin(_sorted_stretches(anchored(d, length, gram)))
-    open_ = found.where("place & 1 = 0").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))  # at most one per byte of a text
-    texts = d.join(open_, d["doc_id"] == F.col("_id")).select("doc_id", "text", "places")
-    later = _later(_windows(texts, length))
-    sure = found.where("place & 1 = 1")
-    return sure.unionByName(later).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    found = pin(_sorted_stretches(anchored(d, length, gram)), release=True)
+    rounds = [found]
+    for width in (PIECE, 1):
+        open_ = _open(rounds[-1])
+        # the texts are read again only for what is open; the second time only those of the first
+        d = pin(d.join(open_, d["doc_id"] == open_["_id"]).select("doc_id", "text", "places"), release=True)
+        rounds.append(pin(_sorted_stretches(_pieces(d, length, width)), release=True))
+        d = d.select("doc_id", "text")
+    every = rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).where("place & 1 = 1")
+    return every.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
