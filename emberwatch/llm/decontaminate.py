@@ -113,5 +113,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no leaked item, with all their columns."""
-    bad = pin(leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    bad = pin(leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("bad")).distinct())
+    return docs.join(bad, docs[doc_id] == bad["bad"], "left_anti")

@@ -24,11 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.llm.arrow import chunks, utf8
+from emberwatch.llm.names import fresh
 
 #: Bytes of context.
 ORDER = 3
-#: Rows of training are split into so many pieces of text before their counts are combined.
-FOUND = "doc_id bigint, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
 
 
@@ -96,7 +95,7 @@ class Model:
             table = np.bincount(np.searchsorted(contexts, deep[mine]) * a + symbol[mine], n[mine], len(contexts) * a).reshape(len(contexts), a)
             costs[:, :, k] = -np.log2(self._blend(table, below[contexts % len(below)]))
         # one table: rows of full contexts, then rows of contexts one byte shorter for all others
-        self.costs = np.concatenate([costs, shallow]).reshape(-1, len(langs))
+        self.costs = np.concatenate([costs, shallow]).reshape(-1, max(1, len(langs)))
         self.row = (np.arange(a**ORDER) % a ** (ORDER - 1) + len(contexts)).astype(np.int32)
         self.row[contexts] = np.arange(len(contexts))
 
@@ -133,31 +132,32 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     return Model(names, lang_ids, got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score`` for every row."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` with the predicted language and its score, under ``names``, for every row."""
+    given, = fresh(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch in chunks(batches, "_text", 1 << 19):
-            column = batch.column("_text").fill_null("")
+        for batch in chunks(batches, given, 1 << 19):
+            column = batch.column(given).fill_null("")
             letters = np.asarray(pc.match_substring_regex(column, r"\p{L}"))
-            names, scores = np.full(len(column), UNKNOWN, dtype=object), np.zeros(len(column))
+            langs, scores = np.full(len(column), UNKNOWN, dtype=object), np.zeros(len(column))
             if m.langs:
                 bits = m.bits(column)
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
-                names[letters] = np.asarray(m.langs, dtype=object)[best[letters]]
+                langs[letters] = np.asarray(m.langs, dtype=object)[best[letters]]
                 scores[letters] = share[letters]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in kept] + [pa.array(names.tolist(), pa.string()), pa.array(scores)],
-                [f.name for f in kept] + ["lang_pred", "score"])
+                [batch.column(f.name) for f in kept] + [pa.array(langs.tolist(), pa.string()), pa.array(scores)],
+                [f.name for f in kept] + list(names))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{names[0]}` string, `{names[1]}` double"
+    return docs.select(*keep, F.col(text).alias(given)).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Learn from the labelled rows that ``trains`` selects, then predict every row."""
-    return predict(docs, train(docs.where(trains), lang, text), text, keep)
+    return predict(docs, train(docs.where(trains), lang, text), text, keep, names)

@@ -1,6 +1,6 @@
 """Line dedup by site-relative frequency.
 
-Lines are compared without the white space around them. A line is boilerplate of a host if more than
+Lines are compared without the white space around them, tabs counting as spaces. A line is boilerplate of a host if more than
 ``ratio`` of the host's pages hold it and at least ``min_pages`` do; these lines are dropped from the
 host's pages, all other lines stay as they are and in order.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberwatch.llm.names import fresh
 from emberwatch.plans.lineage import pin
 
 #: Share of a host's pages, and least number of pages, that make a line boilerplate.
@@ -43,16 +44,20 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` without boilerplate lines, plus ``n_dropped`` (long): lines taken out of the page."""
+    """``pages`` without boilerplate lines, plus ``n_dropped`` (long): lines taken out of the page.
+
+    If the pages have a column of that name already, the new one gets an underscore in front.
+    """
+    key, gone, n = fresh(pages, "_dhost", "_drop", "n_dropped")
     # Written once: its size is then known, and the planner broadcasts it only if it is small.
-    drop = pin(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("_host").alias("_dhost"), "_drop")
-    joined = pages.join(drop, F.col(host).eqNullSafe(F.col("_dhost")), "left")
+    drop = pin(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("_host").alias(key), F.col("_drop").alias(gone))
+    joined = pages.join(drop, F.col(host).eqNullSafe(F.col(key)), "left")
     lines = _lines(F.col(text))
-    hit = lambda x: (_key(x) != "") & F.array_contains("_drop", F.xxhash64(_key(x)))
+    hit = lambda x: (_key(x) != "") & F.array_contains(gone, F.xxhash64(_key(x)))
     kept = F.filter(lines, lambda x: ~hit(x))
-    clean = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    count = F.when(F.col("_drop").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in pages.columns], count.alias("n_dropped"))
+    clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    count = F.when(F.col(gone).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
+    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in pages.columns], count.alias(n))
 
 
 def oracle(table: str = "documents", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

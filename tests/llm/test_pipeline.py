@@ -1,0 +1,47 @@
+"""Every stage of the pipeline against a plain version of what it keeps, on the smallest test tables."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from emberwatch.llm import decontaminate, langid, ngram_join, site_lines
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").cache()
+    columns, texts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = docs.toPandas(), stage(spark, docs, SF_DIR).cache()
+        after = out.toPandas()
+        if name == "packed":
+            assert set(after.doc_id) == set(before.doc_id) and (after.groupby("sequence_id").length.sum() <= 4096).all()
+            break
+        assert list(after.columns) == columns
+        if name == "language":
+            assert set(before.doc_id) - set(after.doc_id) == {r.doc_id for r in before.itertuples() if not any(c.isalpha() for c in r.text or "")}
+        elif name == "lines":
+            hosts = before.groupby("source").size().to_dict()
+            seen = {}
+            for r in before.itertuples():
+                for k in {x.strip() for x in r.text.split("\n")} - {""}:
+                    seen[r.source, k] = seen.get((r.source, k), 0) + 1
+            bad = {k for k, n in seen.items() if n >= site_lines.MIN_PAGES and n > site_lines.RATIO * hosts[k[0]]}
+            want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip()) not in bad) for r in before.itertuples()}
+            assert dict(zip(after.doc_id, after.text)) == want
+        elif name == "near_copies":
+            groups = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+            assert set(after.doc_id) == set(groups.values())
+        elif name == "benchmark_free":
+            items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+            leaking = {r.doc_id for r in before.itertuples() if any(i in " ".join(r.text.lower().split()) for i in items)}
+            assert set(before.doc_id) - set(after.doc_id) == leaking
+        docs = out
+
+
+def test_run_gives_the_last_stage(spark):
+    if os.path.isdir(SF_DIR):
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF_DIR).columns)
