@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberwatch.llm import decontaminate, langid, ngram_join, packing, site_lines
+from emberwatch.llm.names import fresh
 from emberwatch.llm.queries import held_out, tokenizer_path
 from emberwatch.plans.lineage import shared_folder
 
@@ -17,15 +18,15 @@ MIN_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language. Null and letterless texts go."""
-    marked = docs.withColumn("_held", held_out())
-    seen = langid.identify(marked, ~F.col("_held"), keep=tuple(docs.columns) + ("_held",))
-    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    seen = langid.identify(docs, ~held_out(), keep=tuple(docs.columns), names=(lang, score))
+    return seen.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    clean = site_lines.drop_boilerplate(docs)
-    return clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    clean, (dropped,) = site_lines.drop_boilerplate(docs), fresh(docs, "n_dropped")
+    return clean.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
