@@ -13,9 +13,10 @@ MODULE = "emberwatch"
 SOURCE_TYPES = ("syslog", "file", "journald", "docker", "windows")
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 STATUSES = ("open", "resolved", "acknowledged", "suppressed")
+# Order of the detectors on one event, in which a chain sees their detections.
 KIND_ORDER = {
-    "scan": 2,
     "brute_force": 1,
+    "scan": 2,
     "exfil": 3,
     "new_admin": 4,
     "auth_spike": 5,

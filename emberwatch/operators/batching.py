@@ -1,117 +1,51 @@
-"""Replay of alert batching (see ``notify.assign_batches``)."""
+"""Batches of alerts: one opens with its first alert and closes after a pause or when it is full.
 
-from __future__ import annotations
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
-
-from emberwatch.operators.thinning import floor_div, follow
-from emberwatch.plans.lineage import pin
-
-
-def _stretches(alerts: DataFrame, pause_us: int) -> DataFrame:
-    """Add ``_root``: the start of the stretch of alerts without a pause, found on time buckets."""
-    cut = alerts.withColumn("_b", floor_div(F.col("us"), pause_us))
-    buckets = cut.groupBy("_b").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))
-    # One row per bucket with alerts; the number depends on the time span only.
-    order = W.partitionBy(F.lit(0)).orderBy("_b")
-    gap = F.col("_lo") - F.lag("_hi").over(order)
-    root = F.when(gap.isNull() | (gap >= pause_us), F.col("_lo"))
-    roots = buckets.withColumn("_root", F.last(root, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return cut.join(roots.select("_b", "_root"), "_b").drop("_b")
-
-
-def _keys(pdf: pd.DataFrame) -> list:
-    return list(zip(pdf["kind"], pdf["module"], pdf["fingerprint"]))
-
-
-def _cut(pdf: pd.DataFrame, pause: int, limit: int, until: int | None = None) -> pd.DataFrame:
-    """Batches of consecutive alerts, the first one opening a batch; none that opens at or after ``until``."""
-    batch, start, first, seen, keep = [], None, None, set(), []
-    for us, seq, key in zip(pdf["us"], pdf["seq"], _keys(pdf)):
-        if start is None or us - start >= pause:
-            if until is not None and us >= until:
-                break
-            start, first, seen = us, seq, set()
-        keep.append(key not in seen)
-        batch.append(first)
-        seen.add(key)
-        if len(seen) >= limit:
-            start = None
-    done = pdf.iloc[: len(batch)]
-    return done.assign(batch=batch)[keep]
+Which alert opens a batch depends on the batch before, but not across a stretch without alerts as long
+as the pause. Stretches are found on time buckets and walked through in order, each in one task that
+holds the keys of one open batch.
+"""
 
+from __future__ import annotations
 
-def _next_start(pdf: pd.DataFrame, pause: int, limit: int) -> list[int]:
-    """For each alert, where the next batch would open if one opened here (len(pdf): not known)."""
-    us, keys = pdf["us"].tolist(), _keys(pdf)
-    count, out, end = {}, [], 0
-    for i in range(len(us)):
-        end = max(end, i)
-        while end < len(us) and us[end] < us[i] + pause and len(count) < limit:
-            count[keys[end]] = count.get(keys[end], 0) + 1
-            end += 1
-        out.append(end)
-        if end > i:
-            count[keys[i]] -= 1
-            if not count[keys[i]]:
-                del count[keys[i]]
-    return out
-
+from collections.abc import Iterator
 
-def replay(alerts: DataFrame, seconds: int, limit: int, fold_limit: int = 50_000) -> DataFrame:
-    """Stretches of at most ``fold_limit`` alerts are replayed in one piece, longer ones in time slices."""
-    pause = seconds * 1_000_000
-    rows = pin(_stretches(alerts.withColumn("us", F.unix_micros("at")), pause))
-    sizes = rows.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_limit).select("_root")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch bigint"
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _cut(pdf.sort_values(["us", "seq"]), pause, limit)
+from emberwatch.operators.thinning import floor_div, sessions
 
-    if sizes.isEmpty():
-        return rows.groupBy("_root").applyInPandas(whole, schema).drop("_root", "us")
-    short = rows.join(sizes, "_root", "left_anti").groupBy("_root").applyInPandas(whole, schema)
-    long = _replay_slices(rows.join(sizes, "_root", "left_semi"), pause, limit, schema)
-    return short.unionByName(long).drop("_root", "us")
 
+def replay(alerts: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """``alerts`` without repeats inside a batch, plus ``batch``: the seq of the alert that opened it.
 
-def _replay_slices(rows: DataFrame, pause: int, limit: int, schema: str) -> DataFrame:
-    """Long stretches, one pause-wide slice per task plus the two after it, which hold any next opening.
-
-    First every alert learns which later slice it would lead to if it opened a batch, then the chain
-    of openings is followed from the stretch's first alert, and last each slice cuts its own batches.
+    A batch takes alerts for ``seconds`` and is full with ``limit`` different (kind, module, fingerprint).
     """
-    own = floor_div(F.col("us") - F.col("_root"), pause)
-    copies = rows.withColumn("_own", own).withColumn("_b", F.explode(F.sequence(F.greatest(F.col("_own") - 2, F.lit(0)), F.col("_own"))))
-    node = "struct<us:bigint,seq:bigint>"
-
-    def jumps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        here, slices = pdf["_b"].iloc[0], pdf["_own"].tolist()
-        names = list(zip(pdf["us"].tolist(), pdf["seq"].tolist()))
-        leads, mine = _next_start(pdf, pause, limit), slices.count(here)
-        for i in range(mine - 1, -1, -1):
-            if leads[i] < mine:
-                leads[i] = leads[leads[i]]
-        to = [t if t < len(names) else None for t in leads[:mine]]
-        return pd.DataFrame({
-            "_root": pdf["_root"].iloc[0],
-            "at": [dict(us=u, seq=s) for u, s in names[:mine]],
-            "b": here,
-            "nxt": [None if t is None else dict(us=names[t][0], seq=names[t][1]) for t in to],
-            "nb": pd.array([None if t is None else slices[t] for t in to], dtype="Int64"),
-        })
-
-    jump = copies.groupBy("_root", "_b").applyInPandas(jumps, f"_root bigint, at {node}, b bigint, nxt {node}, nb bigint")
-    heads = rows.groupBy("_root").agg(F.min(F.struct("us", "seq")).alias("_head"))
-    jump = jump.join(heads, "_root").withColumn("head", F.col("at") == F.col("_head")).drop("_head")
-    opened = follow(jump, "_root").select(
-        "_root", floor_div(F.col("at.us") - F.col("_root"), pause).alias("_b"), F.col("at").alias("_open"))
-    due = copies.join(opened, ["_root", "_b"]).where(F.struct("us", "seq") >= F.col("_open")).drop("_own", "_open")
-
-    def slice_(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = pdf["_root"].iloc[0] + (pdf["_b"].iloc[0] + 1) * pause
-        return _cut(pdf.sort_values(["us", "seq"]), pause, limit, end).drop(columns="_b")
-
-    return due.groupBy("_root", "_b").applyInPandas(slice_, schema)
+    pause = seconds * 1_000_000
+    rows = alerts.withColumn("_us", F.unix_micros("at")).withColumn("_k", F.lit(0))
+    cut = sessions(rows.select("_k", F.col("_us").alias("us")), "_k", pause).select("_b", "_root")
+    ordered = (
+        rows.withColumn("_b", floor_div(F.col("_us"), pause)).join(cut, "_b").drop("_b", "_k")
+        .repartition("_root").sortWithinPartitions("_root", "_us", "seq")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = start = first = None
+        seen: set = set()
+        for part in batches:
+            kept, number = [], []
+            columns = [part.column(c).to_pylist() for c in ("_root", "_us", "seq", "kind", "module", "fingerprint")]
+            for i, (root, us, seq, *key) in enumerate(zip(*columns)):
+                if root != held or start is None or us - start >= pause:
+                    held, start, first, seen = root, us, seq, set()
+                if tuple(key) not in seen:
+                    seen.add(tuple(key))
+                    kept.append(i)
+                    number.append(first)
+                    if len(seen) >= limit:
+                        start = None
+            if kept:
+                picked = part.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(number, pa.int64())], [*picked.schema.names, "batch"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", batch bigint"
+    return ordered.mapInArrow(run, schema).drop("_root", "_us")

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from emberwatch.functions.fields import actor
 from emberwatch.functions.text import or_default
 from emberwatch.model import KIND_ORDER, SUCCESS_ORDER, ChainConfig
-from emberwatch.operators.detectors import check_config
 from emberwatch.operators.thinning import floor_div, thin
 from emberwatch.operators.windows import micros
 
@@ -80,7 +79,8 @@ def _after(stage: Column, previous: Column) -> Column:
 
 def incidents(events: DataFrame, detections: DataFrame, cfg: ChainConfig) -> DataFrame:
     """Escalated incidents of all actors."""
-    check_config(cfg.window_s, cfg.cooldown_s)
+    if cfg.cooldown_s <= cfg.window_s:
+        raise ValueError(f"the incident cooldown ({cfg.cooldown_s}s) must be longer than its window ({cfg.window_s}s)")
     window = cfg.window_s * SECOND
     dets = detections.where(
         F.col("kind").isin("scan", "brute_force", "sentinel_finding") & (F.col("actor") != "")

@@ -5,8 +5,8 @@ computes the sliding statistic, thins the rows over the threshold by the cooldow
 goes back to the events of the keys that fired for first-seen times and evidence.
 
 A fire also restarts its key's window. While the cooldown is longer than the window that restart
-cannot change a later fire: the key stays silent until the window lies wholly after the fire.
-``check_config`` therefore insists on it.
+cannot change a later fire: the key stays silent until the window lies wholly after the fire. For other
+settings the rows are walked through in order (``restarting``).
 """
 
 from __future__ import annotations
@@ -19,18 +19,13 @@ from emberwatch.functions.fields import actor, token
 from emberwatch.functions.text import human_bytes, one_decimal, or_default, span_text
 from emberwatch.model import DETECTION_SCHEMA, KIND_ORDER, DetectConfig, columns
 from emberwatch.operators import windows as win
-from emberwatch.operators.thinning import floor_div, thin
+from emberwatch.operators.thinning import floor_div, restarting, thin
 from emberwatch.plans.lineage import pin
 
 DETECTION_COLUMNS = columns(DETECTION_SCHEMA)
 SECOND = 1_000_000
 
 
-def check_config(window_s: int, cooldown_s: int) -> None:
-    if cooldown_s <= window_s:
-        raise ValueError(f"the cooldown ({cooldown_s}s) must be longer than the window ({window_s}s)")
-
-
 def nth_row(points: DataFrame, wanted: DataFrame, rank: str, limit: int) -> DataFrame:
     """(k, us, seq) of the ``rank``-th point by seq at each wanted (k, us); ranks are at most ``limit``.
 
@@ -110,9 +105,25 @@ def _text(*parts) -> Column:
 
 def brute_force(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Many failed logins of one actor inside the window."""
-    check_config(cfg.brute_window_s, cfg.cooldown_s)
-    cooldown, need = cfg.cooldown_s * SECOND, cfg.brute_failures
+    cooldown = cfg.cooldown_s * SECOND
     rows = win.micros(events.where("auth = 'failure'")).withColumn("k", actor()).where("k != ''")
+    if cfg.cooldown_s <= cfg.brute_window_s:
+        fires = restarting(rows, "k", cfg.brute_window_s * SECOND, cooldown, cfg.brute_failures).drop("values")
+    else:
+        fires = _brute_fires(rows, cfg)
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
+    k, n = F.col("k"), F.col("count")
+    return finish(
+        out, "brute_force", severity=F.lit("high"), actor=k, key=_text("brute|", k),
+        title=_text("Brute force: ", n, " failed logins from ", k),
+        detail=_text(n, f" authentication failures within {span_text(cfg.brute_window_s)} (target ",
+                     or_default(F.col("host"), "any"), ")."),
+    )
+
+
+def _brute_fires(rows: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """(k, us, seq, count) of the firing rows, for a cooldown longer than the window."""
+    cooldown, need = cfg.cooldown_s * SECOND, cfg.brute_failures
     per_us = rows.groupBy("k", "us").agg(F.count(F.lit(1)).alias("cnt"))
     prior = F.col("prior")
     over = (
@@ -121,22 +132,29 @@ def brute_force(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         .select("k", "us", F.greatest(need - prior, F.lit(1)).alias("j"), F.greatest(prior + 1, F.lit(need)).alias("count"))
     )
     fires = thin(over, "k", cooldown)
-    fires = fires.join(nth_row(rows, fires, "j", need), ["k", "us"])
+    return fires.join(nth_row(rows, fires, "j", need), ["k", "us"]).select("k", "us", "seq", "count")
+
+
+def port_scan(events: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """One address touching many different ports inside the window."""
+    cooldown, need = cfg.cooldown_s * SECOND, cfg.scan_ports
+    rows = win.micros(events.where("src_ip != '' and dst_port != 0")).withColumn("k", F.col("src_ip"))
+    if cfg.cooldown_s <= cfg.scan_window_s:
+        fires = restarting(rows, "k", cfg.scan_window_s * SECOND, cooldown, 1, "dst_port", need).drop("count").withColumnRenamed("values", "count")
+    else:
+        fires = _scan_fires(rows, cfg)
     out = close_segments(rows, fires, cooldown, cfg.evidence_max)
     k, n = F.col("k"), F.col("count")
     return finish(
-        out, "brute_force", severity=F.lit("high"), actor=k, key=_text("brute|", k),
-        title=_text("Brute force: ", n, " failed logins from ", k),
-        detail=_text(n, f" authentication failures within {span_text(cfg.brute_window_s)} (target ",
-                     or_default(F.col("host"), "any"), ")."),
+        out, "scan", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("scan|", k),
+        title=_text("Port scan: ", k, " hit ", n, " distinct ports"),
+        detail=_text(n, f" distinct destination ports within {span_text(cfg.scan_window_s)}."),
     )
 
 
-def port_scan(events: DataFrame, cfg: DetectConfig) -> DataFrame:
-    """One address touching many different ports inside the window."""
-    check_config(cfg.scan_window_s, cfg.cooldown_s)
+def _scan_fires(rows: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """(k, us, seq, count) of the firing rows, for a cooldown longer than the window."""
     cooldown, need = cfg.cooldown_s * SECOND, cfg.scan_ports
-    rows = win.micros(events.where("src_ip != '' and dst_port != 0")).withColumn("k", F.col("src_ip"))
     slim = rows.select("k", "us", "seq", "dst_port")
     table, starts = win.prior_distinct(slim, "k", "dst_port", cfg.scan_window_s * SECOND)
     prior = F.col("prior_d")
@@ -149,14 +167,8 @@ def port_scan(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     )
     fires = thin(over, "k", cooldown)
     nth = nth_row(starts, fires.where("m > 0"), "m", need).withColumnRenamed("seq", "_seqm")
-    fires = fires.join(nth, ["k", "us"], "left").withColumn("seq", F.coalesce("_seq0", "_seqm")).drop("_seq0", "_seqm", "m")
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
-    k, n = F.col("k"), F.col("count")
-    return finish(
-        out, "scan", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("scan|", k),
-        title=_text("Port scan: ", k, " hit ", n, " distinct ports"),
-        detail=_text(n, f" distinct destination ports within {span_text(cfg.scan_window_s)}."),
-    )
+    fires = fires.join(nth, ["k", "us"], "left").withColumn("seq", F.coalesce("_seq0", "_seqm"))
+    return fires.select("k", "us", "seq", "count")
 
 
 def egress_totals(events: DataFrame, window_s: int) -> tuple[DataFrame, DataFrame]:
@@ -207,13 +219,29 @@ def new_admin(events: DataFrame, cfg: DetectConfig) -> DataFrame:
 
 def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Many failures on one service from several sources."""
-    check_config(cfg.spike_window_s, cfg.cooldown_s)
     cooldown, width = cfg.cooldown_s * SECOND, cfg.spike_window_s * SECOND
-    need, need_d = cfg.spike_min, cfg.spike_sources
     rows = win.micros(events.where("auth = 'failure'")).withColumns({
         "k": F.concat_ws("/", or_default(F.col("host"), "any"), or_default(F.col("app"), "any")),
         "_src": F.when(F.col("src_ip") != "", F.col("src_ip")).otherwise(or_default(F.col("user"), "any")),
     })
+    if cfg.cooldown_s <= cfg.spike_window_s:
+        fires = restarting(rows, "k", width, cooldown, cfg.spike_min, "_src", cfg.spike_sources).withColumnRenamed("values", "_sources")
+    else:
+        fires = _spike_fires(rows, cfg)
+    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
+    k, n, src = F.col("k"), F.col("count"), F.col("_sources")
+    return finish(
+        out, "auth_spike", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("spike|", k),
+        title=_text("Distributed auth-failure spike on ", k, ": ", n, " from ", src, " sources"),
+        detail=_text(n, " auth failures on ", k, " from ", src,
+                     f" distinct sources within {span_text(cfg.spike_window_s)} — looks like credential stuffing."),
+    )
+
+
+def _spike_fires(rows: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """(k, us, seq, count, _sources) of the firing rows, for a cooldown longer than the window."""
+    cooldown, width = cfg.cooldown_s * SECOND, cfg.spike_window_s * SECOND
+    need, need_d = cfg.spike_min, cfg.spike_sources
     table, starts = win.prior_distinct(rows.select("k", "us", "seq", "_src"), "k", "_src", width)
     prior, prior_d = F.col("prior"), F.col("prior_d")
     over = (
@@ -224,7 +252,7 @@ def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
             F.greatest(need - prior, F.lit(1)).alias("j"), F.greatest(need_d - prior_d, F.lit(0)).alias("m"),
         )
     )
-    fires = thin(over, "k", cooldown)
+    fires = pin(thin(over, "k", cooldown))  # few rows, used four times below
     # The firing row is the first one that satisfies both: j-th row and m-th new source.
     by_rows = nth_row(rows, fires, "j", need)
     by_sources = nth_row(starts, fires.where("m > 0"), "m", need_d).withColumnRenamed("seq", "_seqm")
@@ -233,18 +261,10 @@ def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         .withColumn("seq", F.greatest("seq", F.coalesce("_seqm", "seq"))).drop("_seqm", "j", "m")
     )
     fires = fires.join(_upto(rows, fires, "_rows"), ["k", "us"]).join(_upto(starts, fires, "_srcs"), ["k", "us"], "left")
-    fires = fires.select(
+    return fires.select(
         "k", "us", "seq", (prior + F.col("_rows")).alias("count"),
         (prior_d + F.coalesce("_srcs", F.lit(0))).alias("_sources"),
     )
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
-    k, n, src = F.col("k"), F.col("count"), F.col("_sources")
-    return finish(
-        out, "auth_spike", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("spike|", k),
-        title=_text("Distributed auth-failure spike on ", k, ": ", n, " from ", src, " sources"),
-        detail=_text(n, " auth failures on ", k, " from ", src,
-                     f" distinct sources within {span_text(cfg.spike_window_s)} — looks like credential stuffing."),
-    )
 
 
 def _upto(points: DataFrame, fires: DataFrame, name: str) -> DataFrame:

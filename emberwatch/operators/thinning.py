@@ -1,157 +1,135 @@
 """Cooldown thinning: of a key's candidates keep the first, then each one at least ``d`` later.
 
-The choice is greedy, so every kept candidate depends on the one before. Keys with a modest number
-of candidates are folded as one sorted array. A key with more than ``FOLD_LIMIT`` candidates is
-never gathered: its candidates get jump pointers, and the chain is found by doubling the jumps
-(each level keeps only the candidates near a block start, so the levels shrink geometrically).
+The choice is greedy, so every kept candidate depends on the one before, but only up to a silence: a
+candidate that follows a silence of at least the cooldown is kept whatever came before. Keys are
+therefore cut into sessions at such silences. A session shorter than the cooldown keeps its first
+candidate only, which is known from a summary of one row per (key, time bucket); the times of longer
+sessions are sorted and walked through, one session per task at a time, jumping from fire to fire. The
+walk holds one batch of times and the last fire, so its memory does not depend on the session.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberwatch.plans.lineage import pin
 
-FOLD_LIMIT = 20_000
-
 
 def floor_div(us: Column, width: int) -> Column:
     """Integer division that also floors negative times."""
     return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
 
 
-def thin(cands: DataFrame, key: str, cooldown_us: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def thin(cands: DataFrame, key: str, cooldown_us: int) -> DataFrame:
     """Return the fired rows of ``cands``; it must hold at most one row per (``key``, ``us``).
 
-    All columns are kept. Candidates are few next to the events, so they are pinned once: the
-    per-key sizes and both branches below read them from there.
+    All columns are kept; only keys and times are sorted, the others are fetched for fired rows.
     """
     cands = pin(cands)
-    big = (
-        cands.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > fold_limit).select(key)
-    )
-    if big.isEmpty():
-        return _fold(cands, key, cooldown_us)
-    # A big key owns more than fold_limit rows, so this list is at most rows/fold_limit long.
-    big = pin(big)
-    light = _fold(cands.join(big, key, "left_anti"), key, cooldown_us)
-    heavy = _chain(cands.join(big, key, "left_semi"), key, cooldown_us)
-    return light.unionByName(heavy)
-
-
-def _fold(cands: DataFrame, key: str, cooldown_us: int) -> DataFrame:
-    rest = [c for c in cands.columns if c not in (key, "us")]
-    item = F.struct("us", *rest)
-    packed = cands.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_all"))
-    item_type = packed.schema["_all"].dataType.simpleString()
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast(item_type).alias("fired")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        fires = acc["last"].isNull() | (x["us"] - acc["last"] >= F.lit(cooldown_us))
-        return F.when(
-            fires,
-            F.struct(x["us"].alias("last"), F.concat(acc["fired"], F.array(x)).alias("fired")),
-        ).otherwise(acc)
+    times = cands.select(key, "us")
+    cut = sessions(times, key, cooldown_us)
+    spans = cut.groupBy(key, "_root").agg(F.max("_hi").alias("_end"))
+    roots = spans.select(key, F.col("_root").alias("us"))
+    long = cut.join(spans.where(F.col("_end") - F.col("_root") >= F.lit(cooldown_us)), [key, "_root"]).select(key, "_b", "_root")
+    inside = times.withColumn("_b", floor_div(F.col("us"), cooldown_us)).join(long, [key, "_b"]).select(key, "_root", "us")
+    later = _walk(inside, key, cooldown_us).where("us != _root").select(key, "us")
+    return cands.join(roots.unionByName(later), [key, "us"]).select(*cands.columns)
 
-    fired = packed.select(key, F.explode(F.aggregate("_all", start, step)["fired"]).alias("_f"))
-    return fired.select(key, *[F.col("_f")[c].alias(c) for c in ["us", *rest]]).select(*cands.columns)
 
+def sessions(times: DataFrame, key: str, silence_us: int) -> DataFrame:
+    """(key, _b, _hi, _root): per bucket as wide as the silence its latest time and its session's first one.
 
-def _sessions(cands: DataFrame, key: str, cooldown_us: int) -> DataFrame:
-    """(key, bucket) -> root: first candidate after a silence of at least the cooldown.
-
-    Works on one row per cooldown-wide bucket, so a key has at most span/cooldown rows here however
-    many candidates it has. A root always fires.
+    Two times of one bucket are closer than the silence, so a bucket belongs to one session.
     """
     buckets = (
-        cands.withColumn("_b", floor_div(F.col("us"), cooldown_us))
+        times.withColumn("_b", floor_div(F.col("us"), silence_us))
         .groupBy(key, "_b").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))
     )
     order = W.partitionBy(key).orderBy("_b")
     gap = F.col("_lo") - F.lag("_hi").over(order)
-    fresh = F.when(gap.isNull() | (gap >= F.lit(cooldown_us)), F.col("_lo"))
-    return buckets.withColumn(
-        "_root", F.last(fresh, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    ).select(key, "_b", "_root")
-
-
-def next_at_or_after(points: DataFrame, probes: DataFrame, key: str, width_us: int) -> DataFrame:
-    """For each probe (key, us, x) the smallest point ``us`` of its key in [x, x + width).
-
-    Points and probes meet in time buckets of that width; a probe also looks at the bucket after
-    its own, through that bucket's smallest point only.
+    fresh = F.when(gap.isNull() | (gap >= F.lit(silence_us)), F.col("_lo"))
+    root = F.last(fresh, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return buckets.withColumn("_root", root).select(key, "_b", "_hi", "_root")
+
+
+def _walk(times: DataFrame, key: str, cooldown_us: int) -> DataFrame:
+    """The fired (key, _root, us) of whole sessions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None  # session and latest fire so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us, names = batch.column("us").to_numpy(), batch.column(key).dictionary_encode()
+            code, root = names.indices.to_numpy(), batch.column("_root").to_numpy()
+            new = np.flatnonzero((code[1:] != code[:-1]) | (root[1:] != root[:-1])) + 1
+            kept = []
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(us)]):
+                name = (names.dictionary[code[start]].as_py(), root[start])
+                if name != held:
+                    held, last = name, us[start] - cooldown_us
+                at = start
+                while (at := start + int(np.searchsorted(us[start:end], last + cooldown_us))) < end:
+                    kept.append(at)
+                    last = us[at]
+            if kept:
+                yield batch.take(pa.array(kept))
+
+    kind = times.schema[key].dataType.simpleString()
+    return times.repartition(key, "_root").sortWithinPartitions(key, "_root", "us").mapInArrow(run, f"`{key}` {kind}, _root bigint, us bigint")
+
+
+def restarting(rows: DataFrame, key: str, window_us: int, cooldown_us: int, need: int, value: str | None = None, need_values: int = 0) -> DataFrame:
+    """Fires of a sliding window that starts anew after every fire, for any cooldown.
+
+    ``rows``: (key, us, seq[, value]). A row fires if, with the rows of its key inside [us - window, us]
+    and after the previous fire, it makes at least ``need`` rows and ``need_values`` different values,
+    at least the cooldown after that fire. Returns key, us, seq, count and values of the firing rows.
+
+    While the cooldown is longer than the window the restart changes nothing and ``thin`` does; this is
+    for the other settings. Rows are walked through by session (no silence longer than window and
+    cooldown), holding those of one window.
     """
-    lows = (
-        points.select(key, F.col("us").alias("_p")).withColumn("_b", floor_div(F.col("_p"), width_us))
+    silence = max(window_us, cooldown_us) + 1
+    name = value or "us"
+    cut = sessions(rows.select(key, "us"), key, silence).select(key, "_b", "_root")
+    sorted_rows = (
+        rows.select(key, "us", "seq", F.col(name).cast("string").alias("_v"))
+        .withColumn("_b", floor_div(F.col("us"), silence)).join(cut, [key, "_b"])
+        .select(key, "_root", "us", "seq", "_v").repartition(key, "_root").sortWithinPartitions(key, "_root", "us", "seq")
     )
-    firsts = lows.groupBy(key, "_b").agg(F.min("_p").alias("_first"))
-    firsts = firsts.select(key, (F.col("_b") - 1).alias("_b"), "_first")
-    asked = probes.select(key, "us", "x").withColumn("_b", floor_div(F.col("x"), width_us))
-    both = lows.select(key, "_b", F.col("_p").alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast("bigint").alias("us"), "_p")
-    both = both.unionByName(
-        asked.select(key, "_b", F.col("x").alias("_t"), F.lit(0).alias("_o"), "us", F.lit(None).cast("bigint").alias("_p"))
-    )
-    # Descending order turns "the next point" into a running last(), which is O(1) per row.
-    down = W.partitionBy(key, "_b").orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("_in", F.last("_p", ignorenulls=True).over(down)).where("_o = 0")
-    return (
-        seen.join(firsts, [key, "_b"], "left")
-        .withColumn("nxt", F.coalesce("_in", "_first"))
-        .select(key, "us", F.when(F.col("nxt") < F.col("_t") + width_us, F.col("nxt")).alias("nxt"))
-    )
-
 
-def _chain(cands: DataFrame, key: str, cooldown_us: int) -> DataFrame:
-    """Thinning for keys whose candidates must not meet in one task."""
-    d = cooldown_us
-    roots = _sessions(cands, key, d)
-    c = (
-        cands.select(key, "us").withColumn("_b", floor_div(F.col("us"), d))
-        .join(roots, [key, "_b"]).drop("_b")
-        .withColumn("b", floor_div(F.col("us") - F.col("_root"), d))
-    )
-    # Inside a session neighbours are closer than d, so the next fire is within [us+d, us+2d)
-    # or the session is over; a successor in a later session is a root and found on its own.
-    nxt = next_at_or_after(c, c.select(key, "us", (F.col("us") + d).alias("x")), key, d)
-    ends = c.select(key, F.col("us").alias("nxt"), F.col("_root").alias("_nroot"), F.col("b").alias("nb"))
-    same = F.col("_nroot") == F.col("_root")
-    jump = c.join(nxt, [key, "us"]).join(ends, [key, "nxt"], "left").select(
-        key, F.col("us").alias("at"), "b", (F.col("us") == F.col("_root")).alias("head"),
-        F.when(same, F.col("nxt")).alias("nxt"), F.when(same, F.col("nb")).alias("nb"),
-    )
-    found = follow(jump, key).withColumnRenamed("at", "us")
-    return cands.join(found, [key, "us"]).select(*cands.columns)
-
-
-def follow(jump: DataFrame, key: str) -> DataFrame:
-    """Nodes (``key``, ``at``) that the chains from the ``head`` nodes pass first in each bucket.
-
-    ``jump`` maps a node in bucket ``b`` to the first chain node ``nxt`` in a later bucket ``nb``;
-    neighbours are close enough that a chain enters any run of buckets in its first two. Level l
-    keeps the nodes in the first two buckets of a 2^l block and maps them past the block's end, so
-    the levels shrink geometrically; the way back down visits every block's entry.
-    """
-    jump = pin(jump)
-    top = jump.agg(F.max("b")).first()[0] or 0
-    levels = [jump]
-    for level in range(1, int(top).bit_length() + 1):
-        below, width = levels[-1], 1 << level
-        via = below.select(key, F.col("at").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("nb").alias("nb2"))
-        inside = F.col("nb") < (floor_div(F.col("b"), width) + 1) * width
-        levels.append(pin(
-            below.where(F.pmod("b", F.lit(width)) < 2)
-            .join(via, [key, "nxt"], "left")
-            .select(
-                key, "at", "b",
-                F.when(inside, F.col("nxt2")).otherwise(F.col("nxt")).alias("nxt"),
-                F.when(inside, F.col("nb2")).otherwise(F.col("nb")).alias("nb"),
-            )
-        ))
-    found = jump.where("head").select(key, "at")
-    for level in reversed(levels):
-        reached = found.join(level, [key, "at"]).where("nxt is not null").select(key, F.col("nxt").alias("at"))
-        found = pin(found.unionByName(reached).distinct())
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, window, seen = None, None, deque(), Counter()
+        for batch in batches:
+            kept, counts, values = [], [], []
+            for i, (k, root, us, _, v) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                if (k, root) != held:
+                    held, last = (k, root), None
+                    window.clear()
+                    seen.clear()
+                window.append((us, v))
+                seen[v] += 1
+                while window[0][0] < us - window_us:
+                    old = window.popleft()[1]
+                    seen[old] -= 1
+                    if not seen[old]:
+                        del seen[old]
+                if len(window) >= need and len(seen) >= need_values and (last is None or us - last >= cooldown_us):
+                    kept.append(i)
+                    counts.append(len(window))
+                    values.append(len(seen))
+                    last = us
+                    window.clear()
+                    seen.clear()
+            if kept:
+                picked = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([picked.column(c) for c in (key, "us", "seq")] + [pa.array(counts, pa.int64()), pa.array(values, pa.int64())], [key, "us", "seq", "count", "values"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return sorted_rows.mapInArrow(run, f"`{key}` {kind}, us bigint, seq bigint, count bigint, values bigint")

@@ -46,11 +46,11 @@ def random_events(seed, n=700, span_s=900, ticks=1):
     return rows
 
 
-@pytest.mark.parametrize("seed,ticks", [(1, 1), (2, 1000)])
-def test_all_detectors_match_simulation(spark, seed, ticks):
+@pytest.mark.parametrize("seed,ticks,cooldown", [(1, 1, 60), (2, 1000, 60), (3, 1, 12)])
+def test_all_detectors_match_simulation(spark, seed, ticks, cooldown):
     rows = random_events(seed, ticks=ticks)
     cfg = DetectConfig(brute_failures=4, brute_window_s=20, scan_ports=5, scan_window_s=30, exfil_bytes=1_000_000,
-                       exfil_factor=2.0, exfil_window_s=10, spike_min=6, spike_window_s=15, cooldown_s=60, evidence_max=3)
+                       exfil_factor=2.0, exfil_window_s=10, spike_min=6, spike_window_s=15, cooldown_s=cooldown, evidence_max=3)
     got = found(detectors.detect_all(events_df(spark, rows), cfg))
     want = sorted(simulate(rows, cfg))
     assert {w[0] for w in want} == {"brute_force", "scan", "exfil", "new_admin", "auth_spike"}
@@ -102,8 +102,12 @@ def test_literal_sequences(spark):
     assert [r.actor for r in run(spread, "auth_spike", spike_min=12)] == ["web01/sshd"]
     single = [event(seconds(i), i, auth="failure", src_ip="10.0.0.1") for i in range(20)]
     assert run(single, "auth_spike", spike_min=12) == []
-    with pytest.raises(ValueError):
-        run(single, "auth_spike", spike_min=12, spike_window_s=600)
+    # a cooldown no longer than the window: the window starts anew after every fire
+    assert [r["count"] for r in run(single, "brute_force", brute_failures=5, brute_window_s=600, cooldown_s=4)] == [5, 5, 5, 5]
+    ports = [event(seconds(i), i, src_ip="198.51.100.7", dst_port=20 + i % 7) for i in range(30)]
+    assert [r["count"] for r in run(ports, "scan", scan_ports=6, scan_window_s=600, cooldown_s=600)] == [6]
+    assert [r["count"] for r in run(ports, "scan", scan_ports=6, scan_window_s=20, cooldown_s=10)] == [6, 7, 7]
+    assert len(run(spread, "auth_spike", spike_min=3, spike_sources=3, spike_window_s=600, cooldown_s=2)) == 4
 
 
 class Row:

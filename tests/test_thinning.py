@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
-from emberwatch.operators.thinning import next_at_or_after, thin
+from emberwatch.operators.thinning import restarting, thin
 
 
 def sequential(rows, d):
@@ -14,28 +15,42 @@ def sequential(rows, d):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 40, 10_000])
-def test_matches_sequential(spark, limit):
-    rng = random.Random(limit + 3)
+@pytest.mark.parametrize("d", [1, 7, 100, 5_000])
+def test_matches_sequential(spark, d):
+    rng = random.Random(d)
     rows = set()
     for k, (n, span) in {"dense": (600, 3_000), "sparse": (50, 6_000), "burst": (80, 400), "one": (1, 10)}.items():
         rows |= {(k, rng.randrange(-500, span)) for _ in range(n)}
-    df = spark.createDataFrame(sorted(rows), "k string, us bigint").withColumnRenamed("k", "k")
-    d = 100
-    got = {(r.k, r.us) for r in thin(df, "k", d, fold_limit=limit).collect()}
-    assert got == sequential(rows, d)
+    df = spark.createDataFrame([(k, us, f"{k}{us}") for k, us in sorted(rows)], "k string, us bigint, raw string")
+    got = thin(df, "k", d).collect()
+    assert {(r.k, r.us) for r in got} == sequential(rows, d) and all(r.raw == f"{r.k}{r.us}" for r in got)
 
 
 def test_equal_distance_fires_and_closer_does_not(spark):
     df = spark.createDataFrame([("a", 0), ("a", 99), ("a", 100), ("a", 199), ("a", 200)], "k string, us bigint")
-    for limit in (0, 100):
-        assert sorted(r.us for r in thin(df, "k", 100, fold_limit=limit).collect()) == [0, 100, 200]
+    assert sorted(r.us for r in thin(df, "k", 100).collect()) == [0, 100, 200]
 
 
-def test_next_at_or_after(spark):
-    pts = spark.createDataFrame([("a", 5), ("a", 17), ("a", 31)], "k string, us bigint")
-    probes = spark.createDataFrame([("a", 0, 5), ("a", 1, 6), ("a", 2, 18), ("a", 3, 40)], "k string, us bigint, x bigint")
-    got = {r.us: r.nxt for r in next_at_or_after(pts, probes, "k", 10).collect()}
-    assert got == {0: 5, 1: None, 2: None, 3: None}
-    got = {r.us: r.nxt for r in next_at_or_after(pts, probes, "k", 14).collect()}
-    assert got == {0: 5, 1: 17, 2: 31, 3: None}
+def test_one_busy_key(spark):
+    df = spark.range(0, 200_000).selectExpr("'a' as k", "id * 10 as us", "repeat('x', 300) as raw")
+    assert thin(df, "k", 95).count() == 20_000
+
+
+def test_empty(spark):
+    assert thin(spark.createDataFrame([], "k string, us bigint"), "k", 5).count() == 0
+
+
+@pytest.mark.parametrize("window,cooldown,need,need_values", [(50, 10, 4, 0), (50, 50, 1, 3), (30, 5, 5, 2), (20, 40, 3, 2)])
+def test_restarting_window_matches_sequential(spark, window, cooldown, need, need_values):
+    rng = random.Random(window + need)
+    rows = [(k, rng.randrange(0, 1500), i, rng.choice("abcd")) for k in "xyz" for i in range(200)]
+    want, state = set(), {}
+    for k, us, seq, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        w, last = state.get(k, ([], None))
+        w = [(u, x) for u, x in [*w, (us, v)] if u >= us - window]
+        if len(w) >= need and len({x for _, x in w}) >= need_values and (last is None or us - last >= cooldown):
+            want.add((k, us, seq, len(w), len(Counter(x for _, x in w))))
+            w, last = [], us
+        state[k] = (w, last)
+    df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, v string")
+    assert {tuple(r) for r in restarting(df, "k", window, cooldown, need, "v", need_values).collect()} == want
