@@ -19,6 +19,7 @@ class Reconciled:
     newly_open: DataFrame
     resolved: DataFrame
     rejected: DataFrame
+    unscanned: DataFrame
 
 
 def reconcile(
@@ -29,7 +30,7 @@ def reconcile(
 
     New findings open, resolved ones reopen, known ones are refreshed, and a finding missing from
     the scan is resolved after ``resolve_after`` scans in a row unless suppressed. Targets that were
-    not scanned, and other modules, keep their rows. ``fresh`` may hold a ``seq``; of rows with one
+    not scanned, and other modules, keep their rows; fresh findings of such targets come back as ``unscanned``. ``fresh`` may hold a ``seq``; of rows with one
     fingerprint the last wins.
     """
     need = max(resolve_after, 1)
@@ -60,7 +61,9 @@ def reconcile(
     )
     seen = F.col("_do").isin("new", "reopened", "refreshed")
     missing = F.col("_do").isin("resolved", "absent")
-    pairs = pairs.withColumn("_do", outcome).where(s.isNotNull() | in_scan)
+    pairs = pairs.withColumn("_do", outcome)
+    unscanned = pairs.where(f.isNotNull() & ~in_scan).select("target", "fingerprint", "f.*")
+    pairs = pairs.where(s.isNotNull() | in_scan)
     keep = lambda name: s[name]
     made = {
         "module": F.lit(module),
@@ -83,6 +86,7 @@ def reconcile(
         newly_open=after.where("_do in ('new', 'reopened')").select(*STATE_COLUMNS),
         resolved=after.where("_do = 'resolved'").select(*STATE_COLUMNS),
         rejected=rejected,
+        unscanned=unscanned,
     )
 
 

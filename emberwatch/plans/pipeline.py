@@ -38,9 +38,10 @@ def fired_records(events: DataFrame, cfg: DetectConfig, chain: ChainConfig,
 
 
 def immediate(events: DataFrame, cfg: DetectConfig, chain: ChainConfig, detections: DataFrame | None = None,
-              findings: DataFrame | None = None, module: str = MODULE, stored: bool = False) -> Immediate:
+              findings: DataFrame | None = None, module: str = MODULE, stored: bool = False,
+              detectors: dict[str, Detector] | None = None) -> Immediate:
     """Events to the keyed detections table, the findings table and one opened alert per fire."""
-    records = pin(fired_records(events, cfg, chain, stored=stored))
+    records = pin(fired_records(events, cfg, chain, detectors, stored))
     alerts = rec.findings(records, module).select(
         F.lit("opened").alias("kind"), F.lit(module).alias("module"), F.col("last_at").alias("at"), "seq", "ord",
         "fingerprint", *ALERT_FIELDS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from emberwatch.functions.syslog import parse_lines, parse_syslog
 
@@ -15,30 +15,43 @@ def with_origin(lines: DataFrame, source_id: str, kind: str, host: str = "", app
 
     ``received`` stands in for lines without a readable time; by default it is the file's
     modification time, which unlike the wall clock is the same on every run. ``seq`` is the arrival
-    order: the line's place in the read. A stream cannot number its lines, so there equal times are
-    ordered by a hash of file and text, which at least is the same on every replay.
+    order: files by modification time and name, lines by their place in the file. A stream cannot number
+    its lines, so there equal times are ordered by a hash of source, file and text, which at least is the
+    same on every replay.
     """
-    at = received if received is not None else F.col("_metadata.file_modification_time")
+    at = (received if received is not None else F.col("_metadata.file_modification_time")).cast("timestamp")
     if lines.isStreaming:
-        seq = F.xxhash64("_metadata.file_path", "value")
+        numbered = lines.select("value", at.alias("recv_ts"), F.xxhash64(F.lit(source_id), "_metadata.file_path", "value").alias("seq"))
     else:
-        seq = F.monotonically_increasing_id()
-    return lines.select(
-        "value", at.cast("timestamp").alias("recv_ts"), seq.alias("seq"),
-        F.lit(kind).alias("source"), F.lit(source_id).alias("source_id"), F.lit(host).alias("host"), F.lit(app).alias("app"),
+        numbered = _numbered(lines.select(
+            "value", at.alias("recv_ts"), F.monotonically_increasing_id().alias("_id"),
+            F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_part")))
+    return numbered.select(
+        "value", "recv_ts", "seq", F.lit(kind).alias("source"), F.lit(source_id).alias("source_id"), F.lit(host).alias("host"), F.lit(app).alias("app"),
     )
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Replace ``_id``, which grows inside a stretch of a file that one task reads, by the arrival order ``seq``.
+
+    The stretches (one row per file split) are put in order and given their first number.
+    """
+    parts = lines.groupBy("_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(parts, "_part").withColumn("seq", F.col("_id") - F.col("_first") + F.col("_before"))
+
+
 def read_lines(spark: SparkSession, path: str | list[str], source_id: str, kind: str = "file", host: str = "",
                app: str = "", received: Column | None = None) -> DataFrame:
     """Closed (rotated) log files, exported journals (kind journald) or container logs (kind docker)."""
-    return with_origin(spark.read.text(path), source_id, kind, host, app, received)
+    return with_origin(spark.read.text(path, lineSep="\n"), source_id, kind, host, app, received)
 
 
 def stream_lines(spark: SparkSession, path: str, source_id: str, kind: str = "file", host: str = "", app: str = "",
                  received: Column | None = None, max_files: int = 1000) -> DataFrame:
     """The same for a folder to which rotated files are added."""
-    found = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    found = spark.readStream.option("maxFilesPerTrigger", max_files).text(path, lineSep="\n")
     return with_origin(found, source_id, kind, host, app, received)
 
 
@@ -50,9 +63,13 @@ def parse_source(lines: DataFrame, kind: str) -> DataFrame:
 
 
 def fan_in(sources: dict[str, DataFrame]) -> DataFrame:
-    """Union of event frames; an event without a source id gets the name of its source."""
+    """Union of event frames; an event without a source id gets the name of its source.
+
+    ``seq`` stays unique: every source numbers its events in steps of the number of sources.
+    """
     named = [
         df.withColumn("source_id", F.when(F.col("source_id") == "", F.lit(name)).otherwise(F.coalesce("source_id", F.lit(name))))
-        for name, df in sources.items()
+        .withColumn("seq", F.xxhash64(F.lit(name), "seq") if df.isStreaming else F.col("seq") * len(sources) + i)
+        for i, (name, df) in enumerate(sources.items())
     ]
     return reduce(DataFrame.unionByName, named)

@@ -17,13 +17,13 @@ def source_error(name: Column, kind: Column, params: Column) -> Column:
     given = lambda key: F.coalesce(F.try_element_at(params, F.lit(key)), F.lit("")) != ""
     listens = given("udp") | given("tcp")
     return (
-        F.when(strip_space(name) == "", "a source name is required")
+        F.when(strip_space(name) == "", "the name is empty")
         .when(kind.isin("syslog", "windows") & ~listens, F.concat(
-            F.lit("a "), kind, F.lit(" source needs a udp and/or tcp listen address (e.g. 0.0.0.0:5514)")))
-        .when((kind == "file") & ~given("path"), "a file source needs a path")
-        .when((kind == "docker") & ~given("container"), "a docker source needs a container name or id")
+            kind, F.lit(": give an address to listen on as udp or tcp")))
+        .when((kind == "file") & ~given("path"), "file: give its path")
+        .when((kind == "docker") & ~given("container"), "docker: give the container")
         .when(~kind.isin("syslog", "windows", "file", "docker", "journald"),
-              F.concat(F.lit('unknown source type "'), kind, F.lit('"')))
+              F.concat(F.lit("no such type: "), kind))
     )
 
 
@@ -65,14 +65,19 @@ def put_sources(current: DataFrame, requests: DataFrame, now: Column, limit: int
         F.coalesce("_old.created_at", now).alias("created_at"))
     over = both.where("_full").select(
         "name", "_x.type", "_x.params", F.col("_first").alias("seq"),
-        F.lit("source limit reached for your tier — upgrade to add more").alias("error"))
+        F.lit("no room for another source").alias("error"))
     return Saved(kept, bad.unionByName(over))
 
 
-def build_source(spark: SparkSession, name: str, kind: str, params: dict[str, str], received: Column | None = None) -> DataFrame:
-    """Events of one configured source; its lines are read from ``path`` (captured or rotated files)."""
+def build_source(spark: SparkSession, name: str, kind: str, params: dict[str, str], received: Column | None = None,
+                 landed: str | None = None) -> DataFrame:
+    """Events of one configured source, of any type that ``source_error`` accepts.
+
+    Its lines are read from ``landed``: where captured datagrams, a container's log or the export of a
+    journal (of its ``unit`` only, as the export tool was told) are put. A file source has its own path.
+    """
+    path = landed or params.get("path")
+    if not path:
+        raise ValueError(f"say where the lines of {name} ({kind}) have landed")
     app = params.get("container", "") if kind == "docker" else params.get("app", "")
-    lines = read_lines(spark, params["path"], name, kind, params.get("host", ""), app, received)
-    events = parse_source(lines, kind)
-    unit = params.get("unit", "")
-    return events.where(F.col("app") == unit) if kind == "journald" and unit else events
+    return parse_source(read_lines(spark, path, name, kind, params.get("host", ""), app, received), kind)

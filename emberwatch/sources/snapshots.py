@@ -1,12 +1,20 @@
 """Keyed tables as versioned parquet snapshots.
 
-A version is a folder ``v=<n>``, and it counts once its ``_SUCCESS`` mark is there, which the
-committer writes last. A job reads version n and writes n+1, so a lost executor or a failed job
-leaves the old version in force and nothing overwrites the files it is reading.
+The files of a version are written to a folder of their own name and count once ``commits/<n>`` exists,
+which holds that name. The commit is created only if nobody has created it before; whoever comes second
+computes its change again from the newer version. So versions only grow, no writer overwrites what
+another reads or wrote, and a lost executor or a failed job leaves the old version in force.
+
+A commit also carries the last batch of every stream that has been folded in, so a replayed batch is
+recognised whatever else was written in between.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,22 +25,54 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        """Number of the newest complete version, 0 if there is none."""
-        if not self._fs.exists(self._path(self.root)):
+        """Number of the newest version, 0 if there is none."""
+        folder = self._path(f"{self.root}/commits")
+        if not self._fs.exists(folder):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _commit_of(self, version: int) -> dict:
+        if not version:
+            return {"folder": None, "applied": {}}
+        stream = self._fs.open(self._path(f"{self.root}/commits/{version}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
 
     def read(self, schema: str, version: int | None = None) -> DataFrame:
         """The given or the newest version; an empty frame if there is none."""
-        at = self.version() if version is None else version
-        if at == 0:
+        commit = self._commit_of(self.version() if version is None else version)
+        if commit["folder"] is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v={at}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{commit['folder']}")
+
+    def update(self, schema: str, change: Callable[[DataFrame], DataFrame], stream: str | None = None, batch: int = 0) -> int:
+        """Write ``change`` of the newest version as the next one and return its number.
+
+        A ``batch`` of a ``stream`` that is in already changes nothing.
+        """
+        while True:
+            version = self.version()
+            commit = self._commit_of(version)
+            if stream is not None and commit["applied"].get(stream, -1) >= batch:
+                return version
+            folder = f"v={version + 1}-{uuid.uuid4().hex}"
+            change(self.read(schema, version)).write.parquet(f"{self.root}/{folder}")
+            applied = commit["applied"] | ({stream: batch} if stream is not None else {})
+            if self._create(version + 1, json.dumps({"folder": folder, "applied": applied})):
+                return version + 1
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next version. A stream passes its batch number, so a replay writes the same one."""
-        new = self.version() + 1 if version is None else version
-        df.write.mode("overwrite").parquet(f"{self.root}/v={new}")
-        return new
+    def _create(self, version: int, text: str) -> bool:
+        """Whether this call made the commit: the text goes to a file of its own, which then gets the name if it is free."""
+        made = self._path(f"{self.root}/commits/.{uuid.uuid4().hex}")
+        out = self._fs.create(made)
+        out.write(bytearray(text.encode()))
+        out.close()
+        target = self._path(f"{self.root}/commits/{version}")
+        done = not self._fs.exists(target) and self._fs.rename(made, target)
+        if not done:
+            self._fs.delete(made, False)
+        return done

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,16 +12,17 @@ from emberwatch.model import MODULE, RECORD_SCHEMA, STATE_SCHEMA
 from emberwatch.operators import notify, records as rec
 from emberwatch.operators.reconcile import reconcile
 from emberwatch.plans.lineage import pin
+from emberwatch.plans.pipeline import transition_alerts
 from emberwatch.sources.snapshots import Snapshots
 
 
 def alert_sink(alerts: DataFrame, folder: str, checkpoint: str, minimum: str = "", host: str = "-", **trigger) -> StreamingQuery:
-    """Every trigger is one alert batch: duplicates dropped, digests and log lines written.
+    """Digests and log lines of every trigger's alerts, in batches of bounded size without duplicates.
 
     The micro-batch number names the folders, so a replayed batch overwrites itself.
     """
     def write(batch: DataFrame, number: int) -> None:
-        kept = pin(notify.dedup(notify.passes(batch, minimum).withColumn("batch", F.lit(number))))
+        kept = pin(notify.assign_batches(notify.passes(batch, minimum)))
         digest = notify.digests(kept)
         notify.alert_lines(kept, host=host).select("value").write.mode("overwrite").text(f"{folder}/lines/batch={number}")
         notify.webhook_json(digest).select("value").write.mode("overwrite").text(f"{folder}/webhook/batch={number}")
@@ -31,23 +33,43 @@ def alert_sink(alerts: DataFrame, folder: str, checkpoint: str, minimum: str = "
 
 def record_sink(records: DataFrame, detections: Snapshots, findings: Snapshots, checkpoint: str, module: str = MODULE,
                 **trigger) -> StreamingQuery:
-    """Fold fired records into the keyed detections table and the findings table."""
+    """Fold fired records into the keyed detections table and the findings table.
+
+    Each table remembers the last batch of this stream it took, so a replay after a failure between
+    the two writes, or after a backstop round, changes only what is missing.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        version = number + 1
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         rows = pin(batch)
-        detections.write(rec.upsert_detections(detections.read(RECORD_SCHEMA, version - 1), rows), version)
-        findings.write(rec.write_findings(findings.read(STATE_SCHEMA, version - 1), rows, module), version)
+        detections.update(RECORD_SCHEMA, lambda old: rec.upsert_detections(old, rows), stream, number)
+        findings.update(STATE_SCHEMA, lambda old: rec.write_findings(old, rows, module), stream, number)
 
     return _start(records, write, checkpoint, trigger or {"processingTime": "10 seconds"})
 
 
+@dataclass
+class Round:
+    """What a backstop round wrote: the table's version, alerts for what opened and resolved, refused findings."""
+
+    version: int
+    alerts: DataFrame
+    rejected: DataFrame
+
+
 def backstop_round(detections: DataFrame, sources: DataFrame, rates: DataFrame | None, findings: Snapshots, now,
-                   module: str = MODULE, resolve_after: int = 1) -> int:
-    """One reconcile of all sources: read the newest findings, write the next version."""
-    fresh = rec.active_findings(detections, sources, rates, now, module=module)
+                   module: str = MODULE, resolve_after: int = 1) -> Round:
+    """One reconcile of all sources on the newest findings."""
+    fresh = pin(rec.active_findings(detections, sources, rates, now, module=module))
     targets = sources.select(F.col("name").alias("target"))
-    done = reconcile(findings.read(STATE_SCHEMA), fresh, targets, now, module, resolve_after)
-    return findings.write(done.state)
+    done = None
+
+    def change(old: DataFrame) -> DataFrame:
+        nonlocal done
+        done = reconcile(old, fresh, targets, now, module, resolve_after)
+        return done.state
+
+    version = findings.update(STATE_SCHEMA, change)
+    return Round(version, transition_alerts(done, now), done.rejected)
 
 
 def _start(df: DataFrame, write: Callable, checkpoint: str, trigger: dict) -> StreamingQuery:
