@@ -110,9 +110,10 @@ def evidence_ip(evidence: Column) -> Column:
 
 
 def sanitize(c: Column, limit: int = LINE_LIMIT) -> Column:
-    """One line of bounded size: CR, LF and NUL become blanks, the rest is cut at ``limit`` bytes."""
+    """One line of bounded size: CR, LF and NUL become blanks, the rest is cut after the last whole character within ``limit`` bytes."""
     one = F.translate(c, "\n\r\0", "   ")
-    cut = F.make_valid_utf8(F.substring(one.cast("binary"), 1, limit).cast("string"))
+    whole = F.make_valid_utf8(F.substring(one.cast("binary"), 1, limit).cast("string"))
+    cut = F.regexp_replace(whole, "\ufffd+$", "")  # what a cut through a character leaves
     return F.when(F.octet_length(one) > limit, F.concat(cut, F.lit("…"))).otherwise(one)
 
 

@@ -50,6 +50,14 @@ def findings_view(state: DataFrame, now: Column, module: str = MODULE, hide_supp
                       "evidence", "first_seen", "last_seen")
 
 
+def findings_of(state: DataFrame, target: str | None = None, fingerprint: str | None = None, module: str = MODULE) -> DataFrame:
+    """The module's findings of one target or with one fingerprint (or both)."""
+    out = state.where(F.col("module") == module)
+    if target is not None:
+        out = out.where(F.col("target") == target)
+    return out if fingerprint is None else out.where(F.col("fingerprint") == fingerprint)
+
+
 def detections_of(detections: DataFrame, source_id: str) -> DataFrame:
     return detections.where(F.col("source_id") == source_id).orderBy(F.desc("last_at"))
 

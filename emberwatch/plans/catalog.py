@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -98,7 +99,7 @@ def auth_classify(spark, sf_dir):
 @query
 def is_ip_documents(spark, sf_dir):
     words = views.load(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \n]+")).alias("w"))
-    out = words.where(F.col("w").rlike(r"^[0-9.]+$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    out = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return out.select("w", "n", net.is_ip(F.col("w")).alias("ip"), net.is_private_ip(F.col("w")).alias("private"))
 
 
@@ -143,6 +144,13 @@ def cooldown(spark, sf_dir):
     return thinning.thin(cands, "k", 2 * DAY * US)
 
 
+@query
+def cooldown_dense(spark, sf_dir):
+    """Every event of a host is a candidate and the cooldown is short: long sessions, many fires."""
+    cands = keyed(spark, sf_dir, "host").groupBy("k", "us").agg(F.min("seq").alias("seq"))
+    return thinning.thin(cands, "k", 3600 * US)
+
+
 @query
 def ewma_baseline(spark, sf_dir):
     _, totals = detectors.egress_totals(views.events(spark, sf_dir), CFG.exfil_window_s)
@@ -171,6 +179,19 @@ _detector("auth_spike", "auth_spike", stored_events)
 _detector("forwarded_finding", "sentinel_finding", views.forwarded)
 
 
+# A cooldown shorter than the windows: every fire starts its window anew.
+SHORT = replace(CFG, brute_failures=2, brute_window_s=4 * DAY, scan_ports=4, scan_window_s=4 * DAY, cooldown_s=DAY // 2)
+
+
+def fire_row(df: DataFrame) -> DataFrame:
+    return df.select("actor", us("last_at").alias("us"), "seq", "count")
+
+
+@query
+def brute_force_short_cooldown(spark, sf_dir):
+    return fire_row(detectors.brute_force(stored_events(spark, sf_dir), SHORT))
+
+
 @query
 def detect_all(spark, sf_dir):
     found = detectors.detect_all(stored_events(spark, sf_dir), CFG)
@@ -468,7 +489,7 @@ def alert_lines_reparsed(spark, sf_dir):
 
 @query
 def sanitize_documents(spark, sf_dir):
-    d = views.load(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
+    d = views.load(spark, sf_dir, "documents")
     s = notify.sanitize(F.col("text"))
     return d.select("doc_id", F.octet_length(s).alias("bytes"), F.md5(s).alias("digest"))
 
@@ -501,6 +522,23 @@ def findings_view(spark, sf_dir):
         {c: us(c) for c in ("first_seen", "last_seen")})
 
 
+@query
+def findings_list(spark, sf_dir):
+    """The plain list, with suppressed findings."""
+    at = F.expr(f"{views.SPLIT} + interval 1 hour")
+    return read.findings_view(state_before(spark, sf_dir), at).withColumns({c: us(c) for c in ("first_seen", "last_seen")})
+
+
+@query
+def findings_of_target(spark, sf_dir):
+    return read.findings_of(state_before(spark, sf_dir), target="src1").select("target", "fingerprint", "title", "status")
+
+
+@query
+def detections_of_source(spark, sf_dir):
+    return record_row(read.detections_of(table(spark, sf_dir), "src1"))
+
+
 @query
 def incidents_view(spark, sf_dir):
     out = read.incidents_view(table(spark, sf_dir), views.sources(spark, sf_dir), F.expr(views.NOW), active_s=3 * DAY)
@@ -525,6 +563,12 @@ def challenges(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return asked, txt, web
 
 
+@query
+def pending_challenges(spark, sf_dir):
+    done = verify.verify_challenges(*challenges(spark, sf_dir))
+    return verify.pending(done.withColumn("state", F.when(F.col("verified"), "verified").otherwise(F.col("state")))).select("domain", "token", "state")
+
+
 @query
 def verify_challenges(spark, sf_dir):
     return verify.verify_challenges(*challenges(spark, sf_dir))

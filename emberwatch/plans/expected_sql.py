@@ -98,7 +98,7 @@ _DOCS = f"with msgs as (select doc_id, text as m, lower(text) as l, '' as app fr
 EXPECTED["src_ip_documents"] = f"{_DOCS} select doc_id, {_FIELDS} from us0"
 EXPECTED["auth_classify"] = f"{_DOCS} select doc_id, {_AUTH} from us0"
 EXPECTED["is_ip_documents"] = f"""with words as (select unnest(regexp_split_to_array(text, '[ \\n]+')) as w from documents),
-  g as (select w, count(*) as n from words where regexp_matches(w, '^[0-9.]+$') group by w),
+  g as (select w, count(*) as n from words group by w),
   p as (select *, regexp_matches(w, '^{_IP}$') as ip, try_cast(split_part(w, '.', 1) as int) as a, try_cast(split_part(w, '.', 2) as int) as b from g)
   select w, n, ip, ip and (a in (10, 127) or (a = 192 and b = 168) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)) as private from p"""
 EXPECTED["actor"] = f"""with {EV} select case seq % 3 when 0 then ip when 1 then 'user:' || usr else host end as actor, count(*) as n from ev group by 1"""
@@ -114,13 +114,14 @@ EXPECTED["forwarded_tokens"] = f"""with {_BAIT} select product, sev as severity,
 
 
 def _n(key: str, w: int) -> str:
-    return f"""(row_number() over (partition by {key} order by us, seq)
-      - count(*) over (partition by {key} order by us range between unbounded preceding and {w + 1} preceding))"""
+    """Rows of the key in [us-w, us] less those that follow in the same microsecond."""
+    return f"""(count(*) over (partition by {key} order by us range between {w} preceding and current row)
+      - count(*) over (partition by {key}, us order by seq rows between 1 following and unbounded following))"""
 
 
 def _total(w: int) -> str:
-    return f"""(sum(bytes) over (partition by host order by us, seq rows between unbounded preceding and current row)
-      - coalesce(sum(bytes) over (partition by host order by us range between unbounded preceding and {w + 1} preceding), 0))"""
+    return f"""(sum(bytes) over (partition by host order by us range between {w} preceding and current row)
+      - coalesce(sum(bytes) over (partition by host, us order by seq rows between 1 following and unbounded following), 0))"""
 
 
 def _distinct(rows: str, w: int) -> str:
@@ -153,6 +154,10 @@ EXPECTED["ewma_baseline"] = f"""with recursive {EV}, {_TOTALS}
 # --- detectors -----------------------------------------------------------------------------------
 
 
+EXPECTED["cooldown_dense"] = f"""with recursive {EV}, cand as (select host as k, us, min(seq) as seq from ev group by all), {_fires(3_600_000_000)}
+  select k, us, seq from fires join cand using (k, us)"""
+
+
 def _segments(rows: str = "rows") -> str:
     """The firing row of each fire and what it closes: cand has (k, us, seq, pos, n)."""
     return f"""one as (select k, us, min(pos) as pos from cand group by k, us),
@@ -178,6 +183,13 @@ _SCAN_ROWS = "srows as (select ip as k, us, seq, pos, host, usr, raw, source_id,
 EXPECTED["brute_force"] = f"""with recursive {EV}, {_BRUTE_CTE}, cand as (select * from brows where n >= 3), {_fires(5 * DAY)}, {_segments('brows')} {_BRUTE} from hit"""
 EXPECTED["port_scan"] = f"""with recursive {EV}, {_SCAN_ROWS}, cand as (select s.*, d as n from srows s join {_distinct('srows', DAY)} x on x.seq = s.seq where d >= 6),
   {_fires(5 * DAY)}, {_segments('srows')} {_SCAN} from hit"""
+EXPECTED["brute_force_short_cooldown"] = f"""with recursive {EV},
+  r as (select ip as k, us, seq, row_number() over (partition by ip order by us, seq) as i from ev where auth = 'failure'),
+  fires as (select k, us, seq, i, cast(0 as bigint) as before from r where exists (select 1 from r o where o.k = r.k and o.i = r.i - 1 and o.us >= r.us - {4 * DAY})
+      qualify i = min(i) over (partition by k)
+    union all select n.k, n.us, n.seq, n.i, f.i from fires f join r n on n.k = f.k and n.i = (select min(x.i) from r x join r o on o.k = x.k and o.i = x.i - 1 and o.us >= x.us - {4 * DAY}
+      where x.k = f.k and x.i >= f.i + 2 and x.us >= f.us + {DAY // 2}))
+  select k as actor, us, seq, (select count(*) from r o where o.k = fires.k and o.i > fires.before and o.i <= fires.i and o.us >= fires.us - {4 * DAY}) as count from fires"""
 _SIZE = "case when total < 1073741824 then printf('%.1f MB', total / 1048576.0) else printf('%.1f GB', total / 1073741824.0) end"
 EXPECTED["exfil"] = f"""with recursive {EV}, {_TOTALS}, cand as (select * from tot join base using (k, rn) where total >= 52428800 and b0 <> 0 and total >= 4 * b0),
   {_fires(5 * DAY)}, {_segments('tot')}
@@ -262,7 +274,7 @@ REC = EV + f""", rec as (
     'k=' || k as detail, case when k % 5 = 0 then '' else raw end as evidence,
     case kind when 'brute_force' then '{_FIX_BRUTE}' else '{_FIX_ADMIN}' end as fix, cast(k as bigint) as count,
     us - k * 60000000::bigint as first_us, us as last_us, seq, pos
-  from (select *, case when auth = 'failure' then 'brute_force' else 'new_admin' end as kind from ev where et in ('error', 'signup')))"""
+  from (select *, case when auth = 'failure' then 'brute_force' else 'new_admin' end as kind from ev))"""
 
 
 def _upsert(src: str) -> str:
@@ -371,11 +383,11 @@ EXPECTED["diff_findings"] = f"""with {REC}, old as (select * from rec where last
 _REQ = """req as (select page_id as seq, page_id as n, case when page_id % 11 = 0 then '' else 'p' || (page_id % 50) end as name,
     ['syslog', 'file', 'journald', 'docker', 'windows', 'ftp'][page_id % 6 + 1] as type, ['udp', 'path', 'unit', 'container', 'tcp'][page_id % 5 + 1] as pk,
     case when page_id % 7 = 0 then '' else url end as pv from pages)"""
-_ERR = """case when name = '' then 'a source name is required'
-    when type in ('syslog', 'windows') and not (pk in ('udp', 'tcp') and pv <> '') then 'a ' || type || ' source needs a udp and/or tcp listen address (e.g. 0.0.0.0:5514)'
-    when type = 'file' and not (pk = 'path' and pv <> '') then 'a file source needs a path'
-    when type = 'docker' and not (pk = 'container' and pv <> '') then 'a docker source needs a container name or id'
-    when type = 'ftp' then 'unknown source type "ftp"' end"""
+_ERR = """case when name = '' then 'the name is empty'
+    when type in ('syslog', 'windows') and not (pk in ('udp', 'tcp') and pv <> '') then type || ': give an address to listen on as udp or tcp'
+    when type = 'file' and not (pk = 'path' and pv <> '') then 'file: give its path'
+    when type = 'docker' and not (pk = 'container' and pv <> '') then 'docker: give the container'
+    when type = 'ftp' then 'no such type: ftp' end"""
 EXPECTED["validate_sources"] = f"with {_REQ} select seq, name, type, {_ERR} as error from req"
 EXPECTED["put_sources"] = f"""with {EV}, {_SRC}, {_REQ}, named as (select * replace (case when n % 13 = 0 then 'src' || (n % 4) else name end as name) from req),
   chk as (select *, {_ERR} as error from named), good as (select name, arg_max(type, seq) as type, arg_max(pv, seq) as pv, min(seq) as first_ from chk where error is null group by 1),
@@ -383,7 +395,7 @@ EXPECTED["put_sources"] = f"""with {EV}, {_SRC}, {_REQ}, named as (select * repl
   lim as (select *, r + (select count(*) from src) > 20 as over_ from fresh)
   select name, type, pv as value, {NOW_US} as created_at, 'kept' as what from lim where not over_
   union all select src.name, coalesce(good.type, src.type), coalesce(good.pv, '/logs/' || src.name), created_at, 'kept' from src left join good using (name)
-  union all select name, type, '1', null, 'source limit reached for your tier — upgrade to add more' from lim where over_
+  union all select name, type, '1', null, 'no room for another source' from lim where over_
   union all select name, type, cast(count(*) as varchar), null, error from chk where error is not null group by name, type, error"""
 
 # --- alerts --------------------------------------------------------------------------------------
@@ -419,8 +431,8 @@ EXPECTED["alert_lines"] = f"""with {_LINE} select seq, '<' || pri || '>' || strf
 EXPECTED["alert_lines_reparsed"] = f"""with {_LINE}
   select seq, epoch_us(date_trunc('second', t)) as us, 'collector' as host, module as app, pri % 8 as severity, src as src_ip, module as product, severity as level,
     case when kind = 'resolved' then 'resolved' else 'open' end as status from ln"""
-EXPECTED["sanitize_documents"] = """with d as (select doc_id, translate(text, chr(10) || chr(13), '  ') as t from documents where strlen(text) = length(text)),
-  s as (select doc_id, case when strlen(t) > 1600 then left(t, 1600) || '…' else t end as t from d) select doc_id, strlen(t) as bytes, md5(t) as digest from s"""
+EXPECTED["sanitize_documents"] = """with d as (select doc_id, translate(text, chr(10) || chr(13), '  ') as t from documents),
+  s as (select doc_id, case when strlen(t) > 1600 then left(t, (select max(i) from generate_series(400, 1600) g(i) where strlen(left(t, i)) <= 1600)) || '…' else t end as t from d) select doc_id, strlen(t) as bytes, md5(t) as digest from s"""
 
 # --- read side and ownership ---------------------------------------------------------------------
 
@@ -429,6 +441,9 @@ EXPECTED["summary"] = f"""with {STATE}, {_SRC}, c as (select severity, count(*)
   select 'Emberwatch' as product, (select string_agg(severity || '=' || n, ',' order by severity) from c) as counts, (select cast(coalesce(sum(n), 0) as bigint) from c) as open_total, (select count(*) from src) as targets"""
 EXPECTED["findings_view"] = f"""with {STATE} select fingerprint, target, "check", title, severity, status, remediation, evidence, first_seen, last_seen from st
   where status <> 'suppressed' and not (status = 'resolved' and (resolved_at is null or {SPLIT_US + 3_600_000_000} - resolved_at > {DAY}))"""
+EXPECTED["findings_list"] = EXPECTED["findings_view"].replace("status <> 'suppressed' and ", "")
+EXPECTED["findings_of_target"] = f"with {STATE} select target, fingerprint, title, status from st where target = 'src1'"
+EXPECTED["detections_of_source"] = f"with {TABLE} {_REC_OUT} from tbl where source_id = 'src1'"
 EXPECTED["incidents_view"] = f"""with {TABLE}, {_SRC} select "key", source_id as source, chk as "check", severity, actor, target, title, detail, evidence, count,
   strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%SZ') as first_at, strftime(make_timestamp(last_us), '%Y-%m-%dT%H:%M:%SZ') as last_at, false as incident
   from tbl where last_us >= {NOW_US - 3 * DAY} and source_id in (select name from src)"""
@@ -438,3 +453,4 @@ EXPECTED["verify_challenges"] = f"""with p as (select *, {_HOST} as domain from
   m as (select domain, cast(t as varchar) as token, 'pending' as state, case when exists (select 1 from p where p.domain = c.domain and p.page_id = c.t and t % 2 = 0) then 'dns'
     when exists (select 1 from p where p.domain = c.domain and p.page_id = c.t and t % 3 = 0) then 'http' else '' end as method from c)
   select domain, token, state, method <> '' as verified, method from m"""
+EXPECTED["pending_challenges"] = f"select domain, token, 'pending' as state from ({EXPECTED['verify_challenges']}) where not verified"

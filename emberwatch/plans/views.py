@@ -74,10 +74,10 @@ NOW = "timestamp '2024-01-31 00:00:00'"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures and signups of ``events`` as detection records, in the layout of the keyed table."""
+    """All ``events`` as detection records, in the layout of the keyed table."""
     e, k = events(spark, sf_dir), F.col("dst_port") - 20
     kind = F.when(F.col("auth") == "failure", "brute_force").otherwise("new_admin")
-    return e.where("raw like '% error' or raw like '% signup'").select(
+    return e.select(
         "source_id", F.concat(kind, F.lit("|"), F.col("user"), F.lit("|"), (k % 20).cast("string")).alias("key"),
         F.concat(F.lit("detect."), kind).alias("check"),
         F.when(k < 10, "critical").when(k < 30, "high").when(k < 60, "medium").when(k < 95, "low").otherwise("odd").alias("severity"),
