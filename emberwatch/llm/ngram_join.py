@@ -4,18 +4,19 @@ A document's set holds its distinct ``K``-word shingles as 64-bit hashes. Docume
 node, so copies cost nothing. Two nodes link if 100 * intersection >= 85 * union. Candidates come from
 two indexes, each used where it is sharp:
 
-* Every set is ordered by hash. Its prefix is extended so far that linked sets share at least
-  ``COMBINE`` tokens of their prefixes. Tokens in at most ``RARE`` prefixes are indexed singly, and
-  the nodes of such a token are paired directly (at most RARE - 1 partners a row).
-* Linked sets that share no rare token share COMBINE frequent ones. For the nodes that have so many,
+* Every set is ordered by hash. Its prefix is extended so far that linked sets share a number of
+  tokens of their prefixes that grows with their size (``shared``). Tokens in at most ``RARE`` prefixes
+  are indexed singly, and the nodes of such a token are paired directly (at most RARE - 1 partners a row).
+* Linked sets that share no rare token share that many frequent ones. For the nodes that have so many,
   the prefix is extended to the whole set and dealt into classes, more of them than linked sets can
   differ in tokens; the tokens of a class are one combination. Linked sets have at least one
-  combination in common, while sets that merely share a passage hardly ever do.
+  combination in common, while sets that merely share a passage hardly ever do. Again, the nodes of a
+  combination that at most RARE nodes have are paired directly.
 
-The nodes of one combination are compared with its smallest node, the hub, never with each other: two
-of them that are not both linked to the hub can only link if what distinguishes them from the hub
-overlaps. These differences are joined by prefixes in turn, rare tokens first. So a group of n near
-copies costs n comparisons, not n * n / 2, and no pair is lost. Components then follow from the links.
+The nodes of a frequent combination are compared with its smallest node, the hub, never with each
+other: two of them that are not both linked to the hub can only link if what distinguishes them from
+the hub overlaps. These differences are joined by prefixes in turn, rare tokens first. So a group of n
+near copies costs n comparisons, not n * n / 2, and no pair is lost. Components then follow from the links.
 
 Defined cases: A-Z are lower-cased, words are runs of bytes other than ASCII white space; a text with
 fewer than K words is one shingle; without words, or null, it has no shingle and links with nothing;
@@ -28,19 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.llm.arrow import chunks, grams, ints, mix, signed, utf8, word_hashes
 from emberwatch.llm.components import components
 from emberwatch.plans.lineage import pin
 
 K, PERCENT = 4, 85
-#: Prefixes a token may be in to be indexed singly; tokens that linked prefixes share.
-RARE, COMBINE = 16, 4
+#: Prefixes a token, or nodes a combination, may be in to be indexed directly.
+RARE = 16
 #: Classes beyond the possible differences, and so the empty classes that a set may have.
 SPARE = 2
 
 
+def shared(n):
+    """Tokens that the prefixes of linked sets share, the smaller one having ``n`` tokens (6 or more)."""
+    return 4 + (n - n % 50) / 50 if isinstance(n, Column) else 4 + n // 50
+
+
 def max_difference(total: int) -> int:
     """Largest symmetric difference of linked sets with ``total`` tokens together."""
     return (100 - PERCENT) * total // (100 + PERCENT)
@@ -118,7 +124,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             keep &= size > 0
             begin = np.cumsum(size) - size
             at = np.arange(len(token)) - begin[trow]
-            length = np.minimum(size, size + (-PERCENT * size // 100) + COMBINE)  # n - ceil(.85 n) + COMBINE
+            length = np.minimum(size, size + (-PERCENT * size // 100) + shared(size))  # n - ceil(.85 n) + shared(n)
             use = keep[trow] & (at < length[trow])
             token, trow, at = token[use], trow[use], at[use]
             order = np.argsort(token, kind="stable")
@@ -302,25 +308,30 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own without any)."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     named = pin(nodes(d))
-    met = pin(_met(prefixes(d)))
-    frequent = met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("f"))
-    touched = pin(frequent)
-    # Linked prefixes share COMBINE tokens: those that are not rare must be frequent ones of both nodes.
-    f = lambda side: touched.select(F.col("node").alias(side), F.col("f").alias(f"f{side}"))
+    sized = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min("n").alias("n"))
+    met = pin(_met(prefixes(d)), release=True)
+    # Linked prefixes share so many tokens: those that are not rare are frequent ones of both nodes.
+    touched = pin(met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("f")).join(sized, "node"))
+    side = lambda x: touched.select(F.col("node").alias(x), F.col("f").alias(f"f{x}"))
+    size = lambda x: sized.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    some = lambda x: F.coalesce(x, F.lit(0))
     rare = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    rare = rare.join(f("a"), "a", "left").join(f("b"), "b", "left").where(
-        (F.col("c") >= COMBINE) | (F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) + F.col("c") >= COMBINE))
+    rare = rare.join(size("a"), "a").join(size("b"), "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
+        F.col("c") + F.least(some("fa"), some("fb")) >= shared(F.least("na", "nb")))
     rare = pin(rare.select("a", "b"))
-    many = touched.where(F.col("f") >= COMBINE).select("node")
-    wanted = rare.select(F.col("a").alias("node")).union(rare.select("b")).union(many).distinct()
+    many = touched.where(F.col("f") >= shared(F.floor(F.col("n") * PERCENT / 100))).select("node", "_id")
+    wanted = rare.select(F.col("a").alias("node")).union(rare.select("b")).distinct().join(sized, "node").select("_id").union(many.select("_id")).distinct()
     # one document stands for each wanted node; only their texts are read again
-    stand = pin(named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(wanted, "node", "left_semi").select("_id"))
-    token_sets = pin(_token_sets(d.join(stand, d["doc_id"] == stand["_id"], "left_semi")))
+    stand = pin(wanted)
+    token_sets = pin(_token_sets(d.join(stand, d["doc_id"] == stand["_id"], "left_semi")), release=True)
     keys = pin(_combinations(token_sets.join(many, "node", "left_semi")))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a != _z").drop("_z")
-    star = keys.join(hubs, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    pairs = star.withColumn("hub", F.lit(True)).unionByName(rare.withColumn("hub", F.lit(False)))
-    checked = pin(_differences(pairs, token_sets))
+    held = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    owned = pin(keys.join(held, "key"), release=True)
+    few = owned.where(F.col("c") <= RARE).select("key", "node")
+    direct = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    star = owned.where((F.col("c") > RARE) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = star.withColumn("hub", F.lit(True)).unionByName(direct.union(rare).distinct().withColumn("hub", F.lit(False)))
+    checked = pin(_differences(pairs, token_sets), release=True)
     links = checked.where("linked").select("a", "b")
     comp = pin(components(links))
     more = pin(_rest(checked.where("hub"), comp))
@@ -334,5 +345,5 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those linked, directly or not, to one with a smaller id; all columns kept."""
-    out = pin(join(docs, doc_id, text).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(out, F.col(doc_id) == F.col("_gone"), "left_anti")
+    out = pin(join(docs, doc_id, text).where("component_id != doc_id").select(F.col("doc_id").alias("gone")))
+    return docs.join(out, docs[doc_id] == out["gone"], "left_anti")
