@@ -111,10 +111,14 @@ def brute_force(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         fires = restarting(rows, "k", cfg.brute_window_s * SECOND, cooldown, cfg.brute_failures).drop("values")
     else:
         fires = _brute_fires(rows, cfg)
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
+    return brute_detections(close_segments(rows, fires, cooldown, cfg.evidence_max), cfg)
+
+
+def brute_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """Fires (k, us, seq, count, first_us, evidence, host, user, source_id) of a batch or a stream, described."""
     k, n = F.col("k"), F.col("count")
     return finish(
-        out, "brute_force", severity=F.lit("high"), actor=k, key=_text("brute|", k),
+        fires, "brute_force", severity=F.lit("high"), actor=k, key=_text("brute|", k),
         title=_text("Brute force: ", n, " failed logins from ", k),
         detail=_text(n, f" authentication failures within {span_text(cfg.brute_window_s)} (target ",
                      or_default(F.col("host"), "any"), ")."),
@@ -143,10 +147,13 @@ def port_scan(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         fires = restarting(rows, "k", cfg.scan_window_s * SECOND, cooldown, 1, "dst_port", need).drop("count").withColumnRenamed("values", "count")
     else:
         fires = _scan_fires(rows, cfg)
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
+    return scan_detections(close_segments(rows, fires, cooldown, cfg.evidence_max), cfg)
+
+
+def scan_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
     k, n = F.col("k"), F.col("count")
     return finish(
-        out, "scan", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("scan|", k),
+        fires, "scan", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("scan|", k),
         title=_text("Port scan: ", k, " hit ", n, " distinct ports"),
         detail=_text(n, f" distinct destination ports within {span_text(cfg.scan_window_s)}."),
     )
@@ -228,10 +235,14 @@ def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         fires = restarting(rows, "k", width, cooldown, cfg.spike_min, "_src", cfg.spike_sources).withColumnRenamed("values", "_sources")
     else:
         fires = _spike_fires(rows, cfg)
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
+    return spike_detections(close_segments(rows, fires, cooldown, cfg.evidence_max), cfg)
+
+
+def spike_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """``fires`` also has ``_sources``, the number of different sources."""
     k, n, src = F.col("k"), F.col("count"), F.col("_sources")
     return finish(
-        out, "auth_spike", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("spike|", k),
+        fires, "auth_spike", severity=F.lit("medium"), actor=k, user=F.lit(""), key=_text("spike|", k),
         title=_text("Distributed auth-failure spike on ", k, ": ", n, " from ", src, " sources"),
         detail=_text(n, " auth failures on ", k, " from ", src,
                      f" distinct sources within {span_text(cfg.spike_window_s)} — looks like credential stuffing."),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from emberwatch.functions.fields import actor, token
 from emberwatch.functions.text import or_default
 from emberwatch.model import ChainConfig, DetectConfig
+from emberwatch.operators import detectors
 from emberwatch.streaming.ordered import SECOND, OrderedProcessor, run_ordered
 
 _ROW = "us bigint, seq bigint, v string, n bigint, raw string, host string, user string, source_id string"
@@ -157,6 +158,22 @@ STREAM_DETECTORS: dict[str, StreamDetector] = {
 }
 
 
+DESCRIBED = {
+    "brute_force": detectors.brute_detections,
+    "scan": detectors.scan_detections,
+    "auth_spike": detectors.spike_detections,
+}
+
+
+def described(fires: DataFrame, kind: str, cfg: DetectConfig) -> DataFrame:
+    """The fires of a stream detector of a kind in ``DESCRIBED`` as detections, worded as in a batch.
+
+    These are what ``records.detection_records`` and ``detection_steps`` take, so a stream of them feeds
+    ``jobs.record_sink`` and, landed, the correlation.
+    """
+    return DESCRIBED[kind](fires.withColumnRenamed("sources", "_sources"), cfg)
+
+
 class ChainProcessor(OrderedProcessor):
     """Per actor: the latest scan and brute force, closed by a login or a forwarded finding."""
 

@@ -48,6 +48,9 @@ def test_stream_equals_batch(spark, tmp_path, kind):
     want = detectors.DETECTORS[kind](events_df(spark, rows), CFG).select(
         F.unix_micros("last_at").alias("us"), "seq", "count", F.unix_micros("first_at").alias("f"), "evidence", "target").collect()
     assert fired and fired == sorted((r.us, r.seq, r["count"], r.f, tuple(r.evidence), r.target) for r in want)
+    if kind in online.DESCRIBED:
+        texts = lambda df: sorted(map(tuple, df.where("seq < 1000000").select("seq", "actor", "title", "detail", "key", "severity", "ord").collect()))
+        assert texts(online.described(got, kind, CFG)) == texts(detectors.DETECTORS[kind](events_df(spark, rows), CFG))
 
 
 def test_chain_stream_equals_batch(spark, tmp_path):
