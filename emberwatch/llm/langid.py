@@ -44,11 +44,13 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """(lang, gram, n): how often each byte with its ORDER bytes before it occurs per language.
 
-    A task counts its own texts first, so a language with most of the rows adds a few rows per batch.
+    A task sums up its own texts first, a piece at a time, so a language with most of the rows adds one
+    row per gram and task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 16 << 20):
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in chunks(batches, "text", 1 << 20):
             langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
             for name in sorted(set(langs)):
                 mine = batch.column("text").filter(pa.array(langs == name))
@@ -61,7 +63,14 @@ def counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
                     at = begins[1:-1] - ORDER + j
                     inside[at] = False
                 grams, n = np.unique(gram[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                if name in sums:
+                    grams, at = np.unique(np.concatenate([sums[name][0], grams]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([sums[name][1], n]), len(grams)).astype(np.int64)
+                sums[name] = grams, n
+        for name, (grams, n) in sums.items():
+            for i in range(0, len(grams), 50_000):
+                g = grams[i : i + 50_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null and text != ''")
     return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -134,7 +143,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` with the predicted language and its score, under ``names``, for every row."""
-    given, = fresh(docs, "_text")
+    given = text if text in keep else fresh(docs, "_text")[0]
+    sent = [*keep] if text in keep else [*keep, F.col(text).alias(given)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [docs.schema[c] for c in keep]
 
@@ -155,7 +165,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 [f.name for f in kept] + list(names))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{names[0]}` string, `{names[1]}` double"
-    return docs.select(*keep, F.col(text).alias(given)).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

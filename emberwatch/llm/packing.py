@@ -29,37 +29,76 @@ LIMIT, END = 4096, 1
 PART_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+#: Marks that may end a word; none of them starts a pattern of its own.
+PUNCTUATION = ".,;:!?)"
+
 _TOKENIZER: dict = {}
 
 
 class Tokens:
     """Token ids of texts as little-endian bytes, with a memory of words seen before.
 
-    The tokenizer splits at white space and drops it, so the ids of a text are those of its
-    space-separated chunks in a row. The memory is per worker process and emptied when it is full.
+    The tokenizer splits at white space and drops it, splits letters from other characters and folds
+    case, so the ids of a text are those of its space-separated chunks in a row, and those of a word with
+    trailing punctuation are the word's and the punctuation's. The memory is per worker process and
+    emptied when it is full.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, got)}
+    def _apart(self, chunks_: list[str]) -> None:
+        for chunk, got in zip(chunks_, self.tokenizer.encode_batch_fast(chunks_, add_special_tokens=False)):
+            self.known[chunk] = np.asarray(got.ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters only, as one text whose ids are then split by word."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        owner = np.asarray(got.word_ids, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        if len(first) != len(words):  # folding has split a word
+            return self._apart(words)
+        ids, ends = np.asarray(got.ids, "<u4").tobytes(), (4 * np.append(first[1:], len(owner))).tolist()
+        start = 0
+        for word, end in zip(words, ends):
+            self.known[word] = ids[start:end]
+            start = end
+
+    def learn(self, new: set[str]) -> None:
+        known, words, apart, joined = self.known, set(), [], []
+        for chunk in new:
+            word = chunk.rstrip(PUNCTUATION)
+            if not word.isalpha():
+                apart.append(chunk)
+                continue
+            tail = chunk[len(word) :]
+            word = word.lower() if word.isascii() else word
+            if word not in known:
+                words.add(word)
+            if tail not in known:
+                self._apart([tail])
+            if word != chunk:
+                joined.append((chunk, word, tail))
+        words_ = list(words)
+        for i in range(0, len(words_), 2_000):
+            self._words(words_[i : i + 2_000])
+        for i in range(0, len(apart), 2_000):
+            self._apart(apart[i : i + 2_000])
+        for chunk, word, tail in joined:
+            known[chunk] = known[word] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split).difference(known)
-        if len(known) + len(new) > self.room:
+        if len(known) + 2 * len(new) > self.room:
             known.clear()
             known[""] = b""
             new = set().union(*split).difference(known)
-        new_list = list(new)
-        for i in range(0, len(new_list), 20_000):
-            known.update(self.learn(new_list[i : i + 20_000]))
+        self.learn(new)
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
