@@ -255,14 +255,14 @@ def _linked(common, n, m):
 
 
 def _differences(pairs: DataFrame, token_sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, linked, delta) of (a, b): delta is what tells b from a, tokens a lacks as they are, those b lacks inverted."""
+    """(a, b, na, nb, linked, delta) of (a, b): delta is what tells b from a: first the ``fresh`` tokens that a lacks, then inverted those that b lacks."""
     left = token_sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = token_sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) or hub")
     new, gone = F.array_except("tb", "ta"), F.array_except("ta", "tb")
     delta = F.concat(new, F.transform(gone, lambda t: F.bitwise_not(t)))
     out = both.select("a", "b", "na", "nb", "hub", F.size(new).alias("_new"), F.when(F.col("hub"), delta).alias("delta"))
-    return out.withColumn("linked", _linked(F.col("nb") - F.col("_new"), F.col("na"), F.col("nb"))).drop("_new")
+    return out.withColumn("linked", _linked(F.col("nb") - F.col("_new"), F.col("na"), F.col("nb"))).withColumn("fresh", F.col("_new")).drop("_new")
 
 
 def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -276,26 +276,33 @@ def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
     c = comp.select(F.col("node").alias("b"), "component")
     m = members.join(c, "b", "left").withColumn("comp", F.coalesce("component", "b")).drop("component").withColumn("d", F.size("delta")).where("d > 0")
     open_ = m.join(m.where("not linked").select("a").distinct(), "a", "left_semi")  # hubs that some member does not link to
-    open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "d", "linked", "delta"))
-    each = open_.select("a", "b", F.explode("delta").alias("t"))
+    open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "d", "linked", "fresh", "delta"))
+    each = open_.select("a", "b", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
     df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per, total = 100 - PERCENT, 100 + PERCENT
     # a partner of x has at least d(x) - H differences, and one of x and its partner does not link to the hub
     most = F.expr(f"floor({per} * (n + floor(n * 100 / {PERCENT})) / {total})").cast("bigint")
     # for a linked y: d(x) > c (n(x) + n(h)) and n(h) - n(y) >= -d(y), so more than d(y) (1 - c) / 2 are shared
     keep = F.expr(f"if(linked, d - floor(d * {2 * PERCENT} / {2 * total}), d - ceil(greatest(d + greatest(1, d - most) - most, 2) / 2) + 1)").cast("int")
-    shared = each.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("common"))
-    ranked = open_.withColumn("most", most).withColumn("keep", F.greatest(keep, F.lit(0))).drop("delta").join(shared, ["a", "b"])
-    # tokens that no other member has come first in the order; they meet nothing
-    alone = F.col("d") - F.size("common")
-    use = F.slice("common", 1, F.greatest(F.col("keep") - alone, F.lit(0)))
-    index = ranked.select("a", "b", "n", "comp", "d", "linked", alone.alias("alone"), F.posexplode(use).alias("i", "x")).select("a", "b", "n", "comp", "d", "linked", (F.col("alone") + F.col("i")).alias("at"), F.col("x.t").alias("t"))
+    shared_ = each.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("gone", "df", "t"))).alias("common"))
+    ranked = open_.withColumn("most", most).withColumn("keep", F.greatest(keep, F.lit(0))).withColumn(
+        "lost", F.col("d") - F.col("fresh")).drop("delta").join(shared_, ["a", "b"])
+    # The order of a difference: what is new before what is gone; in either, tokens no other member has first
+    # (they meet nothing), then by number of members.
+    numbered = ranked.withColumn("new_common", F.size(F.filter("common", lambda x: ~x["gone"]))).select(
+        "a", "b", "n", "comp", "d", "linked", "fresh", "lost", "keep", "new_common", F.size("common").alias("all_common"), F.posexplode("common").alias("i", "x"))
+    at = F.when(F.col("x.gone"), F.col("d") - F.col("all_common") + F.col("i")).otherwise(F.col("d") - F.col("lost") - F.col("new_common") + F.col("i"))
+    index = numbered.select("a", "b", "n", "comp", "d", "linked", "fresh", "lost", "keep", at.alias("at"), F.col("x.t").alias("t"), F.col("x.gone").alias("gone")).where("at < keep").drop("keep")
     index = pin(index)
-    other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "d", "linked", "at")])
+    other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "d", "linked", "fresh", "lost", "at")])
     need = F.expr(f"d + d2 - floor({per} * (n + n2) / {total})")
+    # It suffices that the first shared token in the order meets. From it on, both must have as many tokens as
+    # must be shared: new ones from its place and gone ones, or, if it is a gone one itself, gone ones from its place.
+    left = lambda x: F.when(F.col("gone"), F.col(f"d{x}") - F.col(f"at{x}")).otherwise(F.col(f"fresh{x}") - F.col(f"at{x}"))
+    rest = F.least(left(""), left("2")) + F.when(F.col("gone"), 0).otherwise(F.least("lost", "lost2"))
     met = index.join(other, ["a", "t"]).where(
         (F.col("b") < F.col("b2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("linked") & F.col("linked2"))
-        & (2 * F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2")) + 2 * F.least("at", "at2") >= need)
+        & (2 * rest >= need)
         & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")))
     asked = met.select("a", "b", "b2").distinct()
     one = open_.select("a", "b", "n", "d", "delta")
@@ -323,7 +330,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     wanted = rare.select(F.col("a").alias("node")).union(rare.select("b")).distinct().join(sized, "node").select("_id").union(many.select("_id")).distinct()
     # one document stands for each wanted node; only their texts are read again
     stand = pin(wanted)
-    token_sets = pin(_token_sets(d.join(stand, d["doc_id"] == stand["_id"], "left_semi")), release=True)
+    # The ids grow with the documents: the same join at every size, no broadcast while they are few.
+    token_sets = pin(_token_sets(d.join(stand.hint("merge"), d["doc_id"] == stand["_id"], "left_semi")), release=True)
     keys = pin(_combinations(token_sets.join(many, "node", "left_semi")))
     held = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     owned = pin(keys.join(held, "key"), release=True)
