@@ -44,7 +44,7 @@ class Tokens:
     emptied when it is full.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
