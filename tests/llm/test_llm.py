@@ -140,6 +140,35 @@ def test_passages(spark):
     assert rows[2].src_doc_id == 0 and rows[2].start_word == 30 and rows[2].n_words == 79 and rows[2].src_n_words == 80 and 0.97 < rows[2].identity < 1
 
 
+def brute_identity(a, b):
+    """Share of words on the best diagonal of two passages, from their first to their last equal word."""
+    same = [i for i, (x, y) in enumerate(zip(a, b)) if x == y]
+    return len(same) / (same[-1] - same[0] + 1), same[-1] - same[0] + 1
+
+
+def test_passages_with_edits_down_to_the_least_identity(spark):
+    r = random.Random(8)
+    draw = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    texts, want = [], {}
+    for every in (5, 6, 8, 10, 12, 20):  # identities 0.8 to 0.95
+        for size in (60, 100):
+            for first in range(0, every, 2):
+                passage = draw(size)
+                edited = [f"edit{i}" if i % every == first else w for i, w in enumerate(passage)]
+                texts.append(" ".join(draw(20) + passage + draw(20)))
+                texts.append(" ".join(draw(30) + edited + draw(10)))
+                want[len(texts) - 1] = brute_identity(passage, edited)
+    want = {i: x for i, x in want.items() if x[0] >= 0.8}
+    assert len(want) > 40
+    rows = {x.doc_id: x for x in passages.passages(table(spark, texts)).collect()}
+    assert set(rows) == set(want)
+    for i, (_, n) in want.items():
+        x = rows[i]
+        assert x.src_doc_id == i - 1 and n - 2 * passages.K <= x.n_words <= n  # an end of under K words past an edit is no seed
+        own, other = texts[i].split()[x.start_word :][: x.n_words], texts[i - 1].split()[x.src_start_word :][: x.src_n_words]
+        assert math.isclose(x.identity, brute_identity(own, other)[0], abs_tol=1e-5) and x.identity >= 0.8
+
+
 def test_chains_match_a_quadratic_chaining():
     r = random.Random(1)
     for _ in range(40):
