@@ -24,8 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    clean, (dropped,) = site_lines.drop_boilerplate(docs), fresh(docs, "n_dropped")
+    """Documents without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies are still in, so equal texts count once: what only copies repeat is content, not boilerplate.
+    """
+    clean, (dropped,) = site_lines.drop_boilerplate(docs, per_text=True), fresh(docs, "n_dropped")
     return clean.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -7,7 +7,9 @@ host's pages, all other lines stay as they are and in order.
 Defined cases: blank lines are never boilerplate; a line repeated inside a page counts once for the
 page; a null host is a host of its own; a null text stays null and counts as a page; a text of which
 every line is dropped becomes empty; a page id that occurs twice counts as two pages, told apart by
-nothing but the row, so pages are counted per row. Extra columns are kept.
+nothing but the row, so pages are counted per row. Extra columns are kept. With ``per_text`` the equal texts
+of a host count as one page, so that copies do not make their own lines boilerplate; lines are dropped
+from all of them.
 """
 
 from __future__ import annotations
@@ -29,28 +31,31 @@ def _key(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r", "  "))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, per_text: bool = False) -> DataFrame:
     """(_host, _drop): per host the sorted hashes of its boilerplate lines.
 
     A host has at most (lines per page) / ratio of them, however many pages it has. Lines are counted
     by host and hash: combined before the shuffle, a line in every page is a few rows.
     """
     rows = pages.select(F.col(host).alias("_host"), F.col(text).alias("_t"))
-    totals = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     kept = F.array_distinct(F.transform(F.filter(_lines(F.col("_t")), lambda x: _key(x) != ""), lambda x: F.xxhash64(_key(x))))
+    if per_text:  # only the lines' hashes travel
+        rows = rows.groupBy("_host", F.xxhash64("_t").alias("_h"), F.length("_t").alias("_l")).agg(F.first(kept).alias("_k"))
+        kept = F.col("_k")
+    totals = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     seen = rows.select("_host", F.explode(kept).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     often = seen.where(F.col("_n") >= min_pages).join(totals, seen["_host"].eqNullSafe(totals["_host"])).where(F.col("_n") > F.col("_pages") * F.lit(ratio))
     return often.groupBy(seen["_host"].alias("_host")).agg(F.sort_array(F.collect_list("_line")).alias("_drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, per_text: bool = False) -> DataFrame:
     """``pages`` without boilerplate lines, plus ``n_dropped`` (long): lines taken out of the page.
 
     If the pages have a column of that name already, the new one gets an underscore in front.
     """
     key, gone, n = fresh(pages, "_dhost", "_drop", "n_dropped")
     # Written once: its size is then known, and the planner broadcasts it only if it is small.
-    drop = pin(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("_host").alias(key), F.col("_drop").alias(gone))
+    drop = pin(boilerplate(pages, host, text, ratio, min_pages, per_text)).select(F.col("_host").alias(key), F.col("_drop").alias(gone))
     joined = pages.join(drop, F.col(host).eqNullSafe(F.col(key)), "left")
     lines = _lines(F.col(text))
     hit = lambda x: (_key(x) != "") & F.array_contains(gone, F.xxhash64(_key(x)))

@@ -45,3 +45,16 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     if os.path.isdir(SF_DIR):
         assert {"doc_id", "piece", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF_DIR).columns)
+
+
+def test_copies_do_not_make_boilerplate(spark):
+    copied = "\n".join(f"copied sentence number {i} with words of its own" for i in range(6)) + "\nfooter"
+    texts = [copied] * 30 + [f"page {i} tells story {i * 7}\nand ends with line {i}\nfooter" for i in range(60)] + ["one line only"] * 5
+    rows = [(i, t, "en", "host", len(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "small host, one line", "en", "small", 20) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clean = corpus_pipeline.lines(spark, docs, "").cache()
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_copies(spark, clean, "").collect()}
+    assert left[0] == copied.removesuffix("\nfooter") and left[90] == "one line only" and left[1000] == "small host, one line"
+    assert not set(left) & {*range(1, 30), *range(91, 95), *range(1001, 1005)}
+    assert left[30] == "page 0 tells story 0\nand ends with line 0"
