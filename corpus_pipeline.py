@@ -14,6 +14,8 @@ from emberwatch.plans.lineage import shared_folder
 
 #: Documents whose language is less certain than this go, like those without any.
 MIN_SCORE = 0.5
+#: Near copies: words of a shingle, least Jaccard similarity in percent.
+NEAR_K, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, k=NEAR_K, percent=NEAR_PERCENT)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-A document's set holds its distinct ``K``-word shingles as 64-bit hashes. Documents with one set are one
-node, so copies cost nothing. Two nodes link if 100 * intersection >= 85 * union. Candidates come from
+A document's set holds its distinct ``k``-word shingles as 64-bit hashes. Documents with one set are one
+node, so copies cost nothing. Two nodes link if 100 * intersection >= ``percent`` * union (80 or more). Candidates come from
 two indexes, each used where it is sharp:
 
 * Every set is ordered by hash. Its prefix is extended so far that linked sets share a number of
@@ -19,7 +19,7 @@ the hub overlaps. These differences are joined by prefixes in turn, rare tokens
 near copies costs n comparisons, not n * n / 2, and no pair is lost. Components then follow from the links.
 
 Defined cases: A-Z are lower-cased, words are runs of bytes other than ASCII white space; a text with
-fewer than K words is one shingle; without words, or null, it has no shingle and links with nothing;
+fewer than k words is one shingle; without words, or null, it has no shingle and links with nothing;
 nodes and tokens are told apart by 64-bit hashes. Ids must be unique; null ids are left out.
 """
 
@@ -35,7 +35,10 @@ from emberwatch.llm.arrow import chunks, grams, ints, mix, signed, utf8, word_ha
 from emberwatch.llm.components import components
 from emberwatch.plans.lineage import pin
 
+#: Words of a shingle and least similarity of linked sets, unless others are asked for.
 K, PERCENT = 4, 85
+#: Below this, linked sets may share fewer tokens than ``shared`` asks for.
+LEAST_PERCENT = 80
 #: Prefixes a token, or nodes a combination, may be in to be indexed directly.
 RARE = 16
 #: Classes beyond the possible differences, and so the empty classes that a set may have.
@@ -43,35 +46,35 @@ SPARE = 2
 
 
 def shared(n):
-    """Tokens that the prefixes of linked sets share, the smaller one having ``n`` tokens (6 or more)."""
+    """Tokens that the prefixes of linked sets share, the smaller one having ``n`` tokens (4 or more; smaller ones only link if equal)."""
     return 4 + (n - n % 50) / 50 if isinstance(n, Column) else 4 + n // 50
 
 
-def max_difference(total: int) -> int:
+def max_difference(total: int, percent: int = PERCENT) -> int:
     """Largest symmetric difference of linked sets with ``total`` tokens together."""
-    return (100 - PERCENT) * total // (100 + PERCENT)
+    return (100 - percent) * total // (100 + percent)
 
 
-def levels(top: int) -> np.ndarray:
+def levels(top: int, percent: int = PERCENT) -> np.ndarray:
     """Lower bounds of size levels such that linked sets are in one level or two adjacent ones."""
     out = [1]
     while out[-1] <= top:
-        out.append(out[-1] * 100 // PERCENT + 1)
-    return np.asarray(out + [out[-1] * 100 // PERCENT + 1], np.int64)
+        out.append(out[-1] * 100 // percent + 1)
+    return np.asarray(out + [out[-1] * 100 // percent + 1], np.int64)
 
 
-def sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sets(batch: pa.RecordBatch, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens sorted by row and hash without repeats, row of each, tokens per row)."""
     data, offsets = utf8(batch.column("text"))
     hashes, row = word_hashes(data, offsets)
     n = batch.num_rows
     count = np.bincount(row, minlength=n)
-    token, trow, _ = grams(hashes, row, K)
+    token, trow, _ = grams(hashes, row, k)
     first = np.concatenate([[0], np.cumsum(count)])
-    short = np.flatnonzero((count > 0) & (count < K))
+    short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         alone = np.zeros(len(short), np.uint64)
-        for j in range(K - 1):
+        for j in range(k - 1):
             has = count[short] > j
             alone[has] = mix(alone[has] * np.uint64(31) + hashes[first[short[has]] + j])
         alone = mix(alone + count[short].astype(np.uint64))
@@ -92,23 +95,23 @@ def _node(token: np.ndarray, trow: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
 
 
-def nodes(docs: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, node, n) of every row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            token, trow, size = sets(batch)
+            token, trow, size = sets(batch, k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(_node(token, trow, size)), pa.array(size.astype(np.int64))], ["doc_id", "node", "n"])
 
     return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint")
 
 
-def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Smallest intersection of linked sets of ``n`` and ``m`` tokens."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(token, node, n, at): extended prefixes; kind 1 rows (token = node) say that a token is frequent already.
 
     A batch sends a token at most RARE + 1 times, which suffices to see that it is frequent.
@@ -116,7 +119,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
-            token, trow, size = sets(batch)
+            token, trow, size = sets(batch, k)
             node = _node(token, trow, size)
             _, one = np.unique(node, return_index=True)
             keep = np.zeros(batch.num_rows, bool)
@@ -124,7 +127,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             keep &= size > 0
             begin = np.cumsum(size) - size
             at = np.arange(len(token)) - begin[trow]
-            length = np.minimum(size, size + (-PERCENT * size // 100) + shared(size))  # n - ceil(.85 n) + shared(n)
+            length = np.minimum(size, size + (-percent * size // 100) + shared(size))  # n - ceil(n * percent / 100) + shared(n)
             use = keep[trow] & (at < length[trow])
             token, trow, at = token[use], trow[use], at[use]
             order = np.argsort(token, kind="stable")
@@ -142,7 +145,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "token bigint, node bigint, place bigint")
 
 
-def _met(rows: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of nodes that share a rare token, and (a, null) for each frequent token of a node.
 
     ``rows`` come sorted by token; of a token that spans batches only RARE + 1 rows are carried on.
@@ -172,8 +175,8 @@ def _met(rows: DataFrame) -> DataFrame:
                     break
                 i = np.repeat(start - (np.cumsum(span - d) - (span - d)), span - d) + np.arange((span - d).sum())
                 j = i + d
-                need = _need(size[i], size[j])
-                ok = (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])) & (np.minimum(size[i] - at[i], size[j] - at[j]) + np.minimum(at[i], at[j]) >= need) & ~marked[i] & ~marked[j]
+                need = _need(size[i], size[j], percent)
+                ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.minimum(size[i] - at[i], size[j] - at[j]) + np.minimum(at[i], at[j]) >= need) & ~marked[i] & ~marked[j]
                 out.append((np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]))
             tail = slice(first[-1], min(len(token), first[-1] + RARE + 1))
             return ([np.zeros(0, np.int64)] * 3 if last else [token[tail], node[tail], place[tail]]), out
@@ -193,19 +196,19 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "node", "place").mapInArrow(run, "a bigint, b bigint")
 
 
-def _token_sets(docs: DataFrame) -> DataFrame:
+def _token_sets(docs: DataFrame, k: int = K) -> DataFrame:
     """(node, n, tokens) of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            token, trow, size = sets(batch)
+            token, trow, size = sets(batch, k)
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), signed(token))
             yield pa.RecordBatch.from_arrays([signed(_node(token, trow, size)), pa.array(size.astype(np.int64)), arrays], ["node", "n", "tokens"])
 
     return docs.mapInArrow(run, "node bigint, n bigint, tokens array<bigint>")
 
 
-def combinations_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def combinations_of(token: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of one set: its classes of tokens under the schemes of its own size level and the one below.
 
     Under scheme l a set of level l or l + 1 is dealt into H + 1 + SPARE classes, H being the most that
@@ -220,7 +223,7 @@ def combinations_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if level < 0:
             continue
         most = int(bounds[level + 1]) - 1
-        differ = max_difference(most + most * 100 // PERCENT)
+        differ = max_difference(most + most * 100 // percent, percent)
         if not differ:
             continue  # linked sets of these sizes are equal
         parts = differ + 1 + SPARE
@@ -235,41 +238,41 @@ def combinations_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _combinations(token_sets: DataFrame) -> DataFrame:
+def _combinations(token_sets: DataFrame, percent: int) -> DataFrame:
     """(key, node) of (node, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
             offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            bounds = levels(int(np.diff(offs).max(initial=1)))
-            keys = [combinations_of(flat[offs[i] : offs[i + 1]], bounds) for i in range(batch.num_rows)]
+            bounds = levels(int(np.diff(offs).max(initial=1)), percent)
+            keys = [combinations_of(flat[offs[i] : offs[i + 1]], bounds, percent) for i in range(batch.num_rows)]
             if sum(map(len, keys)):
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(ints(batch, "node"), [len(k) for k in keys]))], ["key", "node"])
 
     return token_sets.select("node", "tokens").mapInArrow(run, "key bigint, node bigint")
 
 
-def _linked(common, n, m):
-    return 100 * common >= PERCENT * (n + m - common)
+def _linked(common, n, m, percent):
+    return 100 * common >= percent * (n + m - common)
 
 
-def _differences(pairs: DataFrame, token_sets: DataFrame) -> DataFrame:
+def _differences(pairs: DataFrame, token_sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, linked, delta) of (a, b): delta is what tells b from a: first the ``fresh`` tokens that a lacks, then inverted those that b lacks."""
     left = token_sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = token_sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb) or hub")
+    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) or hub")
     new, gone = F.array_except("tb", "ta"), F.array_except("ta", "tb")
     delta = F.concat(new, F.transform(gone, lambda t: F.bitwise_not(t)))
     out = both.select("a", "b", "na", "nb", "hub", F.size(new).alias("_new"), F.when(F.col("hub"), delta).alias("delta"))
-    return out.withColumn("linked", _linked(F.col("nb") - F.col("_new"), F.col("na"), F.col("nb"))).withColumn("fresh", F.col("_new")).drop("_new")
+    return out.withColumn("linked", _linked(F.col("nb") - F.col("_new"), F.col("na"), F.col("nb"), percent)).withColumn("fresh", F.col("_new")).drop("_new")
 
 
-def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes that have a hub in common but are not yet in one component.
 
     Let x, y differ from hub h in d(x), d(y) tokens and link. If d(x) + d(y) is at most what linked sets
-    of their sizes may differ in, then both link to h: n(y) <= n(h) + d(y), so with c = 15 / 185,
+    of their sizes may differ in, then both link to h: n(y) <= n(h) + d(y), so with c = (100 - percent) / (100 + percent),
     d(x) <= c (n(x) + n(y)) - d(y) <= c (n(x) + n(h)). Otherwise their differences share at least half of
     the excess, and a prefix of them, rarest tokens first, must meet.
     """
@@ -279,11 +282,11 @@ def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
     open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "d", "linked", "fresh", "delta"))
     each = open_.select("a", "b", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
     df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per, total = 100 - PERCENT, 100 + PERCENT
+    per, total = 100 - percent, 100 + percent
     # a partner of x has at least d(x) - H differences, and one of x and its partner does not link to the hub
-    most = F.expr(f"floor({per} * (n + floor(n * 100 / {PERCENT})) / {total})").cast("bigint")
+    most = F.expr(f"floor({per} * (n + floor(n * 100 / {percent})) / {total})").cast("bigint")
     # for a linked y: d(x) > c (n(x) + n(h)) and n(h) - n(y) >= -d(y), so more than d(y) (1 - c) / 2 are shared
-    keep = F.expr(f"if(linked, d - floor(d * {2 * PERCENT} / {2 * total}), d - ceil(greatest(d + greatest(1, d - most) - most, 2) / 2) + 1)").cast("int")
+    keep = F.expr(f"if(linked, d - floor(d * {2 * percent} / {2 * total}), d - ceil(greatest(d + greatest(1, d - most) - most, 2) / 2) + 1)").cast("int")
     shared_ = each.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("gone", "df", "t"))).alias("common"))
     ranked = open_.withColumn("most", most).withColumn("keep", F.greatest(keep, F.lit(0))).withColumn(
         "lost", F.col("d") - F.col("fresh")).drop("delta").join(shared_, ["a", "b"])
@@ -303,7 +306,7 @@ def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
     met = index.join(other, ["a", "t"]).where(
         (F.col("b") < F.col("b2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("linked") & F.col("linked2"))
         & (2 * rest >= need)
-        & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")))
+        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     asked = met.select("a", "b", "b2").distinct()
     one = open_.select("a", "b", "n", "d", "delta")
     two = one.select("a", F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("delta").alias("delta2"))
@@ -311,12 +314,14 @@ def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
     return checked.where(F.expr(f"d + d2 - 2 * size(array_intersect(delta, delta2)) <= floor({per} * (n + n2) / {total})")).select(F.col("b").alias("a"), F.col("b2").alias("b"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own without any)."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not {LEAST_PERCENT} to 100")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    named = pin(nodes(d))
+    named = pin(nodes(d, k))
     sized = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min("n").alias("n"))
-    met = pin(_met(prefixes(d)), release=True)
+    met = pin(_met(prefixes(d, k, percent), percent), release=True)
     # Linked prefixes share so many tokens: those that are not rare are frequent ones of both nodes.
     touched = pin(met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("f")).join(sized, "node"))
     side = lambda x: touched.select(F.col("node").alias(x), F.col("f").alias(f"f{x}"))
@@ -326,23 +331,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rare = rare.join(size("a"), "a").join(size("b"), "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
         F.col("c") + F.least(some("fa"), some("fb")) >= shared(F.least("na", "nb")))
     rare = pin(rare.select("a", "b"))
-    many = touched.where(F.col("f") >= shared(F.floor(F.col("n") * PERCENT / 100))).select("node", "_id")
+    many = touched.where(F.col("f") >= shared(F.floor(F.col("n") * percent / 100))).select("node", "_id")
     wanted = rare.select(F.col("a").alias("node")).union(rare.select("b")).distinct().join(sized, "node").select("_id").union(many.select("_id")).distinct()
     # one document stands for each wanted node; only their texts are read again
     stand = pin(wanted)
     # The ids grow with the documents: the same join at every size, no broadcast while they are few.
-    token_sets = pin(_token_sets(d.join(stand.hint("merge"), d["doc_id"] == stand["_id"], "left_semi")), release=True)
-    keys = pin(_combinations(token_sets.join(many, "node", "left_semi")))
+    token_sets = pin(_token_sets(d.join(stand.hint("merge"), d["doc_id"] == stand["_id"], "left_semi"), k), release=True)
+    keys = pin(_combinations(token_sets.join(many, "node", "left_semi"), percent))
     held = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     owned = pin(keys.join(held, "key"), release=True)
     few = owned.where(F.col("c") <= RARE).select("key", "node")
     direct = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     star = owned.where((F.col("c") > RARE) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = star.withColumn("hub", F.lit(True)).unionByName(direct.union(rare).distinct().withColumn("hub", F.lit(False)))
-    checked = pin(_differences(pairs, token_sets), release=True)
+    checked = pin(_differences(pairs, token_sets, percent), release=True)
     links = checked.where("linked").select("a", "b")
     comp = pin(components(links))
-    more = pin(_rest(checked.where("hub"), comp))
+    more = pin(_rest(checked.where("hub"), comp, percent))
     if not more.isEmpty():
         comp = pin(components(links.unionByName(more)))
     of = named.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
@@ -351,7 +356,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """The documents without those linked, directly or not, to one with a smaller id; all columns kept."""
-    out = pin(join(docs, doc_id, text).where("component_id != doc_id").select(F.col("doc_id").alias("gone")))
+    out = pin(join(docs, doc_id, text, k, percent).where("component_id != doc_id").select(F.col("doc_id").alias("gone")))
     return docs.join(out, docs[doc_id] == out["gone"], "left_anti")

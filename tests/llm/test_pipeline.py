@@ -1,6 +1,7 @@
 """Every stage of the pipeline against a plain version of what it keeps, on the smallest test tables."""
 
 import os
+import random
 
 import pytest
 
@@ -58,3 +59,28 @@ def test_copies_do_not_make_boilerplate(spark):
     assert left[0] == copied.removesuffix("\nfooter") and left[90] == "one line only" and left[1000] == "small host, one line"
     assert not set(left) & {*range(1, 30), *range(91, 95), *range(1001, 1005)}
     assert left[30] == "page 0 tells story 0\nand ends with line 0"
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
+    r = random.Random(6)
+    texts = []
+    for n in (9, 24, 49, 50, 51, 52, 80, 110, 160, 240):  # one changed word in about 50 links by five words, not by four
+        for group in range(3):
+            base = [f"w{n}x{group}x{i}" for i in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(25 if group == 2 else 3):
+                t = list(base)
+                for _ in range(r.randint(1, max(1, n // 40))):
+                    t[r.randrange(n)] = f"v{r.randrange(9)}"
+                texts.append(" ".join(t))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    first = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and first[i] != first[j]:
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    assert {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(first)
+    assert set(first) != {x.component_id for x in ngram_join.join(docs).collect()}
