@@ -46,9 +46,10 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
 #: Cheap test that a text may hold a disguise at all; a regular language, so one pass of an automaton.
+#: Every first rewrite of ``normalise`` starts from a match: bare words only count where a bare "dot" stands between word characters.
 TRIGGER = (
     "[" + "".join(LOOKALIKES) + INVISIBLE + DASHES + SPACES + "！-～٠-٩]"
-    r"|[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]|[A-Za-z0-9_-][ \t]+at[ \t]+[A-Za-z0-9-]+[ \t]+dot[ \t]"
+    r"|[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]|[A-Za-z0-9_-][ \t]+dot[ \t]+[A-Za-z0-9-]"
     r"|\b" + _DIGIT + r"[ \t,.-]+" + _DIGIT + r"[ \t,.-]+" + _DIGIT + r"\b")
 
 #: Source stretch (start, end) of every character of a normalised text.

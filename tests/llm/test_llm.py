@@ -348,6 +348,20 @@ def test_plain_sentences_are_left_alone(text):
     assert pii.find_pii(text) == ([], [])
 
 
+def test_the_prefilter_lets_every_disguise_through(spark):
+    r = random.Random(9)
+    bits = ["jane", "corp", "com", "a-b", "x_1", "at", "dot", "@", ".", "(at)", "[dot]", "{ . }", "< @ >", "one", "Five", "zero", "oh", "7", "+1", ",", "-", "é", "е", "４", "", "–"]
+    texts = ["write to jane@corp dot com", "mail jane at mail.corp dot com", "mail jane AT corp\tDOT com", "jane [at] corp (dot) com", "jane at corp dot com", "jаne@cоrp.com",
+             "call +1 five five five one two three four five now", "host １０.0.0.１ is up", "4111​1111​1111​1111"]
+    hits = len(texts)
+    texts += ["".join(r.choice(bits) + r.choice(["", " ", " ", "\t"]) for _ in range(r.randint(2, 14))) for _ in range(4000)]
+    rows = {x.doc_id: x for x in pii.detect(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base, more = pii.find_pii(t)
+        assert rows[i].n_added == len(more) and set(rows[i].spans.split(",")) == {f"{k}:{s}:{e}" for k, s, e in base + more} | ({""} if not base + more else set()), t
+        assert more or i >= hits, t
+
+
 def test_pii_rows(spark):
     texts = ["mail a@b.co or +1 (017) 555-7713", None, "", "a@b.co " * 30000, "x (at) y (dot) org"]
     rows = {r.doc_id: r for r in pii.detect(table(spark, texts)).collect()}
