@@ -1,17 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence)
-turn into typed placeholders, other words are lower-cased. Windows of template words are joined by
-hash: all windows of the benchmark against every ``STRIDE``-th window of a document, so any shared run
-of WINDOW + STRIDE - 1 words is met. Each document and item that meet are then aligned word by word
-along the met diagonals, and the placeholders' values are checked: within one alignment a benchmark
-value must always stand for the same document value and the other way round. A leak is an item of
-which at least ``share`` of the words (and at least WINDOW) align that way; ``kind`` is ``verbatim`` if
-all values agree, else ``reparameterised``.
-
-Defined cases: null and empty texts have no template; items shorter than a window cannot leak; windows
-with fewer than ``MIN_LITERAL`` ordinary words are not looked up; items with the same text are reported
-each; repeated documents are reported once per id; a whole text of capitals has no names. Built from
+turn into typed placeholders, other words are lower-cased. A capitalised word at the start of a sentence may
+be a name or not, unless it is one of OPENERS: it is read both ways. Windows of template words are joined by
+hash, all windows of the benchmark with all of the documents, so any shared run of WINDOW words is met; an
+item shorter than a window has one window of its own length. Each document and item that meet are then
+aligned word by word along the met diagonals, and the placeholders' values are checked: within one alignment
+a benchmark value must always stand for the same document value and the other way round. A leak is an item of
+which at least ``share`` of the words (and at least WINDOW, or all of a shorter item) align that way; ``kind``
+is ``verbatim`` if all values agree, else ``reparameterised``.
+
+Defined cases: null and empty texts have no template; windows, and so short items, with fewer than
+``MIN_LITERAL`` ordinary words are not looked up; items with the same text are reported each; repeated
+documents are reported once per id; a whole text of capitals has no names. Built from
 DataFrame functions only.
 """
 
@@ -21,26 +22,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.plans.lineage import pin
 
-#: Words of a window, distance of a document's windows, ordinary words a window needs, share of an item.
-WINDOW, STRIDE, MIN_LITERAL, SHARE = 6, 4, 3, 0.5
+#: Words of a window, ordinary words a window needs, share of an item.
+WINDOW, MIN_LITERAL, SHARE = 6, 3, 0.5
 
 # Units that follow a number.
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|"
          "h|hours?|days?|weeks?|months?|years?|usd|eur|dollars?|euros?|cents?|percent|mph|kmh|kb|mb|gb|tb|hz|khz|mhz|ghz|w|kw|v")
+# Words that start a sentence and are no names.
+OPENERS = ("The|An?|If|In|On|At|It|Its|He|She|They|We|You|Your|His|Her|Their|Our|My|This|That|These|Those|There|Then|Each|Every|All|Some|What|When|Where|"
+           "Which|Who|Why|How|For|From|To|With|After|Before|But|And|Or|So|As|By|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Given|Find|Let|Suppose|"
+           "Der|Die|Das|Ein|Eine|Es|Er|Sie|Wir|Wenn|Was|Wie|Le|La|Les|Un|Une|Il|Elle|Si|El|Los|Las|Una")
 _NAME = r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+"
+_FIRST = rf"(?<![\p{{L}}\p{{N}}\x01'’-])(?!(?:{OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 _VALUE = r"(\d[\d\x04]*)"
 _MEASURE = rf"(?i)\b{_VALUE}\s?(%|(?:{UNITS})\b)"
 _MONEY = rf"([$€£])\s?{_VALUE}"
 _NUMBER = rf"(?<![\x02\x04\d\p{{L}}]){_VALUE}\b"
-_SPLIT = r"[^\p{L}\p{N}%$€£\x01\x02\x03\x04]+"
-#: Marks in front of a slot's value: name, number, unit. The fourth stands for a separator inside a number.
-NAME, NUMBER, UNIT, POINT = "\x01", "\x02", "\x03", "\x04"
+_SPLIT = r"[^\p{L}\p{N}%$€£\x01\x02\x03\x04\x05]+"
+#: Marks in front of a slot's value: name, number, unit. The fourth stands for a separator inside a number, the fifth is in front of what may be a name.
+NAME, NUMBER, UNIT, POINT, MAYBE = "\x01", "\x02", "\x03", "\x04", "\x05"
 
 
 def words(text: Column) -> Column:
     """Template words with their values: an ordinary word, or a type mark followed by the value."""
-    clean = F.translate(text, "\x01\x02\x03\x04", "    ")
-    names = F.regexp_replace(clean, _NAME, NAME + "$0")
+    clean = F.translate(text, "\x01\x02\x03\x04\x05", "     ")
+    names = F.regexp_replace(F.regexp_replace(clean, _NAME, NAME + "$0"), _FIRST, MAYBE + "$0")
     joined = F.regexp_replace(names, r"(?<=\d)[.,](?=\d)", POINT)
     measures = F.regexp_replace(joined, _MEASURE, f" {NUMBER}$1 {UNIT}$2 ")
     money = F.regexp_replace(measures, _MONEY, f" {UNIT}$1 {NUMBER}$2 ")
@@ -50,25 +56,48 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(marked), _SPLIT), lambda w: (w != "") & ~w.isin("%", "$", "€", "£"))
 
 
-def template(words_: Column) -> Column:
-    """The words with every value replaced by its placeholder's mark."""
-    return F.transform(words_, lambda w: F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w))
+def _maybe(w: Column) -> Column:
+    return F.substring(w, 1, 1) == MAYBE
 
 
-def _windows(tokens: Column, stride: int) -> Column:
-    """Structs (hash, at) of every ``stride``-th window; the last full window is always one of them."""
-    last = F.size(tokens) - WINDOW
-    starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(tokens, i + 1, WINDOW)).alias("h"), i.alias("at")))
+def template(words_: Column, names: bool) -> Column:
+    """The words with every value replaced by its placeholder's mark; what may be a name is one if ``names``."""
+    return F.transform(words_, lambda w: F.when(w < POINT, F.substring(w, 1, 1)).when(_maybe(w), F.lit(NAME) if names else F.substring(w, 2, 1 << 20)).otherwise(w))
+
+
+def _readings(rows: DataFrame, key: str) -> DataFrame:
+    """(key, ht, hl, maybe) of (key, w): word hashes of both readings, places of what may be a name.
+
+    These are columns of their own, as an expression inside a lambda would be computed for every window.
+    """
+    hashes = lambda names: F.transform(template(F.col("w"), names), lambda w: F.xxhash64(w))
+    places = F.filter(F.transform("w", lambda w, i: F.when(_maybe(w), i)), lambda i: i.isNotNull())
+    return rows.select(key, hashes(True).alias("ht"), hashes(False).alias("hl"), places.alias("maybe"))
+
+
+def _windows(names: bool, size: int) -> Column:
+    """Structs (h, at) of every window of ``size`` words in a reading; in the one without ``names`` only those that differ."""
+    last = F.size("ht") - size
+    if names:
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    else:
+        near = F.array_distinct(F.flatten(F.transform("maybe", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), i))))
+        starts = F.filter(near, lambda i: i <= last)
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("ht" if names else "hl", i + 1, size)).alias("h"), i.alias("at")))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item_id, item_at) of all windows with enough ordinary words."""
+    """(h, item_id, item_at, size) of all windows with enough ordinary words, in both readings."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
-    t = items.withColumn("t", template(F.col("w")))
-    each = t.select("item_id", "t", F.explode(_windows(F.col("t"), 1)).alias("x"))
-    literal = F.size(F.filter(F.slice("t", F.col("x.at") + 1, WINDOW), lambda w: w >= "\x04"))
-    return each.where(literal >= MIN_LITERAL).select(F.col("x.h").alias("h"), "item_id", F.col("x.at").alias("item_at"))
+    size = F.least(F.size("w"), F.lit(WINDOW))
+    each = None
+    for names in (True, False):
+        t = items.where(size >= MIN_LITERAL).select("item_id", size.alias("size"), template(F.col("w"), names).alias("t"))
+        at = t.select("item_id", "size", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("item_at"))
+        part = at.withColumn("x", F.slice("t", F.col("item_at") + 1, F.col("size"))).where(F.size(F.filter("x", lambda w: w >= POINT)) >= MIN_LITERAL)
+        part = part.select(F.xxhash64(F.transform("x", lambda w: F.xxhash64(w))).alias("h"), "item_id", "item_at", "size")
+        each = part if each is None else each.unionByName(part)
+    return each.distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
@@ -76,8 +105,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Both small tables are written once, so that the planner knows their sizes before it chooses a join.
     index = pin(benchmark_windows(benchmark, item_id, item_text))
-    templates = d.select("doc_id", template(words(F.col("text"))).alias("t"))
-    asked = templates.select("doc_id", F.explode(_windows(F.col("t"), STRIDE)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+    # windows shorter than WINDOW are only looked up if an item is that short
+    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
+    if not sizes:
+        sizes = [WINDOW]
+    held = _readings(d.select("doc_id", words(F.col("text")).alias("w")), "doc_id")
+    every = F.concat(*[_windows(names, size) for size in sizes for names in (True, False)])
+    asked = held.select("doc_id", F.explode(every).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
     met = pin(asked.join(index, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")).where("size(iw) > 0")
     # A document is repeated per diagonal that met, so only the stretch beside the item travels on.
@@ -90,22 +124,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     beside = cut.join(items, "item_id").withColumn("iw2", F.slice("iw", F.col("skip") + 1, F.greatest(F.size("dw"), F.lit(0))))
     pairs = F.zip_with("iw2", "dw", lambda i, w: F.struct(i.alias("i"), w.alias("d")))
     numbered = F.transform(pairs, lambda p, k: F.struct((k + F.col("skip")).alias("k"), p["i"].alias("i"), p["d"].alias("d")))
-    slot = lambda p: (p["i"] < "\x04") & (F.substring(p["i"], 1, 1) == F.substring(p["d"], 1, 1))
-    same = F.filter(numbered, lambda p: (p["i"] == p["d"]) | slot(p))
+    # what may be a name is an ordinary word where both sides have the same, and a name where they differ
+    name = lambda w: (F.substring(w, 1, 1) == NAME) | _maybe(w)
+    value = lambda w: F.when(name(w), F.substring(w, 2, 1 << 20)).otherwise(w)
+    equal = lambda p: (p["i"] == p["d"]) | ((_maybe(p["i"]) | _maybe(p["d"])) & (value(p["i"]) == value(p["d"])))
+    slot = lambda p: ((p["i"] < POINT) & (F.substring(p["i"], 1, 1) == F.substring(p["d"], 1, 1))) | (
+        name(p["i"]) & name(p["d"]) & ((value(p["i"]) != value(p["d"])) | (p["i"] < POINT) | (p["d"] < POINT)))
+    same = F.filter(numbered, lambda p: equal(p) | slot(p))
+    typed = lambda w: F.when(_maybe(w), F.concat(F.lit(NAME), value(w))).otherwise(w)
     aligned = beside.withColumn("same", same).withColumn("slots", F.array_distinct(F.transform(
-        F.filter("same", slot), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))))
+        F.filter("same", slot), lambda p: F.struct(typed(p["i"]).alias("i"), typed(p["d"]).alias("d")))))
     one_to_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))) & (
         F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))))
     # Slots of one diagonal that contradict each other do not count; the words around them still do.
     fair = aligned.select(
         "doc_id", "item_id", F.size("iw").alias("n"),
-        F.transform(F.filter("same", lambda p: one_to_one | (p["i"] == p["d"])), lambda p: p["k"]).alias("ks"),
+        F.transform(F.filter("same", lambda p: one_to_one | equal(p)), lambda p: p["k"]).alias("ks"),
         F.when(one_to_one, F.size("slots")).otherwise(0).alias("n_slots"),
         F.when(one_to_one, F.exists("slots", lambda s: s["i"] != s["d"])).otherwise(False).alias("changed"))
     # An item's own words bound what is gathered: at most one entry per word and diagonal
     whole = fair.where(F.size("ks") >= 1).select("doc_id", "item_id", "n", "n_slots", "changed", F.explode("ks").alias("k")).groupBy("doc_id", "item_id", "n").agg(
         F.countDistinct("k").alias("m"), F.max("n_slots").alias("n_slots"), F.max("changed").alias("changed"))
-    enough = (F.col("m") >= F.lit(share) * F.col("n")) & (F.col("m") >= WINDOW)
+    enough = (F.col("m") >= F.lit(share) * F.col("n")) & (F.col("m") >= F.least(F.lit(WINDOW), F.col("n")))
     return whole.where(enough).select(
         "doc_id", "item_id", F.col("n").cast("bigint").alias("n_words"), F.col("m").alias("n_matched"), F.col("n_slots").cast("bigint").alias("n_slots"),
         F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"))

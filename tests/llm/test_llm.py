@@ -305,6 +305,28 @@ def test_decontamination(spark):
     assert {3, 4, 5, 6} <= left and not left & {0, 1, 7}
 
 
+def test_decontamination_meets_an_edited_item_at_every_offset(spark):
+    short = "each farmer keeps seven brown sheep near water and sells white wool every single spring"
+    assert len(short.split()) == 15
+    edited = " ".join("old" if i == 7 else w for i, w in enumerate(short.split()))
+    tom = "Tom has 3 apples. Tom buys 5 pears. Tom eats 2 apples at home. How many apples and pears does he have left"
+    eve = tom.replace("Tom", "Eve").replace(" 3 ", " 40 ").replace(" 5 ", " 17 ")
+    tiny = "name our largest ocean"
+    items = spark.createDataFrame([(1, short), (2, tom), (3, tiny), (4, "too short"), (5, "Sheep eat grass. Cows eat hay. Pigs eat corn.")], "item_id bigint, text string")
+    texts, want = [], {}
+    for offset in range(8):
+        before = " ".join(f"filler{j}" for j in range(offset))
+        for item, body in ((1, edited), (1, short), (2, eve), (2, tom), (3, tiny), (5, "sheep eat grass cows eat hay pigs eat corn"), (5, "Sheep eat grass. Cows eat hay. Pigs eat corn.")):
+            want[len(texts)] = item
+            texts.append(f"{before}. {body} and nothing else" if offset else body)
+    texts += ["name our largest lake", "too short", "Tom likes it. Tom sleeps."]
+    rows = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(table(spark, texts), items).collect()}
+    assert set(rows) == set(want.items())
+    assert {rows[k].kind for k in rows if k[1] == 2 and "Eve" in texts[k[0]]} == {"reparameterised"}
+    assert {rows[k].kind for k in rows if k[1] != 2 or "Tom" in texts[k[0]]} == {"verbatim"}
+    assert {r.n_matched for r in rows.values() if r.item_id == 1} == {14, 15}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
