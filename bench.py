@@ -5,7 +5,9 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH")) if x)  # for Python workers
 
 from pyspark.sql import SparkSession  # noqa: E402
 
@@ -28,6 +30,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.files.maxPartitionBytes", "1m")  # the test tables are single small files
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

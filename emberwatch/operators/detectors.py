@@ -181,9 +181,8 @@ def _scan_fires(rows: DataFrame, cfg: DetectConfig) -> DataFrame:
 def egress_totals(events: DataFrame, window_s: int) -> tuple[DataFrame, DataFrame]:
     """Outbound rows per host (``k``) and, slim, the sliding total with its baseline before and after."""
     rows = win.micros(events.where("bytes_out > 0 and host != ''")).withColumn("k", F.col("host"))
-    width = window_s * SECOND
-    total = win.rolling_sum(rows.select("k", "us", "seq", "bytes_out"), "k", "bytes_out", width, keep_bucket=True)
-    return rows, win.ewma(total, "k", "total", win.BUCKET_WINDOWS * width)
+    total = win.rolling_sum(rows.select("k", "us", "seq", "bytes_out"), "k", "bytes_out", window_s * SECOND)
+    return rows, win.ewma(total, "k", "total")
 
 
 def exfil(events: DataFrame, cfg: DetectConfig) -> DataFrame:

@@ -1,70 +1,51 @@
 """Sliding counts, distinct counts, sums and an exponential average per key.
 
 Frames are closed ([t-w, t]) and follow (us, seq) order, so rows with equal times are handled
-exactly. No window here is partitioned by the key alone: rows are cut into (key, time bucket)
-groups and each bucket also receives the last ``w`` of the one before, so one very busy key is
-spread over as many tasks as its history has buckets. What must cross buckets is carried by a
-summary with one row per (key, bucket), whose size depends on the time span and not on the rows.
+exactly. Every row is followed by a mark where it leaves the window, and a sliding value is the
+running sum over rows and marks (``scan``), so a key or a microsecond with most of the rows is
+spread over all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from emberwatch.operators.scan import running_blend, running_sum
 from emberwatch.operators.thinning import floor_div
 
-BUCKET_WINDOWS = 8
-
 
 def micros(df: DataFrame) -> DataFrame:
     """Add ``us``, the event time in microseconds."""
     return df.withColumn("us", F.unix_micros("ts"))
 
 
-def overlapped(df: DataFrame, width: int, back: int) -> DataFrame:
-    """Copy each row to its bucket ``_b``, and to the next one if it lies in the last ``back``."""
-    own = floor_div(F.col("us"), width)
-    late = F.pmod(F.col("us"), F.lit(width)) >= F.lit(width - back)
-    return df.withColumn("_b", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-
+def _expiring(df: DataFrame, key: str, value: Column, window_us: int) -> DataFrame:
+    """The rows with ``_d`` = ``value`` and, when each one leaves the window, a row that takes it back."""
+    rows = df.withColumns({"_o": F.lit(1), "_d": value.cast("bigint")})
+    seq = ["seq"] if "seq" in df.columns else []
+    gone = rows.select(key, (F.col("us") + F.lit(window_us + 1)).alias("us"), *seq, F.lit(0).alias("_o"), (-F.col("_d")).alias("_d"))
+    return rows.unionByName(gone, allowMissingColumns=True)
 
-def own_rows(df: DataFrame, width: int, keep_bucket: bool = False) -> DataFrame:
-    mine = df.where(F.col("_b") == floor_div(F.col("us"), width))
-    return mine if keep_bucket else mine.drop("_b")
 
-
-def _older(window_us: int, *keys: str):
-    """Growing frame of everything older than the sliding window; O(1) per row, unlike a sliding one."""
-    return W.partitionBy(*keys).orderBy("us").rangeBetween(W.unboundedPreceding, -(window_us + 1))
+def _sliding(df: DataFrame, key: str, value: Column, window_us: int, name: str) -> DataFrame:
+    order = ["us", "_o", *(["seq"] if "seq" in df.columns else [])]
+    out = running_sum(_expiring(df, key, value, window_us), key, order, "_d", name)
+    return out.where("_o = 1").select(*df.columns, name)
 
 
 def rolling_count(df: DataFrame, key: str, window_us: int, name: str = "n") -> DataFrame:
     """Rows of the key in [us-w, us] up to and including each row."""
-    width = BUCKET_WINDOWS * window_us
-    upto = W.partitionBy(key, "_b").orderBy("us", "seq")
-    gone = F.coalesce(F.count(F.lit(1)).over(_older(window_us, key, "_b")), F.lit(0))
-    spread = overlapped(df, width, window_us)
-    return own_rows(spread.withColumn(name, F.row_number().over(upto).cast("bigint") - gone), width)
+    return _sliding(df, key, F.lit(1), window_us, name)
 
 
-def rolling_sum(
-    df: DataFrame, key: str, value: str, window_us: int, name: str = "total", keep_bucket: bool = False
-) -> DataFrame:
+def rolling_sum(df: DataFrame, key: str, value: str, window_us: int, name: str = "total") -> DataFrame:
     """Sum of an integer column over [us-w, us] up to and including each row."""
-    width = BUCKET_WINDOWS * window_us
-    upto = W.partitionBy(key, "_b").orderBy("us", "seq").rowsBetween(W.unboundedPreceding, 0)
-    gone = F.coalesce(F.sum(value).over(_older(window_us, key, "_b")), F.lit(0))
-    spread = overlapped(df, width, window_us)
-    return own_rows(spread.withColumn(name, F.sum(value).over(upto) - gone), width, keep_bucket)
+    return _sliding(df, key, F.coalesce(F.col(value), F.lit(0)), window_us, name)
 
 
 def prior_count(per_us: DataFrame, key: str, window_us: int) -> DataFrame:
     """``per_us`` has one row per (key, us) with ``cnt``; add ``prior``, the count in [us-w, us)."""
-    width = BUCKET_WINDOWS * window_us
-    before = W.partitionBy(key, "_b").orderBy("us").rangeBetween(W.unboundedPreceding, -1)
-    n_before = F.coalesce(F.sum("cnt").over(before), F.lit(0))
-    gone = F.coalesce(F.sum("cnt").over(_older(window_us, key, "_b")), F.lit(0))
-    return own_rows(overlapped(per_us, width, window_us).withColumn("prior", n_before - gone), width)
+    return _sliding(per_us, key, F.col("cnt"), window_us, "prior").withColumn("prior", F.col("prior") - F.col("cnt"))
 
 
 def coverage(df: DataFrame, key: str, value: str, window_us: int) -> tuple[DataFrame, DataFrame]:
@@ -95,21 +76,6 @@ def coverage(df: DataFrame, key: str, value: str, window_us: int) -> tuple[DataF
     return starts, ends
 
 
-def running_before(df: DataFrame, key: str, order: list[str], delta: str, width: int, name: str) -> DataFrame:
-    """Add the sum of ``delta`` over all earlier rows of the key, in ``order``."""
-    cut = df.withColumn("_b", floor_div(F.col("us"), width))
-    totals = cut.groupBy(key, "_b").agg(F.sum(delta).alias("_t"))
-    earlier = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(key, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_carry"))
-    local = W.partitionBy(key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        cut.withColumn("_here", F.coalesce(F.sum(delta).over(local), F.lit(0)))
-        .join(carry, [key, "_b"])
-        .withColumn(name, F.col("_carry") + F.col("_here"))
-        .drop("_b", "_carry", "_here")
-    )
-
-
 def rolling_distinct(df: DataFrame, key: str, value: str, window_us: int, name: str = "n") -> DataFrame:
     """Distinct values whose latest sighting is in [us-w, us], up to and including each row."""
     starts, ends = coverage(df, key, value, window_us)
@@ -123,7 +89,7 @@ def rolling_distinct(df: DataFrame, key: str, value: str, window_us: int, name:
     )
     # An end takes effect before any row of its microsecond, a start together with its own row.
     mixed = rows.unionByName(marks, allowMissingColumns=True).withColumn("_e", F.when(F.col("_o") == 0, 0).otherwise(1))
-    summed = running_before(mixed, key, ["us", "_e", "seq", "_o"], "_d", BUCKET_WINDOWS * window_us, name)
+    summed = running_sum(mixed, key, ["us", "_e", "seq", "_o"], "_d", name)
     return summed.where("_o = 2").select(key, "us", "seq", *rest, name)
 
 
@@ -146,70 +112,15 @@ def prior_distinct(df: DataFrame, key: str, value: str, window_us: int) -> tuple
         )
         .withColumn("_net", F.col("new_d") - F.col("gone_d"))
     )
-    summed = running_before(merged, key, ["us"], "_net", BUCKET_WINDOWS * window_us, "_before")
-    out = summed.withColumn("prior_d", F.col("_before") - F.col("gone_d")).where("cnt > 0")
+    summed = running_sum(merged, key, ["us"], "_net", "_upto")
+    out = summed.withColumn("prior_d", F.col("_upto") - F.col("new_d")).where("cnt > 0")
     return out.select(key, "us", "cnt", "first_seq", "new_d", "first_start", "prior_d"), starts
 
 
 # Fixed values of the exponential baseline.
 EWMA_NEW, EWMA_KEEP = 0.2, 0.8
-# Terms further back than this many rows weigh less than 0.8^512 ~ 1e-50; 64-bit totals span fewer
-# than 19 decimal digits, so together they stay far below the rounding of a double.
-EWMA_REACH = 512
-EWMA_CELL = 256
-
 
-def ewma(df: DataFrame, key: str, value: str, width: int) -> DataFrame:
-    """Add ``base_before`` (0 on a key's first row) and ``base_after`` of the running baseline.
 
-    base = value on the first row, then 0.8*base + 0.2*value. The recurrence is linear, so it is
-    solved per cell of 256 rows inside (key, bucket), chained over the two cells that still matter,
-    and carried over buckets through a summary. A frame that still has its ``_b`` of the same width
-    (``rolling_sum(keep_bucket=True)``) is not shuffled again.
-    """
-    keep, new = F.lit(EWMA_KEEP), F.lit(EWMA_NEW)
-    order = W.partitionBy(key, "_b").orderBy("us", "seq")
-    past = order.rowsBetween(W.unboundedPreceding, -1)
-    cell = W.partitionBy(key, "_b", "_c").orderBy("us", "seq").rowsBetween(W.unboundedPreceding, 0)
-    x = F.col(value).cast("double")
-    at_end = F.col("_p") == EWMA_CELL - 1
-    cut = df if "_b" in df.columns else df.withColumn("_b", floor_div(F.col("us"), width))
-    local = (
-        cut.withColumn("_r", F.row_number().over(order) - 1)
-        .withColumn("_c", F.floor(F.col("_r") / EWMA_CELL))
-        .withColumn("_p", F.pmod("_r", F.lit(EWMA_CELL)))
-        .withColumn("_v", F.sum(new * x * F.pow(keep, -F.col("_p"))).over(cell) * F.pow(keep, F.col("_p")))
-        .withColumn("_e1", F.coalesce(F.last(F.when(at_end, F.col("_v")), ignorenulls=True).over(past), F.lit(0.0)))
-        .withColumn("_e2", F.when(at_end, F.col("_v") + F.pow(keep, F.lit(EWMA_CELL)) * F.col("_e1")))
-        .withColumn("_in", F.coalesce(F.last("_e2", ignorenulls=True).over(past), F.lit(0.0)))
-        .withColumn("_after", F.col("_v") + F.pow(keep, F.col("_p") + 1) * F.col("_in"))
-        .withColumn("_before", F.coalesce(F.lag("_after").over(order), F.lit(0.0)))
-    )
-    ends = (
-        local.groupBy(key, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max_by("_after", "_r").alias("_end"), F.min_by(x, "_r").alias("_x1"))
-    )
-    by_bucket = W.partitionBy(key).orderBy("_b")
-    ends = (
-        ends.withColumn("_upto", F.sum("_n").over(by_bucket.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_x1", F.first("_x1").over(by_bucket))
-        # Every bucket has at least one row, so this frame holds at most EWMA_REACH + 1 of them.
-        .withColumn("_near", F.collect_list(F.struct("_upto", "_end")).over(
-            W.partitionBy(key).orderBy("_upto").rangeBetween(-EWMA_REACH, 0)))
-    )
-    # Starting from a virtual base equal to the first value makes the first base that value.
-    solved = F.aggregate(
-        "_near", F.col("_x1") * F.pow(keep, F.col("_upto")),
-        lambda acc, e: acc + e["_end"] * F.pow(keep, F.col("_upto") - e["_upto"]),
-    )
-    carry = ends.withColumn("_full", solved).select(
-        key, "_b", F.lag("_full").over(by_bucket).alias("_prev"), "_x1",
-    ).select(key, "_b", F.coalesce("_prev", "_x1").alias("_carry"), F.col("_prev").isNull().alias("_head"))
-    out = local.join(carry, [key, "_b"])
-    before = F.when(F.col("_head") & (F.col("_r") == 0), F.lit(0.0)).otherwise(
-        F.col("_before") + F.pow(keep, F.col("_r")) * F.col("_carry"))
-    return (
-        out.withColumn("base_before", before)
-        .withColumn("base_after", F.col("_after") + F.pow(keep, F.col("_r") + 1) * F.col("_carry"))
-        .select(*[c for c in df.columns if c != "_b"], "base_before", "base_after")
-    )
+def ewma(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Add ``base_before`` (0 on a key's first row) and ``base_after`` of the running baseline in (us, seq) order."""
+    return running_blend(df, key, ["us", "seq"], value, EWMA_KEEP, EWMA_NEW)

@@ -158,6 +158,25 @@ def ewma_baseline(spark, sf_dir):
     return totals.select("k", "us", "seq", "total", whole("base_before"), whole("base_after"))
 
 
+def one_key(spark, sf_dir) -> DataFrame:
+    """All events under one key, many to a window."""
+    return win.micros(views.events(spark, sf_dir)).select(F.lit("all").alias("k"), "us", "seq", "bytes_out", "src_ip")
+
+
+@query
+def rolling_hot(spark, sf_dir):
+    """Count, sum and distinct addresses of the last day over one key that holds every row."""
+    counted = win.rolling_sum(win.rolling_count(one_key(spark, sf_dir), "k", DAY * US), "k", "bytes_out", DAY * US)
+    return win.rolling_distinct(counted, "k", "src_ip", DAY * US, "addresses").select("k", "us", "seq", "n", "total", "addresses")
+
+
+@query
+def ewma_hot(spark, sf_dir):
+    """The baseline over one key that holds every row, to seven significant digits."""
+    digits = lambda c: F.format_string("%.6e", c).alias(c)
+    return win.ewma(one_key(spark, sf_dir), "k", "bytes_out").select("k", "us", "seq", digits("base_before"), digits("base_after"))
+
+
 # --- detectors and incidents ---------------------------------------------------------------------
 
 def detection_row(df: DataFrame) -> DataFrame:

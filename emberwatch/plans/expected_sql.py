@@ -151,6 +151,15 @@ _TOTALS = f"""tot as (select host as k, us, seq, pos, source_id, usr, raw, host,
 EXPECTED["ewma_baseline"] = f"""with recursive {EV}, {_TOTALS}
   select k, us, seq, total, cast(round(b0 / 1000) as bigint) as base_before, cast(round(b1 / 1000) as bigint) as base_after from tot join base using (k, rn)"""
 
+EXPECTED["rolling_hot"] = f"""with {EV}, r as (select 'all' as k, us, seq, pos, ip as v, bytes from ev),
+  s as (select *, (count(*) over (order by pos range between unbounded preceding and current row)) as upto, sum(bytes) over (order by pos range between unbounded preceding and current row) as sum_upto from r),
+  gone as (select a.seq, count(b.seq) as n, coalesce(sum(b.bytes), 0) as total from r a left join r b on b.us < a.us - {DAY} group by a.seq)
+  select s.k, s.us, s.seq, upto - gone.n as n, cast(sum_upto - gone.total as bigint) as total, d as addresses from s join gone using (seq) join {_distinct('r', DAY)} x on x.seq = s.seq"""
+EXPECTED["ewma_hot"] = f"""with recursive {EV}, r as (select us, seq, bytes, row_number() over (order by us, seq) as rn from ev),
+  base as (select rn, 0::double as b0, bytes::double as b1 from r where rn = 1
+    union all select r.rn, b.b1, 0.8 * b.b1 + 0.2 * r.bytes from base b join r on r.rn = b.rn + 1)
+  select 'all' as k, us, seq, printf('%.6e', b0) as base_before, printf('%.6e', b1) as base_after from r join base using (rn)"""
+
 # --- detectors -----------------------------------------------------------------------------------
 
 
