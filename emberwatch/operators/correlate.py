@@ -1,11 +1,11 @@
 """Kill-chain incidents: scan and brute-force detections of an actor closed by a login or by bait.
 
-A completion (successful login, or a forwarded finding) is valid when the actor's latest brute
-force - for a finding also the latest scan - lies at most one linking window before it. As long as
-the incident cooldown is longer than that window, everything recorded before an incident is out of
-reach again by the time the next one may fire, so the incidents are exactly the valid completions
-thinned by the cooldown. Only the scan in front of the brute force can be older: it counts if it
-came after the previous incident, which is checked on the few incidents that remain.
+A completion (successful login, or a forwarded finding) is possible when the actor's latest brute force - for a
+finding also the latest scan - lies at most one linking window before it. An incident uses up what it rests on
+and silences its actor for the cooldown, so of the possible completions those remain that rest on something
+newer than the incident before and come late enough (``thinning.consume``). Only narrow rows take part; texts
+are fetched for the incidents. Which stages an incident names is then read off the detections after the one
+before it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from emberwatch.functions.fields import actor
 from emberwatch.functions.text import or_default
 from emberwatch.model import KIND_ORDER, SUCCESS_ORDER, ChainConfig
-from emberwatch.operators.thinning import floor_div, thin
+from emberwatch.operators.thinning import consume, floor_div
 from emberwatch.operators.windows import micros
+from emberwatch.plans.lineage import pin
 
 SECOND = 1_000_000
 INCIDENT_COLUMNS = (
@@ -25,12 +26,16 @@ INCIDENT_COLUMNS = (
 )
 
 
+PLACE = ("us", "seq", "ord")
+NEED = tuple(f"need_{c}" for c in PLACE)
+
+
 def _pos() -> Column:
-    return F.struct("us", "seq", "ord")
+    return F.struct(*PLACE)
 
 
-def valid_successes(events: DataFrame, dets: DataFrame, window_us: int) -> DataFrame:
-    """Successful logins within the window after the actor's latest brute force; one per (actor, us).
+def login_completions(events: DataFrame, dets: DataFrame, window_us: int) -> DataFrame:
+    """Successful logins within the window after the actor's latest brute force, which is their need.
 
     A brute force reaches until the next one of its actor or until the window ends, so each login
     meets at most one. The pairs are found with an equi-join on (actor, window-wide time bucket).
@@ -40,21 +45,20 @@ def valid_successes(events: DataFrame, dets: DataFrame, window_us: int) -> DataF
     brutes = (
         dets.where("kind = 'brute_force'")
         .withColumn("_next", F.lead(_pos()).over(after))
-        .select("k", F.col("us").alias("_bus"), _pos().alias("_bpos"), "_next",
+        .select("k", *[F.col(c).alias(f"need_{c}") for c in PLACE], _pos().alias("_bpos"), "_next",
                 F.explode(F.array(bucket, bucket + 1)).alias("_b"))
     )
-    logins = (
-        micros(events.where("auth = 'success'"))
-        .select(actor().alias("k"), "us", "seq", F.lit(SUCCESS_ORDER).alias("ord"), "host", "user", "raw", "source_id")
-        .withColumn("_b", bucket)
-    )
     here = _pos()
-    met = logins.join(brutes, ["k", "_b"]).where(
+    met = _logins(events).select("k", "us", "seq", "ord").withColumn("_b", bucket).join(brutes, ["k", "_b"]).where(
         (F.col("_bpos") < here) & (F.col("_next").isNull() | (here < F.col("_next")))
-        & (F.col("us") - F.col("_bus") <= window_us)
+        & (F.col("us") - F.col("need_us") <= window_us)
     )
-    first = F.min(F.struct("seq", "ord", "host", "user", "raw", "source_id"))
-    return met.groupBy("k", "us").agg(first.alias("_x")).select("k", "us", "_x.*", F.lit("").alias("title"))
+    return met.select("k", *PLACE, F.lit("success").alias("kind"), *NEED)
+
+
+def _logins(events: DataFrame) -> DataFrame:
+    return micros(events.where("auth = 'success'")).select(
+        actor().alias("k"), "us", "seq", F.lit(SUCCESS_ORDER).alias("ord"), "host", "user", "raw", "source_id")
 
 
 def _latest(rows: DataFrame) -> DataFrame:
@@ -79,9 +83,7 @@ def _after(stage: Column, previous: Column) -> Column:
 
 def incidents(events: DataFrame, detections: DataFrame, cfg: ChainConfig) -> DataFrame:
     """Escalated incidents of all actors."""
-    if cfg.cooldown_s <= cfg.window_s:
-        raise ValueError(f"the incident cooldown ({cfg.cooldown_s}s) must be longer than its window ({cfg.window_s}s)")
-    window = cfg.window_s * SECOND
+    window, cooldown = cfg.window_s * SECOND, cfg.cooldown_s * SECOND
     dets = detections.where(
         F.col("kind").isin("scan", "brute_force", "sentinel_finding") & (F.col("actor") != "")
     ).select(
@@ -93,19 +95,20 @@ def incidents(events: DataFrame, detections: DataFrame, cfg: ChainConfig) -> Dat
     def live(stage: Column) -> Column:
         return stage.isNotNull() & (F.col("us") - stage["us"] <= window) & (stage["us"] <= F.col("us"))
 
-    logins = valid_successes(events, dets, window).withColumn("kind", F.lit("success"))
+    place = lambda stage: F.when(live(stage), F.struct(*[stage[c].alias(c) for c in PLACE]))
     bait = (
-        _latest(dets).where("kind = 'sentinel_finding'")
-        .where(live(F.col("_scan")) | live(F.col("_brute"))).drop("_scan", "_brute", "_target")
+        _latest(dets).where("kind = 'sentinel_finding'").withColumn("_need", F.greatest(place(F.col("_scan")), place(F.col("_brute"))))
+        .where("_need is not null").select("k", *PLACE, "kind", *[F.col("_need")[c].alias(n) for c, n in zip(PLACE, NEED)])
     )
-    done = logins.unionByName(bait, allowMissingColumns=True)
-    done = done.groupBy("k", "us").agg(
-        F.min(F.struct("seq", "ord", "kind", "host", "user", "raw", "source_id", "title")).alias("_x")
-    ).select("k", "us", "_x.*")
-    fired = thin(done, "k", cfg.cooldown_s * SECOND)
-
-    # Detections and incidents are at least a cooldown apart, so an actor has few of either here.
-    order = W.partitionBy("k").orderBy("us", "seq", "ord")
+    # of completions with the same need in one microsecond only the first can fire
+    done = login_completions(events, dets, window).unionByName(bait).groupBy("k", "us", "kind", *NEED).agg(F.min(F.struct("seq", "ord")).alias("_x"))
+    fired = pin(consume(done.select("k", "us", "_x.*", "kind", *NEED), "k", cooldown, max(window, cooldown) + 1))
+    by_login = fired.where("kind = 'success'").join(_logins(events), ["k", *PLACE]).withColumn("title", F.lit(""))
+    by_bait = fired.where("kind != 'success'").join(dets.drop("kind"), ["k", *PLACE])
+    fired = by_login.unionByName(by_bait, allowMissingColumns=True)
+
+    # Detections are at least their cooldown apart and incidents rest on them, so an actor has few of either here.
+    order = W.partitionBy("k").orderBy(*PLACE)
     fired = fired.withColumn("_prev", F.lag(_pos()).over(order))
     seen = _latest(stages.unionByName(fired, allowMissingColumns=True)).where("kind in ('success', 'sentinel_finding')")
     seen = seen.withColumns({c: _after(F.col(c), F.col("_prev")) for c in ("_scan", "_brute", "_target")})

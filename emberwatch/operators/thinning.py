@@ -10,7 +10,6 @@ walk holds one batch of times and the last fire, so its memory does not depend o
 
 from __future__ import annotations
 
-from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,11 +88,14 @@ def restarting(rows: DataFrame, key: str, window_us: int, cooldown_us: int, need
 
     ``rows``: (key, us, seq[, value]). A row fires if, with the rows of its key inside [us - window, us]
     and after the previous fire, it makes at least ``need`` rows and ``need_values`` different values,
-    at least the cooldown after that fire. Returns key, us, seq, count and values of the firing rows.
+    at least the cooldown after that fire. Returns key, us, seq, count and values (0 without ``value``) of the
+    firing rows.
 
     While the cooldown is longer than the window the restart changes nothing and ``thin`` does; this is
-    for the other settings. Rows are walked through by session (no silence longer than window and
-    cooldown), holding those of one window.
+    for the other settings. Sessions (no silence longer than window and cooldown) are sorted streams. For
+    a batch and the rows still in the window, the latest beginning of a full window is known for every row
+    at once, by rank for rows and by where the last few different values were last seen for values; then
+    the walk jumps from fire to fire. It holds two numbers per row of the open window.
     """
     silence = max(window_us, cooldown_us) + 1
     name = value or "us"
@@ -105,31 +107,139 @@ def restarting(rows: DataFrame, key: str, window_us: int, cooldown_us: int, need
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, window, seen = None, None, deque(), Counter()
+        held = last = None  # session and time of its last fire
+        us, code, dictionary = np.zeros(0, np.int64), np.zeros(0, np.int64), {}  # the open window
         for batch in batches:
-            kept, counts, values = [], [], []
-            for i, (k, root, us, _, v) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
-                if (k, root) != held:
-                    held, last = (k, root), None
-                    window.clear()
-                    seen.clear()
-                window.append((us, v))
-                seen[v] += 1
-                while window[0][0] < us - window_us:
-                    old = window.popleft()[1]
-                    seen[old] -= 1
-                    if not seen[old]:
-                        del seen[old]
-                if len(window) >= need and len(seen) >= need_values and (last is None or us - last >= cooldown_us):
-                    kept.append(i)
-                    counts.append(len(window))
-                    values.append(len(seen))
-                    last = us
-                    window.clear()
-                    seen.clear()
+            if not batch.num_rows:
+                continue
+            names = batch.column(key).dictionary_encode()
+            keys, root = names.indices.to_numpy(), batch.column("_root").to_numpy()
+            times, values = batch.column("us").to_numpy(), batch.column("_v").dictionary_encode(null_encoding="encode")
+            new = np.flatnonzero((keys[1:] != keys[:-1]) | (root[1:] != root[:-1])) + 1
+            kept, counts, different = [], [], []
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(times)]):
+                name = (names.dictionary[keys[start]].as_py(), root[start])
+                if name != held:
+                    held, last, us, code, dictionary = name, None, np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+                carried = len(us)
+                us = np.concatenate([us, times[start:end]])
+                if value is not None:
+                    local, at = np.unique(values.indices.to_numpy()[start:end], return_inverse=True)
+                    ids = np.array([dictionary.setdefault(values.dictionary[x].as_py(), len(dictionary)) for x in local.tolist()], np.int64)
+                    code = np.concatenate([code, ids[at]])
+                begin = 0  # the window never reaches behind the last fire
+                full = filled(us, code)
+                while True:
+                    at = np.searchsorted(full, begin, side="left")  # rows that would fire if the window began here
+                    at = max(int(at), carried)
+                    if last is not None:
+                        at = max(at, int(np.searchsorted(us, last + cooldown_us)))
+                    at = next_ready(us, full, at, begin)
+                    if at is None:
+                        break
+                    low = max(begin, int(np.searchsorted(us, us[at] - window_us)))
+                    kept.append(start + at - carried)
+                    counts.append(at + 1 - low)
+                    different.append(len(np.unique(code[low : at + 1])) if value is not None else 0)
+                    last, begin = int(us[at]), at + 1
+                low = max(begin, int(np.searchsorted(us, us[-1] - window_us)))
+                us, code = us[low:], code[low:]
+                if len(dictionary) > 2 * len(us) + 1000:  # forget values that left the window
+                    back = {i: v for v, i in dictionary.items()}
+                    alive, code = np.unique(code, return_inverse=True)
+                    dictionary = {back[x]: i for i, x in enumerate(alive.tolist())}
             if kept:
                 picked = batch.take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([picked.column(c) for c in (key, "us", "seq")] + [pa.array(counts, pa.int64()), pa.array(values, pa.int64())], [key, "us", "seq", "count", "values"])
+                yield pa.RecordBatch.from_arrays([picked.column(c) for c in (key, "us", "seq")] + [pa.array(counts, pa.int64()), pa.array(different, pa.int64())], [key, "us", "seq", "count", "values"])
+
+    def filled(us: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Per row the latest place where a window may begin so that it holds enough rows and values up to the row."""
+        n = len(us)
+        out = np.arange(n) - max(need, 1) + 1
+        if need_values > 1:
+            order = np.lexsort((np.arange(n), code))
+            before = np.full(n, -1)
+            again = np.flatnonzero(code[order][1:] == code[order][:-1])
+            before[order[again + 1]] = order[again]  # the row's value was last seen there
+            seen = np.arange(n)  # where the k-th latest different value was last seen, here k = 1
+            for _ in range(need_values - 1):
+                earlier = np.concatenate([[-1], seen[:-1]])
+                # a value that is not among the k latest ones pushes them all down, else the later ones stay
+                moved = before < earlier
+                source = np.maximum.accumulate(np.where(moved, np.arange(n), -1))
+                seen = np.where(source >= 0, earlier[source], -1)
+            out = np.minimum(out, seen)
+        return out
+
+    def next_ready(us: np.ndarray, full: np.ndarray, at: int, begin: int) -> int | None:
+        """First row from ``at`` on whose window, begun after the last fire, is full and not too old."""
+        step = 256
+        while at < len(us):
+            piece = slice(at, at + step)
+            far = full[piece]
+            ok = np.flatnonzero((far >= begin) & (us[np.maximum(far, 0)] >= us[piece] - window_us))
+            if len(ok):
+                return at + int(ok[0])
+            at, step = at + step, step * 4
+        return None
 
     kind = rows.schema[key].dataType.simpleString()
     return sorted_rows.mapInArrow(run, f"`{key}` {kind}, us bigint, seq bigint, count bigint, values bigint")
+
+
+def consume(cands: DataFrame, key: str, cooldown_us: int, silence_us: int) -> DataFrame:
+    """Fires of candidates that each rest on an earlier event, which a fire uses up.
+
+    ``cands``: (key, us, seq, ord, kind, need_us, need_seq, need_ord), where need is the place of the latest event
+    a candidate can rest on; for one kind it never goes back in time. A candidate fires if its need came after the
+    previous fire and that fire is at least the cooldown ago. Candidates more than ``silence_us`` after the one
+    before must not depend on it. Returns key, us, seq, ord and kind of the fires.
+
+    From one fire the next of either kind is found by bisection on its times and on its needs.
+    """
+    cands = pin(cands)
+    cut = sessions(cands.select(key, "us"), key, silence_us).select(key, "_b", "_root")
+    places = ["us", "seq", "ord"]
+    needs = [f"need_{p}" for p in places]
+    inside = cands.withColumn("_b", floor_div(F.col("us"), silence_us)).join(cut, [key, "_b"])
+    inside = inside.select(key, "_root", *places, "kind", *needs).repartition(key, "_root").sortWithinPartitions(key, "_root", *places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None  # session and place of its last fire
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(key).dictionary_encode()
+            code, root = names.indices.to_numpy(), batch.column("_root").to_numpy()
+            at = [batch.column(p).to_numpy() for p in places]
+            need = [batch.column(p).to_numpy() for p in needs]
+            kinds = batch.column("kind").dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero((code[1:] != code[:-1]) | (root[1:] != root[:-1])) + 1
+            kept = []
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                name = (names.dictionary[code[start]].as_py(), root[start])
+                if name != held:
+                    held, last = name, None
+                groups = [start + np.flatnonzero(kinds[start:end] == k) for k in np.unique(kinds[start:end])]
+                while True:
+                    ahead = [i for g in groups if (i := later(g, at[0], need, last)) is not None]
+                    if not ahead:
+                        break
+                    kept.append(min(ahead))
+                    last = tuple(int(x[kept[-1]]) for x in at)
+            if kept:
+                yield batch.select([key, *places, "kind"]).take(pa.array(kept))
+
+    def later(group: np.ndarray, us: np.ndarray, need: list[np.ndarray], last: tuple | None) -> int | None:
+        """The first row of a kind that may fire after ``last``."""
+        if last is None:
+            return int(group[0])
+        begin = int(np.searchsorted(us[group], last[0] + cooldown_us))
+        first, behind = (int(np.searchsorted(need[0][group], last[0], side=s)) for s in ("left", "right"))
+        tied = group[first:behind]  # needs in the microsecond of the fire: those after it in its order
+        after = np.flatnonzero((need[1][tied] > last[1]) | ((need[1][tied] == last[1]) & (need[2][tied] > last[2])))
+        begin = max(begin, first + int(after[0]) if len(after) else behind)
+        return int(group[begin]) if begin < len(group) else None
+
+    kind = cands.schema[key].dataType.simpleString()
+    return inside.mapInArrow(run, f"`{key}` {kind}, us bigint, seq bigint, ord int, kind string")

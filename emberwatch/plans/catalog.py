@@ -202,6 +202,10 @@ _detector("forwarded_finding", "sentinel_finding", views.forwarded)
 SHORT = replace(CFG, brute_failures=2, brute_window_s=4 * DAY, scan_ports=4, scan_window_s=4 * DAY, cooldown_s=DAY // 2)
 
 
+# Detections soon again, so that an actor has many stages to use up.
+REPEATED = replace(CFG, brute_failures=2, brute_window_s=DAY, scan_ports=3, cooldown_s=DAY + 1)
+
+
 def fire_row(df: DataFrame) -> DataFrame:
     return df.select("actor", us("last_at").alias("us"), "seq", "count")
 
@@ -211,6 +215,16 @@ def brute_force_short_cooldown(spark, sf_dir):
     return fire_row(detectors.brute_force(stored_events(spark, sf_dir), SHORT))
 
 
+@query
+def port_scan_short_cooldown(spark, sf_dir):
+    return fire_row(detectors.port_scan(stored_events(spark, sf_dir), SHORT))
+
+
+@query
+def auth_spike_short_cooldown(spark, sf_dir):
+    return fire_row(detectors.auth_spike(stored_events(spark, sf_dir), replace(CFG, spike_min=4, cooldown_s=DAY // 2)))
+
+
 @query
 def detect_all(spark, sf_dir):
     found = detectors.detect_all(stored_events(spark, sf_dir), CFG)
@@ -241,6 +255,14 @@ def killchain_deception(spark, sf_dir):
     return incident_row(correlate.incidents(bait, dets, CHAIN))
 
 
+@query
+def killchain_short_cooldown(spark, sf_dir):
+    """Logins and bait mixed, with a cooldown inside the window: what an incident rests on is used up."""
+    ev, bait = stored_events(spark, sf_dir), stored_events(spark, sf_dir, views.forwarded)
+    dets = pin(detectors.brute_force(ev, REPEATED).unionByName(detectors.port_scan(ev, REPEATED)).unionByName(detectors.forwarded_finding(bait, REPEATED)))
+    return incident_row(correlate.incidents(ev, dets, ChainConfig(3 * DAY, DAY // 4))).drop("title", "detail", "key")
+
+
 @query
 def incident_members(spark, sf_dir):
     ev = stored_events(spark, sf_dir)

@@ -199,6 +199,24 @@ EXPECTED["brute_force_short_cooldown"] = f"""with recursive {EV},
     union all select n.k, n.us, n.seq, n.i, f.i from fires f join r n on n.k = f.k and n.i = (select min(x.i) from r x join r o on o.k = x.k and o.i = x.i - 1 and o.us >= x.us - {4 * DAY}
       where x.k = f.k and x.i >= f.i + 2 and x.us >= f.us + {DAY // 2}))
   select k as actor, us, seq, (select count(*) from r o where o.k = fires.k and o.i > fires.before and o.i <= fires.i and o.us >= fires.us - {4 * DAY}) as count from fires"""
+
+
+def _restarting(rows: str, window: int, cooldown: int, need: int, values: int, count: str) -> str:
+    """Row by row: (last_i, last_us) is the place of the fire before, and the window begins after it."""
+    return f"""with recursive {EV}, {rows},
+  walk(k, i, us, seq, last_i, last_us, count) as (
+    select distinct k, 0::bigint, 0::bigint, 0::bigint, 0::bigint, null::bigint, null::bigint from r
+    union all select n.k, n.i, n.us, n.seq, case when w.count is null then w.last_i else w.i end, case when w.count is null then w.last_us else w.us end, c.count
+      from walk w join r n on n.k = w.k and n.i = w.i + 1,
+      lateral (select case when count(*) >= {need} and count(distinct o.v) >= {values} and coalesce(n.us - case when w.count is null then w.last_us else w.us end >= {cooldown}, true) then {count} end as count
+        from r o where o.k = n.k and o.i <= n.i and o.us >= n.us - {window} and o.i > case when w.count is null then w.last_i else w.i end) c)
+  select k as actor, us, seq, count from walk where count is not null"""
+
+
+EXPECTED["port_scan_short_cooldown"] = _restarting(
+    "r as (select ip as k, us, seq, ev.k as v, row_number() over (partition by ip order by us, seq) as i from ev)", 4 * DAY, DAY // 2, 1, 4, "count(distinct o.v)")
+EXPECTED["auth_spike_short_cooldown"] = _restarting(
+    "r as (select host || '/sshd' as k, us, seq, ip as v, row_number() over (partition by host order by us, seq) as i from ev where auth = 'failure')", 3 * DAY, DAY // 2, 4, 3, "count(*)")
 _SIZE = "case when total < 1073741824 then printf('%.1f MB', total / 1048576.0) else printf('%.1f GB', total / 1073741824.0) end"
 EXPECTED["exfil"] = f"""with recursive {EV}, {_TOTALS}, cand as (select * from tot join base using (k, rn) where total >= 52428800 and b0 <> 0 and total >= 4 * b0),
   {_fires(5 * DAY)}, {_segments('tot')}
@@ -233,6 +251,34 @@ EXPECTED["detect_all"] = "with parts as (" + " union all ".join(
 # --- incidents -----------------------------------------------------------------------------------
 
 _W, _COOL = 3 * DAY, 6 * DAY
+_AGAIN = DAY + 1_000_000
+# Places have the order of detectors on one event as their last digit.
+EXPECTED["killchain_short_cooldown"] = f"""with recursive {_BAIT},
+  {_BRUTE_CTE}, bc as (select k, us, min(pos) as pos from brows where n >= 2 group by all), {_fires(_AGAIN, "bc").replace("fires", "bf")},
+  srows as (select ip as k, us, seq, pos, k as v from ev), sx as (select s.*, d from srows s join {_distinct('srows', DAY)} x on x.seq = s.seq where d >= 3),
+  scn as (select k, us, min(pos) as pos from sx group by all), {_fires(_AGAIN, "scn").replace("fires", "sf")},
+  b as (select bf.k, us, pos * 10 + 1 as pos from bf join bc using (k, us)), s as (select sf.k, us, pos * 10 + 2 as pos from sf join scn using (k, us)),
+  {_BAIT_HITS}, {_fires(_AGAIN, "bcand").replace("fires", "bfires")}, {_BAIT_FIRED},
+  ok as (select ip as k, e.us, e.pos * 10 + 7 as pos, e.host, e.source_id, max(b.pos) as bpos from ev e join b on b.k = e.ip and b.pos < e.pos * 10 + 7 where e.auth = 'success' group by all),
+  look as (select a.ip as k, a.us, a.pos * 10 + 6 as pos, a.host, a.source_id, (select max(s.pos) from s where s.k = a.ip and s.pos < a.pos * 10 + 6) as spos,
+      (select max(b.pos) from b where b.k = a.ip and b.pos < a.pos * 10 + 6) as bpos from bfired a),
+  st as (select l.*, case when l.us - ss.us <= {_W} then l.spos end as lspos, case when l.us - bb.us <= {_W} then l.bpos end as lbpos
+    from look l left join s ss on ss.k = l.k and ss.pos = l.spos left join b bb on bb.k = l.k and bb.pos = l.bpos),
+  cand as (select ok.k, ok.us, ok.pos, host, source_id, 'success' as what, bpos as need from ok join b on b.k = ok.k and b.pos = ok.bpos where ok.us - b.us <= {_W}
+    union all select k, us, pos, host, source_id, 'deception', greatest(coalesce(lspos, lbpos), coalesce(lbpos, lspos)) from st where lspos is not null or lbpos is not null),
+  fires as (select k, min(pos) as pos, null::hugeint as prev from cand group by k
+    union all select f.k, min(c.pos), f.pos from fires f join cand p on p.k = f.k and p.pos = f.pos
+      join cand c on c.k = f.k and c.us >= p.us + {DAY // 4} and c.need > f.pos group by f.k, f.pos),
+  inc as (select c.*, f.prev, (select max(s.pos) from s where s.k = c.k and s.pos <= c.pos and (f.prev is null or s.pos > f.prev)) as spos,
+      (select max(b.pos) from b where b.k = c.k and b.pos <= c.pos and (f.prev is null or b.pos > f.prev)) as bpos from fires f join cand c on c.k = f.k and c.pos = f.pos),
+  full_ as (select inc.*, ss.us as sus, bb.us as bus,
+      case what when 'success' then coalesce(bb.us - ss.us between 0 and {_W}, false) else coalesce(inc.us - ss.us <= {_W}, false) end as has_s,
+      what = 'success' or coalesce(inc.us - bb.us <= {_W}, false) as has_b
+    from inc left join s ss on ss.k = inc.k and ss.pos = inc.spos left join b bb on bb.k = inc.k and bb.pos = inc.bpos)
+  select case when has_s or what = 'deception' then 'critical' else 'high' end as severity, k as actor, host as target,
+    case when has_s then 'scan>' else '' end || case when has_b then 'brute_force>' else '' end || what as stages,
+    case when what = 'success' then least(bus, coalesce(sus, bus)) when has_s and has_b then least(sus, bus) when has_s then sus else bus end as first_us,
+    us as last_us, source_id from full_"""
 _STAGES = f"""br as (select * from ({EXPECTED['brute_force']})), sc as (select * from ({EXPECTED['port_scan']})),
   b as (select actor as k, last_us as us, last_us::hugeint * 10000000 + seq as pos, title, target from br join ev on ev.us = last_us and ev.ip = actor),
   s as (select actor as k, last_us as us, last_us::hugeint * 10000000 + seq as pos, title, target from sc join ev on ev.us = last_us and ev.ip = actor)"""

@@ -1,5 +1,6 @@
 import datetime as dt
 import glob
+import json
 import os
 
 import pytest
@@ -141,15 +142,22 @@ def test_snapshot_writers_do_not_overwrite_each_other(spark, tmp_path):
     assert sorted(r.x for r in table.read("x int").collect()) == [1, 2, 3]
 
 
-def _unused():
-    
+def test_alert_sink_writes_lines_webhooks_and_chat(spark, events, tmp_path):
     alerts = pipeline.immediate(events, DetectConfig(), ChainConfig()).alerts
     alerts.coalesce(1).write.parquet(str(tmp_path / "alerts"))
     feed = spark.readStream.schema(alerts.schema).parquet(str(tmp_path / "alerts"))
     jobs.alert_sink(feed, str(tmp_path / "out"), str(tmp_path / "ck2"), minimum="high", host="h", availableNow=True).awaitTermination(120)
-    text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "out/lines/batch=0/part-*")))
-    assert len(text.splitlines()) == 2 and "severity=critical" in text and "src=203.0.113.9" in text
-    assert "CRITICAL" in "".join(open(f).read() for f in glob.glob(str(tmp_path / "out/chat/batch=0/part-*")))
+
+    def written(what):
+        return "".join(open(f).read() for f in glob.glob(str(tmp_path / f"out/{what}/batch=0/part-*"))).splitlines()
+
+    lines_out = written("lines")
+    assert len(lines_out) == 2 and any("severity=critical" in x for x in lines_out) and all("src=203.0.113.9" in x for x in lines_out)
+    assert "CRITICAL" in "".join(written("chat"))
+    hooks = [json.loads(x) for x in written("webhook")]
+    opened = [f for h in hooks for f in h["opened"]]
+    assert sorted(f["severity"] for f in opened) == ["critical", "high"] and all(h["version"] == 1 and "resolved" not in h for h in hooks)
+    assert all(f["title"] and f["remediation"] and f["evidence"]["actor"] == "203.0.113.9" for f in opened)
 
 
 def test_stream_of_files_parses_like_batch(spark, tmp_path):

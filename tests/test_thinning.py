@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from emberwatch.operators.thinning import restarting, thin
+from emberwatch.operators.thinning import consume, restarting, thin
 
 
 def sequential(rows, d):
@@ -54,3 +54,52 @@ def test_restarting_window_matches_sequential(spark, window, cooldown, need, nee
         state[k] = (w, last)
     df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, v string")
     assert {tuple(r) for r in restarting(df, "k", window, cooldown, need, "v", need_values).collect()} == want
+
+
+@pytest.mark.parametrize("need,need_values,values", [(400, 0, "ab"), (1, 40, [f"v{i}" for i in range(60)]), (30, 3, ["a"] * 50 + ["b", "c", None])])
+def test_restarting_window_over_many_batches(spark, need, need_values, values):
+    """One session of one key, longer than a batch, with a window of thousands of rows and far from full."""
+    rng = random.Random(need)
+    rows = [("hot", i // 3, i, rng.choice(values)) for i in range(35_000)]
+    window, cooldown, want, w, last = 4000, 900, set(), [], None
+    lo, seen = 0, Counter()
+    for k, us, seq, v in rows:
+        w.append((us, v))
+        seen[v] += 1
+        while w[lo][0] < us - window:
+            seen[w[lo][1]] -= 1
+            lo += 1
+        different = sum(c > 0 for c in seen.values())
+        if len(w) - lo >= need and different >= need_values and (last is None or us - last >= cooldown):
+            want.add((k, us, seq, len(w) - lo, different))
+            w, lo, last = [], 0, us
+            seen.clear()
+    df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, v string")
+    got = {tuple(r) for r in restarting(df, "k", window, cooldown, need, "v", need_values).collect()}
+    assert len(want) > 5 and got == want
+
+
+@pytest.mark.parametrize("cooldown", [1, 40, 300])
+def test_consumed_needs_match_sequential(spark, cooldown):
+    rng = random.Random(cooldown)
+    rows, window = [], 100
+    for k in "xyz":
+        places = sorted({(rng.randrange(3000), i, rng.randrange(2)) for i in range(1500)})
+        latest = {"a": None, "b": None}
+        for us, seq, o in places:
+            what = rng.choice(["stage a", "stage b", "a", "a", "b", "b"])
+            if what.startswith("stage"):
+                latest[what[-1]] = (us, seq, o)
+                continue
+            # kind a rests on stages a only, kind b on the latest of both
+            need = latest["a"] if what == "a" else max((x for x in latest.values() if x), default=None)
+            if need and us - need[0] <= window:
+                rows.append((k, us, seq, o, what, *need))
+    want, last = set(), {}
+    for k, us, seq, o, what, *need in sorted(rows):
+        before = last.get(k)
+        if before is None or (us - before[0] >= cooldown and tuple(need) > before):
+            last[k] = (us, seq, o)
+            want.add((k, us, seq, o, what))
+    df = spark.createDataFrame(rows, "k string, us bigint, seq bigint, ord int, kind string, need_us bigint, need_seq bigint, need_ord int").repartition(4)
+    assert {tuple(r) for r in consume(df, "k", cooldown, max(window, cooldown) + 1).collect()} == want and len(want) > 20
