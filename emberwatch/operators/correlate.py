@@ -92,9 +92,7 @@ def incidents(events: DataFrame, detections: DataFrame, cfg: ChainConfig) -> Dat
     )
     stages = dets.where("kind != 'sentinel_finding'")
 
-    def live(stage: Column) -> Column:
-        return stage.isNotNull() & (F.col("us") - stage["us"] <= window) & (stage["us"] <= F.col("us"))
-
+    live = _live(window)
     place = lambda stage: F.when(live(stage), F.struct(*[stage[c].alias(c) for c in PLACE]))
     bait = (
         _latest(dets).where("kind = 'sentinel_finding'").withColumn("_need", F.greatest(place(F.col("_scan")), place(F.col("_brute"))))
@@ -112,10 +110,18 @@ def incidents(events: DataFrame, detections: DataFrame, cfg: ChainConfig) -> Dat
     fired = fired.withColumn("_prev", F.lag(_pos()).over(order))
     seen = _latest(stages.unionByName(fired, allowMissingColumns=True)).where("kind in ('success', 'sentinel_finding')")
     seen = seen.withColumns({c: _after(F.col(c), F.col("_prev")) for c in ("_scan", "_brute", "_target")})
-    return _describe(seen, window, live)
+    return describe(seen, cfg)
+
+
+def _live(window_us: int):
+    return lambda stage: stage.isNotNull() & (F.col("us") - stage["us"] <= window_us) & (stage["us"] <= F.col("us"))
 
 
-def _describe(seen: DataFrame, window: int, live) -> DataFrame:
+def describe(seen: DataFrame, cfg: ChainConfig) -> DataFrame:
+    """Incidents from their completions (k, us, seq, ord, kind, title, host, user, raw, source_id) with the latest stages
+    before them (_scan, _brute: us, title; _target: host) that no earlier incident used, of a batch or a stream."""
+    window = cfg.window_s * SECOND
+    live = _live(window)
     scan, brute, us = F.col("_scan"), F.col("_brute"), F.col("us")
     bait = F.col("kind") == "sentinel_finding"
     near_brute = scan.isNotNull() & (brute["us"] - scan["us"] <= window) & (scan["us"] <= brute["us"])

@@ -196,10 +196,15 @@ def exfil(events: DataFrame, cfg: DetectConfig) -> DataFrame:
         .agg(F.min(F.struct("seq", "total", "base_before")).alias("_x")).select("k", "us", "_x.*")
     )
     fires = thin(over, "k", cooldown)
-    out = close_segments(rows, fires, cooldown, cfg.evidence_max)
-    k, size = F.col("k"), human_bytes(total)
+    return exfil_detections(close_segments(rows, fires, cooldown, cfg.evidence_max), cfg)
+
+
+def exfil_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
+    """``fires`` also has ``total``, the bytes of the window, and ``base_before``."""
+    k, total, base = F.col("k"), F.col("total"), F.col("base_before")
+    size = human_bytes(total)
     return finish(
-        out, "exfil", severity=F.lit("high"), actor=k, user=F.lit(""), key=_text("exfil|", k),
+        fires, "exfil", severity=F.lit("high"), actor=k, user=F.lit(""), key=_text("exfil|", k),
         count=F.lit(1).cast("bigint"), first_at=F.timestamp_micros("us"),
         title=_text("Abnormal egress from ", k, ": ", size),
         detail=_text(size, f" outbound within {span_text(cfg.exfil_window_s)} — ~",
@@ -207,13 +212,18 @@ def exfil(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     )
 
 
+def admin_key() -> Column:
+    return F.concat_ws("|", F.lit("newadmin"), or_default(F.col("host"), "any"), or_default(F.col("user"), "any"))
+
+
 def new_admin(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Every new privileged account, once per cooldown for a host and user."""
-    rows = win.micros(events.where("action = 'new_admin'")).withColumn(
-        "k", F.concat_ws("|", F.lit("newadmin"), or_default(F.col("host"), "any"), or_default(F.col("user"), "any"))
-    )
-    first = F.min(F.struct("seq", "host", "user", "src_ip", "raw", "source_id"))
-    fires = thin(rows.groupBy("k", "us").agg(first.alias("_x")).select("k", "us", "_x.*"), "k", cfg.cooldown_s * SECOND)
+    rows = win.micros(events.where("action = 'new_admin'")).withColumn("k", admin_key())
+    fires = thin(rows.groupBy("k", "us").agg(F.min("seq").alias("seq")), "k", cfg.cooldown_s * SECOND)
+    return admin_detections(rows.join(fires, ["k", "us", "seq"]), cfg)
+
+
+def admin_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
     return finish(
         fires, "new_admin", severity=F.lit("high"), actor=actor(), key=F.col("k"),
         count=F.lit(1).cast("bigint"), first_at=F.timestamp_micros("us"), evidence=F.array("raw"),
@@ -223,13 +233,18 @@ def new_admin(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     )
 
 
+def spike_key() -> Column:
+    return F.concat_ws("/", or_default(F.col("host"), "any"), or_default(F.col("app"), "any"))
+
+
+def spike_source() -> Column:
+    return F.when(F.col("src_ip") != "", F.col("src_ip")).otherwise(or_default(F.col("user"), "any"))
+
+
 def auth_spike(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """Many failures on one service from several sources."""
     cooldown, width = cfg.cooldown_s * SECOND, cfg.spike_window_s * SECOND
-    rows = win.micros(events.where("auth = 'failure'")).withColumns({
-        "k": F.concat_ws("/", or_default(F.col("host"), "any"), or_default(F.col("app"), "any")),
-        "_src": F.when(F.col("src_ip") != "", F.col("src_ip")).otherwise(or_default(F.col("user"), "any")),
-    })
+    rows = win.micros(events.where("auth = 'failure'")).withColumns({"k": spike_key(), "_src": spike_source()})
     if cfg.cooldown_s <= cfg.spike_window_s:
         fires = restarting(rows, "k", width, cooldown, cfg.spike_min, "_src", cfg.spike_sources).withColumnRenamed("values", "_sources")
     else:
@@ -284,20 +299,26 @@ def _upto(points: DataFrame, fires: DataFrame, name: str) -> DataFrame:
     return hit.groupBy("k", "us").agg(F.count(F.lit(1)).alias(name))
 
 
+def forwarded_tokens(rows: DataFrame) -> DataFrame:
+    """Adds what a forwarded message (``_msg``) says."""
+    msg = F.col("_msg")
+    return rows.withColumns({"_product": token(msg, "product"), "_sev": token(msg, "severity"), "_check": token(msg, "check")})
+
+
+def forwarded_rows(events: DataFrame) -> DataFrame:
+    """Severe open findings another tool sent as log lines."""
+    msg = F.col("_msg")
+    rows = events.where("src_ip != ''").withColumn("_msg", F.when(F.col("message") == "", F.col("raw")).otherwise(F.col("message")))
+    told = forwarded_tokens(rows.where(msg.contains("product="))).where("_product != '' and _sev in ('critical', 'high')")
+    return told.where(token(msg, "status") != "resolved")
+
+
 def forwarded_finding(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """A severe finding another tool sent as a log line, once per product and address."""
-    msg = F.col("_msg")
-    rows = (
-        events.where("src_ip != ''")
-        .withColumn("_msg", F.when(F.col("message") == "", F.col("raw")).otherwise(F.col("message")))
-        .where(msg.contains("product="))
-        .withColumns({"_product": token(msg, "product"), "_sev": token(msg, "severity"),
-                      "_status": token(msg, "status"), "_check": token(msg, "check")})
-        .where("_product != '' and _status != 'resolved' and _sev in ('critical', 'high')")
-    )
-    rows = win.micros(rows).withColumn("k", F.concat_ws("|", F.lit("sentinel"), "_product", "src_ip"))
-    first = F.min(F.struct("seq", "host", "src_ip", "raw", "source_id", "_msg", "_product", "_sev", "_check"))
-    fires = thin(rows.groupBy("k", "us").agg(first.alias("_x")).select("k", "us", "_x.*"), "k", cfg.cooldown_s * SECOND)
+    rows = win.micros(forwarded_rows(events)).withColumn("k", F.concat_ws("|", F.lit("sentinel"), "_product", "src_ip"))
+    # narrow rows are thinned; texts are fetched for the few that fire
+    fires = pin(thin(rows.groupBy("k", "us").agg(F.min("seq").alias("seq")), "k", cfg.cooldown_s * SECOND))
+    fires = pin(rows.join(fires, ["k", "us", "seq"]).select("us", "seq", "host", "src_ip", "raw", "source_id", "_msg", "_product", "_sev", "_check"))
     # Evidence grows per address over all products and stops at its first few fired lines.
     early = (
         fires.where("raw != ''")
@@ -309,15 +330,25 @@ def forwarded_finding(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     known = F.filter("_early", lambda e: F.struct(e["us"].alias("us"), e["seq"].alias("seq")) <= here)
     out = fires.join(early, "src_ip", "left").withColumn(
         "evidence", F.coalesce(F.transform(known, lambda e: e["raw"]), F.array().cast("array<string>")))
-    ip, product = F.col("src_ip"), F.col("_product")
+    return forwarded_detections(out, cfg)
+
+
+def forwarded_detections(fires: DataFrame, cfg: DetectConfig) -> DataFrame:
+    ip, product, msg = F.col("src_ip"), F.col("_product"), F.col("_msg")
     return finish(
-        out, "sentinel_finding", severity=F.col("_sev"), actor=ip, user=F.lit(""), key=F.col("k"),
+        fires, "sentinel_finding", severity=F.col("_sev"), actor=ip, user=F.lit(""), key=F.concat_ws("|", F.lit("sentinel"), product, ip),
         count=F.lit(1).cast("bigint"), first_at=F.timestamp_micros("us"),
         title=_text(product, " reported ", or_default(F.col("_check"), "any"), " from ", ip),
         detail=_text("A ", F.col("_sev"), " finding from ", product, " arrived over syslog: ", msg),
     )
 
 
+# From fires, of a batch or a stream, to detections.
+DESCRIBE: dict[str, Callable[[DataFrame, DetectConfig], DataFrame]] = {
+    "brute_force": brute_detections, "scan": scan_detections, "exfil": exfil_detections,
+    "new_admin": admin_detections, "auth_spike": spike_detections, "sentinel_finding": forwarded_detections,
+}
+
 Detector = Callable[[DataFrame, DetectConfig], DataFrame]
 
 # Order inside one event. Users may add their own entries.

@@ -1,18 +1,19 @@
-"""Keyed stream state that sees the rows of a key in event-time order.
+"""Keyed stream state that sees the rows of a key in event-time order, each row once.
 
-Rows wait in state until the watermark passes them and are then stepped through in (us, seq, ord)
-order, so arrival order does not matter as long as rows come within the allowed delay. Later rows
-are dropped by the watermark and counted in the query's progress. State lives in RocksDB.
+Rows wait in slots of event time, one list per slot, until the watermark passes the slot's end; then they
+are stepped through in (us, seq, ord) order. So arrival order does not matter as long as rows come within the
+allowed delay, a slot is read once, and rows that are not due are not touched. Later rows are dropped by the
+watermark; ``LateRows`` counts them. State is typed and lives in RocksDB. A key that has been silent for its
+time to live is forgotten by an event-time timer (state with its own time to live needs processing time).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 SECOND = 1_000_000
 
@@ -24,59 +25,72 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Subclasses give the columns they need, the output columns and one step.
+    """Subclasses give the columns of their rows and outputs, keep typed state and make one step per row.
 
-    ``step(memo, row)`` may change the memo (a JSON-able dict kept per key) and returns an output
-    tuple or None. ``ttl_s`` drops the state of keys that stay silent.
+    ``load`` reads what ``step(row)`` needs, ``step`` returns an output tuple or None, ``save`` writes what has
+    changed; both are called once per key and trigger. ``forget`` clears the state of a key silent for ``ttl_us``.
     """
 
     row_schema = ""
     fields: tuple[str, ...] = ()
-    ttl_s: int | None = None
+    ttl_us: int | None = None
+    slot_us = SECOND
 
-    def step(self, memo: dict, row: dict):
+    def keep(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def load(self) -> None:
+        raise NotImplementedError
+
+    def step(self, row: dict):
+        raise NotImplementedError
+
+    def save(self) -> None:
+        raise NotImplementedError
+
+    def forget(self) -> None:
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names = [p.split()[0] for p in self.row_schema.split(", ")]
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.memo = handle.getValueState("memo", "doc string")
+        self.waiting = handle.getMapState("waiting", "slot bigint", f"rows array<struct<{self.row_schema.replace(' ', ':').replace(',:', ',')}>>")
+        self.last = handle.getValueState("last", "us bigint")
+        self.keep(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        slots: dict[int, list] = {}
         for pdf in rows:
-            self.waiting.appendList([tuple(r) for r in pdf[self.names].itertuples(index=False)])
-            top = int(pdf["us"].max())
-            latest = top if latest is None else max(latest, top)
-        if latest is not None:
-            # Timers count in milliseconds: the row is complete once the next one begins.
-            self.handle.registerTimer(latest // 1000 + 1)
+            for row in pdf[self.names].itertuples(index=False, name=None):
+                slots.setdefault(row[0] // self.slot_us, []).append(row)
+        for slot, new in slots.items():
+            known = self.waiting.getValue((slot,))
+            self.waiting.updateValue((slot,), ([*map(tuple, known[0]), *new] if known else new,))
+            self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = [dict(zip(self.names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
-        memo = json.loads(self.memo.get()[0]) if self.memo.exists() else {}
-        due = [r for r in waiting if r["us"] < upto]
-        if not due:
-            # The silence timer: nothing arrived since it was set.
-            if self.ttl_s and memo and upto >= memo["_seen"] + self.ttl_s * SECOND:
-                self.memo.clear()
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(s for (s,) in self.waiting.keys() if (s + 1) * self.slot_us <= upto)
+        if not due:  # done by an earlier timer of this trigger, or the key has been silent
+            last = self.last.get() if self.ttl_us else None
+            if last and upto >= last[0] + self.ttl_us and not self.waiting.exists():
+                self.last.clear()
+                self.forget()
             return
-        left = [r for r in waiting if r["us"] >= upto]
-        out = []
-        for row in sorted(due, key=lambda r: (r["us"], r["seq"], r.get("ord", 0))):
-            made = self.step(memo, row)
-            memo["_seen"] = row["us"]
-            if made is not None:
-                out.append((key[0], row["us"], row["seq"], *made))
-        self.waiting.clear()
-        if left:
-            self.waiting.put([tuple(r[n] for n in self.names) for r in left])
-        self.memo.update((json.dumps(memo),))
-        if self.ttl_s:
-            self.handle.registerTimer(memo["_seen"] // 1000 + self.ttl_s * 1000 + 1)
+        self.load()
+        out, us = [], 0
+        for slot in due:
+            for row in sorted((dict(zip(self.names, r)) for r in self.waiting.getValue((slot,))[0]), key=lambda r: (r["us"], r["seq"], r.get("ord", 0))):
+                us = row["us"]
+                made = self.step(row)
+                if made is not None:
+                    out.append((key[0], us, row["seq"], *made))
+            self.waiting.removeKey((slot,))
+        self.save()
+        if self.ttl_us:
+            self.last.update((us,))
+            self.handle.registerTimer((us + self.ttl_us) // 1000 + 1)
         if out:
             yield pd.DataFrame(out, columns=["k", "us", "seq", *self.fields])
 
@@ -89,3 +103,28 @@ def run_ordered(rows: DataFrame, processor: OrderedProcessor, schema: str, delay
     keyed = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
     return keyed.groupBy("k").transformWithStateInPandas(
         processor, f"k string, us bigint, seq bigint, {schema}", "Append", "EventTime")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, per query name or id, the rows that came later than the allowed delay and were dropped.
+
+    Add it with ``spark.streams.addListener``; ``dropped`` maps a query to its count so far.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        name = progress.name or str(progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + late
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
