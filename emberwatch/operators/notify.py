@@ -99,14 +99,13 @@ def chat_json(digest: DataFrame, products: dict[str, str] | None = None) -> Data
 
 def evidence_ip(evidence: Column) -> Column:
     """First of the usual address fields that holds a valid address as a text."""
-    doc = F.from_json(evidence, "map<string,string>")
-    kinds = F.from_json(evidence, ", ".join(f"`{k}` variant" for k in ADDRESS_KEYS))
-    tries = []
-    for key in ADDRESS_KEYS:
-        value = strip_space(F.try_element_at(doc, F.lit(key)))
-        texty = F.schema_of_variant(kinds[key]) == "STRING"
-        tries.append(F.when(texty & is_address(value), value))
-    return F.coalesce(*tries, F.lit(""))
+    # Only a text can look like an address, so values of other types need no test. The document is parsed
+    # once: as an element of an array it is bound before its fields are looked at.
+    def first(doc: Column) -> Column:
+        values = [strip_space(F.try_element_at(doc, F.lit(key))) for key in ADDRESS_KEYS]
+        return F.coalesce(*[F.when(is_address(v), v) for v in values], F.lit(""))
+
+    return F.transform(F.array(F.from_json(evidence, "map<string,string>")), first)[0]
 
 
 def sanitize(c: Column, limit: int = LINE_LIMIT) -> Column:

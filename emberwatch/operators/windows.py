@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberwatch.operators.scan import running_blend, running_sum
 from emberwatch.operators.thinning import floor_div
+from emberwatch.plans.lineage import pin
 
 
 def micros(df: DataFrame) -> DataFrame:
@@ -62,11 +63,12 @@ def coverage(df: DataFrame, key: str, value: str, window_us: int) -> tuple[DataF
         .agg(F.min(F.struct("us", "seq")).alias("_first"), F.max("us").alias("_last"))
     )
     order = W.partitionBy(key, value).orderBy("_s")
-    seen = slots.select(
+    # read for starts and for ends, and by callers again
+    seen = pin(slots.select(
         key, "_first", "_last",
         F.lag("_last").over(order).alias("_prev"),
         F.lead("_first.us").over(order).alias("_next"),
-    )
+    ))
     starts = seen.where(
         F.col("_prev").isNull() | (F.col("_first.us") - F.col("_prev") > F.lit(window_us))
     ).select(key, F.col("_first.us").alias("us"), F.col("_first.seq").alias("seq"))

@@ -44,6 +44,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(pinned: DataFrame) -> None:
+    """Delete a pinned table that nothing reads any more, in jobs that run for long."""
+    spark = pinned.sparkSession
+    for file in pinned.inputFiles()[:1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pin(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -42,11 +42,15 @@ def immediate(events: DataFrame, cfg: DetectConfig, chain: ChainConfig, detectio
               detectors: dict[str, Detector] | None = None) -> Immediate:
     """Events to the keyed detections table, the findings table and one opened alert per fire."""
     records = pin(fired_records(events, cfg, chain, detectors, stored))
-    alerts = rec.findings(records, module).select(
+    return Immediate(
+        records, rec.upsert_detections(detections, records), rec.write_findings(findings, records, module), record_alerts(records, module))
+
+
+def record_alerts(records: DataFrame, module: str = MODULE) -> DataFrame:
+    """One opened alert per fired record."""
+    return rec.findings(records, module).select(
         F.lit("opened").alias("kind"), F.lit(module).alias("module"), F.col("last_at").alias("at"), "seq", "ord",
         "fingerprint", *ALERT_FIELDS)
-    return Immediate(
-        records, rec.upsert_detections(detections, records), rec.write_findings(findings, records, module), alerts)
 
 
 def backstop(detections: DataFrame, sources: DataFrame, rates: DataFrame | None, findings: DataFrame, now: Column,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from emberwatch.functions.syslog import parse_lines, parse_syslog
@@ -15,13 +18,14 @@ def with_origin(lines: DataFrame, source_id: str, kind: str, host: str = "", app
 
     ``received`` stands in for lines without a readable time; by default it is the file's
     modification time, which unlike the wall clock is the same on every run. ``seq`` is the arrival
-    order: files by modification time and name, lines by their place in the file. A stream cannot number
-    its lines, so there equal times are ordered by a hash of source, file and text, which at least is the
-    same on every replay.
+    order: files by modification time and name, lines by their place in the file. A stream does not know
+    what else there is, so there a line has a hash of its source and file in the upper 31 bits and its place
+    in the file below: equal lines differ, the lines of a file are in order, and a replay numbers them alike.
     """
     at = (received if received is not None else F.col("_metadata.file_modification_time")).cast("timestamp")
     if lines.isStreaming:
-        numbered = lines.select("value", at.alias("recv_ts"), F.xxhash64(F.lit(source_id), "_metadata.file_path", "value").alias("seq"))
+        file = F.pmod(F.xxhash64(F.lit(source_id), "_metadata.file_path"), F.lit(1 << 31)) * F.lit(1 << 32)
+        numbered = _placed(lines.select("value", at.alias("recv_ts"), file.alias("_file"), F.col("_metadata.file_block_start").alias("_start")))
     else:
         numbered = _numbered(lines.select(
             "value", at.alias("recv_ts"), F.monotonically_increasing_id().alias("_id"),
@@ -31,6 +35,29 @@ def with_origin(lines: DataFrame, source_id: str, kind: str, host: str = "", app
     )
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """Replace ``_file`` and ``_start`` (first byte of the stretch that one task reads) by ``seq``.
+
+    A stretch has no more lines than bytes, so first byte + number in the stretch grows over the stretches of a file.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, start = batch.column("_file").to_numpy(), batch.column("_start").to_numpy()
+            new = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
+            seq = np.empty(batch.num_rows, np.int64)
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                if (file[lo], start[lo]) != held:
+                    held, count = (file[lo], start[lo]), 0
+                seq[lo:hi] = file[lo] + start[lo] + np.arange(count, count + hi - lo)
+                count += hi - lo
+            yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("recv_ts"), pa.array(seq)], ["value", "recv_ts", "seq"])
+
+    return lines.mapInArrow(run, "value string, recv_ts timestamp, seq bigint")
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """Replace ``_id``, which grows inside a stretch of a file that one task reads, by the arrival order ``seq``.
 

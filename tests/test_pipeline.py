@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.model import ChainConfig, DetectConfig, RECORD_SCHEMA, SOURCE_SCHEMA, STATE_SCHEMA
 from emberwatch.operators import notify, records as rec, views as read
-from emberwatch.plans import pipeline
+from emberwatch.plans import online, pipeline
 from emberwatch.plans.lineage import pin
 from emberwatch.sources import lines, registry
 from emberwatch.sources.snapshots import Snapshots
@@ -169,3 +169,79 @@ def test_stream_of_files_parses_like_batch(spark, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert spark.table("parsed_lines").groupBy("auth").count().where("auth = 'failure'").first()["count"] == 8
+
+
+def test_equal_lines_of_a_streamed_file_differ(spark, tmp_path):
+    folder = tmp_path / "in"
+    os.makedirs(folder)
+    repeated = ["same", "same", "other", "same"] * 700
+    (folder / "a.log").write_text("\n".join(repeated) + "\n")
+    (folder / "b.log").write_text("same\nsame\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # several stretches
+    q = (lines.stream_lines(spark, str(folder), "net").writeStream.format("memory").queryName("placed_lines")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = spark.table("placed_lines").orderBy("seq").collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.seq >> 32, []).append(r.value)
+    assert sorted(files.values(), key=len) == [["same", "same"], repeated] and len({r.seq for r in rows}) == len(rows)
+    batch = lines.read_lines(spark, str(folder / "a.log"), "net").orderBy("seq").collect()
+    assert [r.value for r in batch] == repeated
+
+
+def test_small_batches_leave_a_small_table(spark, tmp_path):
+    schema = "k string, n bigint"
+    table = Snapshots(spark, str(tmp_path / "t"), ("k",), buckets=32, keep=3, hold_s=0)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    add = lambda new: lambda old: old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+    table.update(schema, add(frame([(f"k{i}", 1) for i in range(2000)])))
+    want = {f"k{i}": 1 for i in range(2000)}
+    for batch in range(12):
+        new = frame([(f"k{batch}", 10), (f"new{batch}", 5)])
+        before = set(table._commit_of(table.version())["folders"].values())
+        table.update(schema, add(new), "s", batch, touched=new)
+        assert len(set(table._commit_of(table.version())["folders"].values()) - before) <= 2  # of 32 buckets
+        want[f"k{batch}"], want[f"new{batch}"] = 11, 5
+    assert {r.k: r.n for r in table.read(schema).collect()} == want
+    assert table.update(schema, add(frame([("k0", 99)])), "s", 11) == 13  # a replay
+    assert sorted(os.listdir(tmp_path / "t/commits"))[-3:] and len([n for n in os.listdir(tmp_path / "t/commits") if n.isdigit()]) == 3
+    named = {f for v in table._versions() for f in table._commit_of(v)["folders"].values()}
+    assert {str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").glob("v=*/_bucket=*")} == named
+    with pytest.raises(ValueError):
+        table.update(schema, lambda old: old.unionByName(frame([(f"x{i}", 1) for i in range(100)])), touched=frame([("x0", 1)]))
+    assert table.read(schema, table.version() - 1).count() == 2011  # the versions kept stay readable
+
+
+def test_lines_to_alerts_to_resolved_without_a_hand(spark, tmp_path):
+    logs = tmp_path / "logs"
+    os.makedirs(logs)
+    later = lambda h: [f"<38>Aug 17 {h}:00:{i:02d} web09 cron[1]: Failed password for nobody from 198.51.100.{h} port 5 ssh2" for i in range(2)]
+    scans, rest = attack_lines()[:10], attack_lines()[10:]
+    for i, chunk in enumerate((scans[::-1], rest[::-1], later(12), later(13), later(14))):
+        (logs / f"{i}.log").write_text("\n".join(chunk) + "\n")
+        os.utime(logs / f"{i}.log", (10_000 + i, 10_000 + i))
+    landed = lines.stream_lines(spark, str(logs), "net", "syslog", received=F.lit(NOW), max_files=1)
+    events = lines.parse_source(landed, "syslog")
+    clock = str(tmp_path / "clock")
+    for t in (dt.datetime(2026, 8, 17, 11, 20), dt.datetime(2026, 8, 17, 15, 0)):
+        spark.createDataFrame([(t,)], "timestamp timestamp").coalesce(1).write.mode("append").parquet(clock)
+    ticks = spark.readStream.schema("timestamp timestamp").option("maxFilesPerTrigger", 1).parquet(clock)
+    src = spark.createDataFrame([("net", "syslog", {"udp": ":514"}, True, NOW)], SOURCE_SCHEMA)
+    path = online.Online(spark, str(tmp_path / "on"), DetectConfig(), ChainConfig(), delay_s=30, trigger={"availableNow": True})
+    for q in path.start(events, ticks, lambda: src, host="h"):
+        assert q.exception() is None
+    batch = lines.parse_source(lines.read_lines(spark, str(logs), "net", "syslog", received=F.lit(NOW)), "syslog")
+    want = pipeline.immediate(pin(batch), DetectConfig(), ChainConfig())
+    shown = lambda df: sorted((r.check, r.severity, r.title, r.detail, r.count, tuple(r.evidence)) for r in df.withColumn("evidence", F.col("evidence")).collect())
+    assert shown(path.detections.read(RECORD_SCHEMA, 1)) == shown(want.detections) and want.detections.count() == 3
+    state = path.findings.read(STATE_SCHEMA).collect()
+    assert len(state) == 3 and {r.status for r in state} == {"resolved"}
+    assert path.detections.read(RECORD_SCHEMA).count() == 0  # older than an hour by the second tick
+
+    def written(what):
+        return "".join(open(f).read() for f in glob.glob(str(tmp_path / f"on/out/{what}/lines/*/part-*"))).splitlines()
+
+    assert len(written("opened")) == 3 and all("status=open" in x for x in written("opened"))
+    assert len(written("rounds")) == 3 and all("RESOLVED" in x for x in written("rounds"))
