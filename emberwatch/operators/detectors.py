@@ -308,17 +308,21 @@ def forwarded_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_product": token(msg, "product"), "_sev": token(msg, "severity"), "_check": token(msg, "check")})
 
 
-def forwarded_rows(events: DataFrame) -> DataFrame:
-    """Severe open findings another tool sent as log lines."""
-    msg = F.col("_msg")
-    rows = events.where("src_ip != ''").withColumn("_msg", F.when(F.col("message") == "", F.col("raw")).otherwise(F.col("message")))
-    told = forwarded_tokens(rows.where(msg.contains("product="))).where("_product != '' and _sev in ('critical', 'high')")
-    return told.where(token(msg, "status") != "resolved")
+def forwarded_message() -> Column:
+    return F.when(F.col("message") == "", F.col("raw")).otherwise(F.col("message"))
+
+
+def is_forwarded() -> Column:
+    """Whether an event is a severe open finding that another tool sent as a log line."""
+    msg = forwarded_message()
+    return (
+        (F.col("src_ip") != "") & msg.contains("product=") & (token(msg, "product") != "")
+        & token(msg, "severity").isin("critical", "high") & (token(msg, "status") != "resolved"))
 
 
 def forwarded_finding(events: DataFrame, cfg: DetectConfig) -> DataFrame:
     """A severe finding another tool sent as a log line, once per product and address."""
-    rows = win.micros(forwarded_rows(events)).withColumn("k", F.concat_ws("|", F.lit("sentinel"), "_product", "src_ip"))
+    rows = win.micros(forwarded_tokens(events.where(is_forwarded()).withColumn("_msg", forwarded_message()))).withColumn("k", F.concat_ws("|", F.lit("sentinel"), "_product", "src_ip"))
     # narrow rows are thinned; texts are fetched for the few that fire
     fires = pin(thin(rows.groupBy("k", "us").agg(F.min("seq").alias("seq")), "k", cfg.cooldown_s * SECOND))
     fires = pin(rows.join(fires, ["k", "us", "seq"]).select("us", "seq", "host", "src_ip", "raw", "source_id", "_msg", "_product", "_sev", "_check"))

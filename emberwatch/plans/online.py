@@ -4,7 +4,7 @@ Each step lands what it finds in a folder of its own and the next one reads that
 restart and scale apart:
 
 ```
-events -> detections/<kind> -> incidents -> tables (detections, findings) + alerts/opened
+lines -> events -> found/<kind> -> incidents -> tables (detections, findings) + alerts/opened
 clock  -> rounds on the tables -> alerts/rounds
 alerts -> out/{lines,webhook,chat}
 ```
@@ -53,6 +53,14 @@ class Online:
     def _landed(self, name: str, schema) -> DataFrame:
         return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}")
 
+    def parsed(self, events: DataFrame) -> StreamingQuery:
+        """Parsed events are written once; parsing inside every detector's plan would be planned and done each time."""
+        self._event_schema = events.schema
+        return self._land(events, "events")
+
+    def events(self) -> DataFrame:
+        return self._landed("events", self._event_schema)
+
     def detectors(self, events: DataFrame) -> list[StreamingQuery]:
         found = detect.detect_stream(events, self.detect, f"{self.delay_s} seconds", self.ttl_s)
         self._detection_schema = next(iter(found.values())).schema
@@ -97,8 +105,9 @@ class Online:
                 for q in queries:
                     q.awaitTermination()
 
-        wait(*self.detectors(events))
-        wait(self.correlation(events))
+        wait(self.parsed(events))
+        wait(*self.detectors(self.events()))
+        wait(self.correlation(self.events()))
         wait(self.tables(), self.opened())
         wait(self.rounds(clock, sources, rates))
         wait(*self.alerts(host))

@@ -16,7 +16,7 @@ from emberwatch.functions.text import or_default
 from emberwatch.model import SUCCESS_ORDER, ChainConfig, DetectConfig
 from emberwatch.operators import correlate, detectors
 from emberwatch.operators.windows import EWMA_KEEP, EWMA_NEW
-from emberwatch.streaming.ordered import SECOND, OrderedProcessor, run_ordered
+from emberwatch.streaming.ordered import SECOND, OrderedProcessor, run_ordered, watched
 
 _ROW = "us bigint, seq bigint, v string, n bigint, raw string, host string, user string, src_ip string, source_id string, note string"
 FIRE_SCHEMA = (
@@ -258,34 +258,35 @@ def _shape(rows: DataFrame, key, value=None, number=None, note=None) -> DataFram
 
 
 def brute_force(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
-    rows = _shape(events.where("auth = 'failure'"), actor()).where("k != ''")
-    return run_ordered(rows, ThresholdDetector(cfg, cfg.brute_window_s, cfg.brute_failures, ttl_s=ttl_s), FIRE_SCHEMA, delay)
+    rows = _shape(watched(events, delay, (F.col("auth") == "failure") & (actor() != "")), actor())
+    return run_ordered(rows, ThresholdDetector(cfg, cfg.brute_window_s, cfg.brute_failures, ttl_s=ttl_s), FIRE_SCHEMA)
 
 
 def port_scan(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
-    rows = _shape(events.where("src_ip != '' and dst_port != 0"), F.col("src_ip"), F.col("dst_port").cast("string"))
-    return run_ordered(rows, ThresholdDetector(cfg, cfg.scan_window_s, 1, cfg.scan_ports, True, ttl_s), FIRE_SCHEMA, delay)
+    rows = _shape(watched(events, delay, (F.col("src_ip") != "") & (F.col("dst_port") != 0)), F.col("src_ip"), F.col("dst_port").cast("string"))
+    return run_ordered(rows, ThresholdDetector(cfg, cfg.scan_window_s, 1, cfg.scan_ports, True, ttl_s), FIRE_SCHEMA)
 
 
 def exfil(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
     """The baseline is forgotten with its host, so its time to live should span the longest usual silence."""
-    rows = _shape(events.where("bytes_out > 0 and host != ''"), F.col("host"), number=F.col("bytes_out"))
-    return run_ordered(rows, EgressDetector(cfg, cfg.exfil_window_s, ttl_s), FIRE_SCHEMA, delay)
+    rows = _shape(watched(events, delay, (F.col("bytes_out") > 0) & (F.col("host") != "")), F.col("host"), number=F.col("bytes_out"))
+    return run_ordered(rows, EgressDetector(cfg, cfg.exfil_window_s, ttl_s), FIRE_SCHEMA)
 
 
 def new_admin(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
-    rows = _shape(events.where("action = 'new_admin'"), detectors.admin_key())
-    return run_ordered(rows, CooldownDetector(cfg, 0, ttl_s), FIRE_SCHEMA, delay)
+    rows = _shape(watched(events, delay, F.col("action") == "new_admin"), detectors.admin_key())
+    return run_ordered(rows, CooldownDetector(cfg, 0, ttl_s), FIRE_SCHEMA)
 
 
 def auth_spike(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
-    rows = _shape(events.where("auth = 'failure'"), detectors.spike_key(), detectors.spike_source())
-    return run_ordered(rows, ThresholdDetector(cfg, cfg.spike_window_s, cfg.spike_min, cfg.spike_sources, ttl_s=ttl_s), FIRE_SCHEMA, delay)
+    rows = _shape(watched(events, delay, F.col("auth") == "failure"), detectors.spike_key(), detectors.spike_source())
+    return run_ordered(rows, ThresholdDetector(cfg, cfg.spike_window_s, cfg.spike_min, cfg.spike_sources, ttl_s=ttl_s), FIRE_SCHEMA)
 
 
 def forwarded_finding(events: DataFrame, cfg: DetectConfig, delay: str, ttl_s: int | None = None) -> DataFrame:
-    rows = detectors.forwarded_rows(events)
-    return run_ordered(_shape(rows, F.col("src_ip"), F.col("_product"), note=F.col("_msg")), ForwardedDetector(cfg, 0, ttl_s), FIRE_SCHEMA, delay)
+    rows = watched(events, delay, detectors.is_forwarded())
+    message = detectors.forwarded_message()
+    return run_ordered(_shape(rows, F.col("src_ip"), token(message, "product"), note=message), ForwardedDetector(cfg, 0, ttl_s), FIRE_SCHEMA)
 
 
 StreamDetector = Callable[..., DataFrame]
@@ -370,16 +371,17 @@ def incidents(steps: DataFrame, cfg: ChainConfig, delay: str, ttl_s: int | None
     """steps: stream of (k, ts, seq, ord, kind, title, host, user, raw, source_id), see below. Full incidents, for ``incident_records``."""
     stage = f"struct<{_STAGE.replace(' ', ':').replace(',:', ',')}>"
     schema = f"ord int, kind string, title string, host string, user string, raw string, source_id string, scan {stage}, brute {stage}, place {stage}"
-    made = run_ordered(steps, ChainProcessor(cfg, ttl_s), schema, delay)
+    made = run_ordered(watched(steps, delay, F.col("kind") != "clock"), ChainProcessor(cfg, ttl_s), schema)
     seen = made.withColumnsRenamed({"scan": "_scan", "brute": "_brute"}).withColumn(
         "_target", F.when(F.col("place").isNotNull(), F.struct(F.col("place")["title"].alias("host")))).drop("place")
     return correlate.describe(seen, cfg)
 
 
 def login_steps(events: DataFrame) -> DataFrame:
-    return events.where("auth = 'success'").select(
-        actor().alias("k"), "ts", "seq", F.lit(SUCCESS_ORDER).alias("ord"), F.lit("success").alias("kind"), F.lit("").alias("title"),
-        "host", "user", "raw", "source_id")
+    """Logins as steps. Other events are of kind ``clock``: they only tell the time."""
+    return events.select(
+        actor().alias("k"), "ts", "seq", F.lit(SUCCESS_ORDER).alias("ord"), F.when(F.col("auth") == "success", "success").otherwise("clock").alias("kind"),
+        F.lit("").alias("title"), "host", "user", "raw", "source_id")
 
 
 def detection_steps(detections: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 SECOND = 1_000_000
@@ -98,9 +98,18 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
-def run_ordered(rows: DataFrame, processor: OrderedProcessor, schema: str, delay: str) -> DataFrame:
-    """rows: (k, ts, seq, ...) stream; schema: the processor's output after k, us and seq."""
-    keyed = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
+def watched(rows: DataFrame, delay: str, wanted: Column) -> DataFrame:
+    """The ``wanted`` rows, with a watermark that all rows move.
+
+    The optimizer moves filters below a watermark unless they look at its column. Below it, what a detector does
+    not want would not move its watermark, and its last rows would wait for others of their kind.
+    """
+    return rows.withWatermark("ts", delay).where(F.when(F.col("ts").isNotNull(), wanted))
+
+
+def run_ordered(rows: DataFrame, processor: OrderedProcessor, schema: str) -> DataFrame:
+    """rows: (k, ts, seq, ...) stream with a watermark on ts; schema: the processor's output after k, us and seq."""
+    keyed = rows.withColumn("us", F.unix_micros("ts"))
     return keyed.groupBy("k").transformWithStateInPandas(
         processor, f"k string, us bigint, seq bigint, {schema}", "Append", "EventTime")
 
