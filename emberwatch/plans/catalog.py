@@ -227,10 +227,8 @@ def auth_spike_short_cooldown(spark, sf_dir):
 
 @query
 def detect_all(spark, sf_dir):
-    found = detectors.detect_all(stored_events(spark, sf_dir), CFG)
-    return found.groupBy("kind", "severity", "ord").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"), F.sum(F.size("evidence")).alias("lines"),
-        F.min(us("first_at")).alias("first_us"), F.max(us("last_at")).alias("last_us"))
+    """Every detection of all six kinds."""
+    return detection_row(detectors.detect_all(stored_events(spark, sf_dir, views.mixed), CFG))
 
 
 def chain_stages(ev: DataFrame) -> DataFrame:

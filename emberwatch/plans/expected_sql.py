@@ -243,10 +243,8 @@ EXPECTED["forwarded_finding"] = f"""with recursive {_BAIT}, {_BAIT_HITS}, {_BFIR
   hit as (select a.*, array_to_string((select list(b.raw order by b.rn) from bfired b where b.ip = a.ip and b.rn <= least(a.rn, 5)), '|') as evidence from bfired a)
   {_out('sentinel_finding', 6, 'sev', 'ip', 'host', "''", "product || ' reported c.' || (k % 7) || ' from ' || ip",
         "'A ' || sev || ' finding from ' || product || ' arrived over syslog: ' || message", '1', 'key_', 'us')} from hit"""
-EXPECTED["detect_all"] = "with parts as (" + " union all ".join(
-    f"select * from ({EXPECTED[name]})" for name in ("brute_force", "port_scan", "exfil", "new_admin", "auth_spike")
-) + """) select kind, severity, ord, count(*) as n, cast(sum(count) as bigint) as total,
-  cast(sum(len(string_split(evidence, '|'))) as bigint) as lines, min(first_us) as first_us, max(last_us) as last_us from parts group by all"""
+EXPECTED["detect_all"] = " union all ".join(
+    f"select * from ({EXPECTED[name]})" for name in ("brute_force", "port_scan", "exfil", "new_admin", "auth_spike", "forwarded_finding"))
 
 # --- incidents -----------------------------------------------------------------------------------
 

@@ -57,8 +57,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose message is a finding another tool forwarded."""
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with messages that are findings another tool forwarded."""
     k = F.col("dst_port") - 20
     product = F.when(k % 3 == 0, "trap").otherwise("rules")
     level = F.when(k % 4 == 0, "critical").when(k % 4 == 1, "high").otherwise("low")
@@ -66,7 +66,12 @@ def forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.concat(
         F.lit("bait | product="), product, F.lit(" severity="), level, F.lit(" check=c."), (k % 7).cast("string"),
         F.lit(" target=t status="), status, F.lit(" src="), F.col("src_ip"))
-    return events(spark, sf_dir).withColumn("message", message).withColumn("auth", F.lit(""))
+    return events(spark, sf_dir).withColumn("message", message)
+
+
+def forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without logins."""
+    return mixed(spark, sf_dir).withColumn("auth", F.lit(""))
 
 
 SPLIT = "timestamp '2024-01-16 00:00:00'"
