@@ -1,8 +1,8 @@
 """Personal data, also behind disguises, with positions in the source text.
 
 Plain patterns are looked for in the text as it is. A chain of transducers then normalises disguised
-stretches (look-alike letters, full-width forms, invisible characters, spelled digits, "(at)" and
-"dot"), each keeping for every character it writes the source stretch it came from; identifiers found
+stretches (look-alike letters, full-width forms, invisible characters, digits, at and dot spelled in four
+languages), each keeping for every character it writes the source stretch it came from; identifiers found
 in the normalised text are mapped back to source positions and added where no plain match of any kind
 overlaps them.
 
@@ -14,6 +14,7 @@ form passes the same checks as a plain match. Repeated rows are treated each.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -41,15 +42,22 @@ LOOKALIKES = dict(zip(
 INVISIBLE = "­​‌‍⁠﻿"
 DASHES = "‐‑‒–—−"
 SPACES = "    　"
-# Names of the digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_DIGIT = "(?:" + "|".join(DIGITS) + ")"
+# Names of the digits in English, German, French and Spanish.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+# How the signs of an address are spoken, at and dot of one language each.
+SPOKEN = (("at", "dot"), ("ät|at|klammeraffe", "punkt"), ("arobase|arrobase", "point"), ("arroba", "punto"))
+
+_DIGIT = "(?:" + "|".join(sorted(DIGITS, key=lambda x: (-len(x), x))) + ")"
+_AT, _DOT = ("|".join(sorted(set("|".join(x[i] for x in SPOKEN).split("|")))) for i in (0, 1))
 #: Cheap test that a text may hold a disguise at all; a regular language, so one pass of an automaton.
 #: Every first rewrite of ``normalise`` starts from a match: bare words only count where a bare "dot" stands between word characters.
 TRIGGER = (
     "[" + "".join(LOOKALIKES) + INVISIBLE + DASHES + SPACES + "！-～٠-٩]"
-    r"|[\[({<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}>]|[A-Za-z0-9_-][ \t]+dot[ \t]+[A-Za-z0-9-]"
+    rf"|[\[({{<][ \t]*(?:{_AT}|@|{_DOT}|\.)[ \t]*[\])}}>]|[A-Za-z0-9_-][ \t]+(?:{_DOT})[ \t]+[A-Za-z0-9-]"
     r"|\b" + _DIGIT + r"[ \t,.-]+" + _DIGIT + r"[ \t,.-]+" + _DIGIT + r"\b")
 
 #: Source stretch (start, end) of every character of a normalised text.
@@ -142,11 +150,30 @@ def _rewrite(tape: Tape, pattern: re.Pattern, to) -> Tape:
 
 _SPELLED = re.compile(rf"\b{_DIGIT}(?:[ \t,.-]+{_DIGIT}){{2,}}\b", re.I)
 _NAME = re.compile(_DIGIT, re.I)
-_BRACKET_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*", re.I)
-_BRACKET_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*", re.I)
-#: Bare words count only as "name at host dot name", so that the words of a sentence are left alone.
-_WORDS_AT = re.compile(r"(?<=[A-Za-z0-9_-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)", re.I)
-_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9_-])[ \t]+dot[ \t]+(?=[A-Za-z0-9-])", re.I)
+# White space before a bracket counts from where it begins, so that a long run is read once.
+_BEFORE = r"(?:(?<![ \t])[ \t]+)?"
+_BRACKET_AT = re.compile(rf"{_BEFORE}[\[({{<][ \t]*(?:{_AT}|@)[ \t]*[\])}}>][ \t]*", re.I)
+_BRACKET_DOT = re.compile(rf"{_BEFORE}[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>][ \t]*", re.I)
+#: Labels of a host, and the local part of an address.
+_LABEL, _LOCAL = "[A-Za-z0-9-]++", "[A-Za-z0-9._%+-]++"
+
+
+def _spoken(at: str, dot: str) -> tuple[re.Pattern, ...]:
+    """Patterns of one language: a bare dot, a bare at, a host behind ``@``, a local part before it, an address of numbers.
+
+    Bare words only count as "name at host dot name", so that the words of a sentence are left alone: an at
+    needs a dot in the host that follows, however long its labels are.
+    """
+    dot = rf"(?<![ \t])[ \t]+(?:{dot})[ \t]+"
+    return tuple(re.compile(x, re.I) for x in (
+        dot,
+        rf"(?<=[A-Za-z0-9_-])[ \t]+(?:{at})[ \t]+(?={_LABEL}(?:\.{_LABEL})*+{dot}[A-Za-z0-9-])",
+        rf"(?<=@){_LABEL}(?:(?:\.|{dot}){_LABEL})+",
+        rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{dot}{_LOCAL})++@?",
+        rf"(?<![A-Za-z0-9])[0-9]++(?:{dot}[0-9]++){{3}}(?![A-Za-z0-9])"))
+
+
+_LANGUAGES = tuple(_spoken(*x) for x in SPOKEN)
 
 
 def _spelled(m: re.Match) -> str:
@@ -157,23 +184,36 @@ def normalise(text: str) -> Tape:
     tape = _rewrite(_characters(text), _SPELLED, _spelled)
     tape = _rewrite(tape, _BRACKET_AT, lambda m: "@")
     tape = _rewrite(tape, _BRACKET_DOT, lambda m: ".")
-    if _WORD_DOT.search(tape[0]):
-        tape = _rewrite(tape, _WORDS_AT, lambda m: "@" if _WORD_DOT.search(tape[0], m.end(), m.end() + 80) else None)
-        tape = _rewrite(tape, _WORD_DOT, lambda m: "." if "@" in tape[0][max(0, m.start() - 80) : m.start()] else None)
+    for dot, at, host, local, numbers in _LANGUAGES:
+        if dot.search(tape[0]):
+            dotted = lambda m: dot.sub(".", m.group())  # noqa: B023,E731
+            tape = _rewrite(tape, at, lambda m: "@")
+            tape = _rewrite(tape, host, dotted)
+            tape = _rewrite(tape, local, lambda m: dotted(m) if m.group()[-1] == "@" else None)  # noqa: B023
+            tape = _rewrite(tape, numbers, dotted)
     return tape
 
 
 def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the normalised text shows, in source positions; none overlaps ``known``."""
+    """Spans that only the normalised text shows, in source positions; none overlaps ``known`` or another one."""
     norm, at = normalise(text)
-    taken = sorted((s, e) for _, s, e in known)
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in known):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
     for kind, s, e in plain(norm):
         start, end = at[s][0], at[e - 1][1]
-        if norm[s:e] == text[start:end] or any(a < end and start < b for a, b in taken):
+        i = bisect.bisect_left(starts, end)  # stretches taken do not overlap, so only the last one before the end can reach in
+        if norm[s:e] == text[start:end] or (i and ends[i - 1] > start):
             continue
         out.append((kind, start, end))
-        taken.append((start, end))
+        starts.insert(i, start)
+        ends.insert(i, end)
     return out
 
 

@@ -359,20 +359,37 @@ def test_plain_pii_is_what_the_patterns_find():
     ("call +1 five five five one two three four five now", ("phone", "+1 five five five one two three four five")),
     ("host １０.0.0.１ is up", ("ip", "１０.0.0.１")),
     ("4111​1111​1111​1111", ("card", "4111​1111​1111​1111")),
+    ("mail jane at " + "h" * 200 + " dot com now", ("email", "jane at " + "h" * 200 + " dot com")),
+    ("mail jane at a.b dot " + "c" * 200 + " dot com", ("email", "jane at a.b dot " + "c" * 200 + " dot com")),
+    ("mail jane dot doe at corp dot co dot uk", ("email", "jane dot doe at corp dot co dot uk")),
+    ("schreib an jana (ät) firma (Punkt) de", ("email", "jana (ät) firma (Punkt) de")),
+    ("schreib an jana at firma punkt de heute", ("email", "jana at firma punkt de")),
+    ("luis arroba empresa punto es", ("email", "luis arroba empresa punto es")),
+    ("luc arobase maison point fr", ("email", "luc arobase maison point fr")),
+    ("ruf +4 neun eins sieben sechs fünf vier drei zwo an", ("phone", "+4 neun eins sieben sechs fünf vier drei zwo")),
+    ("tel +3 trois un deux quatre cinq zéro huit neuf", ("phone", "+3 trois un deux quatre cinq zéro huit neuf")),
+    ("server 10 dot 0 dot 0 dot 7 is up", ("ip", "10 dot 0 dot 0 dot 7")),
+    (" " * 50000 + "jane (at) corp (dot) com", ("email", "jane (at) corp (dot) com")),
 ])
 def test_disguises_map_back_to_the_source(text, found):
     base, more = pii.find_pii(text)
     assert [(k, text[s:e]) for k, s, e in more] == [found], (base, more)
 
 
-@pytest.mark.parametrize("text", ["meet me at noon. dot the i", "we met at home and one two three went", "at dot at dot", "one, two, three little pigs", ""])
+@pytest.mark.parametrize("text", ["meet me at noon. dot the i", "we met at home and one two three went", "at dot at dot", "one, two, three little pigs", "", "look at this point in the text", "un, deux, trois", "dos punto uno", "a dot " * 20000])
 def test_plain_sentences_are_left_alone(text):
     assert pii.find_pii(text) == ([], [])
 
 
+def test_many_disguises_in_one_text():
+    one = "x at y dot org, "
+    base, more = pii.find_pii(one * 20000)
+    assert base == [] and more == [("email", len(one) * i, len(one) * (i + 1) - 2) for i in range(20000)]
+
+
 def test_the_prefilter_lets_every_disguise_through(spark):
     r = random.Random(9)
-    bits = ["jane", "corp", "com", "a-b", "x_1", "at", "dot", "@", ".", "(at)", "[dot]", "{ . }", "< @ >", "one", "Five", "zero", "oh", "7", "+1", ",", "-", "é", "е", "４", "", "–"]
+    bits = ["jane", "corp", "com", "a-b", "x_1", "at", "dot", "@", ".", "(at)", "[dot]", "{ . }", "< @ >", "one", "Five", "zero", "oh", "fünf", "deux", "ocho", "punkt", "arroba", "punto", "arobase", "point", "ät", "7", "+1", ",", "-", "é", "е", "４", "", "–"]
     texts = ["write to jane@corp dot com", "mail jane at mail.corp dot com", "mail jane AT corp\tDOT com", "jane [at] corp (dot) com", "jane at corp dot com", "jаne@cоrp.com",
              "call +1 five five five one two three four five now", "host １０.0.0.１ is up", "4111​1111​1111​1111"]
     hits = len(texts)
