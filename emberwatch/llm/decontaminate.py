@@ -4,14 +4,15 @@ Texts become templates: numbers, units after numbers and names (capitalised word
 turn into typed placeholders, other words are lower-cased. A capitalised word at the start of a sentence may
 be a name or not, unless it is one of OPENERS: it is read both ways. Windows of template words are joined by
 hash, all windows of the benchmark with all of the documents, so any shared run of WINDOW words is met; an
-item shorter than a window has one window of its own length. Each document and item that meet are then
+item shorter than a window has one window of its own length. A window with fewer than ``MIN_LITERAL`` ordinary
+words says little as a template: it is looked up with its words and values as they are written. Each document and item that meet are then
 aligned word by word along the met diagonals, and the placeholders' values are checked: within one alignment
 a benchmark value must always stand for the same document value and the other way round. A leak is an item of
 which at least ``share`` of the words (and at least WINDOW, or all of a shorter item) align that way; ``kind``
 is ``verbatim`` if all values agree, else ``reparameterised``.
 
-Defined cases: null and empty texts have no template; windows, and so short items, with fewer than
-``MIN_LITERAL`` ordinary words are not looked up; items with the same text are reported each; repeated
+Defined cases: null and empty texts have no template; an item of fewer than ``MIN_WORDS`` words, of any kind,
+is no evidence and never reported; items with the same text are reported each; repeated
 documents are reported once per id; a whole text of capitals has no names. Built from
 DataFrame functions only.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.plans.lineage import pin
 
-#: Words of a window, ordinary words a window needs, share of an item.
-WINDOW, MIN_LITERAL, SHARE = 6, 3, 0.5
+#: Words of a window, ordinary words from which on a window is looked up as a template, least words of an item, share of an item.
+WINDOW, MIN_LITERAL, MIN_WORDS, SHARE = 6, 3, 3, 0.5
 
 # Units that follow a number.
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|"
@@ -65,14 +66,27 @@ def template(words_: Column, names: bool) -> Column:
     return F.transform(words_, lambda w: F.when(w < POINT, F.substring(w, 1, 1)).when(_maybe(w), F.lit(NAME) if names else F.substring(w, 2, 1 << 20)).otherwise(w))
 
 
-def _readings(rows: DataFrame, key: str) -> DataFrame:
+def written(words_: Column) -> Column:
+    """The words as they are written, without marks."""
+    return F.transform(words_, lambda w: F.when((w < POINT) | _maybe(w), F.substring(w, 2, 1 << 20)).otherwise(w))
+
+
+def _poor(size: int) -> int:
+    """Values and names from which on a window of ``size`` words is looked up as written."""
+    return max(size - MIN_LITERAL + 1, 0)
+
+
+def _readings(rows: DataFrame, key: str, literal: bool) -> DataFrame:
     """(key, ht, hl, maybe) of (key, w): word hashes of both readings, places of what may be a name.
 
+    With ``literal`` also hw, the hashes of the words as written, and the places of values and names.
     These are columns of their own, as an expression inside a lambda would be computed for every window.
     """
-    hashes = lambda names: F.transform(template(F.col("w"), names), lambda w: F.xxhash64(w))
-    places = F.filter(F.transform("w", lambda w, i: F.when(_maybe(w), i)), lambda i: i.isNotNull())
-    return rows.select(key, hashes(True).alias("ht"), hashes(False).alias("hl"), places.alias("maybe"))
+    hashes = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    places = lambda of: F.filter(F.transform("w", lambda w, i: F.when(of(w), i)), lambda i: i.isNotNull())
+    more = [hashes(written(F.col("w"))).alias("hw"), places(lambda w: (w < POINT) | _maybe(w)).alias("slots")] if literal else []
+    return rows.select(
+        key, hashes(template(F.col("w"), True)).alias("ht"), hashes(template(F.col("w"), False)).alias("hl"), places(_maybe).alias("maybe"), *more)
 
 
 def _windows(names: bool, size: int) -> Column:
@@ -86,17 +100,35 @@ def _windows(names: bool, size: int) -> Column:
     return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("ht" if names else "hl", i + 1, size)).alias("h"), i.alias("at")))
 
 
+def _written_windows(size: int) -> Column:
+    """Structs (h, at) of the windows of ``size`` words that hold too few ordinary ones for a template.
+
+    They lie around ``need`` values in a row that are no further apart than a window, so in a text of
+    ordinary words there is nothing to go through.
+    """
+    need, last = _poor(size), F.size("hw") - size
+    # the k-th value and the one need - 1 further on; the window starts between the latter's reach and the former
+    firsts = F.slice("slots", 1, F.greatest(F.size("slots") - (need - 1), F.lit(0)))
+    ranges = F.transform(firsts, lambda i, k: F.struct(F.greatest(F.get("slots", k + (need - 1)) - (size - 1), F.lit(0)).alias("a"), F.least(i, last).alias("b")))
+    close = F.filter(ranges, lambda x: x["a"] <= x["b"])
+    starts = F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(x["a"], x["b"]))))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("hw", i + 1, size), F.lit(1)).alias("h"), i.alias("at")))
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item_id, item_at, size) of all windows with enough ordinary words, in both readings."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
-    size = F.least(F.size("w"), F.lit(WINDOW))
+    """(h, item_id, item_at, size, literal) of all windows: in both readings those with enough ordinary words, others as written."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where(F.size("w") >= MIN_WORDS)
+    items = items.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
+    at = items.select("item_id", "size", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("item_at"))
+    cut = at.withColumn("x", F.slice("w", F.col("item_at") + 1, F.col("size")))
     each = None
     for names in (True, False):
-        t = items.where(size >= MIN_LITERAL).select("item_id", size.alias("size"), template(F.col("w"), names).alias("t"))
-        at = t.select("item_id", "size", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("item_at"))
-        part = at.withColumn("x", F.slice("t", F.col("item_at") + 1, F.col("size"))).where(F.size(F.filter("x", lambda w: w >= POINT)) >= MIN_LITERAL)
-        part = part.select(F.xxhash64(F.transform("x", lambda w: F.xxhash64(w))).alias("h"), "item_id", "item_at", "size")
+        part = cut.withColumn("t", template(F.col("x"), names)).where(F.size(F.filter("t", lambda w: w >= POINT)) >= MIN_LITERAL)
+        part = part.select(F.xxhash64(F.transform("t", lambda w: F.xxhash64(w))).alias("h"), "item_id", "item_at", "size", F.lit(False).alias("literal"))
         each = part if each is None else each.unionByName(part)
+    poor = cut.where(F.size(F.filter(template(F.col("x"), True), lambda w: w >= POINT)) < MIN_LITERAL)
+    each = each.unionByName(poor.select(
+        F.xxhash64(F.transform(written(F.col("x")), lambda w: F.xxhash64(w)), F.lit(1)).alias("h"), "item_id", "item_at", "size", F.lit(True).alias("literal")))
     return each.distinct()
 
 
@@ -105,12 +137,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Both small tables are written once, so that the planner knows their sizes before it chooses a join.
     index = pin(benchmark_windows(benchmark, item_id, item_text))
-    # windows shorter than WINDOW are only looked up if an item is that short
-    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
-    if not sizes:
-        sizes = [WINDOW]
-    held = _readings(d.select("doc_id", words(F.col("text")).alias("w")), "doc_id")
-    every = F.concat(*[_windows(names, size) for size in sizes for names in (True, False)])
+    # windows shorter than WINDOW, and those as written, are only looked up if an item has some
+    kinds = sorted((r["size"], r["literal"]) for r in index.select("size", "literal").distinct().collect()) or [(WINDOW, False)]
+    held = _readings(d.select("doc_id", words(F.col("text")).alias("w")), "doc_id", any(literal for _, literal in kinds))
+    every = F.concat(*[x for size, literal in kinds for x in ([_written_windows(size)] if literal else [_windows(True, size), _windows(False, size)])])
     asked = held.select("doc_id", F.explode(every).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
     met = pin(asked.join(index, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")).where("size(iw) > 0")

@@ -327,6 +327,32 @@ def test_decontamination_meets_an_edited_item_at_every_offset(spark):
     assert {r.n_matched for r in rows.values() if r.item_id == 1} == {14, 15}
 
 
+def test_items_of_values_are_met_as_written(spark):
+    """Random items of numbers, units, names and few words: every copy is met, wherever it stands."""
+    r = random.Random(12)
+    pieces = ["{n}", "{n} kg", "{n}%", "${n}", "x", "and", "=", "+", "Zoe", "Max", "Ann"]
+    sums = ["12 + 30 = 42 and 15 + 7 = 22 and 9 + 9 = 18", "Compute 12 x 30", "3 4 5"]
+    while len(sums) < 40:
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(4, 16))).replace("{n}", "#")
+        while "#" in text:
+            text = text.replace("#", str(r.randint(2, 9999)), 1)
+        sums.append("Solve " + text)
+    items = spark.createDataFrame(list(enumerate(sums)), "item_id bigint, text string")
+    many = {i for i, n in spark.range(1).select(*[decontaminate.F.size(decontaminate.words(decontaminate.F.lit(t))).alias(f"c{i}") for i, t in enumerate(sums)]).first().asDict().items() if n >= 3}
+    many = {int(i[1:]) for i in many}
+    assert len(many) > 30 and {0, 1, 2} <= many
+    texts, home = [], {}
+    for i, t in enumerate(sums):
+        for before in ("", "note this: ", "plain words that go on for a while; "):
+            home[len(texts)] = i
+            texts.append(f"{before}{t}. Then more plain words follow here" if before else t)
+    texts += ["Compute 14 x 31", "13 + 31 = 44 and 16 + 8 = 24 and 8 + 8 = 16", "3 4", None, "", " ".join(str(i * 7919 % 104729) for i in range(30000))]
+    rows = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(table(spark, texts), items).collect()}
+    for d, i in home.items():
+        assert i not in many or rows[d, i].kind == "verbatim", (texts[d], i)
+    assert not {d for d, _ in rows} & set(range(len(home), len(texts)))
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
