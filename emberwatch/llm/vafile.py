@@ -1,10 +1,11 @@
 """Exact top-k inner-product search with vector-approximation files.
 
 Every vector becomes whole numbers floor(scale * x) and, per component, a cell of ``2**bits`` numbers.
-Queries and candidates meet in blocks. In a pair of blocks the cells alone give an upper and a lower
-bound of every score; the k-th largest lower bound rules most candidates out; the exact vectors of the
-others are read in the order of their bounds until the k-th score is certain. The best k of each block
-are merged per query.
+The cells are
+a table of their own, and all that the first scan reads of a candidate: in blocks of queries and rows they give
+an upper and a lower bound of every score. Per query the k-th largest lower bound over all blocks rules most rows out.
+Exact vectors are then joined for those left in the order of their upper bounds: first ``FIRST * k`` of a query,
+then those whose bound still reaches the k-th exact score, with which the result is certain.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part;
 vectors of different lengths are compared as if padded with zeros; equal scores go to the smaller id;
@@ -21,9 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from emberwatch.plans.lineage import pin
+
 #: Rows of a block; a pair of blocks is one unit of work of bounded size.
 QUERY_BLOCK, DATA_BLOCK = 512, 4096
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+#: Exact vectors of a query that are read first, in multiples of k.
+FIRST = 4
+BOUNDED = "q bigint, query_id bigint, row bigint, vec_id bigint, high double, low double"
+FOUND = "q bigint, query_id bigint, vec_id bigint, score bigint"
 _TOP = (1 << 63) - 1
 
 
@@ -36,8 +42,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, fine), F.lit(False))
 
 
-def _matrix(rows: pa.ListScalar, width: int) -> np.ndarray:
-    lists = rows.values
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
     lengths = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     out = np.zeros((len(lengths), width), np.int64)
@@ -48,66 +53,97 @@ def _matrix(rows: pa.ListScalar, width: int) -> np.ndarray:
     return out
 
 
-def _exact(q: np.ndarray, rows: np.ndarray, safe: bool) -> list[int]:
-    if safe:
-        return (rows @ q).tolist()
-    return [max(-_TOP - 1, min(_TOP, sum(a * b for a, b in zip(q.tolist(), r)))) for r in rows.tolist()]
-
-
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bits: int) -> Iterator[tuple[int, int, int]]:
-    """The best k of a block for each query: (query, id, score)."""
-    safe = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * q.shape[1] < 2.0**52
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    cells = (x >> bits).astype(np.float64)  # the approximation file of this block
-    width = float((1 << bits) - 1)
-    qf = q.astype(np.float64)
-    near = (qf @ cells.T) * float(1 << bits)
-    up, down = np.maximum(qf, 0).sum(1) * width, np.minimum(qf, 0).sum(1) * width
-    slack = 0.0 if safe else np.inf  # beyond exact doubles nothing is ruled out
-    for i, qid in enumerate(q_ids.tolist()):
-        other = np.flatnonzero(ids != qid)
-        if not len(other):
-            continue
-        high, low = near[i, other] + up[i], near[i, other] + down[i]
-        enough = np.partition(low, len(low) - k)[len(low) - k] - slack if len(low) > k else -np.inf
-        left = np.flatnonzero(high >= enough)
-        left = left[np.lexsort((ids[other[left]], -high[left]))]
-        best: list[tuple[int, int]] = []
-        step = 4 * k
-        for start in range(0, len(left), step):
-            part = left[start : start + step]
-            if len(best) == k and high[part[0]] + slack < -best[-1][0]:
-                break  # no bound that follows reaches the k-th score
-            at = other[part]
-            best = sorted(best + list(zip((-s for s in _exact(q[i], x[at], safe)), ids[at].tolist())))[:k]
-        for score, vid in best:
-            yield qid, vid, -score
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row, held at the ends of the long range."""
+    if np.abs(q.astype(float)).max(initial=0) * np.abs(x.astype(float)).max(initial=0) * q.shape[1] < 2.0**62:
+        return (q * x).sum(1)
+    return np.array([max(-_TOP - 1, min(_TOP, sum(a * b for a, b in zip(*r)))) for r in zip(q.tolist(), x.tolist())], np.int64)
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, bits: int = 4, vec_id: str = "vec_id", embedding: str = "embedding",
-          query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that ``queries`` selects its ``k`` best other rows."""
-    good = vectors.where(usable(F.col(embedding))).select(
-        F.col(vec_id).alias("id"), whole(F.col(embedding), scale).alias("v"), queries.alias("is_query")).where("id is not null")
-    n, asked, width = good.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1)), F.max(F.size("v"))).first()
-    nd, nq, width = -(-n // data_block), -(-asked // query_block), width or 0
+def bounds(q: np.ndarray, cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows): upper and lower bounds of the scores from the cells; infinite where doubles are not exact."""
+    qf, cf = q.astype(np.float64), cells.astype(np.float64)
+    if np.abs(qf).max(initial=0) * (np.abs(cf).max(initial=0) + 1) * (1 << bits) * q.shape[1] >= 2.0**52:
+        return np.full((len(q), len(cells)), np.inf), np.full((len(q), len(cells)), -np.inf)
+    near, width = (qf @ cf.T) * float(1 << bits), float((1 << bits) - 1)
+    return near + (np.maximum(qf, 0).sum(1) * width)[:, None], near + (np.minimum(qf, 0).sum(1) * width)[:, None]
+
+
+def candidates(vectors: DataFrame, k: int, bits: int, query_block: int, data_block: int) -> DataFrame:
+    """q, query_id, row, vec_id, high, low of what the cells of a block leave, for ``vectors`` (row, id, v, is_query)."""
+    big = F.aggregate("v", F.lit(0).cast("bigint"), lambda m, x: F.greatest(m, x, -1 - x))
+    n, asked, width, most = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1)), F.max(F.size("v")), F.max(big)).first()
+    nd, nq, width = max(1, -(-n // data_block)), max(1, -(-asked // query_block)), width or 0
+    small = "smallint" if (most or 0) >> bits < 1 << 15 else "bigint"
+    cells = F.transform("v", lambda x: F.shiftright(x, bits).cast(small))
 
     def blocks(df: DataFrame, parts: int, name: str) -> DataFrame:
-        spread = F.pmod(F.xxhash64("id"), F.lit(max(parts, 1)))
-        return df.groupBy(spread.alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_v"))
+        spread = F.pmod(F.xxhash64("row"), F.lit(parts))
+        return df.groupBy(spread.alias(name)).agg(F.collect_list(F.struct("row", "id", "x")).alias(f"{name}_rows"))
 
-    data = blocks(good, nd, "d").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(nq, 1) - 1).cast("bigint"))))
-    pairs = data.join(blocks(good.where("is_query"), nq, "q"), "q").repartition(max(1, nd * nq), "q", "d")
+    data = blocks(vectors.select("row", "id", cells.alias("x")), nd, "d").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
+    pairs = data.join(blocks(vectors.where("is_query").select("row", "id", F.col("v").alias("x")), nq, "q"), "q").repartition(nd * nq, "q", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda c: batch.column(c)[i]  # noqa: E731, B023
-                found = list(search_block(get("q_ids").values.to_numpy(), _matrix(get("q_v"), width), get("d_ids").values.to_numpy(), _matrix(get("d_v"), width), k, bits))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "vec_id", "score"])
+                part = lambda c: [batch.column(c)[i].values.field(x) for x in ("row", "id", "x")]  # noqa: E731, B023
+                (qr, qi, qx), (dr, di, dx) = part("q_rows"), part("d_rows")
+                ids, rows = di.to_numpy(), dr.to_numpy()
+                high, low = bounds(_matrix(qx, width), _matrix(dx, width), bits)
+                for j, (q, qid) in enumerate(zip(qr.to_pylist(), qi.to_pylist())):
+                    other = np.flatnonzero(ids != qid)
+                    h, w = high[j, other], low[j, other]
+                    if len(w) > k:
+                        left = h >= np.partition(w, len(w) - k)[len(w) - k]
+                        other, h, w = other[left], h[left], w[left]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(other), q)), pa.array(np.full(len(other), qid)), pa.array(rows[other]), pa.array(ids[other]), pa.array(h), pa.array(w)],
+                            ["q", "query_id", "row", "vec_id", "high", "low"])
+
+    return pairs.select("q_rows", "d_rows").mapInArrow(run, BOUNDED)
+
+
+def _reached(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(q, bar): the k-th largest value of each query; none where there are fewer than k."""
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc(value)))
+    top = rows.select("q", value, rank.alias("at")).where(F.col("at") <= k).groupBy("q").agg(F.min(value).cast("double").alias("bar"), F.count(F.lit(1)).alias("n"))
+    return top.where(F.col("n") == k).select("q", "bar")
+
+
+def survivors(bounded: DataFrame, k: int) -> DataFrame:
+    """The candidates that the k-th lower bound over all blocks leaves."""
+    return bounded.join(_reached(bounded, "low", k), "q", "left").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).drop("bar", "low")
 
-    found = pairs.select("q_ids", "q_v", "d_ids", "d_v").mapInArrow(run, FOUND)
+
+def scores(chosen: DataFrame, vectors: DataFrame) -> DataFrame:
+    """q, query_id, vec_id, score of the chosen pairs, from the exact vectors."""
+    asked = vectors.where("is_query").select(F.col("row").alias("q"), F.col("v").alias("qv"))
+    both = chosen.select("q", "query_id", "row", "vec_id").join(vectors.select("row", "v"), "row").join(asked, "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sides = [batch.column("qv"), batch.column("v")]
+                width = max(int(np.diff(x.offsets.to_numpy()).max()) for x in sides)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in ("q", "query_id", "vec_id")] + [pa.array(_products(*(_matrix(x, width) for x in sides)))], ["q", "query_id", "vec_id", "score"])
+
+    return both.select("q", "query_id", "vec_id", "qv", "v").mapInArrow(run, FOUND)
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, bits: int = 4, vec_id: str = "vec_id", embedding: str = "embedding",
+          query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that ``queries`` selects its ``k`` best other rows."""
+    good = vectors.where(usable(F.col(embedding))).select(F.col(vec_id).cast("bigint").alias("id"), whole(F.col(embedding), scale).alias("v"), queries.alias("is_query"))
+    # Written once, so that the numbers of the rows are the same in both passes.
+    good = pin(good.where("id is not null").withColumn("row", F.monotonically_increasing_id()))
+    bounded = pin(candidates(good, k, bits, query_block, data_block))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("high"), "vec_id", "row"))
+    left = pin(survivors(bounded, k).withColumn("place", place))
+    first = pin(scores(left.where(F.col("place") <= FIRST * k), good))
+    rest = left.where(F.col("place") > FIRST * k).join(_reached(first, "score", k), "q").where(F.col("high") >= F.col("bar"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = first.unionByName(scores(rest, good))
+    return every.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
