@@ -4,7 +4,10 @@ Per language a tree of byte contexts up to ``ORDER`` bytes deep is counted over
 A byte costs -log2 of its probability in the deepest context of the language's tree, or an escape and
 its cost in the context one byte shorter, down to a uniform choice. Statistics are frozen after
 counting, so the cost of every (context, byte) is a fixed number: a table, looked up for whole batches
-of text at once. The language with the shortest code wins; ``score`` is its posterior among all.
+of text at once. The language with the shortest code wins; ``score`` is its posterior among all and
+"no language": the bytes of all labelled texts in any order, each at ``LOOSE_BITS`` more than its frequency says.
+Text that costs that many more bits a byte as language than as loose bytes scores near 0, however much one language
+is ahead of the others; rare words of a language stay far below.
 
 The table has one row per context that occurs in the labelled texts; there are at most
 A**ORDER of them for A distinct bytes (A <= 257), so its size is bounded whatever the input.
@@ -28,6 +31,8 @@ from emberwatch.llm.names import fresh
 
 #: Bytes of context.
 ORDER = 3
+#: Bits a text, and bits a byte, by which loose bytes must be cheaper than the best language to be as likely.
+NO_LANGUAGE_BITS, LOOSE_BITS = 10, 0.5
 UNKNOWN = "und"
 
 
@@ -86,6 +91,8 @@ class Model:
         self.code = np.full(256, a - 1, np.int64)
         self.code[used] = np.arange(len(used))
         symbol = self.code[gram & 255]
+        # what a byte costs by its frequency alone
+        self.loose = -np.log2(self._blend(np.bincount(symbol, n, a).reshape(1, a), np.full((1, a), 1.0 / 256)))[0] + LOOSE_BITS
         # contexts of the full depth, in the mixed base of the alphabet
         deep = np.zeros(len(gram), np.int64)
         for j in range(ORDER, 0, -1):
@@ -116,8 +123,8 @@ class Model:
         return np.where(total > 0, np.where(table > 0, table / whole, kinds / whole * below), below)
 
     def bits(self, column: pa.Array) -> np.ndarray:
-        """(texts, languages): exact code lengths in bits."""
-        out = np.zeros((len(column), len(self.langs)))
+        """(texts, languages and one more): exact code lengths in bits, the last one without any context."""
+        out = np.zeros((len(column), len(self.langs) + 1))
         code, begins = _codes(column)
         if not len(code):
             return out
@@ -126,8 +133,9 @@ class Model:
         for j in range(ORDER):
             context = context * self.size + ids[j : j + len(context)]
         cost = self.costs[self.row[context].astype(np.int64) * self.size + ids[ORDER:]]
-        sums = np.zeros((len(cost) + 1, len(self.langs)))
-        np.cumsum(cost, axis=0, dtype=np.float64, out=sums[1:])
+        sums = np.zeros((len(cost) + 1, len(self.langs) + 1))
+        np.cumsum(cost, axis=0, dtype=np.float64, out=sums[1:, :-1])
+        np.cumsum(self.loose[ids[ORDER:]], out=sums[1:, -1])
         # a text's own bytes are at begins + ORDER, whose costs stand at begins
         return sums[begins[1:] - ORDER] - sums[begins[:-1]]
 
@@ -156,8 +164,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             langs, scores = np.full(len(column), UNKNOWN, dtype=object), np.zeros(len(column))
             if m.langs:
                 bits = m.bits(column)
-                best = bits.argmin(1)
-                share = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
+                bits[:, -1] += NO_LANGUAGE_BITS
+                best = bits[:, :-1].argmin(1)
+                share = 1 / np.exp2(np.clip(bits[np.arange(len(bits)), best][:, None] - bits, -1000, 1000)).sum(1)
                 langs[letters] = np.asarray(m.langs, dtype=object)[best[letters]]
                 scores[letters] = share[letters]
             yield pa.RecordBatch.from_arrays(

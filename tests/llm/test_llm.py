@@ -221,6 +221,20 @@ def test_packing_plan_uses_every_piece_and_finds_exact_fills():
     assert packing.plan({7: 2, 3: 1, 2: 1, 1: 1}, 10) == [((7, 3), 1), ((7, 2, 1), 1)]
 
 
+def test_loose_letters_are_no_language(spark):
+    r = random.Random(3)
+    words = {"a": ["river", "stone", "under", "green", "walker", "singing", "morning"], "b": ["fluss", "stein", "unter", "gruen", "laeufer", "singen", "morgen"]}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(40)), x, "s", 0) for i in range(80) for x in "ab"]
+    plain = [(1000 + i, " ".join(r.choice(words["ab"[i % 2]]) for _ in range(n)), None, "s", 0) for i, n in enumerate([1, 2, 3, 5, 10, 40, 400])]
+    letters = [c for x in rows for c in x[1] if c != " "]
+    loose = [(2000 + i, " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(n)), None, "s", 0) for i, n in enumerate([8, 20, 60, 400])]
+    docs = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)] + plain + loose, DOC)
+    got = {x.doc_id: x for x in langid.identify(docs, docs["doc_id"] < 1000).collect()}
+    assert all(got[x[0]].score > 0.9 and got[x[0]].lang_pred == "ab"[i % 2] for i, x in enumerate(plain)), [got[x[0]] for x in plain]
+    assert all(got[x[0]].score < 0.1 for x in loose), [got[x[0]] for x in loose]
+    assert all(got[i].score > 0.9 and got[i].lang_pred == x[2] for i, x in enumerate(rows))
+
+
 def test_language(spark):
     r = random.Random(1)
     make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
