@@ -467,25 +467,6 @@ def test_vafile(spark):
     assert vafile.top_k(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
 
 
-def test_vafile_reads_few_exact_vectors(spark):
-    r = np.random.default_rng(8)
-    centres = r.normal(0, 0.3, (40, 24))
-    x = centres[r.integers(0, 40, 6000)] + r.normal(0, 0.05, (6000, 24))
-    x[17], x[4000] = x[0], x[0]  # ties
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").withColumn("score", vafile.F.lit("clash"))
-    df = df.unionByName(df.where("vec_id = 3")).repartition(6)  # a repeated id counts twice
-    got = {(a.query_id, a.rank): (a.vec_id, a.score) for a in vafile.top_k(df, df["vec_id"] % 200 == 0, query_block=7, data_block=500).collect()}
-    v = np.floor(256 * np.vstack([x, x[3:4]])).astype(np.int64)
-    ids = np.append(np.arange(6000), 3)
-    for q in range(0, 6000, 200):
-        s = v @ v[q]
-        best = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
-        assert [got[q, k + 1] for k in range(5)] == [(ids[j], s[j]) for j in best]
-    good = df.select(vafile.F.col("vec_id").alias("id"), vafile.whole(df["embedding"], 256).alias("v"), (df["vec_id"] % 200 == 0).alias("is_query")).withColumn("row", vafile.F.col("id"))
-    left = vafile.survivors(vafile.candidates(good.dropDuplicates(["id"]), 5, 4, 7, 500), 5).count()
-    assert left < 0.05 * 30 * 6000, left  # exact vectors that the bounds leave
-
-
 def test_url_rules(spark):
     link = '<link rel="canonical" href="%s">'
     rows = [
