@@ -13,14 +13,17 @@ two indexes, each used where it is sharp:
   combination in common, while sets that merely share a passage hardly ever do. Again, the nodes of a
   combination that at most RARE nodes have are paired directly.
 
-The nodes of a frequent combination are compared with its smallest node, the hub, never with each
-other: two of them that are not both linked to the hub can only link if what distinguishes them from
-the hub overlaps. These differences are joined by prefixes in turn, rare tokens first. So a group of n
-near copies costs n comparisons, not n * n / 2, and no pair is lost. Components then follow from the links.
+The nodes of a frequent combination are compared with its hub, never with each other. The hub is the node
+whose combinations most other nodes have, so the least edited one of a group of near copies, and the same
+one for most of their combinations. Two nodes that are not both linked to the hub can only link if what
+distinguishes them from the hub overlaps. These differences are joined by prefixes in turn, rare tokens
+first, and only where one of the two is not yet in the hub's component. So a group of n near copies costs
+n comparisons, not n * n / 2, and no pair is lost. Components then follow from the links.
 
 Defined cases: A-Z are lower-cased, words are runs of bytes other than ASCII white space; a text with
 fewer than k words is one shingle; without words, or null, it has no shingle and links with nothing;
-nodes and tokens are told apart by 64-bit hashes. Ids must be unique; null ids are left out.
+nodes and tokens are told apart by 64-bit hashes. A repeated id is judged row by row, by the text of each.
+A row without an id has the component of the documents of the same set, null if there are none; it links no others.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.llm.arrow import chunks, grams, ints, mix, signed, utf8, word_hashes
 from emberwatch.llm.components import components
-from emberwatch.plans.lineage import pin
+from emberwatch.plans.lineage import pin, release
 
 #: Words of a shingle and least similarity of linked sets, unless others are asked for.
 K, PERCENT = 4, 85
@@ -197,13 +200,14 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, k: int = K) -> DataFrame:
-    """(node, n, tokens) of (doc_id, text) rows."""
+    """(node, n, tokens) of (doc_id, text, want) rows whose set has the name ``want``; from here on a node is named by its smallest doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             token, trow, size = sets(batch, k)
+            meant = pa.array(_node(token, trow, size).view(np.int64) == ints(batch, "want"))
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), signed(token))
-            yield pa.RecordBatch.from_arrays([signed(_node(token, trow, size)), pa.array(size.astype(np.int64)), arrays], ["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), arrays], ["node", "n", "tokens"]).filter(meant)
 
     return docs.mapInArrow(run, "node bigint, n bigint, tokens array<bigint>")
 
@@ -275,13 +279,17 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     of their sizes may differ in, then both link to h: n(y) <= n(h) + d(y), so with c = (100 - percent) / (100 + percent),
     d(x) <= c (n(x) + n(y)) - d(y) <= c (n(x) + n(h)). Otherwise their differences share at least half of
     the excess, and a prefix of them, rarest tokens first, must meet.
+
+    One of the two is ``apart``, in another component than the hub. So only tokens that tell some node apart from the
+    hub are looked at, and nodes of the hub's component are never joined with each other.
     """
-    c = comp.select(F.col("node").alias("b"), "component")
-    m = members.join(c, "b", "left").withColumn("comp", F.coalesce("component", "b")).drop("component").withColumn("d", F.size("delta")).where("d > 0")
-    open_ = m.join(m.where("not linked").select("a").distinct(), "a", "left_semi")  # hubs that some member does not link to
-    open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "d", "linked", "fresh", "delta"))
-    each = open_.select("a", "b", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
-    df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
+    m = members.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("comp", F.coalesce("comp_b", "b"))
+    m = m.withColumn("apart", F.col("comp") != F.coalesce("comp_a", "a")).withColumn("d", F.size("delta")).where("d > 0")
+    open_ = m.join(m.where("apart").select("a").distinct(), "a", "left_semi")  # hubs that have a member apart
+    open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "apart", "d", "linked", "fresh", "delta"))
+    each = open_.select("a", "b", "apart", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "apart", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
+    df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("tells")).where("df > 1 and tells").drop("tells")
     per, total = 100 - percent, 100 + percent
     # a partner of x has at least d(x) - H differences, and one of x and its partner does not link to the hub
     most = F.expr(f"floor({per} * (n + floor(n * 100 / {percent})) / {total})").cast("bigint")
@@ -290,21 +298,21 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     shared_ = each.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("gone", "df", "t"))).alias("common"))
     ranked = open_.withColumn("most", most).withColumn("keep", F.greatest(keep, F.lit(0))).withColumn(
         "lost", F.col("d") - F.col("fresh")).drop("delta").join(shared_, ["a", "b"])
-    # The order of a difference: what is new before what is gone; in either, tokens no other member has first
+    # The order of a difference: what is new before what is gone; in either, tokens that no node apart shares first
     # (they meet nothing), then by number of members.
     numbered = ranked.withColumn("new_common", F.size(F.filter("common", lambda x: ~x["gone"]))).select(
-        "a", "b", "n", "comp", "d", "linked", "fresh", "lost", "keep", "new_common", F.size("common").alias("all_common"), F.posexplode("common").alias("i", "x"))
+        "a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "keep", "new_common", F.size("common").alias("all_common"), F.posexplode("common").alias("i", "x"))
     at = F.when(F.col("x.gone"), F.col("d") - F.col("all_common") + F.col("i")).otherwise(F.col("d") - F.col("lost") - F.col("new_common") + F.col("i"))
-    index = numbered.select("a", "b", "n", "comp", "d", "linked", "fresh", "lost", "keep", at.alias("at"), F.col("x.t").alias("t"), F.col("x.gone").alias("gone")).where("at < keep").drop("keep")
+    index = numbered.select("a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "keep", at.alias("at"), F.col("x.t").alias("t"), F.col("x.gone").alias("gone")).where("at < keep").drop("keep")
     index = pin(index)
-    other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "d", "linked", "fresh", "lost", "at")])
+    other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "at")])
     need = F.expr(f"d + d2 - floor({per} * (n + n2) / {total})")
     # It suffices that the first shared token in the order meets. From it on, both must have as many tokens as
     # must be shared: new ones from its place and gone ones, or, if it is a gone one itself, gone ones from its place.
     left = lambda x: F.when(F.col("gone"), F.col(f"d{x}") - F.col(f"at{x}")).otherwise(F.col(f"fresh{x}") - F.col(f"at{x}"))
     rest = F.least(left(""), left("2")) + F.when(F.col("gone"), 0).otherwise(F.least("lost", "lost2"))
-    met = index.join(other, ["a", "t"]).where(
-        (F.col("b") < F.col("b2")) & (F.col("comp") != F.col("comp2")) & ~(F.col("linked") & F.col("linked2"))
+    met = index.where("apart").join(other, ["a", "t"]).where(
+        (~F.col("apart2") | (F.col("b") < F.col("b2"))) & (F.col("comp") != F.col("comp2"))
         & (2 * rest >= need)
         & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     asked = met.select("a", "b", "b2").distinct()
@@ -318,42 +326,52 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own without any)."""
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is {percent}, not {LEAST_PERCENT} to 100")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    named = pin(nodes(d, k))
-    sized = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min("n").alias("n"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = every.where("doc_id is not null")
+    named = pin(nodes(every, k))
+    sized = pin(named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min("n").alias("n")))
     met = pin(_met(prefixes(d, k, percent), percent), release=True)
     # Linked prefixes share so many tokens: those that are not rare are frequent ones of both nodes.
     touched = pin(met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("f")).join(sized, "node"))
     side = lambda x: touched.select(F.col("node").alias(x), F.col("f").alias(f"f{x}"))
-    size = lambda x: sized.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    size = lambda x: sized.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("_id").alias(f"id_{x}"))
     some = lambda x: F.coalesce(x, F.lit(0))
     rare = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     rare = rare.join(size("a"), "a").join(size("b"), "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
         F.col("c") + F.least(some("fa"), some("fb")) >= shared(F.least("na", "nb")))
-    rare = pin(rare.select("a", "b"))
+    rare = pin(rare.select("a", "b", "id_a", "id_b"), release=True)
+    release(met)
     many = touched.where(F.col("f") >= shared(F.floor(F.col("n") * percent / 100))).select("node", "_id")
-    wanted = rare.select(F.col("a").alias("node")).union(rare.select("b")).distinct().join(sized, "node").select("_id").union(many.select("_id")).distinct()
+    wanted = rare.select(F.col("a").alias("want"), F.col("id_a").alias("_id")).union(rare.select("b", "id_b")).union(many).distinct()
     # one document stands for each wanted node; only their texts are read again
     stand = pin(wanted)
     # The ids grow with the documents: the same join at every size, no broadcast while they are few.
-    token_sets = pin(_token_sets(d.join(stand.hint("merge"), d["doc_id"] == stand["_id"], "left_semi"), k), release=True)
-    keys = pin(_combinations(token_sets.join(many, "node", "left_semi"), percent))
-    held = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    token_sets = pin(_token_sets(d.join(stand.hint("merge"), d["doc_id"] == stand["_id"]).select("doc_id", "text", "want"), k), release=True)
+    keys = pin(_combinations(token_sets.join(many.select(F.col("_id").alias("node")), "node", "left_semi"), percent), release=True)
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     owned = pin(keys.join(held, "key"), release=True)
+    release(keys)
     few = owned.where(F.col("c") <= RARE).select("key", "node")
     direct = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    star = owned.where((F.col("c") > RARE) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = star.withColumn("hub", F.lit(True)).unionByName(direct.union(rare).distinct().withColumn("hub", F.lit(False)))
+    crowd = owned.where(F.col("c") > RARE)
+    liked = pin(crowd.groupBy("node").agg(F.sum("c").alias("liked")))
+    hubs = crowd.join(liked, "node").groupBy("key").agg(F.max(F.struct("liked", "node"))["node"].alias("hub"))
+    star = crowd.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    near = direct.union(rare.where("id_a != id_b").select(low.alias("a"), high.alias("b"))).distinct()
+    pairs = pin(star.withColumn("hub", F.lit(True)).unionByName(near.withColumn("hub", F.lit(False))), release=True)
+    release(owned)
     checked = pin(_differences(pairs, token_sets, percent), release=True)
+    release(token_sets)
     links = checked.where("linked").select("a", "b")
     comp = pin(components(links))
-    more = pin(_rest(checked.where("hub"), comp, percent))
+    more = pin(_rest(checked.where("hub"), comp, percent), release=True)
     if not more.isEmpty():
         comp = pin(components(links.unionByName(more)))
-    of = named.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    low = of.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return of.join(low, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Nodes bear their smallest doc_id, so a component's smallest node is the component_id.
+    of = sized.join(comp.select(F.col("node").alias("_id"), "component"), "_id", "left").select("node", F.coalesce("component", "_id").alias("of"))
+    return named.join(of, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
