@@ -286,24 +286,27 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
     m = members.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("comp", F.coalesce("comp_b", "b"))
     m = m.withColumn("apart", F.col("comp") != F.coalesce("comp_a", "a")).withColumn("d", F.size("delta")).where("d > 0")
-    open_ = m.join(m.where("apart").select("a").distinct(), "a", "left_semi")  # hubs that have a member apart
-    open_ = pin(open_.select("a", "b", F.col("nb").alias("n"), "comp", "apart", "d", "linked", "fresh", "delta"))
-    each = open_.select("a", "b", "apart", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "apart", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
-    df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("tells")).where("df > 1 and tells").drop("tells")
     per, total = 100 - percent, 100 + percent
     # a partner of x has at least d(x) - H differences, and one of x and its partner does not link to the hub
     most = F.expr(f"floor({per} * (n + floor(n * 100 / {percent})) / {total})").cast("bigint")
+    m = m.select("a", "b", F.col("nb").alias("n"), "comp", "apart", "d", "linked", "fresh", "delta").withColumn("most", most)
+    # hubs that have a member apart, and their members that such a one may link to
+    reach = m.where("apart").groupBy("a").agg(F.min(F.col("d") - F.col("most")).alias("_low"), F.max("d").alias("_high"))
+    open_ = pin(m.join(reach, "a").where("apart or (d >= _low and d - most <= _high)").drop("_low", "_high"))
+    each = open_.select("a", "b", "apart", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "apart", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
+    df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("tells")).where("df > 1 and tells").drop("tells")
     # for a linked y: d(x) > c (n(x) + n(h)) and n(h) - n(y) >= -d(y), so more than d(y) (1 - c) / 2 are shared
     keep = F.expr(f"if(linked, d - floor(d * {2 * percent} / {2 * total}), d - ceil(greatest(d + greatest(1, d - most) - most, 2) / 2) + 1)").cast("int")
-    shared_ = each.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("gone", "df", "t"))).alias("common"))
-    ranked = open_.withColumn("most", most).withColumn("keep", F.greatest(keep, F.lit(0))).withColumn(
+    shared_ = each.join(df, ["a", "t"]).groupBy("a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("gone", "df", "t"))).alias("common"), F.count_if(~F.col("gone")).alias("new_common"))
+    ranked = open_.withColumn("keep", F.greatest(keep, F.lit(0))).withColumn(
         "lost", F.col("d") - F.col("fresh")).drop("delta").join(shared_, ["a", "b"])
     # The order of a difference: what is new before what is gone; in either, tokens that no node apart shares first
     # (they meet nothing), then by number of members.
-    numbered = ranked.withColumn("new_common", F.size(F.filter("common", lambda x: ~x["gone"]))).select(
-        "a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "keep", "new_common", F.size("common").alias("all_common"), F.posexplode("common").alias("i", "x"))
-    at = F.when(F.col("x.gone"), F.col("d") - F.col("all_common") + F.col("i")).otherwise(F.col("d") - F.col("lost") - F.col("new_common") + F.col("i"))
-    index = numbered.select("a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "keep", at.alias("at"), F.col("x.t").alias("t"), F.col("x.gone").alias("gone")).where("at < keep").drop("keep")
+    at = lambda gone, i: F.when(gone, F.col("d") - F.size("common") + i).otherwise(F.col("d") - F.col("lost") - F.col("new_common") + i)
+    placed = F.transform("common", lambda x, i: F.struct(x["t"].alias("t"), x["gone"].alias("gone"), at(x["gone"], i).alias("at")))
+    numbered = ranked.withColumn("first", F.filter(placed, lambda x: x["at"] < F.col("keep")))
+    index = numbered.select("a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", F.explode("first").alias("x")).select("*", "x.*").drop("x")
     index = pin(index)
     other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "at")])
     need = F.expr(f"d + d2 - floor({per} * (n + n2) / {total})")
@@ -356,7 +359,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     crowd = owned.where(F.col("c") > RARE)
     liked = pin(crowd.groupBy("node").agg(F.sum("c").alias("liked")))
     hubs = crowd.join(liked, "node").groupBy("key").agg(F.max(F.struct("liked", "node"))["node"].alias("hub"))
-    star = crowd.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    held_by = pin(crowd.join(hubs, "key").join(liked.withColumnRenamed("node", "hub"), "hub").select("node", "hub", "liked").distinct(), release=True)
+    # A hub that has a better one itself hands its nodes on, so that a group of near copies meets at one node. Any node may be a hub.
+    better = held_by.groupBy("node").agg(F.max(F.struct("liked", "hub"))["hub"].alias("a")).withColumnRenamed("node", "hub")
+    star = held_by.join(better, "hub").where("node != a").select("a", F.col("node").alias("b")).distinct()
     low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
     near = direct.union(rare.where("id_a != id_b").select(low.alias("a"), high.alias("b"))).distinct()
     pairs = pin(star.withColumn("hub", F.lit(True)).unionByName(near.withColumn("hub", F.lit(False))), release=True)
