@@ -89,6 +89,14 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark):
     assert got == linked_groups(texts)
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    one, two, alone = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(1, one), (None, one), (None, alone), (2, two), (2, two), (3, two), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (0, 3, 1), (0, 3, None), (2, 3, 2), (2, 3, 2), (3, 3, 2), (4, 0, 4), (0, 0, None)], key=str)
+
+
 def test_size_levels_cover_all_linked_sizes():
     bounds = ngram_join.levels(5000)
     level = lambda n: int(np.searchsorted(bounds, n, side="right")) - 1
