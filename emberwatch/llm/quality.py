@@ -7,8 +7,10 @@ quantile of the strengths: as large a share of the labelled documents lies below
 score is the probability of winning against a document at the cut, shifted so that the cut scores ``CUT``.
 
 Features are computed in one pass over the texts, in tasks, and written as a narrow table that training and
-scoring read. Only the fit works on a bounded sample: at most ``SAMPLE`` labelled documents of either label,
-the first in the order of a hash of their id. The share of the labels is counted over all of them.
+scoring read. Every labelled document takes part in the fit: either label is numbered in the order of a hash, and
+each document of the larger one is paired with ``PAIRS`` / its size (rounded up, one at least) successive ones of the
+other, in a ring; with few labels these are all pairs. Slope and curvature of a Newton step are sums over the tasks
+that hold the pairs, and the cut lies between two places of the sorted strengths of all labelled documents.
 
 Defined cases: a null text is empty; an empty text has the features zero and a score like any other; rows
 without a label, with another label than 0 and 1 or without an id train nothing; an id labelled both ways is
@@ -18,7 +20,7 @@ a null id is not held out. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberwatch.llm.arrow import chunks, lower, span_hashes, utf8, words
+from emberwatch.operators.scan import running_sum
 from emberwatch.plans.lineage import pin
 
-#: Labelled documents of either label that the fit looks at, and preference pairs it draws.
-SAMPLE, PAIRS = 10_000, 100_000
+#: The fit makes at least so many preference pairs, or all there are.
+PAIRS = 100_000
 #: The score of a document at the cut.
 CUT = 0.3
 #: Weight of the penalty on w, for standardised features.
@@ -115,48 +118,84 @@ class Ranking:
         return 1 / (1 + F.exp(-(self.strength() - self.cut) - float(np.log(CUT / (1 - CUT)))))
 
 
-def preferences(good: np.ndarray, bad: np.ndarray, pairs: int, seed: int = 7) -> np.ndarray:
-    """Feature differences of drawn pairs, winner less loser; every document is drawn about equally often."""
-    rng = np.random.default_rng(seed)
-    draw = lambda x: np.concatenate([rng.permutation(len(x)) for _ in range(-(-pairs // len(x)))])[:pairs]
-    return good[draw(good)] - bad[draw(bad)]
+def preferences(ranked: DataFrame, bad: int, good: int, pairs: int) -> DataFrame:
+    """(win, lose): feature arrays of pairs of (label, place from 1, x); every document is in a pair, those of a label about equally often."""
+    larger, m, n = (0, good, bad) if bad > good else (1, bad, good)
+    turns = min(m, -(-pairs // n))
+    many = ranked.where(F.col("label") == larger).select("place", F.col("x").alias("a"))
+    few = ranked.where(F.col("label") == 1 - larger).select((F.col("place") - 1).alias("at"), F.col("x").alias("b"))
+    met = many.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumn("at", (F.col("place") + F.col("at")) % m).join(few, "at")
+    win, lose = ("a", "b") if larger else ("b", "a")
+    return met.select(F.col(win).alias("win"), F.col(lose).alias("lose"))
 
 
-def bradley_terry(differences: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Weights of least logistic loss on the differences, by Newton steps."""
-    w = np.zeros(differences.shape[1])
+def _slope_and_curve(differences: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the differences of the first and second derivatives of the loss."""
+    lose = 1 / (1 + np.exp(np.clip(differences @ w, -500, 500)))
+    return -differences.T @ lose, (differences * (lose * (1 - lose))[:, None]).T @ differences
+
+
+def _newton(size: int, n: int, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], ridge: float) -> np.ndarray:
+    w = np.zeros(size)
     for _ in range(30):
-        lose = 1 / (1 + np.exp(np.clip(differences @ w, -500, 500)))
-        slope = -differences.T @ lose / len(differences) + ridge * w
-        curve = (differences * (lose * (1 - lose))[:, None]).T @ differences / len(differences) + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve / n + ridge * np.eye(size), slope / n + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> Ranking:
+def bradley_terry(differences: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of least logistic loss on the differences, by Newton steps."""
+    return _newton(differences.shape[1], len(differences), lambda w: _slope_and_curve(differences, w), ridge)
+
+
+def bradley_terry_table(pairs: DataFrame, n: int, scale: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The same over a table of ``n`` pairs (win, lose); the differences are divided by ``scale``. A step is one pass, of which sums alone leave the tasks."""
+    size = len(scale)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + size * size)
+            for batch in batches:
+                win, lose = (batch.column(c).flatten().to_numpy().astype(float).reshape(-1, size) for c in ("win", "lose"))
+                slope, curve = _slope_and_curve((win - lose) / scale, w)
+                total += np.concatenate([slope, curve.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+        got = np.zeros(size + size * size)
+        for r in pairs.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            got[r.i] = r.v
+        return got[:size], got[size:].reshape(size, size)
+
+    return _newton(size, n, sums, ridge)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 9 digits, so that the order in which tasks are summed up does not show."""
+    return np.array([float(f"{v:.8e}") for v in x])
+
+
+def fit(labelled: DataFrame, pairs: int = PAIRS) -> Ranking:
     """Learn from (doc_id, features, label 0 or 1)."""
-    totals = {r.label: r.n for r in labelled.where("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
+    rows = labelled.where("label in (0, 1)")
+    seen = rows.agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"), *[F.stddev_pop(f).alias(f) for f in FEATURES]).first()
+    if not seen.bad or not seen.good:
         return Ranking(np.zeros(len(FEATURES)), 0.0)
-    sides = []
-    for label in (0, 1):
-        rows = labelled.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").select(*FEATURES).limit(sample).toArrow()
-        sides.append(np.stack([c.to_numpy().astype(float) for c in rows.columns], 1))
-    bad, good = sides
-    both = np.concatenate(sides)
-    scale = both.std(0)
+    scale = _rounded(np.array([seen[f] for f in FEATURES]))
     scale[scale < 1e-9] = np.inf  # a feature that says nothing gets no weight
-    w = bradley_terry(preferences(good, bad, pairs) / scale) / scale
-    # the quantile of strengths below which lies the share labelled bad; the sample is weighted back to all labels
-    strength = np.concatenate([bad @ w, good @ w])
-    weight = np.concatenate([np.full(len(bad), totals[0] / len(bad)), np.full(len(good), totals[1] / len(good))])
-    order = np.argsort(strength, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(below, totals[0] / (totals[0] + totals[1]) - 1e-9)), len(order) - 2)
-    return Ranking(w, float(strength[order[at]] + strength[order[at + 1]]) / 2)
+    order = ["_h", "doc_id"]
+    numbered = running_sum(
+        rows.select("label", "doc_id", F.array(*FEATURES).alias("x")).withColumns({"_h": F.xxhash64("doc_id", "x"), "_one": F.lit(1)}), "label", order, "_one", "place")
+    met = pin(preferences(pin(numbered.select("label", "place", "x")), seen.bad, seen.good, pairs))
+    w = _rounded(bradley_terry_table(met, met.count(), scale) / scale)
+    # as many labelled documents as are labelled bad lie below the cut
+    model = Ranking(w, 0.0)
+    strengths = rows.select(model.strength().alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(0))
+    upto = running_sum(strengths, "_k", ["s"], "n", "upto")
+    beside = upto.agg(*[F.min(F.when(F.col("upto") >= place, F.col("s"))) for place in (seen.bad, seen.bad + 1)]).first()
+    return Ranking(w, (beside[0] + beside[1]) / 2)
 
 
 def rank(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:

@@ -65,6 +65,25 @@ def test_the_fit_is_the_least_loss():
     assert all(loss(w) <= loss(w + 1e-3 * d) for d in rng.normal(size=(50, 5)))
 
 
+def test_all_labelled_documents_count(spark):
+    """More documents than were looked at before: weights and cut are those of all of them."""
+    n, m = 24_000, 12_500
+    x = {f: F.lit(0.0).cast("float") for f in quality.FEATURES}
+    x["length"] = (F.pmod(F.xxhash64("doc_id"), F.lit(10_007)) / 1000 + F.col("label")).cast("float")
+    x["spread"] = F.when(F.col("doc_id") % 3 == 0, 1 - F.col("label")).otherwise(0).cast("float")
+    rows = spark.range(n + m).withColumnRenamed("id", "doc_id").withColumn("label", (F.col("doc_id") >= m).cast("int")).withColumns(x)
+    model = quality.fit(rows)
+    got = np.sort([r[0] for r in rows.select(model.strength()).collect()])
+    assert model.cut == pytest.approx((got[m - 1] + got[m]) / 2, abs=1e-9)
+    assert quality.fit(rows.repartition(7)).weights.tolist() == model.weights.tolist()
+    few = rows.where("doc_id between 12440 and 12560")  # here all pairs are made
+    at = np.array([r[:] for r in few.select(*quality.FEATURES).collect()], float)
+    kind = np.array([r[0] for r in few.select("label").collect()])
+    scale = np.where(at.std(0) < 1e-9, np.inf, at.std(0))
+    plain = quality.bradley_terry(np.concatenate([g - at[kind == 0] for g in at[kind == 1]]) / scale) / scale
+    assert quality.fit(few).weights == pytest.approx(plain, abs=1e-6)
+
+
 def test_features_of_pieces_equal_those_of_one_text(spark):
     docs, _ = corpus(3, 50)
     got = {r.doc_id: r for r in quality.features(spark.createDataFrame(docs, DOC)).collect()}
