@@ -77,6 +77,21 @@ def test_batches_match_simulation(spark, seed):
     assert {r.seq: r.batch for r in got.collect()} == simulate(rows, 30, 8)
 
 
+@pytest.mark.parametrize("seed, seconds, limit, chunk", [(3, 30, 8, 7), (4, 10_000, 5, 16), (5, 3, 50, 5), (6, 200, 12, 400), (7, 100_000, 100, 9)])
+def test_alerts_without_a_pause_are_cut_into_chunks(spark, seed, seconds, limit, chunk):
+    """One long stretch over many chunks, with batches inside a chunk, over its end and longer than it."""
+    rng = random.Random(seed)
+    secs = sorted(rng.randrange(1000) / 2 for _ in range(400))
+    rows = [alert(i, rng.choice(["f1", f"f{rng.randrange(40)}", None]), rng.choice(["opened", None]), module=rng.choice(["a", "b"]), secs=s) for i, s in enumerate(secs)]
+    got = batching.replay(frame(spark, *rows).drop("batch"), seconds, limit, chunk).collect()
+    assert len(got) == len({r.seq for r in got}) and {r.seq: r.batch for r in got} == simulate(rows, seconds, limit)
+
+
+def test_batches_of_no_alerts(spark):
+    empty = batching.replay(frame(spark, alert(0)).drop("batch").where("seq > 0"), 30, 8)
+    assert empty.count() == 0 and empty.columns[-1] == "batch"
+
+
 def test_domains(spark):
     df = spark.createDataFrame([("HTTPS://Example.com:443/path",), ("example.com.",), (" a.b/c?x#y ",), ("http://[::1]:80/",)], "d string")
     assert [r[0] for r in df.select(verify.normalize_domain(F.col("d"))).collect()] == ["example.com", "example.com", "a.b", "[::1]:80"]
