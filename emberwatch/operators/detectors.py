@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from emberwatch.functions.fields import actor, token
 from emberwatch.functions.text import human_bytes, one_decimal, or_default, span_text
@@ -369,12 +369,17 @@ DETECTORS: dict[str, Detector] = {
 }
 
 
-def detect_all(events: DataFrame, cfg: DetectConfig, detectors: dict[str, Detector] | None = None) -> DataFrame:
-    """All detections; ``ord`` is the order of detectors on one event.
+def side_by_side(runs: list[tuple[Detector, Callable[[], DataFrame]]], cfg: DetectConfig) -> DataFrame:
+    """The detections of detectors, each on the events its function makes. They do not depend on each other, so their jobs run at the same time."""
+    def started(detector: Detector, events: Callable[[], DataFrame]) -> DataFrame:
+        return detector(events(), cfg)
 
-    The detectors do not depend on each other, so their jobs run side by side.
-    """
-    chosen = list((detectors or DETECTORS).values())
-    with ThreadPoolExecutor(len(chosen)) as pool:
-        started = [pool.submit(inheritable_thread_target(events.sparkSession)(run), events, cfg) for run in chosen]
-        return reduce(DataFrame.unionByName, [f.result() for f in started])
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(len(runs)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(started), *run) for run in runs]
+        return reduce(DataFrame.unionByName, [f.result() for f in waiting])
+
+
+def detect_all(events: DataFrame, cfg: DetectConfig, detectors: dict[str, Detector] | None = None) -> DataFrame:
+    """All detections; ``ord`` is the order of detectors on one event."""
+    return side_by_side([(d, lambda: events) for d in (detectors or DETECTORS).values()], cfg)

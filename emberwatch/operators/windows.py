@@ -102,11 +102,11 @@ def prior_distinct(df: DataFrame, key: str, value: str, window_us: int) -> tuple
     The second result is the list of starts.
     """
     starts, ends = coverage(df, key, value, window_us)
-    per_us = df.groupBy(key, "us").agg(F.count(F.lit(1)).alias("cnt"), F.min("seq").alias("first_seq"))
-    begun = starts.groupBy(key, "us").agg(F.count(F.lit(1)).alias("new_d"), F.min("seq").alias("first_start"))
-    over = ends.groupBy(key, "us").agg(F.count(F.lit(1)).alias("gone_d"))
+    seen = df.select(key, "us", F.lit(1).alias("cnt"), F.col("seq").alias("first_seq"))
+    begun = starts.select(key, "us", F.lit(1).alias("new_d"), F.col("seq").alias("first_start"))
+    over = ends.select(key, "us", F.lit(1).alias("gone_d"))
     merged = (
-        per_us.unionByName(begun, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
+        seen.unionByName(begun, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
         .groupBy(key, "us")
         .agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cnt", "new_d", "gone_d")],
@@ -114,7 +114,8 @@ def prior_distinct(df: DataFrame, key: str, value: str, window_us: int) -> tuple
         )
         .withColumn("_net", F.col("new_d") - F.col("gone_d"))
     )
-    summed = running_sum(merged, key, ["us"], "_net", "_upto")
+    # a range shuffle reads its input twice
+    summed = running_sum(pin(merged), key, ["us"], "_net", "_upto")
     out = summed.withColumn("prior_d", F.col("_upto") - F.col("new_d")).where("cnt > 0")
     return out.select(key, "us", "cnt", "first_seq", "new_d", "first_start", "prior_d"), starts
 

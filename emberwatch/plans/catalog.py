@@ -231,8 +231,10 @@ def detect_all(spark, sf_dir):
     return detection_row(detectors.detect_all(stored_events(spark, sf_dir, views.mixed), CFG))
 
 
-def chain_stages(ev: DataFrame) -> DataFrame:
-    return pin(detectors.brute_force(ev, CFG).unionByName(detectors.port_scan(ev, CFG)))
+def chain_stages(ev: DataFrame, bait: Callable[[], DataFrame] | None = None, cfg: DetectConfig = CFG) -> DataFrame:
+    """Detections that incidents rest on; ``bait`` makes the events with forwarded findings. The detectors run side by side."""
+    runs = [(detectors.brute_force, lambda: ev), (detectors.port_scan, lambda: ev)]
+    return pin(detectors.side_by_side(runs + ([(detectors.forwarded_finding, bait)] if bait else []), cfg))
 
 
 def incident_row(df: DataFrame) -> DataFrame:
@@ -249,15 +251,14 @@ def killchain_success(spark, sf_dir):
 @query
 def killchain_deception(spark, sf_dir):
     ev, bait = stored_events(spark, sf_dir), stored_events(spark, sf_dir, views.forwarded)
-    dets = chain_stages(ev).unionByName(detectors.forwarded_finding(bait, CFG))
-    return incident_row(correlate.incidents(bait, dets, CHAIN))
+    return incident_row(correlate.incidents(bait, chain_stages(ev, lambda: bait), CHAIN))
 
 
 @query
 def killchain_short_cooldown(spark, sf_dir):
     """Logins and bait mixed, with a cooldown inside the window: what an incident rests on is used up."""
-    ev, bait = stored_events(spark, sf_dir), stored_events(spark, sf_dir, views.forwarded)
-    dets = pin(detectors.brute_force(ev, REPEATED).unionByName(detectors.port_scan(ev, REPEATED)).unionByName(detectors.forwarded_finding(bait, REPEATED)))
+    ev = stored_events(spark, sf_dir)
+    dets = chain_stages(ev, lambda: stored_events(spark, sf_dir, views.forwarded), REPEATED)
     return incident_row(correlate.incidents(ev, dets, ChainConfig(3 * DAY, DAY // 4))).drop("title", "detail", "key")
 
 

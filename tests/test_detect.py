@@ -113,3 +113,25 @@ def test_literal_sequences(spark):
 class Row:
     def __init__(self, r):
         self.count, self.title, self.detail = r["count"], r["title"], r["detail"]
+
+
+def test_chain_stages_run_side_by_side(spark, monkeypatch):
+    """Each detector waits until all three have begun."""
+    from threading import Barrier
+
+    from emberwatch.plans import catalog
+
+    together = Barrier(3)
+
+    def waiting(kind):
+        def detector(events, cfg):
+            together.wait(20)
+            return events.withColumn("kind", F.lit(kind))
+
+        return detector
+
+    for name in ("brute_force", "port_scan", "forwarded_finding"):
+        monkeypatch.setattr(catalog.detectors, name, waiting(name))
+    got = catalog.chain_stages(spark.range(2), lambda: spark.range(1))
+    assert sorted((r.id, r.kind) for r in got.collect()) == [
+        (0, "brute_force"), (0, "forwarded_finding"), (0, "port_scan"), (1, "brute_force"), (1, "port_scan")]
