@@ -14,6 +14,8 @@ counts, so a length that most pieces have is spread over many tasks.
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,13 @@ LIMIT, END = 4096, 1
 PART_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
-#: Marks that may end a word; none of them starts a pattern of its own.
-PUNCTUATION = ".,;:!?)"
+#: Marks that may end a word; without letters behind it none of them starts a pattern of its own.
+PUNCTUATION = string.punctuation
+
+#: Letters from here on may be composed, folded or classed in ways of their own; those before are lower-cased one by one.
+LATIN = "\u0250"
+#: The letters that stand for the bytes of UTF-8 in the tokenizer's model.
+BYTES = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 _TOKENIZER: dict = {}
 
@@ -40,14 +47,15 @@ class Tokens:
 
     The tokenizer splits at white space and drops it, splits letters from other characters and folds
     case, so the ids of a text are those of its space-separated chunks in a row, and those of a word with
-    trailing punctuation are the word's and the punctuation's. The memory is per worker process and
-    emptied when it is full.
+    trailing punctuation are the word's and the punctuation's. A lower-case word of Latin letters is one
+    input of the tokenizer's model, byte by byte. The memory is per worker process and emptied when it is full.
     """
 
     def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
     def _apart(self, chunks_: list[str]) -> None:
@@ -67,21 +75,33 @@ class Tokens:
             self.known[word] = ids[start:end]
             start = end
 
+    def _latin(self, words: set[str]) -> None:
+        """Lower-case words of letters below ``LATIN``, by the model itself."""
+        known, ids_of = self.known, self.model.tokenize
+        for word in words:
+            ids = [t.id for t in ids_of(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, new: set[str]) -> None:
-        known, words, apart, joined = self.known, set(), [], []
+        known, latin, words, apart, joined = self.known, set(), set(), [], []
         for chunk in new:
             word = chunk.rstrip(PUNCTUATION)
             if not word.isalpha():
                 apart.append(chunk)
                 continue
             tail = chunk[len(word) :]
-            word = word.lower() if word.isascii() else word
-            if word not in known:
+            low = word.lower()
+            if low.isascii() or max(low) < LATIN:
+                word = low
+                if word not in known:
+                    latin.add(word)
+            elif word not in known:
                 words.add(word)
             if tail not in known:
                 self._apart([tail])
             if word != chunk:
                 joined.append((chunk, word, tail))
+        self._latin(latin)
         words_ = list(words)
         for i in range(0, len(words_), 2_000):
             self._words(words_[i : i + 2_000])

@@ -214,6 +214,20 @@ def test_packing(spark):
         assert end <= 4096
 
 
+def test_words_of_latin_letters_need_no_pass_of_the_whole_tokenizer():
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZàéîõüßñÿÀÉÑŸŁőſǅªºŉ"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", "...", "###", "?!", "'", "$%"]) for _ in range(80)) for _ in range(20)]
+    odd = ["İstanbul I\u0307 e\u0301a é\u0301. ΣΑΣ, \u212a x\u0301### don't 'S we'll' a1, b2### ·l· <|endoftext|> \u01c5\u01c5\ta\rb", "", "漢字, 12### ##a"]
+    coder = packing.Tokens(tokenizer_path())
+    for text, ids in zip(texts + odd, coder.encode(texts + odd)):
+        assert np.asarray(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids, text
+    coder = packing.Tokens(tokenizer_path())
+    coder.encode([", ... ### ?! ' $%"])
+    want, coder.tokenizer = packing.Tokens(tokenizer_path()).encode(texts), None
+    assert coder.encode(texts) == want
+
+
 def test_packing_plan_uses_every_piece_and_finds_exact_fills():
     r = np.random.default_rng(3)
     for _ in range(20):
