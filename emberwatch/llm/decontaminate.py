@@ -33,42 +33,54 @@ UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?
 OPENERS = ("The|An?|If|In|On|At|It|Its|He|She|They|We|You|Your|His|Her|Their|Our|My|This|That|These|Those|There|Then|Each|Every|All|Some|What|When|Where|"
            "Which|Who|Why|How|For|From|To|With|After|Before|But|And|Or|So|As|By|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Given|Find|Let|Suppose|"
            "Der|Die|Das|Ein|Eine|Es|Er|Sie|Wir|Wenn|Was|Wie|Le|La|Les|Un|Une|Il|Elle|Si|El|Los|Las|Una")
-_NAME = r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+"
-_FIRST = rf"(?<![\p{{L}}\p{{N}}\x01'’-])(?!(?:{OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
+# The patterns look for the capital or digit first: what is around it is only looked at there, not at every place of a text.
+_NAME = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+"
+_FIRST = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}\x01'’-])(?!(?:{OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 _VALUE = r"(\d[\d\x04]*)"
-_MEASURE = rf"(?i)\b{_VALUE}\s?(%|(?:{UNITS})\b)"
+_MEASURE = rf"(?i)(?=\d)\b{_VALUE}\s?(%|(?:{UNITS})\b)"
 _MONEY = rf"([$€£])\s?{_VALUE}"
-_NUMBER = rf"(?<![\x02\x04\d\p{{L}}]){_VALUE}\b"
+_NUMBER = rf"(?=\d)(?<![\x02\x04\d\p{{L}}]){_VALUE}\b"
 _SPLIT = r"[^\p{L}\p{N}%$€£\x01\x02\x03\x04\x05]+"
 #: Marks in front of a slot's value: name, number, unit. The fourth stands for a separator inside a number, the fifth is in front of what may be a name.
 NAME, NUMBER, UNIT, POINT, MAYBE = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: Words from here on bear no mark.
+ORDINARY = "\x06"
 
 
 def words(text: Column) -> Column:
     """Template words with their values: an ordinary word, or a type mark followed by the value."""
-    clean = F.translate(text, "\x01\x02\x03\x04\x05", "     ")
+    clean = F.when(text.rlike(r"[\x01-\x05]"), F.translate(text, "\x01\x02\x03\x04\x05", "     ")).otherwise(text)
     names = F.regexp_replace(F.regexp_replace(clean, _NAME, NAME + "$0"), _FIRST, MAYBE + "$0")
-    joined = F.regexp_replace(names, r"(?<=\d)[.,](?=\d)", POINT)
+    joined = F.regexp_replace(names, r"[.,](?<=\d[.,])(?=\d)", POINT)
     measures = F.regexp_replace(joined, _MEASURE, f" {NUMBER}$1 {UNIT}$2 ")
     money = F.regexp_replace(measures, _MONEY, f" {UNIT}$1 {NUMBER}$2 ")
     numbers = F.regexp_replace(money, _NUMBER, f" {NUMBER}$1 ")
     marked = F.when(clean.rlike(r"\d"), numbers).otherwise(names)
     # a lone sign is no word; with a mark in front it is the value of a unit
-    return F.filter(F.split(F.lower(marked), _SPLIT), lambda w: (w != "") & ~w.isin("%", "$", "€", "£"))
+    # (most words lie between the signs, so that two comparisons tell)
+    return F.filter(F.split(F.lower(marked), _SPLIT), lambda w: ((w > "%") & (w < "£")) | ((w != "") & ~w.isin("%", "$", "€", "£")))
 
 
 def _maybe(w: Column) -> Column:
     return F.substring(w, 1, 1) == MAYBE
 
 
+def _template_word(w: Column, names: bool) -> Column:
+    return F.when(w >= ORDINARY, w).when(w < POINT, F.substring(w, 1, 1)).when(_maybe(w), F.lit(NAME) if names else F.substring(w, 2, 1 << 20)).otherwise(w)
+
+
+def _written_word(w: Column) -> Column:
+    return F.when(w >= ORDINARY, w).when((w < POINT) | _maybe(w), F.substring(w, 2, 1 << 20)).otherwise(w)
+
+
 def template(words_: Column, names: bool) -> Column:
     """The words with every value replaced by its placeholder's mark; what may be a name is one if ``names``."""
-    return F.transform(words_, lambda w: F.when(w < POINT, F.substring(w, 1, 1)).when(_maybe(w), F.lit(NAME) if names else F.substring(w, 2, 1 << 20)).otherwise(w))
+    return F.transform(words_, lambda w: _template_word(w, names))
 
 
 def written(words_: Column) -> Column:
     """The words as they are written, without marks."""
-    return F.transform(words_, lambda w: F.when((w < POINT) | _maybe(w), F.substring(w, 2, 1 << 20)).otherwise(w))
+    return F.transform(words_, _written_word)
 
 
 def _poor(size: int) -> int:
@@ -82,11 +94,16 @@ def _readings(rows: DataFrame, key: str, literal: bool) -> DataFrame:
     With ``literal`` also hw, the hashes of the words as written, and the places of values and names.
     These are columns of their own, as an expression inside a lambda would be computed for every window.
     """
-    hashes = lambda x: F.transform(x, lambda w: F.xxhash64(w))
-    places = lambda of: F.filter(F.transform("w", lambda w, i: F.when(of(w), i)), lambda i: i.isNotNull())
-    more = [hashes(written(F.col("w"))).alias("hw"), places(lambda w: (w < POINT) | _maybe(w)).alias("slots")] if literal else []
+    hashes = lambda of: F.transform("w", lambda w: F.xxhash64(of(w)))
+    places = lambda of: F.filter(F.transform("w", lambda w, i: F.when((w < ORDINARY) & of(w), i)), lambda i: i.isNotNull())
+    more = [hashes(_written_word).alias("hw"), places(lambda w: (w < POINT) | _maybe(w)).alias("slots")] if literal else []
     return rows.select(
-        key, hashes(template(F.col("w"), True)).alias("ht"), hashes(template(F.col("w"), False)).alias("hl"), places(_maybe).alias("maybe"), *more)
+        key, hashes(lambda w: _template_word(w, True)).alias("ht"), hashes(lambda w: _template_word(w, False)).alias("hl"), places(_maybe).alias("maybe"), *more)
+
+
+def _hash(words_: str, i: Column, size: int, *more: Column) -> Column:
+    """The hash of ``size`` elements from place ``i`` on, the same as that of an array of them."""
+    return F.xxhash64(*[F.get(words_, i + j) for j in range(size)], *more)
 
 
 def _windows(names: bool, size: int) -> Column:
@@ -97,7 +114,7 @@ def _windows(names: bool, size: int) -> Column:
     else:
         near = F.array_distinct(F.flatten(F.transform("maybe", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), i))))
         starts = F.filter(near, lambda i: i <= last)
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("ht" if names else "hl", i + 1, size)).alias("h"), i.alias("at")))
+    return F.transform(starts, lambda i: F.struct(_hash("ht" if names else "hl", i, size).alias("h"), i.alias("at")))
 
 
 def _written_windows(size: int) -> Column:
@@ -112,7 +129,7 @@ def _written_windows(size: int) -> Column:
     ranges = F.transform(firsts, lambda i, k: F.struct(F.greatest(F.get("slots", k + (need - 1)) - (size - 1), F.lit(0)).alias("a"), F.least(i, last).alias("b")))
     close = F.filter(ranges, lambda x: x["a"] <= x["b"])
     starts = F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(x["a"], x["b"]))))
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("hw", i + 1, size), F.lit(1)).alias("h"), i.alias("at")))
+    return F.transform(starts, lambda i: F.struct(_hash("hw", i, size, F.lit(1)).alias("h"), i.alias("at")))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:

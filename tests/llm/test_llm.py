@@ -341,6 +341,34 @@ def test_decontamination(spark):
     assert {3, 4, 5, 6} <= left and not left & {0, 1, 7}
 
 
+def test_patterns_look_for_capital_or_digit_first_and_find_the_same(spark):
+    F = decontaminate.F
+    plain = {  # as one would write them, with what is before looked at everywhere
+        "_NAME": r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+",
+        "_FIRST": rf"(?<![\p{{L}}\p{{N}}\x01'’-])(?!(?:{decontaminate.OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+",
+        "_MEASURE": rf"(?i)\b{decontaminate._VALUE}\s?(%|(?:{decontaminate.UNITS})\b)",
+        "_NUMBER": rf"(?<![\x02\x04\d\p{{L}}]){decontaminate._VALUE}\b",
+    }
+    r = random.Random(6)
+    bits = ["The ", "Anna", "anna ", "É", "é", " Bo", ", ", ": ", "'", "-", "7", "12", "\x04", "\x02", " km", "%", "KG ", "\U00010400\U00010428", "x", ". ", "", " ", "\x01"]
+    texts = spark.createDataFrame([("".join(r.choice(bits) for _ in range(25)),) for _ in range(2000)], "t string")
+    for name, pattern in plain.items():
+        now = getattr(decontaminate, name)
+        assert re.match(r"(\(\?i\))?\(\?=\\(p\{Lu\}|d)\)", now)
+        assert texts.where(F.regexp_replace("t", now, "<$0>") != F.regexp_replace("t", F.lit(pattern), F.lit("<$0>"))).count() == 0
+        assert texts.where(F.regexp_replace("t", now, "<$0>") != F.col("t")).count() > 20
+
+
+def test_window_hashes_are_those_of_arrays_and_copy_none(spark):
+    F = decontaminate.F
+    held = decontaminate._readings(spark.createDataFrame([(1, [*"abcdefg", "\x01bo", "\x05cy", "\x024", "h", "i"])], "doc_id long, w array<string>"), "doc_id", True)
+    got = {(x.at, x.h) for x in held.select(F.explode(decontaminate._windows(True, 6)).alias("x")).select("x.*").collect()}
+    want = {(i, x.h) for i in range(7) for x in held.select(F.xxhash64(F.slice("ht", i + 1, 6)).alias("h")).collect()}
+    assert got == want
+    for windows in (decontaminate._windows(True, 6), decontaminate._windows(False, 6)):
+        assert "slice" not in str(windows)
+
+
 def test_decontamination_meets_an_edited_item_at_every_offset(spark):
     short = "each farmer keeps seven brown sheep near water and sells white wool every single spring"
     assert len(short.split()) == 15
