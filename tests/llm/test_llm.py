@@ -177,6 +177,28 @@ def test_passages_with_edits_down_to_the_least_identity(spark):
         assert math.isclose(x.identity, brute_identity(own, other)[0], abs_tol=1e-5) and x.identity >= 0.8
 
 
+def test_passages_of_seeds_that_earlier_documents_hold_one_by_one(spark):
+    r = random.Random(11)
+    draw = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = draw(60)
+    pieces = [" ".join(draw(30) + passage[i : i + 9] + draw(30)) for i in range(0, 60, 6)]
+    texts = [*pieces, " ".join(draw(20) + passage + draw(5)), " ".join(draw(7) + passage + draw(20))]
+    rows = [tuple(x) for x in passages.passages(table(spark, texts)).collect()]
+    assert rows == [(11, 7, 60, 10, 20, 60, 1.0)]
+
+
+def test_passages_of_copies_and_repeated_rounds(spark):
+    r = random.Random(12)
+    draw = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, own = draw(50), " ".join(draw(45))
+    copied = " ".join(draw(3) + passage)
+    texts = [" ".join(passage + draw(9)), copied, copied, own, own, "one two", "one two",
+             " ".join(draw(5) + ["on", "and"] * 40 + draw(6)), " ".join(draw(2) + ["and"] + ["on", "and"] * 30 + draw(4))]
+    rows = {tuple(x) for x in passages.passages(table(spark, texts)).collect()}
+    assert {x for x in rows if x[0] < 7} == {(1, 3, 50, 0, 0, 50, 1.0), (2, 0, 53, 1, 0, 53, 1.0), (4, 0, 45, 3, 0, 45, 1.0)}
+    assert {(x[0], x[3]) for x in rows if x[0] >= 7} == {(8, 7)} and max(x[2] for x in rows if x[0] == 8) >= 60
+
+
 def test_chains_match_a_quadratic_chaining():
     r = random.Random(1)
     for _ in range(40):
