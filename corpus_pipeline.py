@@ -16,6 +16,8 @@ from emberwatch.plans.lineage import shared_folder
 MIN_SCORE = 0.5
 #: Near copies: words of a shingle, least Jaccard similarity in percent.
 NEAR_K, NEAR_PERCENT = 5, 80
+#: Words that a packing task remembers; workers are shared with the other stages.
+PACK_ROOM = 250_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every remaining document goes."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), room=PACK_ROOM)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,6 +27,8 @@ from emberwatch.llm.arrow import chunks
 from emberwatch.plans.lineage import pin
 
 LIMIT, END = 4096, 1
+#: Words that a worker process remembers.
+ROOM = 600_000
 #: Pieces that one part of a length holds on average when places are given out.
 PART_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -51,7 +53,7 @@ class Tokens:
     input of the tokenizer's model, byte by byte. The memory is per worker process and emptied when it is full.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
@@ -110,13 +112,16 @@ class Tokens:
         for chunk, word, tail in joined:
             known[chunk] = known[word] + known[tail]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known[""] = b""
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split).difference(known)
         if len(known) + 2 * len(new) > self.room:
-            known.clear()
-            known[""] = b""
+            self.forget()
             new = set().union(*split).difference(known)
         self.learn(new)
         return [b"".join(map(known.__getitem__, s)) for s in split]
@@ -128,11 +133,16 @@ def tokens(path: str) -> Tokens:
     return _TOKENIZER[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; ``tokenizer`` is a path on the workers."""
+def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, doc_id: str = "doc_id", text: str = "text", room: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; ``tokenizer`` is a path on the workers.
+
+    With ``room`` a task remembers that many words and forgets them at its end, so that idle workers hold no memory
+    that other steps of a job need.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail = tokens(tokenizer), np.asarray([end], "<u4").tobytes()
+        coder.room = room or ROOM
         for batch in chunks(batches, "text", 1 << 20):
             rows = []
             for did, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").fill_null("").to_pylist())):
@@ -143,6 +153,8 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END,
             cols = list(zip(*rows))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if room:
+            coder.forget()
 
     return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInArrow(run, PIECES)
 
@@ -238,9 +250,9 @@ def places(plan_: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {x: np.asarray(r, np.int64) for x, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, doc_id: str = "doc_id", text: str = "text", room: int | None = None) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset`` (both long)."""
-    cut = pin(pieces(docs, tokenizer, limit, end, doc_id, text))
+    cut = pin(pieces(docs, tokenizer, limit, end, doc_id, text, room))
     total = cut.count()
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-total // PART_ROWS))))
     parted = cut.withColumn("part", part)

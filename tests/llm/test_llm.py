@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberwatch.llm import decontaminate, langid, ngram_join, packing, passages, pii, repeats, site_lines, url_rules, vafile
@@ -177,6 +178,21 @@ def test_passages_with_edits_down_to_the_least_identity(spark):
         assert math.isclose(x.identity, brute_identity(own, other)[0], abs_tol=1e-5) and x.identity >= 0.8
 
 
+def test_packing_forgets_words_at_the_end_of_a_task_if_it_has_a_room():
+    class Docs:
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["one two, three", "Four five. six", None]})
+    want = [b.to_pylist() for b in packing.pieces(Docs(), tokenizer_path())(iter([batch, batch]))]
+    assert len(packing.tokens(tokenizer_path()).known) > 1
+    got = [b.to_pylist() for b in packing.pieces(Docs(), tokenizer_path(), room=10)(iter([batch, batch]))]
+    assert got == want and packing.tokens(tokenizer_path()).known == {"": b""}
+
+
 def test_passages_of_seeds_that_earlier_documents_hold_one_by_one(spark):
     r = random.Random(11)
     draw = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
