@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberwatch.llm.arrow import chunks, grams, ints, mix, signed, utf8, word_hashes
+from emberwatch.llm.arrow import PIECE_BYTES, bounded, chunks, grams, ints, mix, signed, utf8, word_hashes
 from emberwatch.llm.components import components
 from emberwatch.plans.lineage import pin, release
 
@@ -67,7 +67,16 @@ def levels(top: int, percent: int = PERCENT) -> np.ndarray:
 
 
 def sets(batch: pa.RecordBatch, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens sorted by row and hash without repeats, row of each, tokens per row)."""
+    """(tokens sorted by row and hash without repeats, row of each, tokens per row), worked out piece by piece."""
+    parts, begin = [], 0
+    for piece in chunks(iter([batch]), "text", PIECE_BYTES):
+        token, trow, size = _sets(piece, k)
+        parts.append((token, trow + begin, size))
+        begin += piece.num_rows
+    return tuple(map(np.concatenate, zip(*parts))) if parts else _sets(batch, k)
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = utf8(batch.column("text"))
     hashes, row = word_hashes(data, offsets)
     n = batch.num_rows
@@ -329,7 +338,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own without any)."""
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is {percent}, not {LEAST_PERCENT} to 100")
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    every = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     d = every.where("doc_id is not null")
     named = pin(nodes(every, k))
     sized = pin(named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min("n").alias("n")))

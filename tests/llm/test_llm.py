@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from emberwatch.llm import decontaminate, langid, ngram_join, packing, passages, pii, repeats, site_lines, url_rules, vafile
-from emberwatch.llm.arrow import minima
+from emberwatch.llm.arrow import BATCH_BYTES, bounded, minima
 from emberwatch.llm.components import components
 from emberwatch.llm.queries import held_out, tokenizer_path
 
@@ -128,6 +129,48 @@ def test_repeats(spark, seed):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()} == brute_repeats(texts)
 
 
+class Tasks:
+    """Stands for a table: what would run in its tasks."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("what", [lambda: ngram_join.prefixes(Tasks())])
+def test_places_of_a_batch_are_worked_out_in_bounded_memory(what):
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert 6 << 20 < batch.nbytes < 8 << 20
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in what()(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 3000 and peak < 64 << 20
+
+
+def test_sets_of_pieces_are_those_of_the_whole_batch():
+    r = random.Random(12)
+    texts = [*made(2), *(" ".join(f"w{r.randrange(900)}" for _ in range(r.randrange(300))) for _ in range(800))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert batch.nbytes > ngram_join.PIECE_BYTES
+    for one, all_ in zip(ngram_join.sets(batch), ngram_join._sets(batch, ngram_join.K)):
+        assert (one == all_).all()
+    assert [len(x) for x in ngram_join.sets(batch.slice(0, 0))] == [0, 0, 0]
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("64m", BATCH_BYTES), ("1m", "1m")):
+            spark.conf.set(key, given)
+            assert bounded(spark.range(1)).count() == 1
+            assert spark.conf.get(key) == str(kept)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_minima_are_leftmost():
     r = np.random.default_rng(0)
     for w in (1, 2, 3, 7, 8, 20):
