@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from emberwatch.llm.arrow import chunks, ints, minima, mix, signed, span_hashes, utf8
+from emberwatch.llm.arrow import PIECE_BYTES, bounded, chunks, ints, minima, mix, signed, span_hashes, utf8
 from emberwatch.plans.lineage import pin
 
 #: Bytes of a match, and of the grams that anchor it.
@@ -101,11 +101,14 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
-            data, offsets = utf8(batch.column("text"))
-            row, start, windows, at, anchor, one, two = stretches(data, offsets, length, gram)
-            if len(row):
-                place = _pack(start - offsets[row], at - start, windows, SORT)
-                yield _rows(anchor, mix(one ^ mix(two)), ints(batch, "doc_id")[row], place)
+            parts = []
+            for piece in chunks(iter([batch]), "text", PIECE_BYTES):
+                data, offsets = utf8(piece.column("text"))
+                row, start, windows, at, anchor, one, two = stretches(data, offsets, length, gram)
+                parts.append((anchor, mix(one ^ mix(two)), ints(piece, "doc_id")[row], _pack(start - offsets[row], at - start, windows, SORT)))
+            rows = [np.concatenate(x) for x in zip(*parts)]
+            if len(rows[0]):
+                yield _rows(*rows)
 
     return docs.mapInArrow(run, SORTED)
 
@@ -115,24 +118,27 @@ def _pieces(texts: DataFrame, length: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("places")
-            bounds, place = lists.offsets.to_numpy(), lists.values.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            place = place[bounds[0] : bounds[-1]]
-            far = (place >> 9) & 255  # of the first window; the following ones are nearer to the anchor
-            near = far - _count(place) + 1
-            n = far // width - near // width + 1
-            each = np.repeat(np.arange(len(place)), n)
-            k = (far // width)[each] - (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
-            top, low = np.minimum(far[each], k * width + width - 1), np.maximum(near[each], k * width)
-            anchor = (_start(place) + far + offsets[row])[each]
-            row = row[each]
-            first, last = anchor - top, anchor - low
-            common = span_hashes(data, anchor - k * width, anchor - k * width - width + 1 + length)
-            content = span_hashes(data, first, last + length, _OTHER)
-            doc = ints(batch, "doc_id")[row]
-            yield _rows(common, content, doc, _pack(first - offsets[row], top, top - low + 1, SORT))
+            parts = []
+            for piece in chunks(iter([batch]), "text", PIECE_BYTES):
+                data, offsets = utf8(piece.column("text"))
+                lists = piece.column("places")
+                bounds, place = lists.offsets.to_numpy(), lists.values.to_numpy()
+                row = np.repeat(np.arange(piece.num_rows), np.diff(bounds))
+                place = place[bounds[0] : bounds[-1]]
+                far = (place >> 9) & 255  # of the first window; the following ones are nearer to the anchor
+                near = far - _count(place) + 1
+                n = far // width - near // width + 1
+                each = np.repeat(np.arange(len(place)), n)
+                k = (far // width)[each] - (np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
+                top, low = np.minimum(far[each], k * width + width - 1), np.maximum(near[each], k * width)
+                anchor = (_start(place) + far + offsets[row])[each]
+                row = row[each]
+                first, last = anchor - top, anchor - low
+                common = span_hashes(data, anchor - k * width, anchor - k * width - width + 1 + length)
+                content = span_hashes(data, first, last + length, _OTHER)
+                doc = ints(piece, "doc_id")[row]
+                parts.append((common, content, doc, _pack(first - offsets[row], top, top - low + 1, SORT)))
+            yield _rows(*[np.concatenate(x) for x in zip(*parts)])
 
     return texts.mapInArrow(run, SORTED)
 
@@ -206,7 +212,7 @@ def _open(found: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, places): per document with a repeat its windows, packed."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    d = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     found = pin(_sorted_stretches(anchored(d, length, gram)), release=True)
     rounds = [found]
     for width in (PIECE, 1):

@@ -136,7 +136,7 @@ class Tasks:
         return run
 
 
-@pytest.mark.parametrize("what", [lambda: ngram_join.prefixes(Tasks())])
+@pytest.mark.parametrize("what", [lambda: repeats.anchored(Tasks(), 100, 32), lambda: ngram_join.prefixes(Tasks())])
 def test_places_of_a_batch_are_worked_out_in_bounded_memory(what):
     r = random.Random(11)
     texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(400)) for _ in range(3000)]
