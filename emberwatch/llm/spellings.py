@@ -127,8 +127,9 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     rows = _signatures(words, parts)
     a = rows.select("key", F.col("whole").alias("wa"), F.col("word").alias("a"), F.col("n").alias("na"))
     b = rows.select("key", F.col("whole").alias("wb"), F.col("word").alias("b"), F.col("n").alias("nb"))
-    # one of the two has the length of the key, that of the shorter word
-    met = a.join(b, (a["key"] == b["key"]) & (a["a"] < b["b"]) & (a["wa"] | b["wb"]) & (F.levenshtein("a", "b", 1) == 1))
+    # One of the two has the length of the key, that of the shorter word. Spark sizes the signatures as if each word had one,
+    # and so would broadcast some that no driver can hold; this goes for all joins here, which grow with the vocabulary.
+    met = a.join(b.hint("merge"), (a["key"] == b["key"]) & (a["a"] < b["b"]) & (a["wa"] | b["wb"]) & (F.levenshtein("a", "b", 1) == 1))
     return met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
@@ -137,7 +138,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     now = pin(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = pin(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = pin(now.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         now = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return now
@@ -152,9 +153,9 @@ def variants(words: DataFrame, parts: int = PARTS) -> DataFrame:
         F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("near_n")))).alias("p")).select("p.*")
     # the most frequent near word, the least one in byte order (that of code points) among equals
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    told = pin(words.join(best, "word", "left").select(
+    told = pin(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(-F.col("best.less") >= FORM_RATIO * F.col("n"), F.col("best.near")).alias("form"),
         F.when(-F.col("best.less") >= FORM_RATIO * F.col("n"), -F.col("best.less")).alias("form_n")))
     roots = _roots(told.where("form is not null"))
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

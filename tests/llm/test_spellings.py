@@ -96,3 +96,18 @@ def test_chains_and_ties(spark):
 def test_no_words(spark):
     assert found(spellings.variants(spellings.vocabulary(spark.createDataFrame([], DOC)))) == {}
     assert found(spellings.variants(spellings.vocabulary(spark.createDataFrame([(1, "a b c", None, None)], DOC)))) == {}
+
+
+def test_nothing_that_grows_with_the_vocabulary_is_broadcast(spark, monkeypatch):
+    plans, pin = [], spellings.pin
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df, *rest)
+
+    monkeypatch.setattr(spellings, "pin", noted)
+    base, more = words_near_each_other(5)
+    out = spellings.variants(spark.createDataFrame([(w, 3 + i % 9) for i, w in enumerate(sorted({*base, *more}))], "word string, n bigint"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 3 and not [p for p in joins if "Broadcast" in p]
