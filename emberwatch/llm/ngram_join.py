@@ -28,7 +28,8 @@ A row without an id has the component of the documents of the same set, null if
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ LEAST_PERCENT = 80
 RARE = 16
 #: Classes beyond the possible differences, and so the empty classes that a set may have.
 SPARE = 2
+#: Tokens that a round moves at least; shares of the tokens of all wanted sets that a round of pairs, or of differences, moves.
+ROUND_TOKENS, PAIRS_SHARE, REST_SHARE = 8 << 20, 1, 8
 
 
 def shared(n):
@@ -270,10 +273,27 @@ def _linked(common, n, m, percent):
     return 100 * common >= percent * (n + m - common)
 
 
-def _differences(pairs: DataFrame, token_sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, linked, delta) of (a, b): delta is what tells b from a: first the ``fresh`` tokens that a lacks, then inverted those that b lacks."""
+def _in_rounds(rows: DataFrame, key: str, rounds: int, step: Callable[[DataFrame, Callable[..., DataFrame]], DataFrame]) -> DataFrame:
+    """``step`` of one part of the ``key``s after the other. It pins, so the disk holds the shuffles of one round at a time.
+
+    ``step`` gets the rows of the round and a function that cuts another table down to its keys.
+    """
+    parts = []
+    for i in range(rounds):
+        own = lambda df, column=key, i=i: df if rounds == 1 else df.where(F.pmod(F.xxhash64(column), F.lit(rounds)) == i)
+        parts.append(step(own(rows), own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rounds(tokens: int | None, held: int | None, share: int) -> int:
+    """Rounds in which ``tokens`` move, ``held`` being those of all wanted sets."""
+    return max(1, -(-(tokens or 0) // max(ROUND_TOKENS, (held or 0) // share)))
+
+
+def _differences(pairs: DataFrame, token_sets: DataFrame, own_sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, linked, delta) of (a, b): delta is what tells b from a: first the ``fresh`` tokens that a lacks, then inverted those that b lacks. ``own_sets`` are the sets of every b."""
     left = token_sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = token_sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    right = own_sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) or hub")
     new, gone = F.array_except("tb", "ta"), F.array_except("ta", "tb")
     delta = F.concat(new, F.transform(gone, lambda t: F.bitwise_not(t)))
@@ -301,7 +321,7 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     m = m.select("a", "b", F.col("nb").alias("n"), "comp", "apart", "d", "linked", "fresh", "delta").withColumn("most", most)
     # hubs that have a member apart, and their members that such a one may link to
     reach = m.where("apart").groupBy("a").agg(F.min(F.col("d") - F.col("most")).alias("_low"), F.max("d").alias("_high"))
-    open_ = pin(m.join(reach, "a").where("apart or (d >= _low and d - most <= _high)").drop("_low", "_high"))
+    open_ = pin(m.join(reach, "a").where("apart or (d >= _low and d - most <= _high)").drop("_low", "_high"), release=True)
     each = open_.select("a", "b", "apart", "fresh", F.posexplode("delta").alias("i", "t")).select("a", "b", "apart", "t", (F.col("i") >= F.col("fresh")).alias("gone"))
     df = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df"), F.max("apart").alias("tells")).where("df > 1 and tells").drop("tells")
     # for a linked y: d(x) > c (n(x) + n(h)) and n(h) - n(y) >= -d(y), so more than d(y) (1 - c) / 2 are shared
@@ -316,7 +336,7 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     placed = F.transform("common", lambda x, i: F.struct(x["t"].alias("t"), x["gone"].alias("gone"), at(x["gone"], i).alias("at")))
     numbered = ranked.withColumn("first", F.filter(placed, lambda x: x["at"] < F.col("keep")))
     index = numbered.select("a", "b", "n", "comp", "apart", "d", "linked", "fresh", "lost", F.explode("first").alias("x")).select("*", "x.*").drop("x")
-    index = pin(index)
+    index = pin(index, release=True)
     other = index.select("a", "t", *[F.col(k).alias(f"{k}2") for k in ("b", "n", "comp", "apart", "d", "linked", "fresh", "lost", "at")])
     need = F.expr(f"d + d2 - floor({per} * (n + n2) / {total})")
     # It suffices that the first shared token in the order meets. From it on, both must have as many tokens as
@@ -331,7 +351,10 @@ def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     one = open_.select("a", "b", "n", "d", "delta")
     two = one.select("a", F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("delta").alias("delta2"))
     checked = asked.join(one, ["a", "b"]).join(two, ["a", "b2"])
-    return checked.where(F.expr(f"d + d2 - 2 * size(array_intersect(delta, delta2)) <= floor({per} * (n + n2) / {total})")).select(F.col("b").alias("a"), F.col("b2").alias("b"))
+    out = pin(checked.where(F.expr(f"d + d2 - 2 * size(array_intersect(delta, delta2)) <= floor({per} * (n + n2) / {total})")).select(F.col("b").alias("a"), F.col("b2").alias("b")), release=True)
+    release(open_)
+    release(index)
+    return out
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -376,11 +399,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     near = direct.union(rare.where("id_a != id_b").select(low.alias("a"), high.alias("b"))).distinct()
     pairs = pin(star.withColumn("hub", F.lit(True)).unionByName(near.withColumn("hub", F.lit(False))), release=True)
     release(owned)
-    checked = pin(_differences(pairs, token_sets, percent), release=True)
+    # Every pair brings the tokens of a to those of b, and a hub's differences are as large as its members: round by round.
+    held_tokens = token_sets.agg(F.sum("n")).first()[0]
+    moved = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).join(token_sets.select(F.col("node").alias("a"), "n"), "a").agg(F.sum(F.col("c") * F.col("n"))).first()[0]
+    checked = _in_rounds(pairs, "b", _rounds(moved, held_tokens, PAIRS_SHARE), lambda part, own: pin(_differences(part, token_sets, own(token_sets, "node"), percent), release=True))
     release(token_sets)
     links = checked.where("linked").select("a", "b")
     comp = pin(components(links))
-    more = pin(_rest(checked.where("hub"), comp, percent), release=True)
+    hubs_only = checked.where("hub")
+    told = hubs_only.agg(F.sum(F.size("delta").cast("bigint"))).first()[0]
+    more = _in_rounds(hubs_only, "a", _rounds(told, held_tokens, REST_SHARE), lambda part, own: _rest(part, comp, percent))
     if not more.isEmpty():
         comp = pin(components(links.unionByName(more)))
     # Nodes bear their smallest doc_id, so a component's smallest node is the component_id.
